@@ -123,3 +123,47 @@ upserted AS (
          final.active AS active, TIMESTAMP '{RUN_TS}' AS created_at, TIMESTAMP '{RUN_TS}' AS updated_at,
          sku_key
   FROM joined WHERE id IS NULL)"""
+
+VALIDATION = f"""
+head_msgs AS (
+  SELECT file_rank, CAST(0 AS BIGINT) AS line, 0 AS seq,
+         'Warning: Unknown headers will be ignored: price' AS message
+  FROM (SELECT DISTINCT file_rank FROM feed_out) WHERE file_rank = 2),
+samp AS (
+  SELECT file_rank, ord, sku_v, name_v, sku_present, name_present,
+         active_in_header AND (NOT active_present OR lower({strip("coalesce(active_v, '')")})
+             NOT IN {S.TRUE_TOKENS + S.FALSE_TOKENS}) AS bad_active,
+         CASE WHEN active_present THEN coalesce(active_v, '') ELSE 'None' END AS shown,
+         CASE WHEN NOT sku_present THEN '{S.MSG_NOT_STRING}'
+              WHEN length({strip("coalesce(sku_v, '')")}) < 1 THEN '{S.MSG_TOO_SHORT}'
+              WHEN length({strip("coalesce(sku_v, '')")}) > 255 THEN '{S.MSG_TOO_LONG}' END AS sku_msg,
+         CASE WHEN NOT name_present THEN '{S.MSG_NOT_STRING}'
+              WHEN length({strip("coalesce(name_v, '')")}) < 1 THEN '{S.MSG_TOO_SHORT}'
+              WHEN length({strip("coalesce(name_v, '')")}) > 255 THEN '{S.MSG_TOO_LONG}' END AS name_msg
+  FROM feed_out WHERE ord <= {S.SAMPLE_SIZE}),
+samp_msgs AS (
+  SELECT file_rank, ord, 1 AS seq,
+         'Row ' || ord || ': Unexpected error - Cannot parse ''' || shown || ''' as boolean' AS message
+  FROM samp WHERE bad_active
+  UNION ALL
+  SELECT file_rank, ord, 1, 'Row ' || ord || ', field ''sku'': ' || sku_msg
+  FROM samp WHERE NOT bad_active AND sku_msg IS NOT NULL
+  UNION ALL
+  SELECT file_rank, ord, CASE WHEN sku_msg IS NULL THEN 1 ELSE 2 END,
+         'Row ' || ord || ', field ''name'': ' || name_msg
+  FROM samp WHERE NOT bad_active AND name_msg IS NOT NULL),
+row_n AS (
+  SELECT s.file_rank, s.ord,
+         NOT s.bad_active AND (s.sku_msg IS NOT NULL OR s.name_msg IS NOT NULL) AS has_field_errors,
+         (SELECT count(*) FROM samp_msgs m WHERE m.file_rank = s.file_rank AND m.ord <= s.ord) AS cum
+  FROM samp s),
+stops AS (
+  SELECT file_rank, min(ord) AS stop_ord FROM row_n
+  WHERE has_field_errors AND cum >= {S.MAX_SAMPLE_ERRORS} GROUP BY file_rank),
+all_msgs AS (
+  SELECT file_rank, line, seq, message FROM head_msgs
+  UNION ALL
+  SELECT m.file_rank, m.ord, m.seq, m.message FROM samp_msgs m LEFT JOIN stops s USING (file_rank)
+  WHERE s.stop_ord IS NULL OR m.ord <= s.stop_ord
+  UNION ALL
+  SELECT file_rank, stop_ord, 99, '{S.MSG_STOPPED}' FROM stops)"""

@@ -82,3 +82,33 @@ GROUP BY k.file_rank, k.batch""".replace("WITH ", "WITH ", 1))
 def batch_rows_affected(spark, sf_dir):
     feed = adapter_feed(spark, sf_dir)
     return merge.batch_rows_affected(feed.acc, A.catalog(spark, sf_dir))
+
+
+# ---- validation --------------------------------------------------------------------
+
+from feedyard.operators import validate as V  # noqa: E402
+
+
+@register("feed_validation_errors", O.with_(O.FEED_RAW, O.VALIDATION) + """
+SELECT file_rank, CAST(line AS BIGINT) AS line, seq, message, starts_with(message, 'Warning:') AS is_warning
+FROM all_msgs""")
+def feed_validation_errors(spark, sf_dir):
+    feed = adapter_feed(spark, sf_dir)
+    return V.validation_errors(feed.facts, feed.rows).select(
+        "file_rank", F.col("line").cast("long").alias("line"), "seq", "message", "is_warning")
+
+
+@register("feed_verdict", O.with_(O.FEED_RAW, O.VALIDATION) + f""",
+per_file AS (
+  SELECT file_rank, count(*) AS n_messages,
+         count(*) FILTER (WHERE NOT starts_with(message, 'Warning:')) AS n_errors,
+         string_agg(message, chr(10) ORDER BY line, seq) AS errors
+  FROM all_msgs GROUP BY file_rank),
+counts AS (SELECT file_rank, count(*) AS n_rows FROM feed_out GROUP BY file_rank)
+SELECT c.file_rank, coalesce(p.n_errors, 0) = 0 AS is_valid, coalesce(p.n_messages, 0) AS n_messages,
+       coalesce(p.errors, '') AS errors, c.n_rows AS total_rows,
+       CAST(coalesce(s.stop_ord, least(c.n_rows, 100)) AS BIGINT) AS sample_size
+FROM counts c LEFT JOIN per_file p USING (file_rank) LEFT JOIN stops s USING (file_rank)""")
+def feed_verdict(spark, sf_dir):
+    feed = adapter_feed(spark, sf_dir)
+    return V.verdict(feed.facts, feed.rows)
