@@ -113,3 +113,45 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_ts() -> Column:
     return F.lit(RUN_TS).cast("timestamp")
+
+
+# ---- request sets -------------------------------------------------------------
+
+def lookup_id_requests(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 1).alias("id"))
+
+
+def lookup_sku_requests(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_partkey").cast("string")
+    arg = (F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("sku-"), k))
+           .when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("SKU-"), k))
+           .otherwise(F.concat(F.lit("Sku-"), k, F.lit(" "))))
+    return li.select(arg.alias("arg"))
+
+
+def create_requests(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    sku = F.when(key % 211 == 0, F.lit("   ")).otherwise(
+        F.concat(F.lit("  Sku-"), (key % 5000).cast("string"), F.lit(" ")))
+    return o.select(key.alias("req_id"), sku.alias("sku"),
+                    F.concat(F.lit("Order "), key.cast("string")).alias("name"),
+                    F.col("o_orderpriority").alias("description"),
+                    (F.col("o_orderstatus") != "F").alias("active"))
+
+
+def patch_requests(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    sku = (F.when(key % 4 == 0, F.concat(F.lit(" sku-"), (key * 2).cast("string")))
+           .when(key % 4 == 1, F.concat(F.lit("SKU-"), (key * 2 + 2).cast("string"))))
+    name = F.when(key % 3 == 0, F.concat(F.lit("Renamed "), key.cast("string")))
+    desc = F.when(key % 5 == 0, F.col("o_orderpriority"))
+    active = F.when(F.col("o_orderstatus") == "F", F.lit(False)).when(F.col("o_orderstatus") == "O", F.lit(True))
+    return o.select(key.alias("req_id"), (key * 2 + 1).alias("id"), sku.alias("sku"), name.alias("name"),
+                    desc.alias("description"), active.alias("active"))
+
+
+def delete_requests(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2 + 1).alias("id"))

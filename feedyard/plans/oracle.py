@@ -167,3 +167,21 @@ all_msgs AS (
   WHERE s.stop_ord IS NULL OR m.ord <= s.stop_ord
   UNION ALL
   SELECT file_rank, stop_ord, 99, '{S.MSG_STOPPED}' FROM stops)"""
+
+CREATE_REQ = """
+create_req AS (
+  SELECT o_orderkey AS req_id,
+         CASE WHEN o_orderkey % 211 = 0 THEN '   ' ELSE '  Sku-' || CAST(o_orderkey % 5000 AS VARCHAR) || ' ' END AS sku,
+         'Order ' || CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS description,
+         o_orderstatus <> 'F' AS active
+  FROM orders)"""
+
+PATCH_REQ = """
+patch_req AS (
+  SELECT o_orderkey AS req_id, o_orderkey * 2 + 1 AS id,
+         CASE o_orderkey % 4 WHEN 0 THEN ' sku-' || CAST(o_orderkey * 2 AS VARCHAR)
+                             WHEN 1 THEN 'SKU-' || CAST(o_orderkey * 2 + 2 AS VARCHAR) END AS sku,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'Renamed ' || CAST(o_orderkey AS VARCHAR) END AS name,
+         CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS description,
+         CASE o_orderstatus WHEN 'F' THEN FALSE WHEN 'O' THEN TRUE END AS active
+  FROM orders)"""

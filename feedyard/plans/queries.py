@@ -78,7 +78,7 @@ SELECT k.file_rank, k.batch, count(*) AS rows_affected,
        count(*) FILTER (WHERE c.sku_key IS NULL AND f.fb = k.file_rank * 1000000000000 + k.batch) AS inserted,
        count(*) FILTER (WHERE NOT (c.sku_key IS NULL AND f.fb = k.file_rank * 1000000000000 + k.batch)) AS updated
 FROM keep_last k JOIN first_batch f USING (sku_key) LEFT JOIN catalog c USING (sku_key)
-GROUP BY k.file_rank, k.batch""".replace("WITH ", "WITH ", 1))
+GROUP BY k.file_rank, k.batch""")
 def batch_rows_affected(spark, sf_dir):
     feed = adapter_feed(spark, sf_dir)
     return merge.batch_rows_affected(feed.acc, A.catalog(spark, sf_dir))
@@ -112,3 +112,150 @@ FROM counts c LEFT JOIN per_file p USING (file_rank) LEFT JOIN stops s USING (fi
 def feed_verdict(spark, sf_dir):
     feed = adapter_feed(spark, sf_dir)
     return V.verdict(feed.facts, feed.rows)
+
+
+# ---- catalog reads -----------------------------------------------------------------
+
+from feedyard.operators import catalog as C  # noqa: E402
+from feedyard.operators import edits as ED  # noqa: E402
+from feedyard.schemas import FALSE_TOKENS  # noqa: E402,F401
+
+PAGE_FILTER = C.ProductFilter(sku="1_", name="WIDGET", active=True)
+PAGE_WHERE = ("sku ILIKE '%1_%' ESCAPE '\\' AND name ILIKE '%WIDGET%' ESCAPE '\\' AND active = TRUE")
+CAT_COLS = "id, sku, name, description, active, created_at, updated_at"
+
+
+@register("catalog_page", O.with_(O.CATALOG) + f"""
+SELECT {CAT_COLS} FROM catalog WHERE {PAGE_WHERE}
+ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20""")
+def catalog_page(spark, sf_dir):
+    return C.page(A.catalog(spark, sf_dir), PAGE_FILTER, 2, 20).select(*CAT_COLS.split(", "))
+
+
+@register("catalog_page_facts", O.with_(O.CATALOG) + f"""
+SELECT total, 2 AS page, 20 AS page_size, CAST(ceil(total / 20) AS BIGINT) AS total_pages,
+       2 < CAST(ceil(total / 20) AS BIGINT) AS has_next, TRUE AS has_previous,
+       CAST(21 AS BIGINT) AS showing_from, least(CAST(40 AS BIGINT), total) AS showing_to
+FROM (SELECT count(*) AS total FROM catalog WHERE {PAGE_WHERE})""")
+def catalog_page_facts(spark, sf_dir):
+    return C.page_facts(A.catalog(spark, sf_dir), PAGE_FILTER, 2, 20)
+
+
+@register("catalog_desc_filter", O.with_(O.CATALOG) + f"""
+SELECT {CAT_COLS} FROM catalog
+WHERE description IS NOT NULL AND description ILIKE '%' ESCAPE '\\' AND name ILIKE '%\\_%' ESCAPE '\\'
+UNION ALL
+SELECT {CAT_COLS} FROM (SELECT * FROM catalog WHERE description IS NOT NULL AND description ILIKE '%AL%' ESCAPE '\\'
+ORDER BY created_at DESC, id DESC LIMIT 100)""")
+def catalog_desc_filter(spark, sf_dir):
+    t = A.catalog(spark, sf_dir)
+    cols = CAT_COLS.split(", ")
+    # empty text matches every non-null description; escaped underscore is a literal
+    a = C.apply_filter(t, C.ProductFilter(description="", name="\\_")).select(*cols)
+    b = C.page(t, C.ProductFilter(description="AL"), 1, 100).select(*cols)
+    return a.unionByName(b)
+
+
+@register("catalog_count", O.with_(O.CATALOG) + "SELECT count(*) AS total FROM catalog")
+def catalog_count(spark, sf_dir):
+    return C.count_all(A.catalog(spark, sf_dir))
+
+
+@register("lookup_ids", O.with_(O.CATALOG) + """
+SELECT r.id, c.sku_key IS NOT NULL AS found, c.sku, c.name
+FROM (SELECT DISTINCT l_partkey + 1 AS id FROM lineitem) r LEFT JOIN catalog c ON r.id = c.id""")
+def lookup_ids(spark, sf_dir):
+    return C.lookup_ids(A.catalog(spark, sf_dir), A.lookup_id_requests(spark, sf_dir))
+
+
+@register("lookup_skus", O.with_(O.CATALOG) + """
+SELECT r.arg, c.id IS NOT NULL AS found, c.id, c.sku
+FROM (SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'sku-' || CAST(l_partkey AS VARCHAR)
+                                          WHEN 1 THEN 'SKU-' || CAST(l_partkey AS VARCHAR)
+                                          ELSE 'Sku-' || CAST(l_partkey AS VARCHAR) || ' ' END AS arg
+      FROM lineitem) r
+LEFT JOIN catalog c ON lower(r.arg) = c.sku_key""")
+def lookup_skus(spark, sf_dir):
+    return C.lookup_skus(A.catalog(spark, sf_dir), A.lookup_sku_requests(spark, sf_dir))
+
+
+# ---- catalog edits -------------------------------------------------------------------
+
+@register("catalog_create", O.with_(O.CATALOG, O.CREATE_REQ) + f""",
+req AS (
+  SELECT req_id,
+         sku IS NOT NULL AND length({O.strip('sku')}) BETWEEN 1 AND 255
+         AND name IS NOT NULL AND length({O.strip('name')}) BETWEEN 1 AND 255 AS valid,
+         CASE WHEN sku IS NOT NULL AND length({O.strip('sku')}) BETWEEN 1 AND 255
+                   AND name IS NOT NULL AND length({O.strip('name')}) BETWEEN 1 AND 255
+              THEN {O.strip('sku')} END AS sku_s
+  FROM create_req),
+firsts AS (SELECT lower(sku_s) AS sku_key, min(req_id) AS first_req FROM req WHERE valid GROUP BY 1),
+cls AS (
+  SELECT r.req_id, r.sku_s, lower(r.sku_s) AS sku_key,
+         CASE WHEN NOT r.valid THEN 'invalid'
+              WHEN c.sku_key IS NOT NULL OR r.req_id <> f.first_req THEN 'conflict'
+              ELSE 'created' END AS outcome
+  FROM req r LEFT JOIN firsts f ON lower(r.sku_s) = f.sku_key
+  LEFT JOIN catalog c ON lower(r.sku_s) = c.sku_key)
+SELECT req_id, outcome,
+       CASE WHEN outcome = 'created' THEN CAST((SELECT max(id) FROM catalog)
+            + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY req_id) AS BIGINT) END AS id,
+       sku_s AS sku, sku_key,
+       CASE WHEN outcome = 'created' THEN TIMESTAMP '{A.RUN_TS}' END AS created_at
+FROM cls""")
+def catalog_create(spark, sf_dir):
+    return ED.create(A.catalog(spark, sf_dir), A.create_requests(spark, sf_dir), A.run_ts())
+
+
+@register("catalog_patch", O.with_(O.CATALOG, O.PATCH_REQ) + f""",
+j AS (
+  SELECT r.req_id, r.id, t.id IS NOT NULL AS found,
+         (r.sku IS NULL OR length({O.strip('r.sku')}) BETWEEN 1 AND 255)
+         AND (r.name IS NULL OR length({O.strip('r.name')}) BETWEEN 1 AND 255) AS valid,
+         CASE WHEN r.sku IS NOT NULL THEN {O.strip('r.sku')} ELSE t.sku END AS sku,
+         lower(CASE WHEN r.sku IS NOT NULL THEN {O.strip('r.sku')} ELSE t.sku END) AS new_key,
+         t.sku_key AS old_key,
+         coalesce(r.name, t.name) AS name, coalesce(r.description, t.description) AS description,
+         coalesce(r.active, t.active) AS active,
+         coalesce((r.sku IS NOT NULL AND {O.strip('r.sku')} <> t.sku)
+           OR (r.name IS NOT NULL AND r.name <> t.name)
+           OR (r.description IS NOT NULL AND r.description IS DISTINCT FROM t.description)
+           OR (r.active IS NOT NULL AND r.active <> t.active), FALSE) AS changed,
+         t.updated_at AS old_updated_at
+  FROM patch_req r LEFT JOIN catalog t ON r.id = t.id),
+claims AS (
+  SELECT m.new_key, min(m.req_id) AS first_req, any_value(c.id) AS holder
+  FROM j m LEFT JOIN catalog c ON c.sku_key = m.new_key
+  WHERE m.found AND m.valid AND m.new_key <> m.old_key GROUP BY m.new_key),
+o AS (
+  SELECT j.*, CASE WHEN NOT found THEN 'not_found' WHEN NOT valid THEN 'invalid'
+              WHEN j.new_key <> j.old_key AND ((c.holder IS NOT NULL AND c.holder <> j.id) OR j.req_id <> c.first_req)
+                   THEN 'conflict'
+              WHEN changed THEN 'patched' ELSE 'unchanged' END AS outcome
+  FROM j LEFT JOIN claims c ON j.new_key = c.new_key)
+SELECT req_id, id, outcome,
+       CASE WHEN outcome IN ('patched', 'unchanged') THEN sku END AS sku,
+       CASE WHEN outcome IN ('patched', 'unchanged') THEN name END AS name,
+       CASE WHEN outcome IN ('patched', 'unchanged') THEN description END AS description,
+       CASE WHEN outcome IN ('patched', 'unchanged') THEN active END AS active,
+       CASE WHEN outcome = 'patched' THEN TIMESTAMP '{A.RUN_TS}'
+            WHEN outcome = 'unchanged' THEN old_updated_at END AS updated_at
+FROM o""")
+def catalog_patch(spark, sf_dir):
+    return ED.patch(A.catalog(spark, sf_dir), A.patch_requests(spark, sf_dir), A.run_ts())
+
+
+@register("catalog_delete", O.with_(O.CATALOG) + """
+SELECT r.id, CASE WHEN c.id IS NOT NULL THEN 'deleted' ELSE 'not_found' END AS outcome
+FROM (SELECT DISTINCT l_orderkey * 2 + 1 AS id FROM lineitem) r LEFT JOIN catalog c ON r.id = c.id""")
+def catalog_delete(spark, sf_dir):
+    report, _ = ED.delete(A.catalog(spark, sf_dir), A.delete_requests(spark, sf_dir))
+    return report
+
+
+@register("catalog_after_delete", O.with_(O.CATALOG) + f"""
+SELECT {CAT_COLS} FROM catalog WHERE id NOT IN (SELECT l_orderkey * 2 + 1 FROM lineitem)""")
+def catalog_after_delete(spark, sf_dir):
+    _, rest = ED.delete(A.catalog(spark, sf_dir), A.delete_requests(spark, sf_dir))
+    return rest.select(*CAT_COLS.split(", "))
