@@ -155,3 +155,122 @@ def patch_requests(spark, sf_dir) -> DataFrame:
 
 def delete_requests(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2 + 1).alias("id"))
+
+
+# ---- jobs and progress ------------------------------------------------------------
+
+ASOF = "2024-01-15 12:00:00"   # reader attach time for snapshot / tail queries
+PROGRESS_TOTAL = 1000
+
+
+def jobs(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    status = (F.when(F.col("o_orderstatus") == "O", "importing")
+              .when(F.col("o_orderstatus") == "P", "parsing").otherwise("done"))
+    total = F.floor(F.col("o_totalprice") / 100).cast("long")
+    return o.select(k.cast("string").alias("job_id"),
+                    F.concat(F.lit("feed_"), k.cast("string"), F.lit(".csv")).alias("filename"),
+                    F.when(k % 10 == 0, "bulk_delete").otherwise("import").alias("job_type"),
+                    status.alias("status"), total.alias("total_rows"),
+                    F.when(status == "done", total).otherwise(F.lit(0)).cast("long").alias("processed_rows"),
+                    F.lit(None).cast("string").alias("error_message"),
+                    F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
+
+
+def job_events(spark, sf_dir) -> DataFrame:
+    zero = F.struct(F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("part"),
+                    F.lit(0).cast("long").alias("supp"), F.lit(0.0).alias("qty"), F.lit(0.0).alias("price"))
+    created = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("job_id"), zero.alias("seq"),
+        F.lit("queued").alias("status"), F.lit(0).cast("long").alias("processed_rows"),
+        F.lit(None).cast("long").alias("increment"), F.lit(None).cast("string").alias("error_message"),
+        F.col("o_orderdate").alias("at"))
+    li = table(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber")
+    odd = ln % 2 == 1
+    status = (F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "F", "done")
+              .otherwise("importing"))
+    # (l_orderkey, l_linenumber) repeats in the driver data: order events by the
+    # whole line so that "last" is well defined
+    seq = F.struct(ln.cast("long").alias("line"), F.col("l_partkey").alias("part"),
+                   F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"),
+                   F.col("l_extendedprice").alias("price"))
+    upd = li.select(
+        F.col("l_orderkey").cast("string").alias("job_id"), seq.alias("seq"),
+        F.when(~odd, status).alias("status"),
+        F.when(~odd & (ln % 4 == 0), F.col("l_extendedprice").cast("long")).alias("processed_rows"),
+        F.when(odd, F.col("l_quantity").cast("long")).alias("increment"),
+        F.when(~odd & (F.col("l_returnflag") == "R"),
+               F.concat(F.lit("ValueError: bad row "), F.col("l_partkey").cast("string"))).alias("error_message"),
+        F.col("l_shipdate").alias("at"))
+    return created.unionByName(upd)
+
+
+def increments(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("job_id"), F.col("l_linenumber").cast("long").alias("seq"),
+        F.col("l_quantity").cast("long").alias("increment"))
+
+
+def attempts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("job_id"), (F.col("l_linenumber") - 1).alias("attempt"),
+        F.when(F.col("l_returnflag") == "R", F.lit("RuntimeError")).alias("error_type"),
+        F.concat(F.lit("attempt "), F.col("l_linenumber").cast("string")).alias("error_text"),
+        F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("tie"))
+
+
+def missing_files(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    j = F.col("o_orderkey").cast("string")
+    return (o.filter((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 7 == 0))
+            .select(j.alias("job_id"), F.concat(F.lit("/uploads/"), j, F.lit(".csv")).alias("path")))
+
+
+def _progress_status() -> Column:
+    et = F.col("event_type")
+    return (F.when(et == "click", "importing").when(et == "view", "parsing").when(et == "signup", "queued")
+            .when(et == "purchase", "done").when(et == "error", "failed"))
+
+
+def progress_events(spark, sf_dir) -> DataFrame:
+    from feedyard.functions.text import percent
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    processed = F.when(eid % 4 != 0, eid % 1000).cast("long")
+    return e.select(
+        F.col("user_id").cast("string").alias("job_id"), eid.alias("seq"), _progress_status().alias("status"),
+        F.when(eid % 3 != 0, F.concat(F.lit("batch_"), (eid % 17).cast("string"))).alias("stage"),
+        processed.alias("processed_rows"), F.lit(PROGRESS_TOTAL).cast("long").alias("total_rows"),
+        F.when(processed.isNotNull(), percent(processed, F.lit(PROGRESS_TOTAL))).alias("progress"),
+        F.when((F.col("event_type") == "error") & (eid % 5 != 0),
+               F.concat(F.lit("RuntimeError: event "), eid.cast("string"))).alias("error_message"),
+        F.col("ts").alias("updated_at"))
+
+
+def throttle_updates(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"),
+                    (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
+                    F.col("event_type").isin("purchase", "error").alias("forced"))
+
+
+def sse_messages(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    eid, uid = F.col("event_id"), F.col("user_id").cast("string")
+    q = lambda s: F.lit(s)
+    fields = [
+        F.when(eid % 7 != 0, F.concat(q('"job_id":"'), uid, q('"'))),
+        F.when(eid % 11 != 0, F.concat(q('"status":"'), _progress_status(), q('"'))),
+        F.when(eid % 13 != 0, F.concat(q('"processed_rows":'), (eid % 1000).cast("string"))),
+        F.when(eid % 17 != 0, q('"total_rows":1000')),
+        F.when(eid % 9 != 0, F.when(eid % 2 == 0, F.concat(q('"progress":'), (eid % 100).cast("string")))
+               .otherwise(F.concat(q('"progress_percent":'), (eid % 100).cast("string")))),
+        F.when(eid % 3 == 0, F.concat(q('"updated_at":'), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")))
+        .otherwise(F.concat(q('"updated_at":"2024-01-0'), (eid % 9 + 1).cast("string"), q('T00:00:00Z"'))),
+    ]
+    data = (F.when(eid % 23 == 0, q("  "))
+            .when(eid % 19 == 0, F.concat(q('{"event":"close","job_id":"'), uid, q('"}')))
+            .otherwise(F.concat(q("{"), F.concat_ws(",", *fields), q("}"))))
+    return e.select(eid.alias("msg_id"), data.alias("data"))

@@ -185,3 +185,73 @@ patch_req AS (
          CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS description,
          CASE o_orderstatus WHEN 'F' THEN FALSE WHEN 'O' THEN TRUE END AS active
   FROM orders)"""
+
+from feedyard.plans.adapters import ASOF, PROGRESS_TOTAL  # noqa: E402
+
+JOBS = """
+jobs AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 'feed_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS filename,
+         CASE WHEN o_orderkey % 10 = 0 THEN 'bulk_delete' ELSE 'import' END AS job_type,
+         CASE o_orderstatus WHEN 'O' THEN 'importing' WHEN 'P' THEN 'parsing' ELSE 'done' END AS status,
+         CAST(floor(o_totalprice / 100) AS BIGINT) AS total_rows,
+         CAST(CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN floor(o_totalprice / 100) ELSE 0 END AS BIGINT)
+           AS processed_rows,
+         CAST(NULL AS VARCHAR) AS error_message, o_orderdate AS created_at, o_orderdate AS updated_at
+  FROM orders)"""
+
+JOB_EVENTS = """
+job_events AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS job_id,
+         {'line': CAST(0 AS BIGINT), 'part': CAST(0 AS BIGINT), 'supp': CAST(0 AS BIGINT),
+          'qty': CAST(0 AS DOUBLE), 'price': CAST(0 AS DOUBLE)} AS seq, 'queued' AS status,
+         CAST(0 AS BIGINT) AS processed_rows, CAST(NULL AS BIGINT) AS increment,
+         CAST(NULL AS VARCHAR) AS error_message, o_orderdate AS "at"
+  FROM orders
+  UNION ALL
+  SELECT CAST(l_orderkey AS VARCHAR), {'line': CAST(l_linenumber AS BIGINT), 'part': l_partkey,
+         'supp': l_suppkey, 'qty': l_quantity, 'price': l_extendedprice},
+         CASE WHEN l_linenumber % 2 = 0 THEN
+           CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'F' THEN 'done' ELSE 'importing' END END,
+         CASE WHEN l_linenumber % 2 = 0 AND l_linenumber % 4 = 0 THEN CAST(trunc(l_extendedprice) AS BIGINT) END,
+         CASE WHEN l_linenumber % 2 = 1 THEN CAST(trunc(l_quantity) AS BIGINT) END,
+         CASE WHEN l_linenumber % 2 = 0 AND l_returnflag = 'R' THEN 'ValueError: bad row ' || CAST(l_partkey AS VARCHAR) END,
+         l_shipdate
+  FROM lineitem)"""
+
+PROGRESS_EVENTS = f"""
+progress_events AS (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq,
+         CASE event_type WHEN 'click' THEN 'importing' WHEN 'view' THEN 'parsing' WHEN 'signup' THEN 'queued'
+                         WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status,
+         CASE WHEN event_id % 3 <> 0 THEN 'batch_' || CAST(event_id % 17 AS VARCHAR) END AS stage,
+         CASE WHEN event_id % 4 <> 0 THEN event_id % 1000 END AS processed_rows,
+         CAST({PROGRESS_TOTAL} AS BIGINT) AS total_rows,
+         CASE WHEN event_id % 4 <> 0 THEN round_even(CAST(event_id % 1000 AS DOUBLE) / {PROGRESS_TOTAL} * 100, 2) END AS progress,
+         CASE WHEN event_type = 'error' AND event_id % 5 <> 0 THEN 'RuntimeError: event ' || CAST(event_id AS VARCHAR) END
+           AS error_message,
+         ts AS updated_at
+  FROM events)"""
+
+SNAPSHOT = f"""
+snapshot AS (
+  SELECT job_id,
+         arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS status,
+         arg_max(stage, CASE WHEN stage IS NOT NULL THEN seq END) AS stage,
+         arg_max(processed_rows, CASE WHEN processed_rows IS NOT NULL THEN seq END) AS processed_rows,
+         arg_max(total_rows, CASE WHEN total_rows IS NOT NULL THEN seq END) AS total_rows,
+         arg_max(progress, CASE WHEN progress IS NOT NULL THEN seq END) AS progress,
+         arg_max(error_message, CASE WHEN error_message IS NOT NULL THEN seq END) AS error_message,
+         max(updated_at) AS updated_at, max(seq) AS last_seq,
+         max(updated_at) > TIMESTAMP '{ASOF}' - INTERVAL 3600 SECOND AS live
+  FROM progress_events WHERE updated_at <= TIMESTAMP '{ASOF}' GROUP BY job_id)"""
+
+OR_DEFAULT = """
+or_default AS (
+  SELECT j.job_id,
+         CASE WHEN s.last_seq IS NOT NULL THEN s.status ELSE j.status END AS status,
+         CASE WHEN s.last_seq IS NOT NULL THEN s.stage ELSE 'queued' END AS stage,
+         CASE WHEN s.last_seq IS NOT NULL THEN s.processed_rows ELSE j.processed_rows END AS processed_rows,
+         CASE WHEN s.last_seq IS NOT NULL THEN s.total_rows ELSE j.total_rows END AS total_rows,
+         CASE WHEN s.last_seq IS NOT NULL THEN s.progress ELSE 0.0 END AS progress_percent,
+         s.last_seq IS NOT NULL AS from_snapshot
+  FROM jobs j LEFT JOIN snapshot s ON j.job_id = s.job_id)"""

@@ -259,3 +259,214 @@ SELECT {CAT_COLS} FROM catalog WHERE id NOT IN (SELECT l_orderkey * 2 + 1 FROM l
 def catalog_after_delete(spark, sf_dir):
     _, rest = ED.delete(A.catalog(spark, sf_dir), A.delete_requests(spark, sf_dir))
     return rest.select(*CAT_COLS.split(", "))
+
+
+# ---- jobs -------------------------------------------------------------------------------
+
+from feedyard.operators import jobs as J  # noqa: E402
+from feedyard.operators import progress as PG  # noqa: E402
+
+
+@register("job_latest", O.with_(O.JOB_EVENTS) + """,
+sets AS (
+  SELECT job_id,
+         arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS status,
+         arg_max(processed_rows, CASE WHEN processed_rows IS NOT NULL THEN seq END) AS set_rows,
+         max(CASE WHEN processed_rows IS NOT NULL THEN seq END) AS set_seq,
+         arg_max(error_message, CASE WHEN error_message IS NOT NULL THEN seq END) AS error_message,
+         max("at") AS updated_at
+  FROM job_events GROUP BY job_id),
+incs_after AS (
+  SELECT e.job_id, sum(e.increment) AS inc_after FROM job_events e JOIN sets s USING (job_id)
+  WHERE e.increment IS NOT NULL AND (s.set_seq IS NULL OR e.seq > s.set_seq) GROUP BY e.job_id)
+SELECT s.job_id, s.status, CAST(coalesce(s.set_rows, 0) + coalesce(a.inc_after, 0) AS BIGINT) AS processed_rows,
+       s.error_message, s.updated_at
+FROM sets s LEFT JOIN incs_after a USING (job_id)""")
+def job_latest(spark, sf_dir):
+    return J.latest(A.job_events(spark, sf_dir))
+
+
+@register("job_counters", """
+SELECT CAST(l_orderkey AS VARCHAR) AS job_id, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS processed_rows,
+       count(*) AS n_increments
+FROM lineitem GROUP BY 1""")
+def job_counters(spark, sf_dir):
+    return J.counters(A.increments(spark, sf_dir))
+
+
+@register("recent_jobs", O.with_(O.JOBS) + """
+SELECT * FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 50""")
+def recent_jobs(spark, sf_dir):
+    return J.recent(A.jobs(spark, sf_dir))
+
+
+@register("job_outcome", """
+WITH a AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS job_id, l_linenumber - 1 AS attempt,
+         CASE WHEN l_returnflag = 'R' THEN 'RuntimeError: attempt ' || CAST(l_linenumber AS VARCHAR) END AS err,
+         {'a': l_linenumber - 1, 't': {'p': l_partkey, 's': l_suppkey, 'q': l_quantity, 'e': l_extendedprice}} AS ord
+  FROM lineitem),
+per AS (
+  SELECT job_id, min(CASE WHEN err IS NULL THEN attempt END) AS ok_at, max(attempt) AS last_try,
+         arg_max(err, CASE WHEN attempt <= 3 THEN ord END) AS last_err
+  FROM a GROUP BY job_id),
+gone AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS job_id, '/uploads/' || CAST(o_orderkey AS VARCHAR) || '.csv' AS path
+  FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 7 = 0)
+SELECT p.job_id,
+       CASE WHEN g.job_id IS NOT NULL THEN 'failed' WHEN p.ok_at IS NOT NULL AND p.ok_at <= 3 THEN 'done'
+            WHEN p.last_try >= 3 THEN 'failed' ELSE 'importing' END AS status,
+       CAST(CASE WHEN g.job_id IS NOT NULL THEN 1 WHEN p.ok_at IS NOT NULL AND p.ok_at <= 3 THEN p.ok_at + 1
+            WHEN p.last_try >= 3 THEN 4 ELSE p.last_try + 1 END AS INTEGER) AS attempts_used,
+       CASE WHEN g.job_id IS NOT NULL THEN 'CSV file not found at ' || g.path
+            WHEN NOT (p.ok_at IS NOT NULL AND p.ok_at <= 3) THEN p.last_err END AS error_message,
+       CASE WHEN g.job_id IS NOT NULL THEN NULL WHEN p.ok_at IS NOT NULL AND p.ok_at <= 3 THEN 'import.completed'
+            WHEN p.last_try >= 3 THEN 'import.failed' END AS event_type
+FROM per p LEFT JOIN gone g USING (job_id)""")
+def job_outcome(spark, sf_dir):
+    return J.outcome(A.attempts(spark, sf_dir), A.missing_files(spark, sf_dir))
+
+
+@register("bulk_delete_progress", O.with_(O.CATALOG, O.JOBS) + f""",
+first_job AS (SELECT job_id FROM jobs WHERE job_type = 'bulk_delete' ORDER BY created_at, job_id LIMIT 1),
+n AS (SELECT count(*) AS total FROM catalog),
+b AS (SELECT range AS i FROM range(0, (SELECT CAST(ceil(total / {A.FEED_BATCH}) AS BIGINT) + 1 FROM n)))
+SELECT (SELECT job_id FROM first_job) AS job_id, CAST(0 AS BIGINT) AS seq, 'preparing' AS status, 'counting' AS stage,
+       CAST(0 AS BIGINT) AS processed_rows, (SELECT total FROM n) AS total_rows, 0.0 AS progress
+UNION ALL
+SELECT (SELECT job_id FROM first_job), i + 1, 'deleting', 'batch_' || CAST(i AS VARCHAR),
+       least(i * {A.FEED_BATCH}, (SELECT total FROM n)), (SELECT total FROM n),
+       round_even(CAST(least(i * {A.FEED_BATCH}, (SELECT total FROM n)) AS DOUBLE) / (SELECT total FROM n) * 100, 2)
+FROM b
+UNION ALL
+SELECT (SELECT job_id FROM first_job), (SELECT CAST(ceil(total / {A.FEED_BATCH}) AS BIGINT) + 2 FROM n), 'done',
+       'completed', (SELECT total FROM n), (SELECT total FROM n), 100.0""")
+def bulk_delete_progress(spark, sf_dir):
+    js = A.jobs(spark, sf_dir).filter(F.col("job_type") == "bulk_delete")
+    first = js.orderBy("created_at", "job_id").select("job_id").first()
+    total = A.catalog(spark, sf_dir).count()
+    return ED.bulk_delete_progress(spark, first["job_id"], total, A.FEED_BATCH)
+
+
+# ---- progress ---------------------------------------------------------------------------
+
+@register("batch_progress", O.with_(O.FEED_RAW) + f""",
+pb AS (SELECT file_rank, batch, count(*) AS n FROM feed_acc GROUP BY 1, 2),
+tot AS (SELECT file_rank, count(*) AS total_rows FROM feed_out GROUP BY 1),
+fin AS (SELECT file_rank, CAST(sum(n) AS BIGINT) AS processed_rows, max(batch) AS nb FROM pb GROUP BY 1),
+recs AS (
+  SELECT file_rank, CAST(-1 AS BIGINT) AS seq, 'parsing' AS status, 'starting' AS stage, CAST(0 AS BIGINT) AS processed_rows FROM tot
+  UNION ALL SELECT file_rank, 0, 'importing', 'batch_0', 0 FROM tot
+  UNION ALL
+  SELECT file_rank, batch + 1, 'importing',
+         CASE WHEN batch = max(batch) OVER (PARTITION BY file_rank) AND n < {A.FEED_BATCH}
+              THEN 'batch_' || batch || '_final' ELSE 'batch_' || batch END,
+         CAST(sum(n) OVER (PARTITION BY file_rank ORDER BY batch) AS BIGINT)
+  FROM pb
+  UNION ALL
+  SELECT t.file_rank, coalesce(f.nb, 0) + 1, 'done', 'completed', coalesce(f.processed_rows, 0)
+  FROM tot t LEFT JOIN fin f USING (file_rank))
+SELECT r.*, t.total_rows,
+       CASE WHEN t.total_rows > 0 THEN round_even(CAST(r.processed_rows AS DOUBLE) / t.total_rows * 100, 2) ELSE 0.0 END
+         AS progress
+FROM recs r JOIN tot t USING (file_rank)""")
+def batch_progress(spark, sf_dir):
+    feed = adapter_feed(spark, sf_dir)
+    return PG.batch_progress(feed.acc, feed.rows, A.FEED_BATCH)
+
+
+@register("progress_snapshot", O.with_(O.PROGRESS_EVENTS, O.SNAPSHOT) + "SELECT * FROM snapshot")
+def progress_snapshot(spark, sf_dir):
+    return PG.snapshot(A.progress_events(spark, sf_dir), A.ASOF)
+
+
+@register("progress_or_default", O.with_(O.JOBS, O.PROGRESS_EVENTS, O.SNAPSHOT, O.OR_DEFAULT)
+          + "SELECT * FROM or_default")
+def progress_or_default(spark, sf_dir):
+    return PG.or_default(A.jobs(spark, sf_dir), PG.snapshot(A.progress_events(spark, sf_dir), A.ASOF))
+
+
+@register("progress_tail", O.with_(O.JOBS, O.PROGRESS_EVENTS, O.SNAPSHOT, O.OR_DEFAULT) + f""",
+later AS (SELECT e.* FROM progress_events e WHERE e.updated_at > TIMESTAMP '{A.ASOF}'
+          AND e.job_id IN (SELECT job_id FROM jobs)),
+term AS (SELECT job_id, min(seq) AS stop_seq FROM later WHERE status IN ('done', 'failed') GROUP BY 1),
+snapdone AS (SELECT job_id FROM or_default WHERE status IN ('done', 'failed'))
+SELECT job_id, CAST(0 AS BIGINT) AS pos, 'progress' AS kind, status, stage, processed_rows, progress_percent
+FROM or_default
+UNION ALL
+SELECT l.job_id, l.seq, 'progress', l.status, l.stage, l.processed_rows, l.progress
+FROM later l LEFT JOIN term t USING (job_id)
+WHERE l.job_id NOT IN (SELECT job_id FROM snapdone) AND (t.stop_seq IS NULL OR l.seq <= t.stop_seq)
+UNION ALL
+SELECT j.job_id, CAST(9223372036854775807 AS BIGINT), 'close', NULL, NULL, NULL, NULL
+FROM jobs j WHERE j.job_id IN (SELECT job_id FROM snapdone) OR j.job_id IN (SELECT job_id FROM term)""")
+def progress_tail(spark, sf_dir):
+    return PG.tail(A.jobs(spark, sf_dir), A.progress_events(spark, sf_dir), F.lit(A.ASOF).cast("timestamp"))
+
+
+@register("progress_normalised", """
+WITH m AS (
+  SELECT event_id AS msg_id, CASE WHEN event_id % 23 = 0 THEN '  '
+    WHEN event_id % 19 = 0 THEN '{"event":"close","job_id":"' || CAST(user_id AS VARCHAR) || '"}'
+    ELSE '{' || concat_ws(',',
+      CASE WHEN event_id % 7 <> 0 THEN '"job_id":"' || CAST(user_id AS VARCHAR) || '"' END,
+      CASE WHEN event_id % 11 <> 0 THEN '"status":"' || CASE event_type WHEN 'click' THEN 'importing'
+           WHEN 'view' THEN 'parsing' WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done'
+           WHEN 'error' THEN 'failed' END || '"' END,
+      CASE WHEN event_id % 13 <> 0 THEN '"processed_rows":' || CAST(event_id % 1000 AS VARCHAR) END,
+      CASE WHEN event_id % 17 <> 0 THEN '"total_rows":1000' END,
+      CASE WHEN event_id % 9 <> 0 THEN CASE WHEN event_id % 2 = 0
+           THEN '"progress":' || CAST(event_id % 100 AS VARCHAR)
+           ELSE '"progress_percent":' || CAST(event_id % 100 AS VARCHAR) END END,
+      CASE WHEN event_id % 3 = 0 THEN '"updated_at":' || CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR)
+           ELSE '"updated_at":"2024-01-0' || CAST(event_id % 9 + 1 AS VARCHAR) || 'T00:00:00Z"' END) || '}' END AS data
+  FROM events),
+p AS (
+  SELECT msg_id, json_extract_string(data, '$.event') AS event, json_extract_string(data, '$.job_id') AS job_id,
+         json_extract_string(data, '$.status') AS status, json_extract_string(data, '$.stage') AS stage,
+         CAST(json_extract(data, '$.total_rows') AS BIGINT) AS total_rows,
+         CAST(json_extract(data, '$.processed_rows') AS BIGINT) AS processed_rows,
+         CAST(json_extract(data, '$.progress') AS DOUBLE) AS progress,
+         CAST(json_extract(data, '$.progress_percent') AS DOUBLE) AS progress_percent,
+         json_extract_string(data, '$.error_message') AS error_message,
+         json_extract_string(data, '$.updated_at') AS updated_at
+  FROM m WHERE trim(data) <> '' AND coalesce(json_extract_string(data, '$.event'), '') <> 'close')
+SELECT msg_id, coalesce(job_id, '') AS job_id, status, stage, total_rows, coalesce(processed_rows, 0) AS processed_rows,
+       coalesce(progress_percent, progress) AS progress_percent, error_message,
+       CASE WHEN TRY_CAST(updated_at AS DOUBLE) IS NOT NULL
+            THEN strftime(make_timestamp(CAST(CAST(updated_at AS DOUBLE) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ')
+            ELSE updated_at END AS updated_at,
+       CASE status WHEN 'done' THEN 'completed' WHEN 'failed' THEN 'failed'
+            WHEN 'queued' THEN 'importing' WHEN 'uploading' THEN 'importing' WHEN 'parsing' THEN 'importing'
+            WHEN 'importing' THEN 'importing' ELSE 'idle' END AS display_status,
+       CASE status WHEN 'queued' THEN 'Queued for processing...' WHEN 'uploading' THEN 'Uploading file...'
+            WHEN 'parsing' THEN 'Parsing CSV file...' WHEN 'importing' THEN 'Importing products...'
+            WHEN 'done' THEN 'Import completed successfully'
+            WHEN 'failed' THEN CASE WHEN coalesce(error_message, '') <> '' THEN 'Import failed: ' || error_message
+                                    ELSE 'Import failed' END
+            ELSE 'Processing...' END AS status_text,
+       printf('%.1f%%', coalesce(coalesce(progress_percent, progress),
+              CASE WHEN coalesce(total_rows, 0) > 0 THEN coalesce(processed_rows, 0) / total_rows * 100.0 ELSE 0.0 END))
+         AS percent_shown
+FROM p WHERE status IS NOT NULL AND status <> ''""")
+def progress_normalised(spark, sf_dir):
+    return PG.normalise(A.sse_messages(spark, sf_dir))
+
+
+@register("progress_throttled", """
+WITH RECURSIVE u AS (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, epoch_us(ts) / 1e6 AS t,
+         event_type IN ('purchase', 'error') AS forced,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+  FROM events),
+chain AS (
+  SELECT job_id, seq, rn, forced OR (t - t) >= 2.0 AS emitted,
+         t AS last_t
+  FROM u WHERE rn = 1
+  UNION ALL
+  SELECT u.job_id, u.seq, u.rn, u.forced OR (u.t - c.last_t) >= 2.0,
+         CASE WHEN u.forced OR (u.t - c.last_t) >= 2.0 THEN u.t ELSE c.last_t END
+  FROM chain c JOIN u ON u.job_id = c.job_id AND u.rn = c.rn + 1)
+SELECT job_id, seq, emitted FROM chain""")
+def progress_throttled(spark, sf_dir):
+    return PG.throttled(A.throttle_updates(spark, sf_dir))
