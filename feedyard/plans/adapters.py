@@ -274,3 +274,84 @@ def sse_messages(spark, sf_dir) -> DataFrame:
             .when(eid % 19 == 0, F.concat(q('{"event":"close","job_id":"'), uid, q('"}')))
             .otherwise(F.concat(q("{"), F.concat_ws(",", *fields), q("}"))))
     return e.select(eid.alias("msg_id"), data.alias("data"))
+
+
+# ---- subscriptions, change events, deliveries ---------------------------------------
+
+from feedyard.schemas import EVENT_TYPES  # noqa: E402
+
+
+def subscriptions(spark, sf_dir) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    E = F.array(*[F.lit(t) for t in EVENT_TYPES])
+    i = F.floor(k / 6) % 6
+    e = lambda off: F.element_at(E, ((i + off) % 6 + 1).cast("int"))
+    m = k % 6
+    events = (F.when(m == 0, F.array().cast("array<string>")).when(m == 1, F.array(e(0)))
+              .when(m == 2, F.array(e(0), e(1))).when(m == 3, F.array(e(0), e(2), e(0)))
+              .when(m == 4, F.array(e(0), e(3))).otherwise(F.array(e(4))))
+    url = (F.when(k % 9 == 0, F.concat(F.lit("ftp://hooks.example/"), k.cast("string")))
+           .when(k % 9 == 1, F.concat(F.lit("  https://hooks.example/"), k.cast("string"), F.lit(" ")))
+           .otherwise(F.concat(F.lit("https://hooks.example/s/"), k.cast("string"))))
+    ts = F.timestamp_seconds(F.lit(CATALOG_EPOCH) + k * 3600)
+    return s.select(k.alias("id"), url.alias("url"), events.alias("events"), (k % 4 != 0).alias("enabled"),
+                    ts.alias("created_at"), ts.alias("updated_at"))
+
+
+def valid_subscriptions(spark, sf_dir) -> DataFrame:
+    s = subscriptions(spark, sf_dir)
+    ok = (F.col("url").startswith("http://") | F.col("url").startswith("https://")) & (F.size("events") > 0)
+    return s.filter(ok)
+
+
+def current_subscriptions(spark, sf_dir) -> DataFrame:
+    """State at delivery time: some deleted, some disabled since the event."""
+    s = valid_subscriptions(spark, sf_dir)
+    return (s.filter(F.col("id") % 7 != 3)
+            .withColumn("enabled", F.col("enabled") & (F.col("id") % 5 != 2)))
+
+
+def deleted_subscriptions(spark, sf_dir) -> DataFrame:
+    """Subscriptions removed after the deliveries were made."""
+    return valid_subscriptions(spark, sf_dir).filter(F.col("id") % 7 == 5).select("id")
+
+
+def changes(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    et = (F.when(eid % 50 == 0, "product.bulk_deleted")
+          .when(F.col("event_type") == "view", "product.created")
+          .when(F.col("event_type") == "click", "product.updated")
+          .when(F.col("event_type") == "purchase", "product.deleted")
+          .when(F.col("event_type") == "signup", "import.completed")
+          .otherwise("import.failed"))
+    cat = catalog(spark, sf_dir).select(
+        F.col("id").alias("p_id"), F.col("sku").alias("p_sku"), F.col("name").alias("p_name"),
+        F.col("description").alias("p_description"), F.col("active").alias("p_active"),
+        F.col("created_at").alias("p_created_at"), F.col("updated_at").alias("p_updated_at"))
+    ev = e.select(eid, et.alias("event_type"), "user_id", "ts", "value",
+                  (F.col("user_id") * 2 + 1).alias("pid"))
+    ev = ev.join(cat, (ev.pid == cat.p_id) & F.col("event_type").startswith("product.")
+                 & (F.col("event_type") != "product.bulk_deleted"), "left")
+    return ev.select("event_id", "event_type", "ts", "value", "p_id", "p_sku", "p_name", "p_description",
+                     "p_active", "p_created_at", "p_updated_at",
+                     F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
+                     (eid % 1000).alias("count"), F.lit(1000).cast("long").alias("total"),
+                     F.when(F.col("event_type") == "import.failed",
+                            F.concat(F.lit("RuntimeError: event "), eid.cast("string"))).alias("error_message"))
+
+
+def delivery_inputs(spark, sf_dir, pairs: DataFrame) -> DataFrame:
+    """Outcome facts of each performed delivery (the HTTP call is not made here)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("doc"))
+    eid = F.col("event_id")
+    code = F.when(eid % 11 != 0, 200 + 100 * (eid % 4)).cast("int")
+    p = pairs.join(docs, "event_id", "left")
+    return p.select(
+        (eid * 100000 + F.col("webhook_id")).alias("id"), "webhook_id", "event_type", "event_id",
+        code.alias("response_code"),
+        F.when(code.isNull(), F.concat(F.lit("timed out "), F.repeat(F.lit("."), (eid % 1200).cast("int"))))
+        .otherwise(F.coalesce("doc", F.lit("ok"))).alias("raw_body"),
+        (F.col("value") / 100.0).alias("elapsed_s"), F.col("ts").alias("attempted_at"),
+        F.when((eid + F.col("webhook_id")) % 13 == 0, eid % 6).otherwise(F.lit(0)).alias("internal_failures"))

@@ -255,3 +255,68 @@ or_default AS (
          CASE WHEN s.last_seq IS NOT NULL THEN s.progress ELSE 0.0 END AS progress_percent,
          s.last_seq IS NOT NULL AS from_snapshot
   FROM jobs j LEFT JOIN snapshot s ON j.job_id = s.job_id)"""
+
+ET_LIST = "[" + ", ".join(f"'{t}'" for t in S.EVENT_TYPES) + "]"
+
+SUBS = f"""
+subs AS (
+  SELECT s_suppkey AS id,
+         CASE s_suppkey % 9 WHEN 0 THEN 'ftp://hooks.example/' || CAST(s_suppkey AS VARCHAR)
+                           WHEN 1 THEN '  https://hooks.example/' || CAST(s_suppkey AS VARCHAR) || ' '
+                           ELSE 'https://hooks.example/s/' || CAST(s_suppkey AS VARCHAR) END AS url,
+         CASE s_suppkey % 6
+           WHEN 0 THEN CAST([] AS VARCHAR[])
+           WHEN 1 THEN [{ET_LIST}[(s_suppkey // 6) % 6 + 1]]
+           WHEN 2 THEN [{ET_LIST}[(s_suppkey // 6) % 6 + 1], {ET_LIST}[((s_suppkey // 6) % 6 + 1) % 6 + 1]]
+           WHEN 3 THEN [{ET_LIST}[(s_suppkey // 6) % 6 + 1], {ET_LIST}[((s_suppkey // 6) % 6 + 2) % 6 + 1],
+                        {ET_LIST}[(s_suppkey // 6) % 6 + 1]]
+           WHEN 4 THEN [{ET_LIST}[(s_suppkey // 6) % 6 + 1], {ET_LIST}[((s_suppkey // 6) % 6 + 3) % 6 + 1]]
+           ELSE [{ET_LIST}[((s_suppkey // 6) % 6 + 4) % 6 + 1]] END AS events,
+         s_suppkey % 4 <> 0 AS enabled,
+         make_timestamp(CAST(({CATALOG_EPOCH} + s_suppkey * 3600) * 1000000 AS BIGINT)) AS created_at
+  FROM supplier),
+vsubs AS (SELECT * FROM subs WHERE (starts_with(url, 'http://') OR starts_with(url, 'https://')) AND len(events) > 0),
+receivers AS (SELECT DISTINCT id AS webhook_id, unnest(events) AS event_type FROM vsubs WHERE enabled)"""
+
+CHANGES = f"""
+changes AS (
+  SELECT e.event_id, e.event_type, e.ts, e.value, e.user_id,
+         c.id AS p_id, c.sku AS p_sku, c.name AS p_name, c.description AS p_description, c.active AS p_active,
+         c.created_at AS p_created_at,
+         'job-' || CAST(e.user_id AS VARCHAR) AS job_id, e.event_id % 1000 AS count, CAST(1000 AS BIGINT) AS total,
+         CASE WHEN e.event_type = 'import.failed' THEN 'RuntimeError: event ' || CAST(e.event_id AS VARCHAR) END
+           AS error_message
+  FROM (SELECT event_id, ts, value, user_id,
+               CASE WHEN event_id % 50 = 0 THEN 'product.bulk_deleted'
+                    WHEN event_type = 'view' THEN 'product.created' WHEN event_type = 'click' THEN 'product.updated'
+                    WHEN event_type = 'purchase' THEN 'product.deleted' WHEN event_type = 'signup' THEN 'import.completed'
+                    ELSE 'import.failed' END AS event_type
+        FROM events) e
+  LEFT JOIN catalog c ON c.id = e.user_id * 2 + 1 AND starts_with(e.event_type, 'product.')
+                      AND e.event_type <> 'product.bulk_deleted')"""
+
+DELIVERIES = """
+pairs AS (SELECT c.event_id, c.event_type, c.ts, c.value, r.webhook_id FROM changes c JOIN receivers r USING (event_type)),
+classified AS (
+  SELECT p.*, CASE WHEN v.id IS NULL OR v.id % 7 = 3 THEN 'missing'
+                   WHEN NOT (v.enabled AND v.id % 5 <> 2) THEN 'disabled' ELSE 'deliver' END AS action
+  FROM pairs p LEFT JOIN vsubs v ON v.id = p.webhook_id),
+dlv AS (
+  SELECT event_id * 100000 + webhook_id AS id, webhook_id, event_type, event_id,
+         CASE WHEN event_id % 11 <> 0 THEN CAST(200 + 100 * (event_id % 4) AS INTEGER) END AS response_code,
+         CASE WHEN event_id % 11 = 0 THEN 'timed out ' || repeat('.', CAST(event_id % 1200 AS INTEGER))
+              ELSE coalesce(d.text, 'ok') END AS raw_body,
+         value / 100.0 AS elapsed_s, ts AS attempted_at,
+         CASE WHEN (event_id + webhook_id) % 13 = 0 THEN event_id % 6 ELSE 0 END AS internal_failures
+  FROM classified LEFT JOIN documents d ON d.doc_id = event_id WHERE action = 'deliver'),
+dlog AS (
+  SELECT id, webhook_id, event_type, event_id,
+         CASE WHEN response_code BETWEEN 200 AND 299 THEN 'success' ELSE 'failed' END AS status,
+         response_code,
+         CASE WHEN response_code IS NULL THEN left(raw_body, 1000)
+              WHEN length(raw_body) > 1000 THEN left(raw_body, 1000) || '... (truncated)' ELSE raw_body END
+           AS response_body,
+         CAST(trunc(elapsed_s * 1000) AS INTEGER) AS response_time_ms, attempted_at,
+         attempted_at + to_milliseconds(CAST(trunc(elapsed_s * 1000) AS INTEGER)) AS completed_at,
+         internal_failures
+  FROM dlv)"""

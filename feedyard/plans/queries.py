@@ -470,3 +470,121 @@ chain AS (
 SELECT job_id, seq, emitted FROM chain""")
 def progress_throttled(spark, sf_dir):
     return PG.throttled(A.throttle_updates(spark, sf_dir))
+
+
+# ---- subscriptions, fan-out, deliveries -------------------------------------------------
+
+from feedyard.operators import events as EV  # noqa: E402
+
+EVENTS_CTES = (O.CATALOG, O.SUBS, O.CHANGES)
+
+
+def _pairs(spark, sf_dir):
+    return EV.fan_out(A.changes(spark, sf_dir), A.valid_subscriptions(spark, sf_dir))
+
+
+def _log(spark, sf_dir):
+    pairs = EV.classify_deliveries(_pairs(spark, sf_dir), A.current_subscriptions(spark, sf_dir))
+    return A.delivery_inputs(spark, sf_dir, pairs.filter(F.col("action") == "deliver"))
+
+
+@register("subscription_check", O.with_(O.SUBS) + f"""
+SELECT id, (starts_with(url, 'http://') OR starts_with(url, 'https://')) AND len(events) > 0 AS valid,
+       concat_ws(',', CASE WHEN NOT (starts_with(url, 'http://') OR starts_with(url, 'https://')) THEN 'url_scheme' END,
+                 CASE WHEN len(events) = 0 THEN 'events_empty' END) AS reasons,
+       CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN {O.strip('url')} END AS url,
+       CAST(len(events) AS INTEGER) AS n_events
+FROM subs""")
+def subscription_check(spark, sf_dir):
+    return EV.check_subscriptions(A.subscriptions(spark, sf_dir))
+
+
+@register("subscription_list", O.with_(O.SUBS) + """
+SELECT id, url, array_to_string(events, ',') AS events, enabled, created_at FROM subs ORDER BY created_at DESC, id DESC""")
+def subscription_list(spark, sf_dir):
+    return EV.newest_subscriptions(A.subscriptions(spark, sf_dir)).select(
+        "id", "url", F.array_join("events", ",").alias("events"), "enabled", "created_at")
+
+
+@register("event_fanout", O.with_(*EVENTS_CTES) + """
+SELECT c.event_id, c.event_type, r.webhook_id FROM changes c JOIN receivers r USING (event_type)""")
+def event_fanout(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("event_id", "event_type", "webhook_id")
+
+
+@register("event_fanout_size", O.with_(*EVENTS_CTES) + """
+SELECT c.event_id, c.event_type, count(r.webhook_id) AS receivers
+FROM changes c LEFT JOIN receivers r USING (event_type) GROUP BY c.event_id, c.event_type""")
+def event_fanout_size(spark, sf_dir):
+    return EV.fan_out_size(A.changes(spark, sf_dir), A.valid_subscriptions(spark, sf_dir))
+
+
+@register("change_feed", O.with_(*EVENTS_CTES) + """
+SELECT event_id, event_type,
+       CASE WHEN event_type IN ('product.created', 'product.updated', 'product.deleted') THEN p_id END AS j_id,
+       CASE WHEN event_type IN ('product.created', 'product.updated', 'product.deleted') THEN p_sku END AS j_sku,
+       CASE WHEN event_type IN ('product.created', 'product.updated', 'product.deleted')
+            THEN strftime(p_created_at, '%Y-%m-%dT%H:%M:%S') END AS j_created_at,
+       CASE WHEN NOT starts_with(event_type, 'product.') OR event_type = 'product.bulk_deleted' THEN job_id END AS j_job_id,
+       CASE WHEN event_type = 'import.failed' THEN 'failed'
+            WHEN NOT starts_with(event_type, 'product.') OR event_type = 'product.bulk_deleted' THEN 'done' END AS j_status,
+       CASE WHEN NOT starts_with(event_type, 'product.') OR event_type = 'product.bulk_deleted' THEN count END AS j_count,
+       CASE WHEN event_type IN ('product.bulk_deleted', 'import.completed') THEN total END AS j_total,
+       error_message AS j_error
+FROM changes""")
+def change_feed(spark, sf_dir):
+    c = EV.payload_json(A.changes(spark, sf_dir))
+    g = lambda path: F.get_json_object("payload", path)
+    return c.select(
+        "event_id", "event_type", g("$.id").cast("long").alias("j_id"), g("$.sku").alias("j_sku"),
+        g("$.created_at").alias("j_created_at"), g("$.job_id").alias("j_job_id"), g("$.status").alias("j_status"),
+        F.coalesce(g("$.deleted_count"), g("$.processed_rows")).cast("long").alias("j_count"),
+        F.coalesce(g("$.total_products"), g("$.total_rows")).cast("long").alias("j_total"),
+        g("$.error_message").alias("j_error"))
+
+
+@register("delivery_classify", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT event_id, webhook_id, action FROM classified""")
+def delivery_classify(spark, sf_dir):
+    pairs = EV.classify_deliveries(_pairs(spark, sf_dir), A.current_subscriptions(spark, sf_dir))
+    return pairs.select("event_id", "webhook_id", "action")
+
+
+@register("delivery_log", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT id, webhook_id, event_type, event_id, status, response_code, response_body, response_time_ms,
+       attempted_at, completed_at FROM dlog""")
+def delivery_log(spark, sf_dir):
+    return EV.delivery_log(_log(spark, sf_dir)).drop("internal_failures")
+
+
+@register("delivery_history", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT * FROM (
+  SELECT id, webhook_id, event_type, status, response_code, response_time_ms, attempted_at, completed_at,
+         row_number() OVER (PARTITION BY webhook_id ORDER BY attempted_at DESC, id DESC) AS rank
+  FROM dlog) WHERE rank <= 50""")
+def delivery_history(spark, sf_dir):
+    return EV.history(EV.delivery_log(_log(spark, sf_dir)))
+
+
+@register("delivery_totals", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT webhook_id, count(*) AS total FROM dlog GROUP BY webhook_id""")
+def delivery_totals(spark, sf_dir):
+    return EV.totals(EV.delivery_log(_log(spark, sf_dir)))
+
+
+@register("subscription_delete_cascade", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT id, webhook_id FROM dlog WHERE webhook_id NOT IN (SELECT id FROM vsubs WHERE id % 7 = 5)""")
+def subscription_delete_cascade(spark, sf_dir):
+    log = EV.delivery_log(_log(spark, sf_dir))
+    return EV.cascade_delete(log, A.deleted_subscriptions(spark, sf_dir)).select("id", "webhook_id")
+
+
+@register("attempt_ledger", O.with_(*EVENTS_CTES, O.DELIVERIES) + """,
+t AS (SELECT event_id, webhook_id, status, internal_failures >= 4 AS exhausted,
+             least(internal_failures + 1, 4) AS tries FROM dlog)
+SELECT event_id, webhook_id, CAST(a AS INTEGER) AS attempt,
+       CASE WHEN a = tries AND NOT exhausted THEN status ELSE 'pending' END AS status,
+       a = tries AS is_last, exhausted
+FROM t, LATERAL (SELECT unnest(range(1, tries + 1)) AS a)""")
+def attempt_ledger(spark, sf_dir):
+    return EV.attempt_ledger(EV.delivery_log(_log(spark, sf_dir)))
