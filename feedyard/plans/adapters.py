@@ -355,3 +355,17 @@ def delivery_inputs(spark, sf_dir, pairs: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("doc", F.lit("ok"))).alias("raw_body"),
         (F.col("value") / 100.0).alias("elapsed_s"), F.col("ts").alias("attempted_at"),
         F.when((eid + F.col("webhook_id")) % 13 == 0, eid % 6).otherwise(F.lit(0)).alias("internal_failures"))
+
+
+def progress_hash(spark, sf_dir) -> DataFrame:
+    """Stored progress fields as text: half JSON-encoded, half written with str()."""
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    st = _progress_status()
+    return e.select(
+        eid.alias("event_id"),
+        F.when(eid % 2 == 0, F.concat(F.lit('"'), st, F.lit('"'))).otherwise(st).alias("status_raw"),
+        (eid % 1000).cast("string").alias("rows_raw"),
+        F.when(eid % 3 == 0, F.lit('"2024-01-01T00:00:00+00:00"'))
+        .otherwise(F.concat(eid.cast("string"), F.lit(".5"))).alias("updated_raw"),
+        F.col("props"))

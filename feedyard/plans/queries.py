@@ -588,3 +588,61 @@ SELECT event_id, webhook_id, CAST(a AS INTEGER) AS attempt,
 FROM t, LATERAL (SELECT unnest(range(1, tries + 1)) AS a)""")
 def attempt_ledger(spark, sf_dir):
     return EV.attempt_ledger(EV.delivery_log(_log(spark, sf_dir)))
+
+
+# ---- codec, flagship, pre-flight -------------------------------------------------------
+
+from feedyard.functions import codec as CD  # noqa: E402
+from feedyard.functions.text import size_mb  # noqa: E402
+
+
+@register("json_values", """
+WITH h AS (
+  SELECT event_id,
+         CASE WHEN event_id % 2 = 0 THEN '"' || s || '"' ELSE s END AS status_raw,
+         CAST(event_id % 1000 AS VARCHAR) AS rows_raw,
+         CASE WHEN event_id % 3 = 0 THEN '"2024-01-01T00:00:00+00:00"' ELSE CAST(event_id AS VARCHAR) || '.5' END
+           AS updated_raw, props
+  FROM (SELECT *, CASE event_type WHEN 'click' THEN 'importing' WHEN 'view' THEN 'parsing'
+                  WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS s
+        FROM events))
+SELECT event_id,
+       CASE WHEN json_valid(status_raw) THEN json_extract_string(status_raw, '$') ELSE status_raw END AS status,
+       json_valid(status_raw) AS status_was_json,
+       CAST(json_extract(rows_raw, '$') AS BIGINT) AS processed_rows,
+       CASE WHEN json_valid(updated_raw) THEN json_extract_string(updated_raw, '$') ELSE updated_raw END AS updated_at,
+       CAST(json_extract(props, '$.k') AS BIGINT) AS props_k
+FROM h""")
+def json_values(spark, sf_dir):
+    h = A.progress_hash(spark, sf_dir)
+    return h.select("event_id", CD.decode_text("status_raw").alias("status"),
+                    CD.is_json("status_raw").alias("status_was_json"),
+                    CD.decode_long("rows_raw").alias("processed_rows"),
+                    CD.decode_text("updated_raw").alias("updated_at"),
+                    CD.get_long("props", "$.k").alias("props_k"))
+
+
+FLAGSHIP_FILTER = C.ProductFilter(name="widget", active=True)
+
+
+@register("flagship_import_page", O.with_(O.FEED_RAW, O.CATALOG, O.KEEP_LAST, O.PER_KEY, O.UPSERT) + f"""
+SELECT {CAT_COLS} FROM upserted WHERE name ILIKE '%widget%' ESCAPE '\\' AND active = TRUE
+ORDER BY created_at DESC, id DESC LIMIT 20""")
+def flagship_import_page(spark, sf_dir):
+    feed = adapter_feed(spark, sf_dir)
+    table = merge.upsert(A.catalog(spark, sf_dir), feed.acc, A.run_ts())
+    return C.page(table, FLAGSHIP_FILTER, 1, 20).select(*CAT_COLS.split(", "))
+
+
+@register("feed_preflight")
+def feed_preflight(spark, sf_dir):
+    """Per-file gates and facts (file sizes are not known to the oracle)."""
+    feed = adapter_feed(spark, sf_dir)
+    gates = V.file_gates(feed.facts)
+    counts = feed.rows.groupBy("file_rank").agg(F.count("*").alias("total_rows"))
+    return (feed.facts.join(gates.drop("path"), "file_rank").join(counts, "file_rank", "left")
+            .select("file_rank", F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("extension"),
+                    "length", size_mb("length").alias("size_mb"), "multiline", "bad_utf8",
+                    F.array_join("names", ",").alias("header"), "gate_error", "warning",
+                    F.coalesce("total_rows", F.lit(0)).alias("total_rows")))
+
