@@ -235,8 +235,11 @@ def _progress_status() -> Column:
 
 
 def progress_events(spark, sf_dir) -> DataFrame:
+    return progress_events_of(table(spark, sf_dir, "events"))
+
+
+def progress_events_of(e: DataFrame) -> DataFrame:
     from feedyard.functions.text import percent
-    e = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     processed = F.when(eid % 4 != 0, eid % 1000).cast("long")
     return e.select(
@@ -250,7 +253,10 @@ def progress_events(spark, sf_dir) -> DataFrame:
 
 
 def throttle_updates(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return throttle_updates_of(table(spark, sf_dir, "events"))
+
+
+def throttle_updates_of(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"),
                     (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
                     F.col("event_type").isin("purchase", "error").alias("forced"))
@@ -318,7 +324,10 @@ def deleted_subscriptions(spark, sf_dir) -> DataFrame:
 
 
 def changes(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return changes_of(table(spark, sf_dir, "events"), catalog(spark, sf_dir))
+
+
+def changes_of(e: DataFrame, catalog_df: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     et = (F.when(eid % 50 == 0, "product.bulk_deleted")
           .when(F.col("event_type") == "view", "product.created")
@@ -326,7 +335,7 @@ def changes(spark, sf_dir) -> DataFrame:
           .when(F.col("event_type") == "purchase", "product.deleted")
           .when(F.col("event_type") == "signup", "import.completed")
           .otherwise("import.failed"))
-    cat = catalog(spark, sf_dir).select(
+    cat = catalog_df.select(
         F.col("id").alias("p_id"), F.col("sku").alias("p_sku"), F.col("name").alias("p_name"),
         F.col("description").alias("p_description"), F.col("active").alias("p_active"),
         F.col("created_at").alias("p_created_at"), F.col("updated_at").alias("p_updated_at"))

@@ -646,3 +646,45 @@ def feed_preflight(spark, sf_dir):
                     F.array_join("names", ",").alias("header"), "gate_error", "warning",
                     F.coalesce("total_rows", F.lit(0)).alias("total_rows")))
 
+
+
+# ---- streaming forms (same answers as the batch queries) -------------------------------------
+
+from feedyard.operators import events as _EV  # noqa: E402
+from feedyard.session import fresh_scratch_path  # noqa: E402
+from feedyard.sources.store import CatalogStore  # noqa: E402
+from feedyard.streaming import streams as ST  # noqa: E402
+
+
+@register("stream_import", ORACLE["csv_import_e2e"])
+def stream_import(spark, sf_dir):
+    store = CatalogStore(spark, fresh_scratch_path(spark, "catalog"))
+    store.publish(A.catalog(spark, sf_dir), 0)
+    ST.import_stream(spark, A.feed_dir(spark, sf_dir), store, A.run_ts(), batch_size=A.FEED_BATCH)
+    return store.read()
+
+
+@register("stream_snapshot", ORACLE["progress_snapshot"])
+def stream_snapshot(spark, sf_dir):
+    ev = A.progress_events_of(ST.table_stream(spark, sf_dir, "events"))
+    snap = PG.snapshot(ev, A.ASOF)
+    out = fresh_scratch_path(spark, "snap")
+    ST.to_parquet(snap, out, mode="complete")
+    return ST.latest_complete(out, spark)
+
+
+@register("stream_fanout", ORACLE["event_fanout"])
+def stream_fanout(spark, sf_dir):
+    changes = A.changes_of(ST.table_stream(spark, sf_dir, "events"), A.catalog(spark, sf_dir))
+    pairs = _EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir)).select("event_id", "event_type", "webhook_id")
+    out = fresh_scratch_path(spark, "fanout")
+    ST.to_parquet(pairs, out)
+    return spark.read.parquet(out).drop("batch")
+
+
+@register("stream_throttled", ORACLE["progress_throttled"])
+def stream_throttled(spark, sf_dir):
+    upd = A.throttle_updates_of(ST.table_stream(spark, sf_dir, "events"))
+    out = fresh_scratch_path(spark, "throttle")
+    ST.to_parquet(ST.throttle_stream(upd), out)
+    return spark.read.parquet(out).drop("batch")

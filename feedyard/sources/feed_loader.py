@@ -19,7 +19,7 @@ class Feed:
     acc: DataFrame     # accepted rows + acc_ord and batch
 
 
-def load_feed(spark: SparkSession, path: str, batch_size: int = S.IMPORT_BATCH_SIZE) -> Feed:
+def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IMPORT_BATCH_SIZE) -> Feed:
     scratch_root(spark)  # make sure checkpoints have a shared home
     facts = FD.file_facts(spark, path).checkpoint(eager=True)
     scanned = FD.scan_feed(spark, facts)
