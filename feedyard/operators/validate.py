@@ -110,3 +110,13 @@ def verdict(facts: DataFrame, rows: DataFrame, sample_size: int = S.SAMPLE_SIZE)
         F.when(failed, F.lit(0)).otherwise(F.coalesce(F.col("stop_ord"), F.least(total, F.lit(sample_size))))
         .cast("long").alias("sample_size"),
     )
+
+
+def missing_file_errors(missing: DataFrame) -> DataFrame:
+    """S2 for requested paths that do not exist: the extension rule is checked first."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    return missing.select(
+        "path",
+        F.when(ext != ".csv", F.concat(F.lit("Invalid file extension: "), ext, F.lit(". Expected .csv")))
+        .otherwise(F.concat(F.lit("File not found: "), F.col("path"))).alias("message"),
+        F.lit(False).alias("is_valid"))

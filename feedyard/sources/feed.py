@@ -36,10 +36,30 @@ _QUOTED = r'"(?:[^"]|"")*"'
 SMALL_TABLE_ROWS = 200_000
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """File listing (path, length, modificationTime); file contents are not read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select(F.col("path"), F.col("length"), F.col("modificationTime").alias("modified_at")))
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """File listing (path, length, modified_at) through the Hadoop FileSystem API.
+
+    Names and sizes only, like Spark's own file index; a scan cannot be used because
+    Spark's scans drop zero-length files, which must be reported as empty feeds.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in ([path] if isinstance(path, str) else path):
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if not fs.exists(hp):
+            continue
+        it = fs.listFiles(hp, True)
+        while it.hasNext():
+            st = it.next()
+            name = st.getPath().getName()
+            rel = st.getPath().toString()[len(fs.makeQualified(hp).toString()):]
+            if name.startswith(("_", ".")) or "/_" in rel or "/." in rel:
+                continue
+            out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return (spark.createDataFrame(out, "path string, length long, mtime long")
+            .select("path", "length", F.timestamp_millis("mtime").alias("modified_at")))
 
 
 def header_names(header_line: Column) -> Column:
@@ -59,7 +79,7 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     per_file = lines.groupBy("path").agg(
         F.min_by("value", F.when(F.col("bs") == 0, F.col("m"))).alias("header_line"),
         F.max((quotes % 2) == 1).alias("multiline"),
-        F.max(F.col("value").contains("�")).alias("bad_utf8"),
+        F.max(~F.is_valid_utf8("value")).alias("bad_utf8"),  # text lines keep raw bytes
         F.count("*").alias("n_lines"),
     )
     files = list_files(spark, path)
@@ -133,6 +153,21 @@ def scan_group(spark: SparkSession, g: HeaderGroup) -> DataFrame:
     return df.select(*cols)
 
 
+SCAN_SCHEMA = T.StructType(
+    [T.StructField("path", T.StringType()), T.StructField("bs", T.LongType()),
+     T.StructField("m1", T.LongType()), T.StructField("n_fields", T.IntegerType())]
+    + [f for name in S.ALLOWED_HEADERS for f in (T.StructField(f"{name}_v", T.StringType()),
+                                                 T.StructField(f"{name}_present", T.BooleanType()),
+                                                 T.StructField(f"{name}_in_header", T.BooleanType()))])
+
+
+def missing_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Requested paths that do not exist (checked on the driver: names only)."""
+    from feedyard.session import path_exists
+    gone = [p for p in paths if not path_exists(spark, p)]
+    return spark.createDataFrame([(p,) for p in gone], "path string")
+
+
 def scan_feed(spark: SparkSession, facts: DataFrame) -> DataFrame | None:
     groups = header_groups(facts)
     if not groups:

@@ -23,8 +23,8 @@ def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IM
     scratch_root(spark)  # make sure checkpoints have a shared home
     facts = FD.file_facts(spark, path).checkpoint(eager=True)
     scanned = FD.scan_feed(spark, facts)
-    if scanned is None:
-        raise ValueError(f"no readable feed file under {path}")
+    if scanned is None:  # no file passed the header gate: an empty, typed frame
+        scanned = spark.createDataFrame([], FD.SCAN_SCHEMA)
     # Stage the parsed, classified rows once: the ids taken at the scan stay valid
     # for the later ordinal joins, and an executor loss re-reads the stage, not the CSV.
     staged = clean.classify(scanned).checkpoint(eager=True)
