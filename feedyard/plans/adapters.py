@@ -351,30 +351,21 @@ def changes_of(e: DataFrame, catalog_df: DataFrame) -> DataFrame:
                             F.concat(F.lit("RuntimeError: event "), eid.cast("string"))).alias("error_message"))
 
 
-def delivery_inputs(spark, sf_dir, pairs: DataFrame) -> DataFrame:
-    """Outcome facts of each performed delivery (the HTTP call is not made here)."""
+def with_response_bodies(spark, sf_dir, changes_df: DataFrame) -> DataFrame:
+    """Attach the receiver's (simulated) response body per event, before the fan-out:
+    the documents join then shuffles events, not event x subscription pairs."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("doc"))
+    return changes_df.join(docs, "event_id", "left")
+
+
+def delivery_inputs(pairs: DataFrame) -> DataFrame:
+    """Outcome facts of each performed delivery (the HTTP call is not made here)."""
     eid = F.col("event_id")
     code = F.when(eid % 11 != 0, 200 + 100 * (eid % 4)).cast("int")
-    p = pairs.join(docs, "event_id", "left")
-    return p.select(
+    return pairs.select(
         (eid * 100000 + F.col("webhook_id")).alias("id"), "webhook_id", "event_type", "event_id",
         code.alias("response_code"),
         F.when(code.isNull(), F.concat(F.lit("timed out "), F.repeat(F.lit("."), (eid % 1200).cast("int"))))
         .otherwise(F.coalesce("doc", F.lit("ok"))).alias("raw_body"),
         (F.col("value") / 100.0).alias("elapsed_s"), F.col("ts").alias("attempted_at"),
         F.when((eid + F.col("webhook_id")) % 13 == 0, eid % 6).otherwise(F.lit(0)).alias("internal_failures"))
-
-
-def progress_hash(spark, sf_dir) -> DataFrame:
-    """Stored progress fields as text: half JSON-encoded, half written with str()."""
-    e = table(spark, sf_dir, "events")
-    eid = F.col("event_id")
-    st = _progress_status()
-    return e.select(
-        eid.alias("event_id"),
-        F.when(eid % 2 == 0, F.concat(F.lit('"'), st, F.lit('"'))).otherwise(st).alias("status_raw"),
-        (eid % 1000).cast("string").alias("rows_raw"),
-        F.when(eid % 3 == 0, F.lit('"2024-01-01T00:00:00+00:00"'))
-        .otherwise(F.concat(eid.cast("string"), F.lit(".5"))).alias("updated_raw"),
-        F.col("props"))

@@ -484,8 +484,10 @@ def _pairs(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    pairs = EV.classify_deliveries(_pairs(spark, sf_dir), A.current_subscriptions(spark, sf_dir))
-    return A.delivery_inputs(spark, sf_dir, pairs.filter(F.col("action") == "deliver"))
+    changes = A.with_response_bodies(spark, sf_dir, A.changes(spark, sf_dir))
+    pairs = EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir))
+    pairs = EV.classify_deliveries(pairs, A.current_subscriptions(spark, sf_dir))
+    return A.delivery_inputs(pairs.filter(F.col("action") == "deliver"))
 
 
 @register("subscription_check", O.with_(O.SUBS) + f"""
