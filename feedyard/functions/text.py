@@ -77,7 +77,7 @@ def like_escape(text: str) -> str:
 
     ``%`` and ``_`` keep acting as wildcards (as in the reproduced service);
     ``\\%``, ``\\_`` and ``\\\\`` stay escapes; ``\\x`` becomes ``x``; a trailing
-    backslash is dropped because it would escape the closing ``%``.
+    backslash is kept and escapes the closing ``%`` (a literal percent sign).
     """
     out, i = [], 0
     while i < len(text):
