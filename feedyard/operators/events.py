@@ -134,3 +134,36 @@ def payload_json(changes: DataFrame) -> DataFrame:
             .when(et == "product.bulk_deleted", bulk).when(et == "import.completed", done)
             .when(et == "import.failed", failed))
     return changes.withColumn("payload", body)
+
+
+def change_events(created: DataFrame | None = None, patched: DataFrame | None = None,
+                  deleted: DataFrame | None = None, bulk: DataFrame | None = None,
+                  imports: DataFrame | None = None) -> DataFrame:
+    """The change feed produced by edits and job ends.
+
+    created / patched / deleted: edit reports (req_id/id, outcome); bulk: bulk-delete
+    progress records; imports: job outcomes.  One event per successful create, real
+    patch ("unchanged" emits nothing either), delete, finished bulk delete and
+    finished import; CSV upserts emit no per-product event, a failed bulk delete and
+    a missing import file emit none.
+    """
+    parts = []
+    if created is not None:
+        parts.append(created.filter(F.col("outcome") == "created")
+                     .select(F.lit("product.created").alias("event_type"), F.col("id").cast("string").alias("subject")))
+    if patched is not None:
+        parts.append(patched.filter(F.col("outcome") == "patched")
+                     .select(F.lit("product.updated").alias("event_type"), F.col("id").cast("string").alias("subject")))
+    if deleted is not None:
+        parts.append(deleted.filter(F.col("outcome") == "deleted")
+                     .select(F.lit("product.deleted").alias("event_type"), F.col("id").cast("string").alias("subject")))
+    if bulk is not None:
+        parts.append(bulk.filter(F.col("status") == "done")
+                     .select(F.lit("product.bulk_deleted").alias("event_type"), F.col("job_id").alias("subject")))
+    if imports is not None:
+        parts.append(imports.filter(F.col("event_type").isNotNull())
+                     .select("event_type", F.col("job_id").alias("subject")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -80,3 +80,23 @@ def outcome(attempts: DataFrame, missing: DataFrame, max_retries: int = S.MAX_RE
         F.when(F.col("gone"), F.lit(None).cast("string")).when(done, F.lit("import.completed"))
         .when(F.col("last_try") >= max_retries, F.lit("import.failed")).alias("event_type"),
     )
+
+
+# progress statuses of the bulk delete that are stored as import statuses
+STORED_STATUS = {"preparing": "parsing", "deleting": "importing"}
+
+
+def stored_status(c):
+    out = F.col(c) if isinstance(c, str) else c
+    expr = out
+    for k, v in STORED_STATUS.items():
+        expr = F.when(out == k, F.lit(v)).otherwise(expr)
+    return expr
+
+
+def check_jobs(jobs: DataFrame) -> DataFrame:
+    """P16 + enum rules: stripped file name not empty, counts >= 0, known status and type."""
+    valid = ((F.length(X.py_strip("filename")) > 0) & (F.col("total_rows") >= 0)
+             & (F.col("processed_rows") >= 0) & F.col("status").isin(*S.JOB_STATUSES)
+             & F.col("job_type").isin(*S.JOB_TYPES))
+    return jobs.select("job_id", valid.alias("valid"), stored_status("status").alias("stored_status"))

@@ -690,3 +690,32 @@ def stream_throttled(spark, sf_dir):
     out = fresh_scratch_path(spark, "throttle")
     ST.to_parquet(ST.throttle_stream(upd), out)
     return spark.read.parquet(out).drop("batch")
+
+
+@register("edit_change_events", f"""
+SELECT 'product.created' AS event_type, CAST(id AS VARCHAR) AS subject
+FROM ({ORACLE['catalog_create']}) WHERE outcome = 'created'
+UNION ALL
+SELECT 'product.updated', CAST(id AS VARCHAR) FROM ({ORACLE['catalog_patch']}) WHERE outcome = 'patched'
+UNION ALL
+SELECT 'product.deleted', CAST(id AS VARCHAR) FROM ({ORACLE['catalog_delete']}) WHERE outcome = 'deleted'
+UNION ALL
+SELECT DISTINCT 'product.bulk_deleted', job_id FROM ({ORACLE['bulk_delete_progress']}) WHERE status = 'done'
+UNION ALL
+SELECT event_type, job_id FROM ({ORACLE['job_outcome']}) WHERE event_type IS NOT NULL""")
+def edit_change_events(spark, sf_dir):
+    return EV.change_events(created=catalog_create(spark, sf_dir), patched=catalog_patch(spark, sf_dir),
+                            deleted=catalog_delete(spark, sf_dir), bulk=bulk_delete_progress(spark, sf_dir),
+                            imports=job_outcome(spark, sf_dir))
+
+
+from feedyard.schemas import JOB_STATUSES as S_JOB_STATUSES, JOB_TYPES as S_JOB_TYPES  # noqa: E402
+
+
+@register("job_checks", O.with_(O.JOBS) + f"""
+SELECT job_id, length({O.strip('filename')}) > 0 AND total_rows >= 0 AND processed_rows >= 0
+         AND status IN {S_JOB_STATUSES} AND job_type IN {S_JOB_TYPES} AS valid,
+       CASE status WHEN 'preparing' THEN 'parsing' WHEN 'deleting' THEN 'importing' ELSE status END AS stored_status
+FROM jobs""")
+def job_checks(spark, sf_dir):
+    return J.check_jobs(A.jobs(spark, sf_dir))
