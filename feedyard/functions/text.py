@@ -12,8 +12,12 @@ def _c(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: removes every Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), S.STRIP_PATTERN, "")
+    """Python ``str.strip()``: removes every Unicode whitespace at both ends.
+
+    ``btrim`` with the explicit character set (no regex); Spark's plain ``trim``
+    removes only spaces.
+    """
+    return F.btrim(_c(c), F.lit(S.WS_CHARS))
 
 
 def sku_key(c) -> Column:

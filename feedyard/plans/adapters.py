@@ -369,3 +369,35 @@ def delivery_inputs(pairs: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("doc", F.lit("ok"))).alias("raw_body"),
         (F.col("value") / 100.0).alias("elapsed_s"), F.col("ts").alias("attempted_at"),
         F.when((eid + F.col("webhook_id")) % 13 == 0, eid % 6).otherwise(F.lit(0)).alias("internal_failures"))
+
+
+def lineitem_as_part(spark, sf_dir) -> DataFrame:
+    """A larger feed source (one feed row per lineitem row) for throughput runs."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("p_partkey"),
+                     F.concat_ws(" ", F.col("l_returnflag"), F.col("l_linestatus"),
+                                 F.col("l_partkey").cast("string")).alias("p_name"),
+                     F.concat(F.lit("TYPE "), F.col("l_suppkey").cast("string")).alias("p_type"),
+                     F.col("l_linenumber").alias("p_size"))
+
+
+def large_feed_dir(spark: SparkSession, sf_dir: str) -> str:
+    tag = hashlib.md5(("lineitem:" + sf_dir).encode()).hexdigest()[:12]
+    out = scratch_path(spark, "feeds-large", tag)
+    if not path_exists(spark, out + "/_SUCCESS"):
+        write_lines(feed_lines(lineitem_as_part(spark, sf_dir)), out)
+    return out
+
+
+def progress_hash(spark, sf_dir) -> DataFrame:
+    """Stored progress fields as text: half JSON-encoded, half written with str()."""
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    st = _progress_status()
+    return e.select(
+        eid.alias("event_id"),
+        F.when(eid % 2 == 0, F.concat(F.lit('"'), st, F.lit('"'))).otherwise(st).alias("status_raw"),
+        (eid % 1000).cast("string").alias("rows_raw"),
+        F.when(eid % 3 == 0, F.lit('"2024-01-01T00:00:00+00:00"'))
+        .otherwise(F.concat(eid.cast("string"), F.lit(".5"))).alias("updated_raw"),
+        F.col("props"))

@@ -57,7 +57,11 @@ MSG_STOPPED = "Validation stopped after 10 errors. Please fix these issues and r
 MSG_WARNING_PREFIX = "Warning:"
 KEY_NAMESPACE = "import_progress"
 
-# Python str.strip() whitespace, as one regex class usable by Java and RE2.
+# Python str.strip() whitespace: every code point with str.isspace(), 29 in all.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
+# The same set as one regex class usable by Java and RE2 (used by the SQL oracle).
 WS_CLASS = (
     r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
