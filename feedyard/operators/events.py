@@ -109,7 +109,7 @@ def attempt_ledger(pairs: DataFrame, max_retries: int = S.MAX_RETRIES) -> DataFr
         "event_id", "webhook_id", "exhausted",
         F.explode(F.sequence(F.lit(1), F.col("tries"))).alias("attempt"), "tries", "status",
     ).select(
-        "event_id", "webhook_id", "attempt",
+        "event_id", "webhook_id", F.col("attempt").cast("int").alias("attempt"),
         F.when((F.col("attempt") == F.col("tries")) & ~F.col("exhausted"), F.col("status"))
         .otherwise(F.lit("pending")).alias("status"),
         (F.col("attempt") == F.col("tries")).alias("is_last"), "exhausted",

@@ -562,7 +562,7 @@ def delivery_log(spark, sf_dir):
 @register("delivery_history", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
 SELECT * FROM (
   SELECT id, webhook_id, event_type, status, response_code, response_time_ms, attempted_at, completed_at,
-         row_number() OVER (PARTITION BY webhook_id ORDER BY attempted_at DESC, id DESC) AS rank
+         CAST(row_number() OVER (PARTITION BY webhook_id ORDER BY attempted_at DESC, id DESC) AS INTEGER) AS rank
   FROM dlog) WHERE rank <= 50""")
 def delivery_history(spark, sf_dir):
     return EV.history(EV.delivery_log(_log(spark, sf_dir)))
