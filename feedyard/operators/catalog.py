@@ -42,11 +42,26 @@ def check_page(page: int, page_size: int, max_size: int = S.PAGE_SIZE_MAX) -> No
         raise ValueError(f"page must be >= 1 and 1 <= page_size <= {max_size}")
 
 
+DEEP_PAGE_ROWS = 10_000
+
+
 def page(table: DataFrame, f: ProductFilter, page_no: int = 1,
          page_size: int = S.PAGE_SIZE_DEFAULT) -> DataFrame:
-    """O2: one page (top-k with offset; filters are pushed to the scan)."""
+    """O2: one page, newest first; filters are pushed to the scan.
+
+    Shallow pages plan as a top-k (each task keeps offset + size rows).  Deep pages
+    rank the filtered rows with a range-partitioned sort and per-partition offsets
+    instead, so no task holds offset + size rows.
+    """
     check_page(page_no, page_size)
-    return newest_first(apply_filter(table, f)).offset((page_no - 1) * page_size).limit(page_size)
+    offset = (page_no - 1) * page_size
+    rows = apply_filter(table, f)
+    if offset + page_size <= DEEP_PAGE_ROWS:
+        return newest_first(rows).offset(offset).limit(page_size)
+    from feedyard.operators.ordering import global_rank
+    ranked = global_rank(rows, [F.col("created_at").desc(), F.col("id").desc()], "_pos")
+    return (ranked.filter((F.col("_pos") > offset) & (F.col("_pos") <= offset + page_size))
+            .orderBy("_pos").drop("_pos"))
 
 
 def page_facts(table: DataFrame, f: ProductFilter, page_no: int = 1,

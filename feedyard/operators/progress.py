@@ -149,26 +149,42 @@ def normalise(messages: DataFrame) -> DataFrame:
     )
 
 
-def _throttle_group(pdf: pd.DataFrame, interval: float) -> pd.DataFrame:
+def _throttle_segment(pdf: pd.DataFrame, interval: float) -> pd.DataFrame:
+    """One chain segment: it starts at a reset, so `last` starts at its first time."""
     pdf = pdf.sort_values("seq")
-    last = pdf["t"].iloc[0]  # the tracker's clock starts with the job's first record
-    keep = []
-    for t, forced in zip(pdf["t"].to_numpy(), pdf["forced"].to_numpy()):
-        ok = bool(forced) or (t - last) >= interval
+    t = pdf["t"].to_numpy()
+    forced = pdf["forced"].to_numpy()
+    keep = [bool(forced[0]) or not bool(pdf["starts_job"].iloc[0])]
+    last = t[0]
+    for i in range(1, len(pdf)):
+        ok = bool(forced[i]) or (t[i] - last) >= interval
         keep.append(ok)
         if ok:
-            last = t
-    out = pdf.assign(emitted=keep)
-    return out[["job_id", "seq", "emitted"]]
+            last = t[i]
+    return pd.DataFrame({"job_id": pdf["job_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "emitted": keep})
 
 
 def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S) -> DataFrame:
     """Which updates are published (forced, or >= interval since the last one).
 
-    The decision chain is sequential per job, so it runs per job in pandas on
-    (job_id, seq, t, forced) only; t is epoch seconds.
+    The decision is a chain, but it restarts at every forced update and after every
+    gap of at least `interval` (that update is always published, whatever came
+    before).  Segments between restarts are found with window functions and each is
+    decided in pandas, so no pandas group is a whole job.  The tracker's clock starts
+    at the job's first update, so an unforced first update is dropped.
     """
-    return (updates.select("job_id", "seq", "t", "forced")
-            .groupBy("job_id")
-            .applyInPandas(lambda pdf: _throttle_group(pdf, interval),
-                           schema="job_id string, seq long, emitted boolean"))
+    w = Window.partitionBy("job_id").orderBy("seq")
+    u = updates.select("job_id", "seq", "t", "forced")
+    prev = F.lag("t").over(w)
+    u = u.withColumn("starts_job", prev.isNull()).withColumn(
+        "reset", F.col("forced") | prev.isNull() | ((F.col("t") - prev) >= interval))
+    u = u.withColumn("segment", F.sum(F.col("reset").cast("long")).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    # a segment of one update needs no chain: published iff forced or not the first
+    chained = u.filter(~F.col("reset")).select("job_id", "segment").distinct()
+    single = (u.join(chained, ["job_id", "segment"], "left_anti")
+              .select("job_id", "seq", (F.col("forced") | ~F.col("starts_job")).alias("emitted")))
+    multi = (u.join(chained, ["job_id", "segment"], "left_semi").groupBy("job_id", "segment")
+             .applyInPandas(lambda pdf: _throttle_segment(pdf, interval),
+                            schema="job_id string, seq long, emitted boolean"))
+    return single.unionByName(multi)

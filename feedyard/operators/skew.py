@@ -4,18 +4,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT_BUCKETS = 16
+SALT_BUCKETS = 32
+HOT_KEY_ROWS = 1_000_000   # a key with more rows than this on the big side is split
+
+
+def hot_keys(big: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """Keys holding more than `threshold` rows (counted with map-side combine).
+
+    At most rows / threshold keys can qualify, so the result has a proven bound and
+    is broadcast.
+    """
+    return (big.groupBy(*keys).count().filter(F.col("count") > threshold)
+            .select(*keys, F.lit(True).alias("_hot")))
 
 
 def salted_join(big: DataFrame, small_per_key: DataFrame, keys: list[str], how: str = "inner",
-                buckets: int = SALT_BUCKETS, salt_of: str | None = None) -> DataFrame:
+                buckets: int = SALT_BUCKETS, salt_of: str | None = None,
+                threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """Join many rows per key (`big`) to one row per key (`small_per_key`).
 
-    Rows of `big` get a salt (hash of `salt_of`, or of all their columns) and the
-    one-row-per-key side is repeated once per salt value, so a hot key is spread
-    over `buckets` tasks instead of one.  `how` is inner or left.
+    Only hot keys are salted: their rows on the big side are spread over `buckets`
+    salt values (hash of `salt_of`, or of all columns) and their single row on the
+    small side is repeated once per salt value.  Other keys keep salt 0, so the
+    small side grows only by (hot keys x buckets) rows.  `how` is inner or left.
     """
+    hot = F.broadcast(hot_keys(big, keys, threshold))
     src = F.col(salt_of) if salt_of else F.struct(*[F.col(c) for c in big.columns])
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(src), F.lit(buckets)).cast("int"))
-    s = small_per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    b = (big.join(hot, keys, "left")
+         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(src), F.lit(buckets)))
+                     .otherwise(F.lit(0)).cast("int"))
+         .drop("_hot"))
+    s = (small_per_key.join(hot, keys, "left")
+         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
+                                        .otherwise(F.array(F.lit(0)))))
+         .drop("_hot"))
     return b.join(s, keys + ["_salt"], how).drop("_salt")

@@ -33,7 +33,7 @@ READ_OPTIONS = {
 }
 _QUOTED = r'"(?:[^"]|"")*"'
 # Above this many rows a lookup table is joined by shuffle, not broadcast.
-SMALL_TABLE_ROWS = 200_000
+SMALL_TABLE_ROWS = 2_000_000
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -186,17 +186,20 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
 
 
-def block_offsets(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
-    """Per (path, block): rows, first id and offset of the block inside its file."""
-    blocks = rows.groupBy("path", "bs").agg(F.count("*").alias(f"{prefix}_n"),
-                                            F.min(id_col).alias(f"{prefix}_min"))
-    w = Window.partitionBy("path").orderBy("bs").rowsBetween(Window.unboundedPreceding, -1)
+def block_offsets(rows: DataFrame, id_col: str, prefix: str, file_col: str = "file_rank") -> DataFrame:
+    """Per (file, block): rows, first id and offset of the block inside its file.
+
+    One row per file block (input size / block size rows), keyed by integers.
+    """
+    blocks = rows.groupBy(file_col, "bs").agg(F.count("*").alias(f"{prefix}_n"),
+                                              F.min(id_col).alias(f"{prefix}_min"))
+    w = Window.partitionBy(file_col).orderBy("bs").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn(f"{prefix}_off", F.coalesce(F.sum(f"{prefix}_n").over(w), F.lit(0)))
 
 
-def with_ordinals(rows: DataFrame) -> DataFrame:
+def with_ordinals(rows: DataFrame, file_col: str = "file_rank") -> DataFrame:
     """Adds `ord`: 1-based row number within its file (block-offset method)."""
-    blocks = block_offsets(rows, "m1", "blk")
-    return (join_small(rows, blocks.select("path", "bs", "blk_min", "blk_off"), ["path", "bs"])
+    blocks = block_offsets(rows, "m1", "blk", file_col)
+    return (join_small(rows, blocks.select(file_col, "bs", "blk_min", "blk_off"), [file_col, "bs"])
             .withColumn("ord", F.col("blk_off") + F.col("m1") - F.col("blk_min") + 1)
             .drop("blk_min", "blk_off"))

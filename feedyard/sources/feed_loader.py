@@ -25,20 +25,20 @@ def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IM
     scanned = FD.scan_feed(spark, facts)
     if scanned is None:  # no file passed the header gate: an empty, typed frame
         scanned = spark.createDataFrame([], FD.SCAN_SCHEMA)
-    # Stage the parsed, classified rows once: the ids taken at the scan stay valid
-    # for the later ordinal joins, and an executor loss re-reads the stage, not the CSV.
-    staged = clean.classify(scanned).checkpoint(eager=True)
+    # Integer file ids (one row per file, count-checked broadcast), then stage the
+    # parsed, classified rows once: the ids taken at the scan stay valid for the later
+    # ordinal joins, and an executor loss re-reads the stage, not the CSV.
     ranks = facts.select("path", "file_rank")
+    staged = FD.join_small(clean.classify(scanned), ranks, "path").checkpoint(eager=True)
 
-    rows = FD.join_small(FD.with_ordinals(staged), ranks, "path")
+    rows = FD.with_ordinals(staged)
 
     acc = clean.accepted(staged).withColumn("m2", F.monotonically_increasing_id())
-    all_blocks = FD.block_offsets(staged, "m1", "blk").select("path", "bs", "blk_min", "blk_off")
-    acc_blocks = FD.block_offsets(acc, "m2", "acc").select("path", "bs", "acc_min", "acc_off")
-    blocks = all_blocks.join(acc_blocks, ["path", "bs"])
-    acc = (FD.join_small(acc, blocks, ["path", "bs"])
+    all_blocks = FD.block_offsets(staged, "m1", "blk").select("file_rank", "bs", "blk_min", "blk_off")
+    acc_blocks = FD.block_offsets(acc, "m2", "acc").select("file_rank", "bs", "acc_min", "acc_off")
+    blocks = all_blocks.join(acc_blocks, ["file_rank", "bs"])
+    acc = (FD.join_small(acc, blocks, ["file_rank", "bs"])
            .withColumn("ord", F.col("blk_off") + F.col("m1") - F.col("blk_min") + 1)
            .withColumn("acc_ord", F.col("acc_off") + F.col("m2") - F.col("acc_min") + 1)
            .withColumn("batch", F.ceil(F.col("acc_ord") / F.lit(batch_size)).cast("long")))
-    acc = FD.join_small(acc, ranks, "path")
     return Feed(facts=facts, rows=rows, acc=acc)
