@@ -719,3 +719,21 @@ SELECT job_id, length({O.strip('filename')}) > 0 AND total_rows >= 0 AND process
 FROM jobs""")
 def job_checks(spark, sf_dir):
     return J.check_jobs(A.jobs(spark, sf_dir))
+
+
+@register("stream_snapshot_ttl", O.with_(O.PROGRESS_EVENTS) + """
+SELECT job_id,
+       arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS status,
+       arg_max(stage, CASE WHEN stage IS NOT NULL THEN seq END) AS stage,
+       arg_max(processed_rows, CASE WHEN processed_rows IS NOT NULL THEN seq END) AS processed_rows,
+       arg_max(total_rows, CASE WHEN total_rows IS NOT NULL THEN seq END) AS total_rows,
+       arg_max(progress, CASE WHEN progress IS NOT NULL THEN seq END) AS progress,
+       arg_max(error_message, CASE WHEN error_message IS NOT NULL THEN seq END) AS error_message,
+       max(updated_at) AS updated_at, max(seq) AS last_seq,
+       epoch_ms(max(updated_at)) + 3600000 >= (SELECT epoch_ms(max(updated_at)) FROM progress_events) AS live
+FROM progress_events GROUP BY job_id""")
+def stream_snapshot_ttl(spark, sf_dir):
+    ev = A.progress_events_of(ST.table_stream(spark, sf_dir, "events"))
+    out = fresh_scratch_path(spark, "snap-ttl")
+    ST.to_parquet(ST.snapshot_ttl_stream(ev), out, mode="update")
+    return ST.newest_per_key(out, spark)
