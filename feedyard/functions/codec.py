@@ -10,8 +10,8 @@ def _c(c) -> Column:
 
 
 def encode(c) -> Column:
-    """JSON text of a value (strings quoted, numbers as is)."""
-    return F.to_json(F.array(_c(c))).substr(F.lit(2), F.length(F.to_json(F.array(_c(c)))) - 2)
+    """JSON text of one value (strings quoted and escaped, numbers as they are)."""
+    return F.regexp_extract(F.to_json(F.array(_c(c))), r"^\[(.*)\]$", 1)
 
 
 def decode_text(c) -> Column:

@@ -6,10 +6,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedyard.functions import codec as CD
+from feedyard.functions.text import size_mb
+from feedyard.operators import catalog as C
 from feedyard.operators import clean, merge
+from feedyard.operators import edits as ED
+from feedyard.operators import events as EV
+from feedyard.operators import jobs as J
+from feedyard.operators import progress as PG
+from feedyard.operators import validate as V
 from feedyard.plans import adapters as A
 from feedyard.plans import oracle as O
+from feedyard.schemas import JOB_STATUSES as S_JOB_STATUSES
+from feedyard.schemas import JOB_TYPES as S_JOB_TYPES
+from feedyard.session import fresh_scratch_path
 from feedyard.sources.feed_loader import Feed, load_feed
+from feedyard.sources.store import CatalogStore
+from feedyard.streaming import streams as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,8 +99,6 @@ def batch_rows_affected(spark, sf_dir):
 
 # ---- validation --------------------------------------------------------------------
 
-from feedyard.operators import validate as V  # noqa: E402
-
 
 @register("feed_validation_errors", O.with_(O.FEED_RAW, O.VALIDATION) + """
 SELECT file_rank, CAST(line AS BIGINT) AS line, seq, message, starts_with(message, 'Warning:') AS is_warning
@@ -116,9 +127,6 @@ def feed_verdict(spark, sf_dir):
 
 # ---- catalog reads -----------------------------------------------------------------
 
-from feedyard.operators import catalog as C  # noqa: E402
-from feedyard.operators import edits as ED  # noqa: E402
-from feedyard.schemas import FALSE_TOKENS  # noqa: E402,F401
 
 PAGE_FILTER = C.ProductFilter(sku="1_", name="WIDGET", active=True)
 PAGE_WHERE = ("sku ILIKE '%1_%' ESCAPE '\\' AND name ILIKE '%WIDGET%' ESCAPE '\\' AND active = TRUE")
@@ -263,9 +271,6 @@ def catalog_after_delete(spark, sf_dir):
 
 # ---- jobs -------------------------------------------------------------------------------
 
-from feedyard.operators import jobs as J  # noqa: E402
-from feedyard.operators import progress as PG  # noqa: E402
-
 
 @register("job_latest", O.with_(O.JOB_EVENTS) + """,
 sets AS (
@@ -474,7 +479,6 @@ def progress_throttled(spark, sf_dir):
 
 # ---- subscriptions, fan-out, deliveries -------------------------------------------------
 
-from feedyard.operators import events as EV  # noqa: E402
 
 EVENTS_CTES = (O.CATALOG, O.SUBS, O.CHANGES)
 
@@ -594,9 +598,6 @@ def attempt_ledger(spark, sf_dir):
 
 # ---- codec, flagship, pre-flight -------------------------------------------------------
 
-from feedyard.functions import codec as CD  # noqa: E402
-from feedyard.functions.text import size_mb  # noqa: E402
-
 
 @register("json_values", """
 WITH h AS (
@@ -649,14 +650,8 @@ def feed_preflight(spark, sf_dir):
                     F.coalesce("total_rows", F.lit(0)).alias("total_rows")))
 
 
-
 # ---- streaming forms (same answers as the batch queries) -------------------------------------
 
-from feedyard.operators import events as _EV  # noqa: E402
-from feedyard.session import fresh_scratch_path  # noqa: E402
-from feedyard.sources.store import CatalogStore  # noqa: E402
-from feedyard.streaming import streams as ST  # noqa: E402
-
 
 @register("stream_import", ORACLE["csv_import_e2e"])
 def stream_import(spark, sf_dir):
@@ -678,7 +673,7 @@ def stream_snapshot(spark, sf_dir):
 @register("stream_fanout", ORACLE["event_fanout"])
 def stream_fanout(spark, sf_dir):
     changes = A.changes_of(ST.table_stream(spark, sf_dir, "events"), A.catalog(spark, sf_dir))
-    pairs = _EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir)).select("event_id", "event_type", "webhook_id")
+    pairs = EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir)).select("event_id", "event_type", "webhook_id")
     out = fresh_scratch_path(spark, "fanout")
     ST.to_parquet(pairs, out)
     return spark.read.parquet(out).drop("batch")
@@ -709,9 +704,6 @@ def edit_change_events(spark, sf_dir):
                             imports=job_outcome(spark, sf_dir))
 
 
-from feedyard.schemas import JOB_STATUSES as S_JOB_STATUSES, JOB_TYPES as S_JOB_TYPES  # noqa: E402
-
-
 @register("job_checks", O.with_(O.JOBS) + f"""
 SELECT job_id, length({O.strip('filename')}) > 0 AND total_rows >= 0 AND processed_rows >= 0
          AND status IN {S_JOB_STATUSES} AND job_type IN {S_JOB_TYPES} AS valid,

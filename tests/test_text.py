@@ -63,3 +63,17 @@ def test_error_text_and_keys(spark):
     h, c = X.progress_keys("j")
     r = df.select(X.error_text("t", "m"), h, c, X.size_mb(F.lit(5 * 1024 * 1024))).first()
     assert tuple(r) == ("ValueError: bad", "import_progress:hash:j1", "import_progress:channel:j1", "5.00")
+
+
+def test_codec_round_trip_and_fallback(spark):
+    from feedyard.functions import codec as CD
+    df = spark.createDataFrame([("importing",), ('"importing"',), ("123",), ("12.5",), ('{"k": 7}',), ("true",)],
+                               "v string")
+    rows = df.select("v", CD.decode_text("v").alias("d"), CD.is_json("v").alias("j"),
+                     CD.encode(F.lit("a\"b")).alias("e"), CD.get_long("v", "$.k").alias("k")).collect()
+    got = {r["v"]: (r["d"], r["j"]) for r in rows}
+    assert got["importing"] == ("importing", False)       # str() text falls back to raw
+    assert got['"importing"'] == ("importing", True)
+    assert got["123"] == ("123", True) and got["12.5"] == ("12.5", True)
+    assert rows[0]["e"] == '"a\\"b"'
+    assert [r["k"] for r in rows if r["v"].startswith("{")] == [7]
