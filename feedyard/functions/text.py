@@ -51,15 +51,21 @@ def percent(processed, total) -> Column:
     return F.when(t > 0, F.bround(p.cast("double") / t * 100.0, 2)).otherwise(F.lit(0.0))
 
 
+def longer_than(c, n: int) -> Column:
+    """length(c) > n, reading at most n + 1 characters (bodies can be large)."""
+    return F.substring(_c(c), n + 1, 1) != F.lit("")
+
+
 def truncate_body(c) -> Column:
+    """Over 1000 characters: the first 1000 plus the truncation suffix."""
     x = _c(c)
-    return F.when(F.length(x) > S.BODY_LIMIT,
+    return F.when(longer_than(x, S.BODY_LIMIT),
                   F.concat(F.substring(x, 1, S.BODY_LIMIT), F.lit(S.BODY_SUFFIX))).otherwise(x)
 
 
 def cut_text(c, n: int = S.BODY_LIMIT) -> Column:
-    x = _c(c)
-    return F.when(F.length(x) > n, F.substring(x, 1, n)).otherwise(x)
+    """The first n characters, no suffix."""
+    return F.substring(_c(c), 1, n)
 
 
 def error_text(type_name, message) -> Column:
