@@ -167,3 +167,54 @@ def change_events(created: DataFrame | None = None, patched: DataFrame | None =
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _sub_valid(url, events) -> "Column":
+    """P15 on request fields (a NULL field is 'not given' and passes)."""
+    url_ok = url.isNull() | url.startswith("http://") | url.startswith("https://")
+    ev_ok = events.isNull() | (F.size(events) > 0)
+    return url_ok & ev_ok
+
+
+def create_subscriptions(subs: DataFrame, requests: DataFrame, run_ts) -> DataFrame:
+    """D7 create: P15 rules; valid requests get ids after the current maximum, in
+    req_id order; the stored url is stripped; enabled defaults to TRUE."""
+    from feedyard.operators.ordering import global_rank
+    valid = (F.col("url").isNotNull() & F.col("events").isNotNull()
+             & _sub_valid(F.col("url"), F.col("events")))
+    req = requests.withColumn("outcome", F.when(valid, "created").otherwise("invalid"))
+    max_id = subs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    made = global_rank(req.filter(F.col("outcome") == "created").select("req_id"), ["req_id"], "rank")
+    made = made.select("req_id", (F.lit(max_id) + F.col("rank")).cast("long").alias("id"))
+    return (req.join(made, "req_id", "left")
+            .select("req_id", "outcome", "id",
+                    F.when(F.col("outcome") == "created", X.py_strip("url")).alias("url"),
+                    F.when(F.col("outcome") == "created", F.array_join("events", ",")).alias("events"),
+                    F.when(F.col("outcome") == "created", F.coalesce("enabled", F.lit(True))).alias("enabled"),
+                    F.when(F.col("outcome") == "created", F.lit(run_ts).cast("timestamp")).alias("created_at")))
+
+
+def patch_subscriptions(subs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D7 patch: (report per request, table after the set).
+
+    Requests apply in req_id order; given fields overwrite, NULL fields are left as
+    they are, so the result per field is the last given value among valid requests.
+    """
+    known = subs.select("id").withColumn("found", F.lit(True))
+    r = requests.join(known, "id", "left")
+    valid = _sub_valid(F.col("url"), F.col("events"))
+    r = r.withColumn("outcome", F.when(F.col("found").isNull(), "not_found")
+                     .when(~valid, "invalid").otherwise("applied"))
+    report = r.select("req_id", "id", "outcome")
+    ok = r.filter(F.col("outcome") == "applied")
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("req_id")))
+    per_id = ok.groupBy("id").agg(
+        F.max_by(X.py_strip("url"), F.when(F.col("url").isNotNull(), F.col("req_id"))).alias("new_url"),
+        last("events").alias("new_events"), last("enabled").alias("new_enabled"),
+        F.count("*").alias("n_applied"))
+    after = (subs.join(per_id, "id", "left")
+             .select("id", F.coalesce("new_url", "url").alias("url"),
+                     F.array_join(F.coalesce("new_events", "events"), ",").alias("events"),
+                     F.coalesce("new_enabled", "enabled").alias("enabled"),
+                     F.coalesce("n_applied", F.lit(0)).alias("n_applied")))
+    return report, after

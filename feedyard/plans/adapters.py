@@ -401,3 +401,31 @@ def progress_hash(spark, sf_dir) -> DataFrame:
         F.when(eid % 3 == 0, F.lit('"2024-01-01T00:00:00+00:00"'))
         .otherwise(F.concat(eid.cast("string"), F.lit(".5"))).alias("updated_raw"),
         F.col("props"))
+
+
+def _event_type_at(i) -> Column:
+    E = F.array(*[F.lit(t) for t in EVENT_TYPES])
+    return F.element_at(E, (i % 6 + 1).cast("int"))
+
+
+def subscription_create_requests(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    url = (F.when(k % 5 == 0, F.concat(F.lit("ftp://c.example/"), k.cast("string")))
+           .when(k % 5 == 1, F.concat(F.lit(" https://c.example/"), k.cast("string"), F.lit(" ")))
+           .otherwise(F.concat(F.lit("https://c.example/"), k.cast("string"))))
+    n = F.col("c_nationkey")
+    events = (F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(_event_type_at(n)))
+              .otherwise(F.array(_event_type_at(n), _event_type_at(n + 1))))
+    return c.select(k.alias("req_id"), url.alias("url"), events.alias("events"), (k % 3 != 0).alias("enabled"))
+
+
+def subscription_patch_requests(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    url = (F.when(k % 4 == 0, F.concat(F.lit("https://p.example/"), k.cast("string")))
+           .when(k % 4 == 1, F.lit("gopher://x")))
+    events = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(_event_type_at(k)))
+    enabled = F.when(k % 3 == 0, F.lit(False)).when(k % 3 == 1, F.lit(True))
+    return c.select(k.alias("req_id"), (k % 200).alias("id"), url.alias("url"), events.alias("events"),
+                    enabled.alias("enabled"))

@@ -320,3 +320,24 @@ dlog AS (
          attempted_at + to_milliseconds(CAST(trunc(elapsed_s * 1000) AS INTEGER)) AS completed_at,
          internal_failures
   FROM dlv)"""
+
+SUB_CREATE_REQ = f"""
+sub_create_req AS (
+  SELECT c_custkey AS req_id,
+         CASE c_custkey % 5 WHEN 0 THEN 'ftp://c.example/' || CAST(c_custkey AS VARCHAR)
+                            WHEN 1 THEN ' https://c.example/' || CAST(c_custkey AS VARCHAR) || ' '
+                            ELSE 'https://c.example/' || CAST(c_custkey AS VARCHAR) END AS url,
+         CASE c_custkey % 4 WHEN 0 THEN CAST([] AS VARCHAR[])
+                            WHEN 1 THEN [{ET_LIST}[c_nationkey % 6 + 1]]
+                            ELSE [{ET_LIST}[c_nationkey % 6 + 1], {ET_LIST}[(c_nationkey + 1) % 6 + 1]] END AS events,
+         c_custkey % 3 <> 0 AS enabled
+  FROM customer)"""
+
+SUB_PATCH_REQ = f"""
+sub_patch_req AS (
+  SELECT c_custkey AS req_id, c_custkey % 200 AS id,
+         CASE c_custkey % 4 WHEN 0 THEN 'https://p.example/' || CAST(c_custkey AS VARCHAR)
+                            WHEN 1 THEN 'gopher://x' END AS url,
+         CASE c_custkey % 5 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN [{ET_LIST}[c_custkey % 6 + 1]] END AS events,
+         CASE c_custkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS enabled
+  FROM customer)"""

@@ -729,3 +729,52 @@ def stream_snapshot_ttl(spark, sf_dir):
     out = fresh_scratch_path(spark, "snap-ttl")
     ST.to_parquet(ST.snapshot_ttl_stream(ev), out, mode="update")
     return ST.newest_per_key(out, spark)
+
+
+@register("subscription_create", O.with_(O.SUBS, O.SUB_CREATE_REQ) + f""",
+cls AS (
+  SELECT *, CASE WHEN (starts_with(url, 'http://') OR starts_with(url, 'https://')) AND len(events) > 0
+                 THEN 'created' ELSE 'invalid' END AS outcome
+  FROM sub_create_req)
+SELECT req_id, outcome,
+       CASE WHEN outcome = 'created' THEN CAST((SELECT max(id) FROM subs)
+            + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY req_id) AS BIGINT) END AS id,
+       CASE WHEN outcome = 'created' THEN {O.strip('url')} END AS url,
+       CASE WHEN outcome = 'created' THEN array_to_string(events, ',') END AS events,
+       CASE WHEN outcome = 'created' THEN coalesce(enabled, TRUE) END AS enabled,
+       CASE WHEN outcome = 'created' THEN TIMESTAMP '{A.RUN_TS}' END AS created_at
+FROM cls""")
+def subscription_create(spark, sf_dir):
+    return EV.create_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_create_requests(spark, sf_dir),
+                                   A.run_ts())
+
+
+SUB_PATCH_CLS = """,
+cls AS (
+  SELECT r.*, CASE WHEN s.id IS NULL THEN 'not_found'
+              WHEN (r.url IS NOT NULL AND NOT (starts_with(r.url, 'http://') OR starts_with(r.url, 'https://')))
+                   OR (r.events IS NOT NULL AND len(r.events) = 0) THEN 'invalid'
+              ELSE 'applied' END AS outcome
+  FROM sub_patch_req r LEFT JOIN subs s ON r.id = s.id)"""
+
+
+@register("subscription_patch_report", O.with_(O.SUBS, O.SUB_PATCH_REQ) + SUB_PATCH_CLS + """
+SELECT req_id, id, outcome FROM cls""")
+def subscription_patch_report(spark, sf_dir):
+    report, _ = EV.patch_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_patch_requests(spark, sf_dir))
+    return report
+
+
+@register("subscription_patch", O.with_(O.SUBS, O.SUB_PATCH_REQ) + SUB_PATCH_CLS + f""",
+per_id AS (
+  SELECT id, arg_max({O.strip('url')}, CASE WHEN url IS NOT NULL THEN req_id END) AS new_url,
+         arg_max(events, CASE WHEN events IS NOT NULL THEN req_id END) AS new_events,
+         arg_max(enabled, CASE WHEN enabled IS NOT NULL THEN req_id END) AS new_enabled,
+         count(*) AS n_applied
+  FROM cls WHERE outcome = 'applied' GROUP BY id)
+SELECT s.id, coalesce(p.new_url, s.url) AS url, array_to_string(coalesce(p.new_events, s.events), ',') AS events,
+       coalesce(p.new_enabled, s.enabled) AS enabled, coalesce(p.n_applied, 0) AS n_applied
+FROM subs s LEFT JOIN per_id p ON s.id = p.id""")
+def subscription_patch(spark, sf_dir):
+    _, after = EV.patch_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_patch_requests(spark, sf_dir))
+    return after

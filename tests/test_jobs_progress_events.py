@@ -166,3 +166,22 @@ def test_deep_page_equals_top_k(spark):
     deep = [r["id"] for r in C.page(t, C.ProductFilter(), 201, 60).collect()]
     rows = sorted(((r["created_at"], r["id"]) for r in t.collect()), reverse=True)
     assert deep == [i for _, i in rows[12000:12060]]
+
+
+def test_subscription_create_and_patch(spark):
+    req = spark.createDataFrame([(1, " https://x", ["product.created"], None), (2, "https://y ", ["import.failed"], False),
+                                 (3, "ftp://z", ["product.created"], True), (4, "https://w", [], True)],
+                                "req_id long, url string, events array<string>, enabled boolean")
+    got = {r["req_id"]: r for r in EV.create_subscriptions(subs(spark), req, "2025-01-01").collect()}
+    assert [got[i]["outcome"] for i in (1, 2, 3, 4)] == ["invalid", "created", "invalid", "invalid"]
+    assert got[2]["id"] == 5 and got[2]["url"] == "https://y" and got[2]["enabled"] is False
+    patches = spark.createDataFrame([(1, 1, "https://new ", None, None), (2, 1, None, None, False),
+                                     (3, 1, "ftp://bad", None, None), (4, 9, None, None, True),
+                                     (5, 2, None, [], None)],
+                                    "req_id long, id long, url string, events array<string>, enabled boolean")
+    report, after = EV.patch_subscriptions(subs(spark), patches)
+    assert {r["req_id"]: r["outcome"] for r in report.collect()} == \
+        {1: "applied", 2: "applied", 3: "invalid", 4: "not_found", 5: "invalid"}
+    a = {r["id"]: r for r in after.collect()}
+    assert a[1]["url"] == "https://new" and a[1]["enabled"] is False and a[1]["events"] == "product.created,product.created"
+    assert a[2]["n_applied"] == 0
