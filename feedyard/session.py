@@ -25,6 +25,23 @@ LOCAL_CONF = {
 }
 
 
+# Starting points for a large cluster (set by the job submitter, not by the library):
+# ~128-256 MB per task on input and after shuffles, AQE to coalesce / split at run time.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def local_session(cores: str = "*", app: str = "feedyard", extra: dict | None = None) -> SparkSession:
     """A local session for tests and benchmarks."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
