@@ -637,19 +637,31 @@ def flagship_import_page(spark, sf_dir):
     return C.page(table, FLAGSHIP_FILTER, 1, 20).select(*CAT_COLS.split(", "))
 
 
-@register("feed_preflight")
+@register("feed_preflight", O.with_(O.FEED_RAW) + """
+SELECT file_rank, '.csv' AS extension, FALSE AS multiline, FALSE AS bad_utf8,
+       CASE file_rank WHEN 1 THEN 'sku,name,description,active' WHEN 2 THEN 'sku,name,description,active,price'
+                      WHEN 3 THEN 'name,sku,description,active' ELSE 'sku,name,description' END AS header,
+       CAST(NULL AS VARCHAR) AS gate_error,
+       CASE file_rank WHEN 2 THEN 'Warning: Unknown headers will be ignored: price' END AS warning,
+       count(*) AS total_rows
+FROM feed_out GROUP BY file_rank""")
 def feed_preflight(spark, sf_dir):
-    """Per-file gates and facts (file sizes are not known to the oracle)."""
+    """Per-file gates and facts (byte sizes are in `preflight_sizes`)."""
     feed = adapter_feed(spark, sf_dir)
     gates = V.file_gates(feed.facts)
     counts = feed.rows.groupBy("file_rank").agg(F.count("*").alias("total_rows"))
     return (feed.facts.join(gates.drop("path"), "file_rank").join(counts, "file_rank", "left")
             .select("file_rank", F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("extension"),
-                    "length", size_mb("length").alias("size_mb"), "multiline", "bad_utf8",
-                    F.array_join("names", ",").alias("header"), "gate_error", "warning",
+                    "multiline", "bad_utf8", F.array_join("names", ",").alias("header"), "gate_error", "warning",
                     F.coalesce("total_rows", F.lit(0)).alias("total_rows")))
 
 
+def preflight_sizes(spark, sf_dir):
+    """F16: file sizes in bytes and MB (as shown in the size-limit message)."""
+    facts = adapter_feed(spark, sf_dir).facts
+    return facts.select("file_rank", "length", size_mb("length").alias("size_mb"))
+
+
 # ---- streaming forms (same answers as the batch queries) -------------------------------------
 
 
