@@ -151,3 +151,23 @@ def test_ordinals_across_blocks(spark, tmpdir_path):
     assert all(r["sku"] == f"K{r['ord'] - 1}" for r in got)
     assert all(r["batch"] == (r["ord"] + 6) // 7 for r in got)
     assert sorted(r["ord"] for r in got) == list(range(1, n + 1))
+
+
+def test_small_import_one_batch(spark, tmpdir_path):
+    from feedyard.operators import clean
+    write_file(tmpdir_path, "s.csv", "sku,name,active\n" + "".join(
+        f"SKU-{i},Product {i},{'true' if i % 2 else 'false'}\n" for i in range(25)))
+    feed = load_feed(spark, tmpdir_path)
+    s = clean.outcome_summary(feed.rows).first()
+    assert s["processed_rows"] == 25 and s["total_rows"] == 25
+    assert {r["batch"] for r in feed.acc.select("batch").collect()} == {1}
+
+
+def test_twelve_thousand_rows_two_batches(spark, tmpdir_path):
+    from feedyard.operators import progress as PG
+    write_file(tmpdir_path, "b.csv", "sku,name\n" + "".join(f"S{i},n{i}\n" for i in range(12000)))
+    feed = load_feed(spark, tmpdir_path)
+    sizes = {r["batch"]: r["count"] for r in feed.acc.groupBy("batch").count().collect()}
+    assert sizes == {1: 10000, 2: 2000}
+    stages = [r["stage"] for r in PG.batch_progress(feed.acc, feed.rows, 10000).orderBy("seq").collect()]
+    assert stages == ["starting", "batch_0", "batch_1", "batch_2_final", "completed"]
