@@ -790,3 +790,34 @@ FROM subs s LEFT JOIN per_id p ON s.id = p.id""")
 def subscription_patch(spark, sf_dir):
     _, after = EV.patch_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_patch_requests(spark, sf_dir))
     return after
+
+
+@register("stream_tail", O.with_(O.JOBS, O.PROGRESS_EVENTS) + """,
+first_rec AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS pos, 'progress' AS kind, status, 'queued' AS stage, processed_rows,
+         0.0 AS progress_percent
+  FROM jobs),
+later AS (SELECT e.* FROM progress_events e JOIN jobs j USING (job_id) WHERE j.status NOT IN ('done', 'failed')),
+term AS (SELECT job_id, min(seq) AS stop_seq FROM later WHERE status IN ('done', 'failed') GROUP BY 1)
+SELECT * FROM first_rec
+UNION ALL
+SELECT l.job_id, l.seq, 'progress', l.status, l.stage, l.processed_rows, l.progress
+FROM later l LEFT JOIN term t USING (job_id) WHERE t.stop_seq IS NULL OR l.seq <= t.stop_seq
+UNION ALL
+SELECT job_id, CAST(9223372036854775807 AS BIGINT), 'close', NULL, NULL, NULL, NULL
+FROM jobs WHERE status IN ('done', 'failed') OR job_id IN (SELECT job_id FROM term)""")
+def stream_tail(spark, sf_dir):
+    """Readers attached before any update: the job row first, then the stream."""
+    jobs = A.jobs(spark, sf_dir)
+    # no snapshot exists yet: the first record is the job row as a queued record
+    first = jobs.select("job_id", F.lit(0).cast("long").alias("pos"), F.lit("progress").alias("kind"), "status",
+                        F.lit("queued").alias("stage"), "processed_rows", F.lit(0.0).alias("progress_percent"))
+    closed_at_once = jobs.filter(F.col("status").isin("done", "failed")).select(
+        "job_id", F.lit(9223372036854775807).alias("pos"), F.lit("close").alias("kind"),
+        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("stage"),
+        F.lit(None).cast("long").alias("processed_rows"), F.lit(None).cast("double").alias("progress_percent"))
+    ev = A.progress_events_of(ST.table_stream(spark, sf_dir, "events"))
+    out = fresh_scratch_path(spark, "tail")
+    ST.to_parquet(ST.tail_stream(ev, jobs), out)
+    streamed = spark.read.parquet(out).drop("batch")
+    return first.unionByName(closed_at_once).unionByName(streamed)
