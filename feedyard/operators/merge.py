@@ -32,9 +32,15 @@ def keep_last(acc: DataFrame, group=("file_rank", "batch")) -> DataFrame:
     )
 
 
-def per_key(acc: DataFrame) -> DataFrame:
-    """D2 level 2: one row per key over all files and batches, in file order."""
+def per_key(acc: DataFrame, key_partitions: int | None = None) -> DataFrame:
+    """D2 level 2: one row per key over all files and batches, in file order.
+
+    `key_partitions` places the level-2 shuffle on sku_key with that many
+    partitions (the catalog's bucket count), so the merge join needs no other one.
+    """
     lvl1 = keep_last(acc)
+    if key_partitions:
+        lvl1 = lvl1.repartition(key_partitions, "sku_key")
     return lvl1.groupBy("sku_key").agg(
         F.min_by(F.col("last.sku"), F.struct("file_rank", "batch")).alias("first_spelling"),
         F.max_by(F.col("last"), F.struct("file_rank", "last_ord")).alias("final"),
@@ -42,9 +48,12 @@ def per_key(acc: DataFrame) -> DataFrame:
     )
 
 
-def upsert(table: DataFrame, acc: DataFrame, run_ts) -> DataFrame:
-    """The table after applying every accepted feed row."""
-    keys = per_key(acc)
+def upsert(table: DataFrame, acc: DataFrame, run_ts, key_partitions: int | None = None) -> DataFrame:
+    """The table after applying every accepted feed row.
+
+    With a catalog bucketed by sku_key, pass its bucket count as `key_partitions`.
+    """
+    keys = per_key(acc, key_partitions)
     j = table.alias("t").join(keys.alias("k"), "sku_key", "full_outer")
     hit = F.col("k.first_pos").isNotNull()
     existing = j.filter(F.col("t.id").isNotNull()).select(

@@ -667,7 +667,7 @@ def preflight_sizes(spark, sf_dir):
 
 @register("stream_import", ORACLE["csv_import_e2e"])
 def stream_import(spark, sf_dir):
-    store = CatalogStore(spark, fresh_scratch_path(spark, "catalog"))
+    store = CatalogStore(spark, fresh_scratch_path(spark, "catalog"), buckets=8)
     store.publish(A.catalog(spark, sf_dir), 0)
     ST.import_stream(spark, A.feed_dir(spark, sf_dir), store, A.run_ts(), batch_size=A.FEED_BATCH)
     return store.read()

@@ -7,17 +7,28 @@ no pointer rewrite are needed.  A streaming micro-batch publishes version
 """
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedyard import schemas as S
 from feedyard.session import path_exists
 
 
 class CatalogStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """Versioned catalog snapshots.
+
+    With `buckets`, each version is written bucketed (and sorted) by `sku_key` and
+    registered as a table over its folder, so a merge on `sku_key` reads the catalog
+    already partitioned: only the feed side is shuffled (see merge.upsert
+    `key_partitions`).
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     def _version_path(self, n: int) -> str:
         return f"{self.root}/v={n:09d}"
@@ -45,12 +56,27 @@ class CatalogStore:
         v = self.versions()
         return v[-1] if v else None
 
+    def _table(self, n: int) -> str:
+        return "feedyard_catalog_" + hashlib.md5(self._version_path(n).encode()).hexdigest()[:16]
+
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current_version() if version is None else version
         if v is None:
             raise FileNotFoundError(f"no published catalog under {self.root}")
-        return self.spark.read.parquet(self._version_path(v))
+        if not self.buckets:
+            return self.spark.read.parquet(self._version_path(v))
+        cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.CATALOG)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(v)} ({cols}) USING parquet "
+                       f"CLUSTERED BY (sku_key) SORTED BY (sku_key) INTO {self.buckets} BUCKETS "
+                       f"LOCATION '{self._version_path(v)}'")
+        return self.spark.table(self._table(v))
 
     def publish(self, df: DataFrame, version: int) -> int:
-        df.write.mode("overwrite").parquet(self._version_path(version))
+        out = df.select(*[f.name for f in S.CATALOG])
+        if not self.buckets:
+            out.write.mode("overwrite").parquet(self._version_path(version))
+            return version
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(version)}")
+        (out.write.mode("overwrite").bucketBy(self.buckets, "sku_key").sortBy("sku_key")
+         .option("path", self._version_path(version)).saveAsTable(self._table(version)))
         return version
