@@ -1,7 +1,7 @@
 """Change events, subscriptions, fan-out and the delivery log."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedyard import schemas as S
@@ -169,7 +169,7 @@ def change_events(created: DataFrame | None = None, patched: DataFrame | None =
     return out
 
 
-def _sub_valid(url, events) -> "Column":
+def _sub_valid(url: Column, events: Column) -> Column:
     """P15 on request fields (a NULL field is 'not given' and passes)."""
     url_ok = url.isNull() | url.startswith("http://") | url.startswith("https://")
     ev_ok = events.isNull() | (F.size(events) > 0)

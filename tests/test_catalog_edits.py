@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from feedyard.operators import catalog as C
 from feedyard.operators import edits as ED

@@ -1,7 +1,6 @@
 """Feed reading and validation cases (modelled on the reproduced service's tests)."""
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from feedyard.operators import validate as V
