@@ -108,10 +108,10 @@ class HeaderGroup:
         return pos
 
 
-def header_groups(facts: DataFrame) -> list[HeaderGroup]:
-    """Collect the (small, one row per file) facts table into read groups."""
-    rows = (facts.filter(F.col("names").isNotNull() & ~F.col("bad_utf8"))
-            .select("path", "names", "multiline").collect())
+def header_groups(facts: DataFrame | list) -> list[HeaderGroup]:
+    """Group files by (header, multiLine); `facts` is the facts table or its rows."""
+    rows = facts if isinstance(facts, list) else facts.collect()
+    rows = [r for r in rows if r["names"] is not None and not r["bad_utf8"]]
     groups: dict[tuple, list[str]] = {}
     for r in rows:
         groups.setdefault((tuple(r["names"]), bool(r["multiline"])), []).append(r["path"])
@@ -168,7 +168,7 @@ def missing_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in gone], "path string")
 
 
-def scan_feed(spark: SparkSession, facts: DataFrame) -> DataFrame | None:
+def scan_feed(spark: SparkSession, facts: DataFrame | list) -> DataFrame | None:
     groups = header_groups(facts)
     if not groups:
         return None

@@ -21,15 +21,20 @@ class Feed:
 
 def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IMPORT_BATCH_SIZE) -> Feed:
     scratch_root(spark)  # make sure checkpoints have a shared home
-    facts = FD.file_facts(spark, path).checkpoint(eager=True)
-    scanned = FD.scan_feed(spark, facts)
+    # per-file facts: one row per file (like the file index Spark keeps on the driver);
+    # collected once, they drive the read groups and become a small local table
+    facts_df = FD.file_facts(spark, path)
+    fact_rows = facts_df.collect()
+    facts = spark.createDataFrame(fact_rows, facts_df.schema)
+    scanned = FD.scan_feed(spark, fact_rows)
     if scanned is None:  # no file passed the header gate: an empty, typed frame
         scanned = spark.createDataFrame([], FD.SCAN_SCHEMA)
     # Integer file ids (one row per file, count-checked broadcast), then stage the
     # parsed, classified rows once: the ids taken at the scan stay valid for the later
     # ordinal joins, and an executor loss re-reads the stage, not the CSV.
     ranks = facts.select("path", "file_rank")
-    staged = FD.join_small(clean.classify(scanned), ranks, "path").checkpoint(eager=True)
+    ranks = F.broadcast(ranks) if len(fact_rows) <= FD.SMALL_TABLE_ROWS else ranks
+    staged = clean.classify(scanned).join(ranks, "path").checkpoint(eager=True)
 
     rows = FD.with_ordinals(staged)
 
