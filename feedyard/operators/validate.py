@@ -83,7 +83,8 @@ def validation_errors(facts: DataFrame, rows: DataFrame, sample_size: int | None
     head = gates.select("file_rank", F.lit(0).cast("long").alias("line"), F.lit(0).alias("seq"),
                         F.coalesce("gate_error", "warning").alias("message")).filter(F.col("message").isNotNull())
     ok = gates.filter(F.col("gate_error").isNull()).select("file_rank")
-    body = sample_messages(rows.join(F.broadcast(ok), "file_rank", "left_semi"), sample_size)
+    from feedyard.sources.feed import join_small
+    body = sample_messages(join_small(rows, ok, "file_rank", "left_semi"), sample_size)
     return (head.unionByName(body)
             .withColumn("is_warning", F.col("message").startswith(S.MSG_WARNING_PREFIX)))
 
