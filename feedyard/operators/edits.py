@@ -110,15 +110,15 @@ def bulk_delete_progress(spark, job_id: str, total: int, batch_size: int = S.DEL
     n_batches = -(-total // batch_size) if total > 0 else 0
     pct = lambda d: X.percent(d, F.lit(total))
     head = spark.range(1).select(F.lit(0).cast("long").alias("seq"), F.lit("preparing").alias("status"),
-                                 F.lit("counting").alias("stage"), F.lit(0).cast("long").alias("deleted"))
+                                 F.lit(S.STAGE_COUNTING).alias("stage"), F.lit(0).cast("long").alias("deleted"))
     parts = [head]
     if n_batches:
         parts.append(spark.range(0, n_batches + 1).select(
             (F.col("id") + 1).alias("seq"), F.lit("deleting").alias("status"),
-            F.concat(F.lit("batch_"), F.col("id").cast("string")).alias("stage"),
+            F.format_string(S.STAGE_BATCH, F.col("id")).alias("stage"),
             F.least(F.col("id") * batch_size, F.lit(total)).cast("long").alias("deleted")))
     parts.append(spark.range(1).select(F.lit(n_batches + 2 if n_batches else 1).cast("long").alias("seq"),
-                                       F.lit("done").alias("status"), F.lit("completed").alias("stage"),
+                                       F.lit("done").alias("status"), F.lit(S.STAGE_COMPLETED).alias("stage"),
                                        F.lit(total).cast("long").alias("deleted")))
     out = parts[0]
     for p in parts[1:]:
@@ -134,6 +134,6 @@ def job_type_guard(jobs: DataFrame) -> DataFrame:
         "job_id",
         (F.col("job_type") == "bulk_delete").alias("runs"),
         F.when(F.col("job_type") != "bulk_delete",
-               F.format_string("Job %s is not a bulk_delete job (type: %s)", F.col("job_id"), F.col("job_type")))
+               F.format_string(S.MSG_NOT_BULK_DELETE, F.col("job_id"), F.col("job_type")))
         .alias("error"),
     )

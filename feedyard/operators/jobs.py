@@ -75,7 +75,7 @@ def outcome(attempts: DataFrame, missing: DataFrame, max_retries: int = S.MAX_RE
         F.when(F.col("gone"), F.lit(1)).when(done, F.col("ok_at") + 1)
         .when(F.col("last_try") >= max_retries, F.lit(max_retries + 1))
         .otherwise(F.col("last_try") + 1).cast("int").alias("attempts_used"),
-        F.when(F.col("gone"), F.concat(F.lit("CSV file not found at "), F.col("path")))
+        F.when(F.col("gone"), F.format_string(S.MSG_IMPORT_FILE_MISSING, F.col("path")))
         .when(~done, F.col("last_err")).alias("error_message"),
         F.when(F.col("gone"), F.lit(None).cast("string")).when(done, F.lit("import.completed"))
         .when(F.col("last_try") >= max_retries, F.lit("import.failed")).alias("event_type"),

@@ -26,18 +26,18 @@ def batch_progress(acc: DataFrame, rows: DataFrame, batch_size: int) -> DataFram
     b = per_batch.select(
         "file_rank", (F.col("batch") + 1).alias("seq"), F.lit("importing").alias("status"),
         F.when((F.col("batch") == last) & (F.col("n") < batch_size),
-               F.format_string("batch_%d_final", F.col("batch")))
-        .otherwise(F.format_string("batch_%d", F.col("batch"))).alias("stage"),
+               F.format_string(S.STAGE_BATCH_FINAL, F.col("batch")))
+        .otherwise(F.format_string(S.STAGE_BATCH, F.col("batch"))).alias("stage"),
         F.sum("n").over(w).cast("long").alias("processed_rows"))
     done = per_batch.groupBy("file_rank").agg(F.sum("n").cast("long").alias("processed_rows"),
                                               F.max("batch").alias("nb"))
     files = totals.join(done, "file_rank", "left")
     start = files.select("file_rank", F.lit(-1).cast("long").alias("seq"), F.lit("parsing").alias("status"),
-                         F.lit("starting").alias("stage"), F.lit(0).cast("long").alias("processed_rows"))
+                         F.lit(S.STAGE_STARTING).alias("stage"), F.lit(0).cast("long").alias("processed_rows"))
     b0 = files.select("file_rank", F.lit(0).cast("long").alias("seq"), F.lit("importing").alias("status"),
-                      F.lit("batch_0").alias("stage"), F.lit(0).cast("long").alias("processed_rows"))
+                      F.format_string(S.STAGE_BATCH, F.lit(0)).alias("stage"), F.lit(0).cast("long").alias("processed_rows"))
     end = files.select("file_rank", (F.coalesce("nb", F.lit(0)) + 1).cast("long").alias("seq"),
-                       F.lit("done").alias("status"), F.lit("completed").alias("stage"),
+                       F.lit("done").alias("status"), F.lit(S.STAGE_COMPLETED).alias("stage"),
                        F.coalesce("processed_rows", F.lit(0)).cast("long").alias("processed_rows"))
     out = start.unionByName(b0).unionByName(b.withColumn("seq", F.col("seq").cast("long"))).unionByName(end)
     return (out.join(totals, "file_rank")
@@ -66,7 +66,7 @@ def or_default(jobs: DataFrame, snap: DataFrame) -> DataFrame:
     return j.select(
         "job_id",
         F.when(has, F.col("s.status")).otherwise(F.col("j.status")).alias("status"),
-        F.when(has, F.col("s.stage")).otherwise(F.lit("queued")).alias("stage"),
+        F.when(has, F.col("s.stage")).otherwise(F.lit(S.STAGE_QUEUED)).alias("stage"),
         F.when(has, F.col("s.processed_rows")).otherwise(F.col("j.processed_rows")).alias("processed_rows"),
         F.when(has, F.col("s.total_rows")).otherwise(F.col("j.total_rows")).alias("total_rows"),
         F.when(has, F.col("s.progress")).otherwise(F.lit(0.0)).alias("progress_percent"),
@@ -104,14 +104,6 @@ MESSAGE_SCHEMA = ("event STRING, job_id STRING, status STRING, stage STRING, tot
                   "processed_rows BIGINT, progress DOUBLE, progress_percent DOUBLE, "
                   "error_message STRING, updated_at STRING")
 
-STATUS_TEXT = {  # fixed values: client display texts
-    "queued": "Queued for processing...",
-    "uploading": "Uploading file...",
-    "parsing": "Parsing CSV file...",
-    "importing": "Importing products...",
-    "done": "Import completed successfully",
-}
-
 
 def normalise(messages: DataFrame) -> DataFrame:
     """Raw SSE data text -> the client's progress view."""
@@ -129,15 +121,14 @@ def normalise(messages: DataFrame) -> DataFrame:
     pp = F.coalesce(F.col("d.progress_percent"), F.col("d.progress"))
     shown = F.coalesce(pp, F.when(F.coalesce(total, F.lit(0)) > 0, processed / total * 100.0).otherwise(0.0))
     status = F.col("d.status")
-    disp = (F.when(status == "done", "completed").when(status == "failed", "failed")
-            .when(status.isin("queued", "uploading", "parsing", "importing"), "importing").otherwise("idle"))
-    text = F.lit("Processing...")
-    for k in reversed(list(STATUS_TEXT)):
-        text = F.when(status == k, F.lit(STATUS_TEXT[k])).otherwise(text)
+    disp = F.coalesce(F.create_map(*[F.lit(x) for kv in S.DISPLAY_STATUS.items() for x in kv])[status],
+                      F.lit("idle"))
+    text = F.coalesce(F.create_map(*[F.lit(x) for kv in S.STATUS_TEXT.items() for x in kv])[status],
+                      F.lit(S.STATUS_TEXT_OTHER))
     text = F.when(status == "failed",
                   F.when(F.coalesce(F.col("d.error_message"), F.lit("")) != "",
-                         F.concat(F.lit("Import failed: "), F.col("d.error_message"))).otherwise("Import failed")
-                  ).otherwise(text)
+                         F.format_string(S.STATUS_TEXT_FAILED_WITH, F.col("d.error_message")))
+                  .otherwise(S.STATUS_TEXT_FAILED)).otherwise(text)
     return m.select(
         "msg_id",
         F.coalesce(F.nullif(F.col("d.job_id"), F.lit("")), F.lit("")).alias("job_id"),

@@ -24,17 +24,15 @@ def file_gates(facts: DataFrame, max_mb: float = S.MAX_FILE_MB) -> DataFrame:
     found = F.array_sort(F.array_distinct(names))
     unknown = F.array_sort(F.array_except(F.array_distinct(names),
                                           F.array(*[F.lit(h) for h in S.ALLOWED_HEADERS])))
-    gate = (F.when(ext != ".csv", F.concat(F.lit("Invalid file extension: "), ext, F.lit(". Expected .csv")))
+    gate = (F.when(ext != ".csv", F.format_string(S.MSG_BAD_EXTENSION, ext))
             .when(F.col("length") / MB > max_mb,
-                  F.format_string(f"File size (%.2f MB) exceeds maximum allowed size ({max_mb:g} MB)",
-                                  F.col("length") / MB))
+                  F.format_string(S.MSG_TOO_BIG, F.col("length") / MB, F.lit(f"{max_mb:g}")))
             .when(F.col("bad_utf8"), F.lit(ENCODING_ERROR))
-            .when(names.isNull(), F.lit("CSV file is empty or has no headers"))
+            .when(names.isNull(), F.lit(S.MSG_NO_HEADER))
             .when(F.size(missing) > 0,
-                  F.concat(F.lit("Missing required headers: "), F.array_join(missing, ", "),
-                           F.lit(". Found: "), F.array_join(found, ", "))))
+                  F.format_string(S.MSG_MISSING_HEADERS, F.array_join(missing, ", "), F.array_join(found, ", "))))
     warning = F.when(gate.isNull() & (F.size(unknown) > 0),
-                     F.concat(F.lit("Warning: Unknown headers will be ignored: "), F.array_join(unknown, ", ")))
+                     F.format_string(S.MSG_UNKNOWN_HEADERS, F.array_join(unknown, ", ")))
     return facts.select("path", "file_rank", gate.alias("gate_error"), warning.alias("warning"))
 
 
@@ -43,7 +41,7 @@ def _field_message(field: str) -> Column:
     msg = (F.when(~F.col(f"{field}_present"), F.lit(S.MSG_NOT_STRING))
            .when(F.length(v) < S.TEXT_MIN_LEN, F.lit(S.MSG_TOO_SHORT))
            .when(F.length(v) > S.TEXT_MAX_LEN, F.lit(S.MSG_TOO_LONG)))
-    return F.when(msg.isNotNull(), F.format_string(f"Row %d, field '{field}': %s", F.col("ord"), msg))
+    return F.when(msg.isNotNull(), F.format_string(S.MSG_FIELD, F.col("ord"), F.lit(field), msg))
 
 
 def sample_messages(rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE,
@@ -59,7 +57,7 @@ def sample_messages(rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE,
     bad_active = F.col("active_in_header") & (
         ~F.col("active_present") | ~token.isin(*S.TRUE_TOKENS, *S.FALSE_TOKENS))
     shown = F.when(F.col("active_present"), F.coalesce(F.col("active_v"), F.lit(""))).otherwise(F.lit("None"))
-    v4 = F.format_string("Row %d: Unexpected error - Cannot parse '%s' as boolean", F.col("ord"), shown)
+    v4 = F.format_string(S.MSG_UNEXPECTED, F.col("ord"), shown)
     v2 = F.filter(F.array(_field_message("sku"), _field_message("name")), lambda x: x.isNotNull())
     s = s.select("file_rank", "ord",
                  F.when(bad_active, F.array(v4)).otherwise(v2).alias("msgs"),
@@ -118,6 +116,6 @@ def missing_file_errors(missing: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     return missing.select(
         "path",
-        F.when(ext != ".csv", F.concat(F.lit("Invalid file extension: "), ext, F.lit(". Expected .csv")))
-        .otherwise(F.concat(F.lit("File not found: "), F.col("path"))).alias("message"),
+        F.when(ext != ".csv", F.format_string(S.MSG_BAD_EXTENSION, ext))
+        .otherwise(F.format_string(S.MSG_FILE_NOT_FOUND, F.col("path"))).alias("message"),
         F.lit(False).alias("is_valid"))

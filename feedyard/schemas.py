@@ -49,14 +49,46 @@ EVENT_TYPES = (
     "import.failed",
 )
 
-# ---- fixed values: messages --------------------------------------------------
+# ---- fixed values: messages (printf-style formats) --------------------------
+MSG_BAD_EXTENSION = "Invalid file extension: %s. Expected .csv"
+MSG_FILE_NOT_FOUND = "File not found: %s"
+MSG_TOO_BIG = "File size (%.2f MB) exceeds maximum allowed size (%s MB)"
+MSG_NO_HEADER = "CSV file is empty or has no headers"
+MSG_MISSING_HEADERS = "Missing required headers: %s. Found: %s"
+MSG_UNKNOWN_HEADERS = "Warning: Unknown headers will be ignored: %s"
+MSG_FIELD = "Row %d, field '%s': %s"
+MSG_UNEXPECTED = "Row %d: Unexpected error - Cannot parse '%s' as boolean"
 MSG_TOO_SHORT = "String should have at least 1 character"
 MSG_TOO_LONG = "String should have at most 255 characters"
 MSG_NOT_STRING = "Input should be a valid string"
 MSG_STOPPED = "Validation stopped after 10 errors. Please fix these issues and retry."
 MSG_WARNING_PREFIX = "Warning:"
+MSG_IMPORT_FILE_MISSING = "CSV file not found at %s"
+MSG_NOT_BULK_DELETE = "Job %s is not a bulk_delete job (type: %s)"
 KEY_NAMESPACE = "import_progress"
 
+# ---- fixed values: progress stages -------------------------------------------
+STAGE_STARTING = "starting"
+STAGE_BATCH = "batch_%d"
+STAGE_BATCH_FINAL = "batch_%d_final"
+STAGE_COMPLETED = "completed"
+STAGE_COUNTING = "counting"
+STAGE_QUEUED = "queued"
+
+# ---- fixed values: client display -----------------------------------------------
+DISPLAY_STATUS = {"done": "completed", "failed": "failed", "queued": "importing", "uploading": "importing",
+                  "parsing": "importing", "importing": "importing"}
+STATUS_TEXT = {
+    "queued": "Queued for processing...",
+    "uploading": "Uploading file...",
+    "parsing": "Parsing CSV file...",
+    "importing": "Importing products...",
+    "done": "Import completed successfully",
+}
+STATUS_TEXT_FAILED = "Import failed"
+STATUS_TEXT_FAILED_WITH = "Import failed: %s"
+STATUS_TEXT_OTHER = "Processing..."
+
 # Python str.strip() whitespace: every code point with str.isspace(), 29 in all.
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
