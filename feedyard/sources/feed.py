@@ -62,37 +62,103 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
             .select("path", "length", F.timestamp_millis("mtime").alias("modified_at")))
 
 
-def header_names(header_line: Column) -> Column:
-    """Split a header line into names; drops a UTF-8 byte-order mark and outer quotes."""
-    line = F.regexp_replace(header_line, "^﻿", "")
-    return F.transform(F.split(line, ","), lambda x: F.regexp_replace(x, r'^"(.*)"$', "$1"))
+LINE_FIELDS = 64   # CSV fields kept per line by the single-pass reader (wider headers fall back)
+LINE_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
-def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per listed file: header, names, multiLine need, bad bytes, line count."""
+def _odd_quotes(line: Column) -> Column:
+    return ((F.length(line) - F.length(F.regexp_replace(line, '"', ""))) % 2) == 1
+
+
+def scan_lines(spark: SparkSession, path: str | list[str], k: int = LINE_FIELDS) -> DataFrame:
+    """The one full pass over the feed text.
+
+    Every non-empty line (csv.DictReader skips only empty lines) gets the scan id `m1`,
+    its CSV fields (`from_csv`, only the fields present), its field count, whether it
+    has an odd number of quotes (a quoted newline: the file needs the multiLine
+    reader) and whether its bytes are valid UTF-8.  The header is just the first line
+    of each file, so no separate header pass is needed.
+    """
+    schema = ", ".join(f"c{i} STRING" for i in range(1, k + 1))
     lines = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select(F.col("value"),
-                     F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("bs"),
-                     F.monotonically_increasing_id().alias("m")))
-    quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+             .select(F.col("value"), F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("bs"))
+             .filter(F.col("value") != "")
+             .withColumn("m1", F.monotonically_increasing_id()))
+    quoted = F.col("value").contains('"')
+    commas = F.length("value") - F.length(F.regexp_replace("value", ",", "")) + 1
+    nf = F.when(quoted, _field_count(F.col("value"))).otherwise(commas)
+    parsed = lines.select("path", "bs", "m1", nf.alias("n_fields"), _odd_quotes(F.col("value")).alias("odd"),
+                          (~F.is_valid_utf8("value")).alias("bad"),
+                          F.from_csv("value", schema, LINE_OPTIONS).alias("s"))
+    return parsed.select("path", "bs", "m1", "n_fields", "odd", "bad",
+                         F.slice(F.array(*[F.col(f"s.c{i}") for i in range(1, k + 1)]), 1,
+                                 F.least(F.col("n_fields"), F.lit(k))).alias("fields"))
+
+
+def facts_from_lines(spark: SparkSession, path: str | list[str], lines: DataFrame) -> DataFrame:
+    """One row per listed file: header names, multiLine need, bad bytes, line count."""
+    first = F.when(F.col("bs") == 0, F.col("m1"))
     per_file = lines.groupBy("path").agg(
-        F.min_by("value", F.when(F.col("bs") == 0, F.col("m"))).alias("header_line"),
-        F.max((quotes % 2) == 1).alias("multiline"),
-        F.max(~F.is_valid_utf8("value")).alias("bad_utf8"),  # text lines keep raw bytes
+        F.min(first).alias("header_m1"),
+        F.min_by("fields", first).alias("header_fields"),
+        F.min_by("n_fields", first).alias("header_width"),
+        F.max("odd").alias("multiline"),
+        F.max("bad").alias("bad_utf8"),
         F.count("*").alias("n_lines"),
     )
-    files = list_files(spark, path)
-    return (files.join(per_file, "path", "left")
+    # header names: empty name stays '', a UTF-8 byte-order mark is dropped
+    names = F.transform("header_fields", lambda x, i: F.when(i == 0, F.regexp_replace(
+        F.coalesce(x, F.lit("")), "^\ufeff", "")).otherwise(F.coalesce(x, F.lit(""))))
+    return (list_files(spark, path).join(per_file, "path", "left")
             .withColumn("multiline", F.coalesce("multiline", F.lit(False)))
             .withColumn("bad_utf8", F.coalesce("bad_utf8", F.lit(False)))
             .withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
-            .withColumn("names", F.when(F.col("header_line").isNotNull()
-                                        & (F.col("header_line") != ""),
-                                        header_names(F.col("header_line"))))
+            .withColumn("names", F.when(F.col("header_m1").isNotNull(), names))
+            .drop("header_fields")
             .withColumn("file_rank", F.dense_rank().over(Window.orderBy("path"))))
 
 
+def wide_header_names(spark: SparkSession, paths: list[str], width: int) -> dict[str, list[str]]:
+    """Full header names of files whose header is wider than LINE_FIELDS (rare).
+
+    Reads these files' text again (they are re-read by the CSV reader anyway) and
+    keeps the first non-empty line of each.
+    """
+    schema = ", ".join(f"c{i} STRING" for i in range(1, width + 1))
+    first = (spark.read.text(paths)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("bs"))
+             .filter((F.col("value") != "") & (F.col("bs") == 0))
+             .withColumn("m", F.monotonically_increasing_id())
+             .groupBy("path").agg(F.min_by("value", "m").alias("line"))
+             .select("path", F.from_csv("line", schema, LINE_OPTIONS).alias("s")))
+    out = {}
+    for r in first.collect():
+        vals = [r["s"][f"c{i}"] for i in range(1, width + 1)]
+        names = [v if v is not None else "" for v in vals]
+        if names:
+            names[0] = names[0].lstrip("\ufeff")
+        out[r["path"]] = names
+    return out
+
+
+def fields_by_header(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Map parsed fields to the allowed columns using each file's header positions.
+
+    `files` has one row per file: path, file_rank, header_m1 and `<c>_pos` (1-based
+    position of the last header column called <c>, 0 when absent).  The header line
+    itself is dropped.  Output columns are those of `scan_group`.
+    """
+    j = lines.join(files, "path").filter(F.col("m1") != F.col("header_m1"))
+    cols = [F.col("path"), F.col("bs"), F.col("m1"), F.col("n_fields"), F.col("file_rank")]
+    for name in S.ALLOWED_HEADERS:
+        pos = F.col(f"{name}_pos")
+        present = (pos > 0) & (F.col("n_fields") >= pos)
+        cols += [F.when(present, F.nullif(F.element_at("fields", pos), F.lit(""))).alias(f"{name}_v"),
+                 present.alias(f"{name}_present"), (pos > 0).alias(f"{name}_in_header")]
+    return j.select(*cols)
+
+
 @dataclass(frozen=True)
 class HeaderGroup:
     names: tuple[str, ...]

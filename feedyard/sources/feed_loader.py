@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from feedyard import schemas as S
@@ -20,21 +20,55 @@ class Feed:
 
 
 def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IMPORT_BATCH_SIZE) -> Feed:
+    """Read a feed once, classify every row, and number rows and accepted batches.
+
+    The text is read once: lines are parsed and checkpointed, per-file facts
+    (header, quoted newlines, UTF-8) come from that stage.  Files with quoted
+    newlines, or headers wider than LINE_FIELDS, are re-read with the CSV reader
+    (multiLine where needed); that is the exception, not the rule.
+    """
     scratch_root(spark)  # make sure checkpoints have a shared home
+    lines = FD.scan_lines(spark, path).checkpoint(eager=True)
     # per-file facts: one row per file (like the file index Spark keeps on the driver);
-    # collected once, they drive the read groups and become a small local table
-    facts_df = FD.file_facts(spark, path)
+    # collected once, they drive the read plan and become a small local table
+    facts_df = FD.facts_from_lines(spark, path, lines)
     fact_rows = facts_df.collect()
+    wide = [r for r in fact_rows if (r["header_width"] or 0) > FD.LINE_FIELDS]
+    if wide:  # headers wider than the parsed fields: take the full names
+        full = FD.wide_header_names(spark, [r["path"] for r in wide], max(r["header_width"] for r in wide))
+        fact_rows = [Row(**{**r.asDict(), "names": full[r["path"]][:r["header_width"]]})
+                     if r["path"] in full else r for r in fact_rows]
     facts = spark.createDataFrame(fact_rows, facts_df.schema)
-    scanned = FD.scan_feed(spark, fact_rows)
-    if scanned is None:  # no file passed the header gate: an empty, typed frame
-        scanned = spark.createDataFrame([], FD.SCAN_SCHEMA)
-    # Integer file ids (one row per file, count-checked broadcast), then stage the
-    # parsed, classified rows once: the ids taken at the scan stay valid for the later
-    # ordinal joins, and an executor loss re-reads the stage, not the CSV.
+
+    readable = [r for r in fact_rows if r["names"] is not None and not r["bad_utf8"]]
+    fast = [r for r in readable if not r["multiline"] and r["header_width"] <= FD.LINE_FIELDS]
+    slow = [r for r in readable if r not in fast]
     ranks = facts.select("path", "file_rank")
-    ranks = F.broadcast(ranks) if len(fact_rows) <= FD.SMALL_TABLE_ROWS else ranks
-    staged = clean.classify(scanned).join(ranks, "path").checkpoint(eager=True)
+    small = len(fact_rows) <= FD.SMALL_TABLE_ROWS
+
+    parts = []
+    if fast:
+        files = spark.createDataFrame(
+            [(r["path"], r["file_rank"], r["header_m1"],
+              *[FD.HeaderGroup(tuple(r["names"]), False, ()).position(c) for c in S.ALLOWED_HEADERS])
+             for r in fast],
+            "path string, file_rank int, header_m1 long, "
+            + ", ".join(f"{c}_pos int" for c in S.ALLOWED_HEADERS))
+        rows = FD.fields_by_header(lines, F.broadcast(files) if small else files)
+        main = clean.classify(rows)
+        # the ids stay valid only through narrow steps; a shuffled join needs a new stage
+        parts.append(main if small else main.checkpoint(eager=True))
+    if slow:
+        scanned = FD.scan_feed(spark, slow)
+        parts.append(clean.classify(scanned).join(F.broadcast(ranks) if small else ranks, "path")
+                     .checkpoint(eager=True))
+    if parts:
+        staged = parts[0]
+        for p in parts[1:]:
+            staged = staged.unionByName(p)
+    else:  # no file passed the header gate: an empty, typed frame
+        staged = clean.classify(spark.createDataFrame([], FD.SCAN_SCHEMA)).withColumn(
+            "file_rank", F.lit(None).cast("int"))
 
     rows = FD.with_ordinals(staged)
 
