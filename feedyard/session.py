@@ -53,10 +53,42 @@ def local_session(cores: str = "*", app: str = "feedyard", extra: dict | None =
     return spark
 
 
+_SHIPPED: set = set()
+_ZIP: str | None = None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make `feedyard` importable in the Python workers (pandas UDFs, stateful
+    functions), as --py-files would: zip the package once per process and add it
+    once per SparkContext."""
+    global _ZIP
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    if _ZIP is None:
+        import zipfile
+
+        import feedyard
+        root = os.path.dirname(os.path.abspath(feedyard.__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="feedyard-pyfiles-"), "feedyard.zip")
+        with zipfile.ZipFile(out, "w") as z:
+            for dirpath, _, files in os.walk(root):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        _ZIP = out
+    sc.addPyFile(_ZIP)
+    _SHIPPED.add(key)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings the engine depends on to an existing session."""
+    """Apply the settings the engine depends on to an existing session and ship the
+    package to the Python workers."""
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
