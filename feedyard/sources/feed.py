@@ -3,7 +3,7 @@
 Design notes
 * One text pass gives per-file facts: header line, whether any physical line has an
   odd number of quotes (a quoted newline, so the file needs the multiLine reader),
-  and whether the UTF-8 decoder replaced bytes.
+  and whether any line's raw bytes are not valid UTF-8 (`is_valid_utf8`).
 * Files are grouped by (header line, multiLine).  Each group is one CSV read with a
   positional all-STRING schema, so header names are matched exactly and
   case-sensitively by us (not by Spark), and column positions are constants of the
