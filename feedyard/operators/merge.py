@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedyard.operators.ordering import global_rank
+from feedyard.operators.skew import salted_join
 
 VALUE_FIELDS = ("sku", "name", "description", "active")
 
@@ -94,7 +95,8 @@ def batch_rows_affected(acc: DataFrame, table: DataFrame) -> DataFrame:
     lvl1 = keep_last(acc).select("file_rank", "batch", "sku_key")
     first = lvl1.groupBy("sku_key").agg(F.min(F.struct("file_rank", "batch")).alias("fb"))
     known = table.select("sku_key").withColumn("in_table", F.lit(True))
-    x = (lvl1.join(first, "sku_key").join(known, "sku_key", "left")
+    per_key = first.join(known, "sku_key", "left")   # one row per feed key
+    x = (salted_join(lvl1, per_key, ["sku_key"], "inner", salt_of="batch")
          .withColumn("is_insert", F.col("in_table").isNull()
                      & (F.col("fb.file_rank") == F.col("file_rank")) & (F.col("fb.batch") == F.col("batch"))))
     return x.groupBy("file_rank", "batch").agg(
