@@ -179,3 +179,15 @@ def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S) -> Da
              .applyInPandas(lambda pdf: _throttle_segment(pdf, interval),
                             schema="job_id string, seq long, emitted boolean"))
     return single.unionByName(multi)
+
+
+def to_readers(updates: DataFrame, readers: DataFrame) -> DataFrame:
+    """Every reader of a job receives each update published after it subscribed.
+
+    An equi-join on job_id with a time condition; the output is inherently
+    readers x updates per job, so a hot job is left to AQE's skew-join splitting.
+    """
+    r = readers.select("reader_id", "job_id", "attached_at")
+    return (updates.join(r, "job_id")
+            .filter(F.col("updated_at") >= F.col("attached_at"))
+            .select("reader_id", "job_id", "seq", "status", "stage", "processed_rows", "progress"))

@@ -429,3 +429,12 @@ def subscription_patch_requests(spark, sf_dir) -> DataFrame:
     enabled = F.when(k % 3 == 0, F.lit(False)).when(k % 3 == 1, F.lit(True))
     return c.select(k.alias("req_id"), (k % 200).alias("id"), url.alias("url"), events.alias("events"),
                     enabled.alias("enabled"))
+
+
+def progress_readers(spark, sf_dir) -> DataFrame:
+    """Readers attached to a job's progress channel: one per order, on job o_custkey,
+    attaching during January 2024."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("reader_id"), F.col("o_custkey").cast("string").alias("job_id"),
+                    F.timestamp_seconds(F.lit(CATALOG_EPOCH) + (F.col("o_orderkey") % 720) * 3600)
+                    .cast("timestamp_ntz").alias("attached_at"))

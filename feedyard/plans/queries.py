@@ -821,3 +821,15 @@ def stream_tail(spark, sf_dir):
     ST.to_parquet(ST.tail_stream(ev, jobs), out)
     streamed = spark.read.parquet(out).drop("batch")
     return first.unionByName(closed_at_once).unionByName(streamed)
+
+
+@register("progress_to_readers", O.with_(O.PROGRESS_EVENTS) + f""",
+readers AS (
+  SELECT o_orderkey AS reader_id, CAST(o_custkey AS VARCHAR) AS job_id,
+         make_timestamp(CAST(({A.CATALOG_EPOCH} + (o_orderkey % 720) * 3600) * 1000000 AS BIGINT)) AS attached_at
+  FROM orders)
+SELECT r.reader_id, e.job_id, e.seq, e.status, e.stage, e.processed_rows, e.progress
+FROM progress_events e JOIN readers r ON e.job_id = r.job_id
+WHERE e.updated_at >= r.attached_at""")
+def progress_to_readers(spark, sf_dir):
+    return PG.to_readers(A.progress_events(spark, sf_dir), A.progress_readers(spark, sf_dir))
