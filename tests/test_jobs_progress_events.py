@@ -185,3 +185,12 @@ def test_subscription_create_and_patch(spark):
     a = {r["id"]: r for r in after.collect()}
     assert a[1]["url"] == "https://new" and a[1]["enabled"] is False and a[1]["events"] == "product.created,product.created"
     assert a[2]["n_applied"] == 0
+
+
+def test_progress_to_readers(spark):
+    p = prog(spark, [("j", 1, "parsing", None, 0, 10, 0.0, None), ("j", 5, "done", None, 10, 10, 100.0, None),
+                     ("k", 2, "importing", None, 1, 10, 10.0, None)])
+    readers = spark.createDataFrame([(1, "j", T0), (2, "j", T0 + dt.timedelta(seconds=3)), (3, "x", T0)],
+                                    "reader_id long, job_id string, attached_at timestamp")
+    got = sorted((r["reader_id"], r["seq"]) for r in PG.to_readers(p, readers).collect())
+    assert got == [(1, 1), (1, 5), (2, 5)]
