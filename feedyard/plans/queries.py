@@ -833,3 +833,17 @@ FROM progress_events e JOIN readers r ON e.job_id = r.job_id
 WHERE e.updated_at >= r.attached_at""")
 def progress_to_readers(spark, sf_dir):
     return PG.to_readers(A.progress_events(spark, sf_dir), A.progress_readers(spark, sf_dir))
+
+
+@register("stream_delivery_log", ORACLE["delivery_log"])
+def stream_delivery_log(spark, sf_dir):
+    """delivery_log as a stream: event stream -> fan-out -> re-check -> log sink."""
+    from feedyard.sources import logs
+    changes = A.with_response_bodies(
+        spark, sf_dir, A.changes_of(ST.table_stream(spark, sf_dir, "events"), A.catalog(spark, sf_dir)))
+    pairs = EV.classify_deliveries(EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir)),
+                                   A.current_subscriptions(spark, sf_dir))
+    log = EV.delivery_log(A.delivery_inputs(pairs.filter(F.col("action") == "deliver"))).drop("internal_failures")
+    out = fresh_scratch_path(spark, "deliveries")
+    ST.delivery_stream(log, out)
+    return logs.read_log(spark, out).drop("batch", "attempt_date")
