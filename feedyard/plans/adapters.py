@@ -90,9 +90,17 @@ def write_lines(lines: DataFrame, out: str) -> None:
      .csv(out))
 
 
+def _render_tag(*parts) -> str:
+    """Cache key of a rendered feed: input folder plus the rendering code itself, so a
+    changed adapter never reuses files rendered by an older one."""
+    import inspect
+    src = [p if isinstance(p, str) else inspect.getsource(p) for p in parts]
+    return hashlib.md5("\n".join(src + [repr(FEED_HEADERS), repr(ACTIVE_TOKENS)]).encode()).hexdigest()[:16]
+
+
 def feed_dir(spark: SparkSession, sf_dir: str) -> str:
-    """CSV feed rendered from `part` (written once per session scratch folder)."""
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    """CSV feed rendered from `part` (written once per scratch folder and adapter version)."""
+    tag = _render_tag(sf_dir, feed_fields, feed_lines, _quote, write_lines)
     out = scratch_path(spark, "feeds", tag)
     if not path_exists(spark, out + "/_SUCCESS"):
         write_lines(feed_lines(table(spark, sf_dir, "part")), out)
@@ -382,7 +390,7 @@ def lineitem_as_part(spark, sf_dir) -> DataFrame:
 
 
 def large_feed_dir(spark: SparkSession, sf_dir: str) -> str:
-    tag = hashlib.md5(("lineitem:" + sf_dir).encode()).hexdigest()[:12]
+    tag = _render_tag("lineitem:" + sf_dir, lineitem_as_part, feed_fields, feed_lines, _quote, write_lines)
     out = scratch_path(spark, "feeds-large", tag)
     if not path_exists(spark, out + "/_SUCCESS"):
         write_lines(feed_lines(lineitem_as_part(spark, sf_dir)), out)
