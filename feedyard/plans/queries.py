@@ -847,3 +847,10 @@ def stream_delivery_log(spark, sf_dir):
     out = fresh_scratch_path(spark, "deliveries")
     ST.delivery_stream(log, out)
     return logs.read_log(spark, out).drop("batch", "attempt_date")
+
+
+@register("catalog_simple_page", O.with_(O.CATALOG) + f"""
+SELECT {CAT_COLS} FROM catalog ORDER BY created_at DESC, id DESC LIMIT 100""")
+def catalog_simple_page(spark, sf_dir):
+    """The unfiltered listing with its defaults (limit 100, offset 0), newest first."""
+    return C.page(A.catalog(spark, sf_dir), C.ProductFilter(), 1, 100).select(*CAT_COLS.split(", "))
