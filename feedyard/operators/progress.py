@@ -155,7 +155,11 @@ def _throttle_segment(pdf: pd.DataFrame, interval: float) -> pd.DataFrame:
     return pd.DataFrame({"job_id": pdf["job_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "emitted": keep})
 
 
-def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S) -> DataFrame:
+SEQ_BUCKET = 1_000_000   # updates per window group at most (seq ranges)
+
+
+def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S,
+              seq_bucket: int = SEQ_BUCKET) -> DataFrame:
     """Which updates are published (forced, or >= interval since the last one).
 
     The decision is a chain, but it restarts at every forced update and after every
@@ -163,14 +167,30 @@ def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S) -> Da
     before).  Segments between restarts are found with window functions and each is
     decided in pandas, so no pandas group is a whole job.  The tracker's clock starts
     at the job's first update, so an unforced first update is dropped.
+
+    Windows are partitioned by (job, seq range): no window group holds more than
+    `seq_bucket` updates, however many one job has.  A small per-(job, range) table
+    carries the previous range's last time and the running count of restarts.
     """
-    w = Window.partitionBy("job_id").orderBy("seq")
-    u = updates.select("job_id", "seq", "t", "forced")
-    prev = F.lag("t").over(w)
+    u = (updates.select("job_id", "seq", "t", "forced")
+         .withColumn("bucket", F.floor(F.col("seq") / seq_bucket)))
+    w = Window.partitionBy("job_id", "bucket").orderBy("seq")
+    u = u.withColumn("local_prev", F.lag("t").over(w))
+    per_bucket = u.groupBy("job_id", "bucket").agg(F.max_by("t", "seq").alias("last_t"))
+    bw = Window.partitionBy("job_id").orderBy("bucket")
+    per_bucket = per_bucket.withColumn("carry_t", F.lag("last_t").over(bw))
+    from feedyard.sources.feed import join_small
+    u = join_small(u, per_bucket.select("job_id", "bucket", "carry_t"), ["job_id", "bucket"])
+    prev = F.coalesce(F.col("local_prev"), F.col("carry_t"))
     u = u.withColumn("starts_job", prev.isNull()).withColumn(
         "reset", F.col("forced") | prev.isNull() | ((F.col("t") - prev) >= interval))
-    u = u.withColumn("segment", F.sum(F.col("reset").cast("long")).over(
+    u = u.withColumn("local_seg", F.sum(F.col("reset").cast("long")).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
+    resets = (u.groupBy("job_id", "bucket").agg(F.sum(F.col("reset").cast("long")).alias("n_resets"))
+              .withColumn("seg_off", F.coalesce(F.sum("n_resets").over(
+                  bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    u = (join_small(u, resets.select("job_id", "bucket", "seg_off"), ["job_id", "bucket"])
+         .withColumn("segment", F.col("seg_off") + F.col("local_seg")))
     # a segment of one update needs no chain: published iff forced or not the first
     chained = u.filter(~F.col("reset")).select("job_id", "segment").distinct()
     single = (u.join(chained, ["job_id", "segment"], "left_anti")
