@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedyard.llm import apportion, bayes_quality, hyperminhash, suffixmerge, wumanber
+from feedyard.llm import apportion, bayes_quality, flatgraph, hmm, htmltree, hyperminhash, kneser_ney, suffixmerge, wumanber, zipwarc
 from feedyard.llm.common import prep, table
 
 
@@ -13,6 +13,10 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(docs, k=2, percent=80).select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
 
 
+def op2_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.extract(table(prep(spark), sf_dir, "pages"))
+
+
 def op3_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prep(spark), sf_dir, "documents")
     return suffixmerge.cut(docs, texts=False).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -24,12 +28,30 @@ def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zipwarc.read(zipwarc.write(table(prep(spark), sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prep(spark), sf_dir, "documents")
+    return hmm.score(docs, kneser_ney.held_out(F.col("doc_id"), 10, 0))
+
+
 def op7_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prep(spark)
     found = bayes_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc.doc_id", F.col("host").alias("site_host"), F.col("path").alias("site_path"), "d_low", "d_toxic", "host_low", "host_toxic", "path_low", "path_toxic", "p_low", "p_toxic", "rejected")
 
 
+def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.link(table(prep(spark), sf_dir, "embeddings"), limit=0.93)[0]
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.predict(table(prep(spark), sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prep(spark), sf_dir, "documents")
     return apportion.mix(docs).select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -37,9 +59,14 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
+    "op2_block_tree": op2_block_tree,
     "op3_suffix_merge": op3_suffix_merge,
     "op4_wu_manber": op4_wu_manber,
+    "op5_zip_warc": op5_zip_warc,
+    "op6_hidden_markov": op6_hidden_markov,
     "op7_bayes_quality": op7_bayes_quality,
+    "op8_flat_graph": op8_flat_graph,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_sainte_lague": op10_sainte_lague,
 }
 
