@@ -15,9 +15,9 @@ def encode(c) -> Column:
 
 
 def decode_text(c) -> Column:
-    """Decoded value as text: a JSON scalar's value, else the raw text."""
+    """Decoded value as text: a JSON value (`null` is NULL), or the raw text where it is no JSON."""
     v = F.try_parse_json(_c(c))
-    return F.coalesce(F.try_variant_get(v, "$", "string"), _c(c))
+    return F.when(v.isNotNull(), F.try_variant_get(v, "$", "string")).otherwise(_c(c))
 
 
 def is_json(c) -> Column:

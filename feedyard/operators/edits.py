@@ -1,16 +1,17 @@
 """Catalog edits as table jobs: create, patch, delete and bulk delete.
 
-Each request set is evaluated against the table as it was before the set; inside
-the set, requests apply in req_id order, so the first request for a key wins.
+Inside a request set, requests apply in req_id order: the first request for a key wins,
+and patches of one id build on each other.  The `after_*` functions give the table that
+follows, for S7 to publish.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedyard import schemas as S
 from feedyard.functions import text as X
-from feedyard.operators.ordering import global_rank
+from feedyard.operators.ordering import global_rank, stage
 from feedyard.operators.skew import salted_join
 
 
@@ -19,9 +20,12 @@ def _valid_text(c: Column) -> Column:
 
 
 def create(table: DataFrame, requests: DataFrame, run_ts, strict_description: bool = False) -> DataFrame:
-    """D3 + J3: per request: created (with a new id), conflict or invalid.
+    """D3 + J3: per request: created (with a new id), conflict or invalid, and for created
+    ones the whole new row.
 
-    `strict_description` adds the editor's 1000-character description limit.
+    `strict_description` adds the editor's 1000-character description limit.  The first
+    valid request for a key is marked by one aggregate, whose result is joined back with
+    hot and NULL keys spread.
     """
     valid = _valid_text(F.col("sku")) & _valid_text(F.col("name"))
     if strict_description:
@@ -35,61 +39,78 @@ def create(table: DataFrame, requests: DataFrame, run_ts, strict_description: bo
     outcome = (F.when(~F.col("valid"), "invalid")
                .when(F.col("taken").isNotNull() | (F.col("req_id") != F.col("first_req")), "conflict")
                .otherwise("created"))
-    j = j.withColumn("outcome", outcome)
-    max_id = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    j = stage(j.withColumn("outcome", outcome), "create")  # used for the numbering and for the report
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     made = global_rank(j.filter(F.col("outcome") == "created").select("req_id"), ["req_id"], "rank")
-    made = made.select("req_id", (F.lit(max_id) + F.col("rank")).cast("long").alias("id"))
+    made = made.join(F.broadcast(top)).select("req_id", (F.col("top") + F.col("rank")).cast("long").alias("id"))
+    new = F.col("outcome") == "created"
+    at = F.when(new, F.lit(run_ts).cast("timestamp"))
     return (j.join(made, "req_id", "left")
             .select("req_id", "outcome", "id", F.col("sku_s").alias("sku"), "sku_key",
-                    F.when(F.col("outcome") == "created", F.lit(run_ts).cast("timestamp")).alias("created_at")))
+                    F.when(new, X.py_strip("name")).alias("name"), F.when(new, F.col("description")).alias("description"),
+                    F.when(new, F.coalesce("active", F.lit(True))).alias("active"),
+                    at.alias("created_at"), at.alias("updated_at")))
+
+
+def after_create(table: DataFrame, report: DataFrame) -> DataFrame:
+    """The catalog with the created rows (what S7 publishes after the request set)."""
+    cols = [f.name for f in S.CATALOG]
+    return table.select(*cols).unionByName(report.filter(F.col("outcome") == "created").select(*cols))
 
 
 def patch(table: DataFrame, requests: DataFrame, run_ts) -> DataFrame:
     """D4 + J4 + J3: not_found, invalid, conflict, unchanged or patched; result row values.
 
-    NULL request fields leave the column as it is (so description cannot be reset
-    to NULL).  updated_at moves only when some value really changes.
+    Requests for one id build on each other in req_id order: a field keeps the last value
+    given before.  NULL request fields leave the column as it is (so description cannot be
+    reset to NULL).  A key belongs to its holder in the table, else to the id of the first
+    valid request for it; requests of other ids conflict.  updated_at moves only when some
+    value really changes.
     """
     sku_given = F.col("r.sku").isNotNull()
     name_given = F.col("r.name").isNotNull()
     valid = (~sku_given | _valid_text(F.col("r.sku"))) & (~name_given | _valid_text(F.col("r.name")))
     j = requests.alias("r").join(table.alias("t"), F.col("r.id") == F.col("t.id"), "left")
-    new_sku = F.when(sku_given, X.py_strip("r.sku")).otherwise(F.col("t.sku"))
     j = j.select(
         F.col("r.req_id").alias("req_id"), F.col("r.id").alias("id"),
         F.col("t.id").isNotNull().alias("found"), valid.alias("valid"),
-        new_sku.alias("sku"),
-        F.lower(new_sku).alias("new_key"), F.col("t.sku_key").alias("old_key"),
-        F.coalesce("r.name", "t.name").alias("name"),
-        F.coalesce("r.description", "t.description").alias("description"),
-        F.coalesce("r.active", "t.active").alias("active"),
-        ((sku_given & (new_sku != F.col("t.sku")))
-         | (name_given & (F.col("r.name") != F.col("t.name")))
-         | (F.col("r.description").isNotNull()
-            & ~F.col("r.description").eqNullSafe(F.col("t.description")))
-         | (F.col("r.active").isNotNull() & (F.col("r.active") != F.col("t.active")))).alias("changed"),
-        F.col("t.updated_at").alias("old_updated_at"),
-    )
-    # key changes: the new key must not belong to another row, nor be claimed by an
-    # earlier request of the set
-    moving = j.filter(F.col("found") & F.col("valid") & (F.col("new_key") != F.col("old_key")))
-    claims = (moving.groupBy("new_key").agg(F.min("req_id").alias("first_req"))
-              .join(table.select(F.col("sku_key").alias("new_key"), F.col("id").alias("holder")),
-                    "new_key", "left"))
+        X.py_strip("r.sku").alias("sku"), X.py_strip("r.name").alias("name"),
+        F.col("r.description").alias("description"), F.col("r.active").alias("active"),
+        F.when(F.col("t.id").isNotNull() & valid, F.lower(X.py_strip("r.sku"))).alias("new_key"),
+        F.struct("t.sku", "t.name", "t.description", "t.active", "t.updated_at").alias("t"))
+    claims = (j.filter(F.col("new_key").isNotNull()).groupBy("new_key").agg(F.min_by("id", "req_id").alias("claimant"))
+              .join(table.select(F.col("sku_key").alias("new_key"), F.col("id").alias("holder")), "new_key", "left"))
     j = salted_join(j, claims, ["new_key"], "left", salt_of="req_id")
-    conflict = (F.col("new_key") != F.col("old_key")) & (
-        (F.col("holder").isNotNull() & (F.col("holder") != F.col("id")))
-        | (F.col("req_id") != F.col("first_req")))
+    conflict = F.col("new_key").isNotNull() & (F.coalesce("holder", "claimant") != F.col("id"))
+    j = j.withColumn("ok", F.col("found") & F.col("valid") & ~conflict)
+    w = Window.partitionBy("id").orderBy("req_id")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    fields = ("sku", "name", "description", "active")
+    given = lambda f, frame: F.last(F.when(F.col("ok"), F.col(f)), ignorenulls=True).over(frame)
+    for f in fields:
+        j = j.withColumn(f"now_{f}", F.coalesce(given(f, upto), F.col(f"t.{f}")))
+        j = j.withColumn(f"was_{f}", F.coalesce(given(f, before), F.col(f"t.{f}")))
+    changed = F.lit(False)
+    for f in fields:
+        changed = changed | ~F.col(f"now_{f}").eqNullSafe(F.col(f"was_{f}"))
     outcome = (F.when(~F.col("found"), "not_found").when(~F.col("valid"), "invalid")
-               .when(conflict, "conflict").when(F.col("changed"), "patched").otherwise("unchanged"))
-    ok = outcome.isin("patched", "unchanged")
+               .when(conflict, "conflict").when(changed, "patched").otherwise("unchanged"))
+    j = j.withColumn("outcome", outcome)
+    moved = F.max((F.col("outcome") == "patched").cast("int")).over(upto) == 1
     return j.select(
-        "req_id", "id", outcome.alias("outcome"),
-        F.when(ok, F.col("sku")).alias("sku"), F.when(ok, F.col("name")).alias("name"),
-        F.when(ok, F.col("description")).alias("description"), F.when(ok, F.col("active")).alias("active"),
-        F.when(outcome == "patched", F.lit(run_ts).cast("timestamp"))
-        .when(ok, F.col("old_updated_at")).alias("updated_at"),
-    )
+        "req_id", "id", "outcome", *[F.when(F.col("ok"), F.col(f"now_{f}")).alias(f) for f in fields],
+        F.when(F.col("ok"), F.when(moved, F.lit(run_ts).cast("timestamp")).otherwise(F.col("t.updated_at"))).alias("updated_at"))
+
+
+def after_patch(table: DataFrame, report: DataFrame) -> DataFrame:
+    """The catalog after the request set: per id the values of its last successful request."""
+    last = (report.filter(F.col("outcome").isin("patched", "unchanged")).groupBy("id")
+            .agg(F.max_by(F.struct("sku", "name", "description", "active", "updated_at"), "req_id").alias("n")))
+    new = F.col("n").isNotNull()
+    cols = [F.when(new, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) if c in ("sku", "name", "description", "active", "updated_at")
+            else F.when(new, F.lower("n.sku")).otherwise(F.col("sku_key")).alias(c) if c == "sku_key" else F.col(c)
+            for c in [f.name for f in S.CATALOG]]
+    return table.join(last, "id", "left").select(*cols)
 
 
 def delete(table: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,32 +121,35 @@ def delete(table: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return report, table.join(req, "id", "left_anti")
 
 
-def bulk_delete_progress(spark, job_id: str, total: int, batch_size: int = S.DELETE_BATCH_SIZE) -> DataFrame:
-    """Progress records of deleting `total` rows in batches.
+def bulk_delete_progress(jobs: DataFrame, table: DataFrame, batch_size: int = S.DELETE_BATCH_SIZE) -> DataFrame:
+    """Progress records of every bulk delete job, in order of (created_at, job_id).
 
-    preparing/counting, then (when total > 0) deleting/batch_0 ... batch_n with the
-    running deleted count, then done/completed.  Batches come from spark.range, so
-    the record count is spread over tasks.
+    The first job deletes the whole table in batches, the later ones find it empty:
+    preparing/counting, then (when there are rows) deleting/batch_0 ... batch_n with the
+    running deleted count, then done/completed.
     """
-    n_batches = -(-total // batch_size) if total > 0 else 0
-    pct = lambda d: X.percent(d, F.lit(total))
-    head = spark.range(1).select(F.lit(0).cast("long").alias("seq"), F.lit("preparing").alias("status"),
-                                 F.lit(S.STAGE_COUNTING).alias("stage"), F.lit(0).cast("long").alias("deleted"))
-    parts = [head]
-    if n_batches:
-        parts.append(spark.range(0, n_batches + 1).select(
-            (F.col("id") + 1).alias("seq"), F.lit("deleting").alias("status"),
-            F.format_string(S.STAGE_BATCH, F.col("id")).alias("stage"),
-            F.least(F.col("id") * batch_size, F.lit(total)).cast("long").alias("deleted")))
-    parts.append(spark.range(1).select(F.lit(n_batches + 2 if n_batches else 1).cast("long").alias("seq"),
-                                       F.lit("done").alias("status"), F.lit(S.STAGE_COMPLETED).alias("stage"),
-                                       F.lit(total).cast("long").alias("deleted")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(job_id).alias("job_id"), "seq", "status", "stage",
-                      F.col("deleted").alias("processed_rows"), F.lit(total).cast("long").alias("total_rows"),
-                      pct(F.col("deleted")).alias("progress"))
+    runs = jobs.filter(F.col("job_type") == "bulk_delete").select("job_id", "created_at")
+    first = runs.agg(F.min(F.struct("created_at", "job_id")).alias("f"))
+    total = table.agg(F.count("*").alias("n"))
+    one = F.broadcast(first.join(total))  # one row
+    r = runs.join(one).select("job_id", F.when(F.col("job_id") == F.col("f.job_id"), F.col("n")).otherwise(F.lit(0)).alias("total_rows"))
+    batches = F.ceil(F.col("total_rows") / batch_size).cast("long")
+    last = F.when(F.col("total_rows") > 0, batches + 2).otherwise(F.lit(1)).cast("long")
+    r = r.select("job_id", "total_rows", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq"))
+    i = F.col("seq") - 1
+    head, end = F.col("seq") == 0, F.col("seq") == F.col("last")
+    done = F.when(head, F.lit(0)).when(end, F.col("total_rows")).otherwise(F.least(i * batch_size, F.col("total_rows"))).cast("long")
+    return r.select("job_id", "seq",
+                    F.when(head, "preparing").when(end, "done").otherwise("deleting").alias("status"),
+                    F.when(head, S.STAGE_COUNTING).when(end, S.STAGE_COMPLETED).otherwise(F.format_string(S.STAGE_BATCH, i)).alias("stage"),
+                    done.alias("processed_rows"), F.col("total_rows").cast("long").alias("total_rows"),
+                    X.percent(done, F.col("total_rows")).alias("progress"))
+
+
+def after_bulk_delete(table: DataFrame, progress: DataFrame) -> DataFrame:
+    """The catalog after the jobs: the rows stay only if no job has finished."""
+    done = progress.filter(F.col("status") == "done").agg(F.count("*").alias("runs"))
+    return table.join(F.broadcast(done)).filter(F.col("runs") == 0).drop("runs")  # one row
 
 
 def job_type_guard(jobs: DataFrame) -> DataFrame:

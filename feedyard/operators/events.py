@@ -65,7 +65,7 @@ def delivery_log(deliver: DataFrame) -> DataFrame:
     ok = code.isNotNull() & (code >= 200) & (code < 300)
     body = F.when(code.isNotNull(), X.truncate_body("raw_body")).otherwise(X.cut_text("raw_body"))
     ms = (F.col("elapsed_s") * 1000).cast("int")
-    extra = [c for c in ("internal_failures",) if c in deliver.columns]
+    extra = [c for c in ("payload", "internal_failures") if c in deliver.columns]
     return deliver.select(
         "id", "webhook_id", "event_type", "event_id",
         F.when(ok, "success").otherwise("failed").alias("status"),
@@ -76,15 +76,39 @@ def delivery_log(deliver: DataFrame) -> DataFrame:
     )
 
 
-def history(log: DataFrame, per_webhook: int = S.DELIVERY_PAGE_SIZE) -> DataFrame:
-    """O5 for every subscription: the newest `per_webhook` attempts (top-k per group;
+def history(log: DataFrame, page: int = 1, page_size: int = S.DELIVERY_PAGE_SIZE) -> DataFrame:
+    """O5 for every subscription: page `page` of its attempts, newest first (top-k per group;
     Spark applies the limit per partition before the shuffle)."""
     w = Window.partitionBy("webhook_id").orderBy(F.col("attempted_at").desc(), F.col("id").desc())
-    return (log.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_webhook)
+    return (log.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= page * page_size)
+            .filter(F.col("rank") > (page - 1) * page_size)
             .select("id", "webhook_id", "event_type", "status", "response_code", "response_time_ms",
                     "attempted_at", "completed_at", "rank"))
 
 
+def history_facts(log: DataFrame, page: int = 1, page_size: int = S.DELIVERY_PAGE_SIZE) -> DataFrame:
+    """O3 for the delivery history: rows of the page, total, and has_next, which here says
+    only that this page is full."""
+    n = F.col("total")
+    rows = F.greatest(F.lit(0), F.least(F.lit(page_size), n - (page - 1) * page_size)).cast("long")
+    return totals(log).select("webhook_id", F.lit(page).alias("page"), F.lit(page_size).alias("page_size"), "total",
+                              rows.alias("n_rows"), (rows == page_size).alias("has_next"), F.lit(page > 1).alias("has_previous"))
+
+
+def latest_status(ledger: DataFrame) -> DataFrame:
+    """The state of each delivery after its attempts: a pending row is followed by the
+    outcome of the try that got through, or stays pending."""
+    return ledger.groupBy("event_id", "webhook_id").agg(
+        F.max_by("status", "attempt").alias("status"), F.max("attempt").alias("attempts"),
+        (F.count_if(F.col("status") == "pending") + F.count_if(F.col("status") != "pending")).alias("n_rows"))
+
+
+def cut_bodies(rows: DataFrame, body: str) -> DataFrame:
+    """Keep of a body what the log can store (one character more tells that it was longer),
+    before the fan-out copies it to every receiver."""
+    return rows.withColumn(body, F.substring(F.col(body), 1, S.BODY_LIMIT + 1))
+
+
 def totals(log: DataFrame) -> DataFrame:
     """A9."""
     return log.groupBy("webhook_id").agg(F.count("*").alias("total"))
@@ -116,19 +140,29 @@ def attempt_ledger(pairs: DataFrame, max_retries: int = S.MAX_RETRIES) -> DataFr
     )
 
 
+def _json(*fields: Column) -> Column:
+    """A JSON object that keeps NULL fields as null."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def _iso(c: str) -> Column:
+    """ISO text with microseconds where the time has any."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.unix_micros(F.col(c).cast("timestamp")) % 1000000 == 0, whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def payload_json(changes: DataFrame) -> DataFrame:
     """The JSON body per event type (bare payload, as posted)."""
-    product = F.to_json(F.struct(
+    product = _json(
         F.col("p_id").alias("id"), F.col("p_sku").alias("sku"), F.col("p_name").alias("name"),
         F.col("p_description").alias("description"), F.col("p_active").alias("active"),
-        F.date_format("p_created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
-        F.date_format("p_updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at")))
-    bulk = F.to_json(F.struct(F.col("job_id"), F.lit("done").alias("status"),
-                              F.col("count").alias("deleted_count"), F.col("total").alias("total_products")))
-    done = F.to_json(F.struct(F.col("job_id"), F.lit("done").alias("status"),
-                              F.col("count").alias("processed_rows"), F.col("total").alias("total_rows")))
-    failed = F.to_json(F.struct(F.col("job_id"), F.lit("failed").alias("status"),
-                                F.col("error_message"), F.col("count").alias("processed_rows")))
+        _iso("p_created_at").alias("created_at"), _iso("p_updated_at").alias("updated_at"))
+    bulk = _json(F.col("job_id"), F.lit("done").alias("status"),
+                 F.col("count").alias("deleted_count"), F.col("total").alias("total_products"))
+    done = _json(F.col("job_id"), F.lit("done").alias("status"),
+                 F.col("count").alias("processed_rows"), F.col("total").alias("total_rows"))
+    failed = _json(F.col("job_id"), F.lit("failed").alias("status"),
+                   F.col("error_message"), F.col("count").alias("processed_rows"))
     et = F.col("event_type")
     body = (F.when(et.startswith("product.") & (et != "product.bulk_deleted"), product)
             .when(et == "product.bulk_deleted", bulk).when(et == "import.completed", done)
@@ -142,9 +176,8 @@ def change_events(created: DataFrame | None = None, patched: DataFrame | None =
     """The change feed produced by edits and job ends.
 
     created / patched / deleted: edit reports (req_id/id, outcome); bulk: bulk-delete
-    progress records; imports: job outcomes.  One event per successful create, real
-    patch ("unchanged" emits nothing either), delete, finished bulk delete and
-    finished import; CSV upserts emit no per-product event, a failed bulk delete and
+    progress records; imports: job outcomes.  One event per successful create, successful
+    patch (also one that changes nothing), delete, finished bulk delete and finished import; CSV upserts emit no per-product event, a failed bulk delete and
     a missing import file emit none.
     """
     parts = []
@@ -152,7 +185,7 @@ def change_events(created: DataFrame | None = None, patched: DataFrame | None =
         parts.append(created.filter(F.col("outcome") == "created")
                      .select(F.lit("product.created").alias("event_type"), F.col("id").cast("string").alias("subject")))
     if patched is not None:
-        parts.append(patched.filter(F.col("outcome") == "patched")
+        parts.append(patched.filter(F.col("outcome").isin("patched", "unchanged"))
                      .select(F.lit("product.updated").alias("event_type"), F.col("id").cast("string").alias("subject")))
     if deleted is not None:
         parts.append(deleted.filter(F.col("outcome") == "deleted")

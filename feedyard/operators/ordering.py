@@ -4,6 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedyard.session import fresh_scratch_path
+
+
+def stage(df: DataFrame, kind: str) -> DataFrame:
+    """Write `df` once to the shared scratch folder and read it back."""
+    path = fresh_scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def global_rank(df: DataFrame, order_cols: list, out: str = "rank") -> DataFrame:
     """1-based position of each row in `order_cols` order (keys must be unique).

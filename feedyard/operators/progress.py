@@ -44,12 +44,31 @@ def batch_progress(acc: DataFrame, rows: DataFrame, batch_size: int) -> DataFram
             .withColumn("progress", X.percent("processed_rows", "total_rows")))
 
 
+def last_run(events: DataFrame, ttl_s: int) -> DataFrame:
+    """(job_id, run_start): first update after the job's last gap of `ttl_s` seconds.
+
+    Inside a time slot of `ttl_s` there is no such gap, so the updates are first folded to
+    one row per (job, slot), and gaps are looked for between slots.
+    """
+    at = F.unix_micros(F.col("updated_at").cast("timestamp"))
+    slot = F.floor(at / (ttl_s * 1_000_000))
+    slots = (events.groupBy("job_id", slot.alias("slot"))
+             .agg(F.min("updated_at").alias("a"), F.min(at).alias("lo"), F.max(at).alias("hi")))
+    before = F.lag("hi").over(Window.partitionBy("job_id").orderBy("slot"))
+    starts = before.isNull() | ((F.col("lo") - before) >= ttl_s * 1_000_000)
+    return (slots.withColumn("starts", starts).filter("starts")
+            .groupBy("job_id").agg(F.max("a").alias("run_start")))
+
+
 def snapshot(events: DataFrame, asof=None, ttl_s: int = S.SNAPSHOT_TTL_S) -> DataFrame:
     """Merge updates field by field (a field missing later keeps its value).
 
-    `live` is FALSE once `ttl_s` seconds passed since the last write (as of `asof`).
+    A snapshot expires `ttl_s` seconds after its last write, and the next write starts an
+    empty one: only the updates since the last gap of `ttl_s` are merged.  `live` is FALSE
+    once `ttl_s` seconds passed since the last write (as of `asof`).
     """
     ev = events if asof is None else events.filter(F.col("updated_at") <= asof)
+    ev = salted_join(ev, last_run(ev, ttl_s), ["job_id"], "inner", salt_of="seq").filter(F.col("updated_at") >= F.col("run_start")).drop("run_start")
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in FIELDS]
     snap = ev.groupBy("job_id").agg(*aggs, F.max("updated_at").alias("updated_at"),
                                     F.max("seq").alias("last_seq"))
@@ -60,8 +79,8 @@ def snapshot(events: DataFrame, asof=None, ttl_s: int = S.SNAPSHOT_TTL_S) -> Dat
 
 
 def or_default(jobs: DataFrame, snap: DataFrame) -> DataFrame:
-    """The snapshot when there is one, else the job row as a queued record."""
-    j = jobs.alias("j").join(snap.alias("s"), "job_id", "left")
+    """The snapshot while it lives, else the job row as a queued record."""
+    j = jobs.alias("j").join((snap.filter("live") if "live" in snap.columns else snap).alias("s"), "job_id", "left")
     has = F.col("s.last_seq").isNotNull()
     return j.select(
         "job_id",
@@ -112,7 +131,9 @@ def normalise(messages: DataFrame) -> DataFrame:
                  & ~F.coalesce(F.col("d.event") == "close", F.lit(False)))
     m = m.filter(F.col("d.status").isNotNull() & (F.col("d.status") != ""))
     ts = F.col("d.updated_at")
-    as_num = ts.try_cast("double")
+    # a number is an epoch; text stays as it is, also where it looks like a number
+    sent = F.try_variant_get(F.try_parse_json("data"), "$.updated_at", "variant")
+    as_num = F.when(F.schema_of_variant(sent) != "STRING", F.try_variant_get(sent, "$", "double"))
     iso = F.when(as_num.isNotNull(),
                  F.date_format(F.timestamp_micros((as_num * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
                  ).otherwise(ts)

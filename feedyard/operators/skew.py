@@ -4,38 +4,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT_BUCKETS = 32
 HOT_KEY_ROWS = 1_000_000   # a key with more rows than this on the big side is split
 
 
 def hot_keys(big: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """Keys holding more than `threshold` rows (counted with map-side combine).
+    """Keys holding more than `threshold` rows (counted with map-side combine), and the
+    number of salts `_n` that brings each salt to about `threshold` rows.
 
     At most rows / threshold keys can qualify, so the result has a proven bound and
     is broadcast.
     """
     return (big.groupBy(*keys).count().filter(F.col("count") > threshold)
-            .select(*keys, F.lit(True).alias("_hot")))
+            .select(*keys, F.ceil(F.col("count") / threshold).cast("int").alias("_n")))
 
 
 def salted_join(big: DataFrame, small_per_key: DataFrame, keys: list[str], how: str = "inner",
-                buckets: int = SALT_BUCKETS, salt_of: str | None = None,
-                threshold: int = HOT_KEY_ROWS) -> DataFrame:
+                salt_of: str | None = None, threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """Join many rows per key (`big`) to one row per key (`small_per_key`).
 
-    Only hot keys are salted: their rows on the big side are spread over `buckets`
+    Only hot keys are salted: their rows on the big side are spread over count / threshold
     salt values (hash of `salt_of`, or of all columns) and their single row on the
-    small side is repeated once per salt value.  Other keys keep salt 0, so the
-    small side grows only by (hot keys x buckets) rows.  `how` is inner or left.
+    small side is repeated once per salt value, so the small side grows by at most
+    rows / threshold rows.  Rows with a NULL key match nothing: they are spread over
+    negative salts.  `how` is inner or left.
     """
     hot = F.broadcast(hot_keys(big, keys, threshold))
     src = F.col(salt_of) if salt_of else F.struct(*[F.col(c) for c in big.columns])
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    spread = F.xxhash64(src)
     b = (big.join(hot, keys, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(src), F.lit(buckets)))
-                     .otherwise(F.lit(0)).cast("int"))
-         .drop("_hot"))
+         .withColumn("_salt", F.when(no_key, -1 - F.pmod(spread, F.lit(1 << 20)))
+                     .when(F.col("_n").isNotNull(), F.pmod(spread, F.col("_n"))).otherwise(F.lit(0)).cast("int"))
+         .drop("_n"))
     s = (small_per_key.join(hot, keys, "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
-                                        .otherwise(F.array(F.lit(0)))))
-         .drop("_hot"))
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
+         .drop("_n"))
     return b.join(s, keys + ["_salt"], how).drop("_salt")

@@ -16,8 +16,9 @@ ENCODING_ERROR = "File encoding error: invalid UTF-8 bytes. File must be UTF-8 e
 STOP_SEQ = 99
 
 
-def file_gates(facts: DataFrame, max_mb: float = S.MAX_FILE_MB) -> DataFrame:
-    """Per file: the first failing gate (or NULL) and the unknown-header warning."""
+def file_gates(facts: DataFrame, max_mb: float | None = None) -> DataFrame:
+    """Per file: the first failing gate (or NULL) and the unknown-header warning.  The size
+    gate is off unless `max_mb` is given."""
     names = F.col("names")
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     missing = F.array_sort(F.array_except(F.array(*[F.lit(h) for h in S.REQUIRED_HEADERS]), names))
@@ -25,8 +26,8 @@ def file_gates(facts: DataFrame, max_mb: float = S.MAX_FILE_MB) -> DataFrame:
     unknown = F.array_sort(F.array_except(F.array_distinct(names),
                                           F.array(*[F.lit(h) for h in S.ALLOWED_HEADERS])))
     gate = (F.when(ext != ".csv", F.format_string(S.MSG_BAD_EXTENSION, ext))
-            .when(F.col("length") / MB > max_mb,
-                  F.format_string(S.MSG_TOO_BIG, F.col("length") / MB, F.lit(f"{max_mb:g}")))
+            .when(F.lit(max_mb is not None) & (F.col("length") / MB > F.lit(float(max_mb or 0))),
+                  F.format_string(S.MSG_TOO_BIG, F.col("length") / MB, F.lit(f"{max_mb or 0:g}")))
             .when(F.col("bad_utf8"), F.lit(ENCODING_ERROR))
             .when(names.isNull(), F.lit(S.MSG_NO_HEADER))
             .when(F.size(missing) > 0,
@@ -76,8 +77,9 @@ def sample_messages(rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE,
     return msgs.unionByName(stops)
 
 
-def validation_errors(facts: DataFrame, rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE) -> DataFrame:
-    gates = file_gates(facts)
+def validation_errors(facts: DataFrame, rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE,
+                      max_mb: float | None = None) -> DataFrame:
+    gates = file_gates(facts, max_mb)
     head = gates.select("file_rank", F.lit(0).cast("long").alias("line"), F.lit(0).alias("seq"),
                         F.coalesce("gate_error", "warning").alias("message")).filter(F.col("message").isNotNull())
     ok = gates.filter(F.col("gate_error").isNull()).select("file_rank")
@@ -87,8 +89,9 @@ def validation_errors(facts: DataFrame, rows: DataFrame, sample_size: int | None
             .withColumn("is_warning", F.col("message").startswith(S.MSG_WARNING_PREFIX)))
 
 
-def verdict(facts: DataFrame, rows: DataFrame, sample_size: int = S.SAMPLE_SIZE) -> DataFrame:
-    errs = validation_errors(facts, rows, sample_size)
+def verdict(facts: DataFrame, rows: DataFrame, sample_size: int = S.SAMPLE_SIZE,
+            max_mb: float | None = None) -> DataFrame:
+    errs = validation_errors(facts, rows, sample_size, max_mb)
     per_file_errs = errs.groupBy("file_rank").agg(
         F.count("*").alias("n_messages"),
         F.count_if(~F.col("is_warning")).alias("n_errors"),
@@ -96,7 +99,7 @@ def verdict(facts: DataFrame, rows: DataFrame, sample_size: int = S.SAMPLE_SIZE)
                                  lambda x: x["message"]), "\n").alias("errors"),
         F.max(F.when(F.col("seq") == STOP_SEQ, F.col("line"))).alias("stop_ord"))
     counts = rows.groupBy("file_rank").agg(F.count("*").alias("n_rows"))
-    g = file_gates(facts)
+    g = file_gates(facts, max_mb)
     out = (g.join(counts, "file_rank", "left").join(per_file_errs, "file_rank", "left"))
     failed = F.col("gate_error").isNotNull()
     total = F.when(failed, F.lit(0)).otherwise(F.coalesce("n_rows", F.lit(0))).cast("long")

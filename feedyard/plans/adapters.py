@@ -38,7 +38,8 @@ def _mod(c: Column, n: int) -> Column:
 def feed_fields(part: DataFrame) -> DataFrame:
     """Raw text of every feed field, one row per part row (before CSV rendering)."""
     p = F.col("p_partkey")
-    base = F.concat(F.lit("Sku-"), F.floor(p / 12).cast("string"))
+    # twelve rows a key; about half of the keys are in the catalog
+    base = F.concat(F.lit("Sku-"), (F.floor(p / 12) * 24).cast("string"))
     cased = F.when(_mod(p, 3) == 0, F.upper(base)).when(_mod(p, 3) == 1, F.lower(base)).otherwise(base)
     sku = (F.when(_mod(p, 101) == 0, F.lit("")).when(_mod(p, 103) == 0, F.lit("   "))
            .when(_mod(p, 5) == 0, F.concat(F.lit("  "), cased, F.lit(" ")))
@@ -108,11 +109,11 @@ def feed_dir(spark: SparkSession, sf_dir: str) -> str:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Existing catalog: even part keys, unique sku 'SKU-<partkey>'."""
+    """Existing catalog: one row per part, unique sku 'SKU-<partkey>'."""
     p = F.col("p_partkey")
     sku = F.concat(F.lit("SKU-"), p.cast("string"))
     ts = F.timestamp_seconds(F.lit(CATALOG_EPOCH) + F.floor(p / 4))
-    return (table(spark, sf_dir, "part").filter(_mod(p, 2) == 0)
+    return (table(spark, sf_dir, "part")
             .select((p + 1).alias("id"), sku.alias("sku"), F.col("p_name").alias("name"),
                     F.when(_mod(p, 10) == 0, F.lit(None)).otherwise(F.col("p_type")).alias("description"),
                     (_mod(F.col("p_size"), 3) != 0).alias("active"),
@@ -126,12 +127,12 @@ def run_ts() -> Column:
 # ---- request sets -------------------------------------------------------------
 
 def lookup_id_requests(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 1).alias("id"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2 + 1).alias("id"))
 
 
 def lookup_sku_requests(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_partkey").cast("string")
+    k = (F.col("l_partkey") * 2).cast("string")
     arg = (F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("sku-"), k))
            .when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("SKU-"), k))
            .otherwise(F.concat(F.lit("Sku-"), k, F.lit(" "))))
@@ -157,8 +158,17 @@ def patch_requests(spark, sf_dir) -> DataFrame:
     name = F.when(key % 3 == 0, F.concat(F.lit("Renamed "), key.cast("string")))
     desc = F.when(key % 5 == 0, F.col("o_orderpriority"))
     active = F.when(F.col("o_orderstatus") == "F", F.lit(False)).when(F.col("o_orderstatus") == "O", F.lit(True))
-    return o.select(key.alias("req_id"), (key * 2 + 1).alias("id"), sku.alias("sku"), name.alias("name"),
-                    desc.alias("description"), active.alias("active"))
+    first = o.select(key.alias("req_id"), (key * 2 + 1).alias("id"), sku.alias("sku"), name.alias("name"),
+                     desc.alias("description"), active.alias("active"))
+    # every id again: a new key, the same one twice, a padded or repeated name, a cleared flag
+    again = F.when(key % 3 != 1, F.concat(F.lit(" New-"), F.floor(key / 2).cast("string"), F.lit(" ")))
+    second = o.select((key + 10_000_000).alias("req_id"), (key * 2 + 1).alias("id"), again.alias("sku"),
+                      F.when(key % 2 == 0, F.concat(F.lit("  Renamed "), key.cast("string"), F.lit(" "))).alias("name"),
+                      F.lit(None).cast("string").alias("description"), F.lit(None).cast("boolean").alias("active"))
+    third = o.filter(key % 2 == 0).select((key + 20_000_000).alias("req_id"), (key * 2 + 1).alias("id"), again.alias("sku"),
+                                          F.when(key % 7 == 0, F.lit("   ")).alias("name"), F.col("o_orderpriority").alias("description"),
+                                          F.lit(True).alias("active"))
+    return first.unionByName(second).unionByName(third)
 
 
 def delete_requests(spark, sf_dir) -> DataFrame:
@@ -171,6 +181,24 @@ ASOF = "2024-01-15 12:00:00"   # reader attach time for snapshot / tail queries
 PROGRESS_TOTAL = 1000
 
 
+EVENTS_PER_FILE = 5_000_000
+
+
+def event_files(spark, sf_dir) -> str:
+    """`events` as at least four files written one after another, in event order: a stream of
+    them carries state from one micro-batch to the next."""
+    out = scratch_path(spark, "events", _render_tag("events:" + sf_dir, event_files))
+    if not path_exists(spark, out + "/_done/_SUCCESS"):
+        e = table(spark, sf_dir, "events")
+        row = e.agg(F.count("*").alias("n"), F.coalesce(F.max("event_id"), F.lit(0)).alias("top")).first()
+        files, top = max(4, -(-row["n"] // EVENTS_PER_FILE)), row["top"] + 1
+        for i in range(files):
+            part = e.filter((F.col("event_id") >= top * i // files) & (F.col("event_id") < top * (i + 1) // files))
+            part.coalesce(1).write.mode("overwrite").parquet(f"{out}/{i:06d}")
+        spark.range(1).write.mode("overwrite").parquet(out + "/_done")
+    return out
+
+
 def jobs(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -281,7 +309,8 @@ def sse_messages(spark, sf_dir) -> DataFrame:
         F.when(eid % 17 != 0, q('"total_rows":1000')),
         F.when(eid % 9 != 0, F.when(eid % 2 == 0, F.concat(q('"progress":'), (eid % 100).cast("string")))
                .otherwise(F.concat(q('"progress_percent":'), (eid % 100).cast("string")))),
-        F.when(eid % 3 == 0, F.concat(q('"updated_at":'), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")))
+        F.when(eid % 21 == 0, F.concat(q('"updated_at":"'), eid.cast("string"), q('"')))
+        .when(eid % 3 == 0, F.concat(q('"updated_at":'), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")))
         .otherwise(F.concat(q('"updated_at":"2024-01-0'), (eid % 9 + 1).cast("string"), q('T00:00:00Z"'))),
     ]
     data = (F.when(eid % 23 == 0, q("  "))
@@ -361,17 +390,25 @@ def changes_of(e: DataFrame, catalog_df: DataFrame) -> DataFrame:
 
 def with_response_bodies(spark, sf_dir, changes_df: DataFrame) -> DataFrame:
     """Attach the receiver's (simulated) response body per event, before the fan-out:
-    the documents join then shuffles events, not event x subscription pairs."""
+    the documents join then shuffles events, not event x subscription pairs, and bodies
+    are cut to what the log stores before they are copied to every receiver."""
+    from feedyard.operators.events import cut_bodies
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("doc"))
-    return changes_df.join(docs, "event_id", "left")
+    return changes_df.join(cut_bodies(docs, "doc"), "event_id", "left")
+
+
+def without_response_bodies(changes_df: DataFrame) -> DataFrame:
+    """For reads of the log that use no body: no join."""
+    return changes_df.withColumn("doc", F.lit(None).cast("string"))
 
 
 def delivery_inputs(pairs: DataFrame) -> DataFrame:
     """Outcome facts of each performed delivery (the HTTP call is not made here)."""
     eid = F.col("event_id")
     code = F.when(eid % 11 != 0, 200 + 100 * (eid % 4)).cast("int")
+    extra = ["payload"] if "payload" in pairs.columns else []
     return pairs.select(
-        (eid * 100000 + F.col("webhook_id")).alias("id"), "webhook_id", "event_type", "event_id",
+        *extra, (eid * 100000 + F.col("webhook_id")).alias("id"), "webhook_id", "event_type", "event_id",
         code.alias("response_code"),
         F.when(code.isNull(), F.concat(F.lit("timed out "), F.repeat(F.lit("."), (eid % 1200).cast("int"))))
         .otherwise(F.coalesce("doc", F.lit("ok"))).alias("raw_body"),
@@ -404,7 +441,7 @@ def progress_hash(spark, sf_dir) -> DataFrame:
     st = _progress_status()
     return e.select(
         eid.alias("event_id"),
-        F.when(eid % 2 == 0, F.concat(F.lit('"'), st, F.lit('"'))).otherwise(st).alias("status_raw"),
+        F.when(eid % 10 == 4, F.lit("null")).when(eid % 2 == 0, F.concat(F.lit('"'), st, F.lit('"'))).otherwise(st).alias("status_raw"),
         (eid % 1000).cast("string").alias("rows_raw"),
         F.when(eid % 3 == 0, F.lit('"2024-01-01T00:00:00+00:00"'))
         .otherwise(F.concat(eid.cast("string"), F.lit(".5"))).alias("updated_raw"),

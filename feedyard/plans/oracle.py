@@ -16,9 +16,9 @@ def with_(*ctes: str) -> str:
 FEED_RAW = f"""
 feed_src AS (
   SELECT p_partkey AS p, CAST(p_partkey % 4 AS INTEGER) AS file_no, p_name, p_type, p_size,
-         CASE p_partkey % 3 WHEN 0 THEN upper('Sku-' || CAST(p_partkey // 12 AS VARCHAR))
-                            WHEN 1 THEN lower('Sku-' || CAST(p_partkey // 12 AS VARCHAR))
-                            ELSE 'Sku-' || CAST(p_partkey // 12 AS VARCHAR) END AS cased
+         CASE p_partkey % 3 WHEN 0 THEN upper('Sku-' || CAST(p_partkey // 12 * 24 AS VARCHAR))
+                            WHEN 1 THEN lower('Sku-' || CAST(p_partkey // 12 * 24 AS VARCHAR))
+                            ELSE 'Sku-' || CAST(p_partkey // 12 * 24 AS VARCHAR) END AS cased
   FROM part),
 feed_raw AS (
   SELECT p, file_no, CAST(file_no + 1 AS INTEGER) AS file_rank,
@@ -88,7 +88,7 @@ catalog AS (
          make_timestamp(CAST(({CATALOG_EPOCH} + p_partkey // 4) * 1000000 AS BIGINT)) AS created_at,
          make_timestamp(CAST(({CATALOG_EPOCH} + p_partkey // 4) * 1000000 AS BIGINT)) AS updated_at,
          lower('SKU-' || CAST(p_partkey AS VARCHAR)) AS sku_key
-  FROM part WHERE p_partkey % 2 = 0)"""
+  FROM part)"""
 
 KEEP_LAST = """
 keep_last AS (
@@ -184,7 +184,17 @@ patch_req AS (
          CASE WHEN o_orderkey % 3 = 0 THEN 'Renamed ' || CAST(o_orderkey AS VARCHAR) END AS name,
          CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS description,
          CASE o_orderstatus WHEN 'F' THEN FALSE WHEN 'O' THEN TRUE END AS active
-  FROM orders)"""
+  FROM orders
+  UNION ALL
+  SELECT o_orderkey + 10000000, o_orderkey * 2 + 1,
+         CASE WHEN o_orderkey % 3 <> 1 THEN ' New-' || CAST(o_orderkey // 2 AS VARCHAR) || ' ' END,
+         CASE WHEN o_orderkey % 2 = 0 THEN '  Renamed ' || CAST(o_orderkey AS VARCHAR) || ' ' END, NULL, NULL
+  FROM orders
+  UNION ALL
+  SELECT o_orderkey + 20000000, o_orderkey * 2 + 1,
+         CASE WHEN o_orderkey % 3 <> 1 THEN ' New-' || CAST(o_orderkey // 2 AS VARCHAR) || ' ' END,
+         CASE WHEN o_orderkey % 7 = 0 THEN '   ' END, o_orderpriority, TRUE
+  FROM orders WHERE o_orderkey % 2 = 0)"""
 
 from feedyard.plans.adapters import ASOF, PROGRESS_TOTAL  # noqa: E402
 
@@ -232,7 +242,18 @@ progress_events AS (
          ts AS updated_at
   FROM events)"""
 
+# a job's updates since its last pause of an hour: what was stored before has expired
+LIVE_RUN = """
+{name} AS (
+  SELECT e.* FROM {src} e JOIN (
+    SELECT job_id, max(updated_at) AS run_start FROM (
+      SELECT job_id, updated_at, lag(updated_at) OVER (PARTITION BY job_id ORDER BY updated_at, seq) AS prev FROM {src})
+    WHERE prev IS NULL OR epoch_us(updated_at) - epoch_us(prev) >= 3600000000 GROUP BY job_id) r USING (job_id)
+  WHERE e.updated_at >= r.run_start)"""
+
 SNAPSHOT = f"""
+upto AS (SELECT * FROM progress_events WHERE updated_at <= TIMESTAMP '{ASOF}'),
+{LIVE_RUN.format(name="live_run", src="upto")},
 snapshot AS (
   SELECT job_id,
          arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS status,
@@ -243,7 +264,7 @@ snapshot AS (
          arg_max(error_message, CASE WHEN error_message IS NOT NULL THEN seq END) AS error_message,
          max(updated_at) AS updated_at, max(seq) AS last_seq,
          max(updated_at) > TIMESTAMP '{ASOF}' - INTERVAL 3600 SECOND AS live
-  FROM progress_events WHERE updated_at <= TIMESTAMP '{ASOF}' GROUP BY job_id)"""
+  FROM live_run GROUP BY job_id)"""
 
 OR_DEFAULT = """
 or_default AS (
@@ -254,7 +275,7 @@ or_default AS (
          CASE WHEN s.last_seq IS NOT NULL THEN s.total_rows ELSE j.total_rows END AS total_rows,
          CASE WHEN s.last_seq IS NOT NULL THEN s.progress ELSE 0.0 END AS progress_percent,
          s.last_seq IS NOT NULL AS from_snapshot
-  FROM jobs j LEFT JOIN snapshot s ON j.job_id = s.job_id)"""
+  FROM jobs j LEFT JOIN snapshot s ON j.job_id = s.job_id AND s.live)"""
 
 ET_LIST = "[" + ", ".join(f"'{t}'" for t in S.EVENT_TYPES) + "]"
 
@@ -278,11 +299,22 @@ subs AS (
 vsubs AS (SELECT * FROM subs WHERE (starts_with(url, 'http://') OR starts_with(url, 'https://')) AND len(events) > 0),
 receivers AS (SELECT DISTINCT id AS webhook_id, unnest(events) AS event_type FROM vsubs WHERE enabled)"""
 
+# JSON as the deliveries send it: NULL fields stay, times are ISO text
+PAYLOAD = """CASE WHEN event_type IN ('product.created', 'product.updated', 'product.deleted') THEN
+    CAST(json_object('id', p_id, 'sku', p_sku, 'name', p_name, 'description', p_description, 'active', p_active,
+         'created_at', strftime(p_created_at, '%Y-%m-%dT%H:%M:%S'), 'updated_at', strftime(p_updated_at, '%Y-%m-%dT%H:%M:%S')) AS VARCHAR)
+  WHEN event_type = 'product.bulk_deleted' THEN
+    CAST(json_object('job_id', job_id, 'status', 'done', 'deleted_count', count, 'total_products', total) AS VARCHAR)
+  WHEN event_type = 'import.completed' THEN
+    CAST(json_object('job_id', job_id, 'status', 'done', 'processed_rows', count, 'total_rows', total) AS VARCHAR)
+  ELSE CAST(json_object('job_id', job_id, 'status', 'failed', 'error_message', error_message, 'processed_rows', count) AS VARCHAR)
+  END"""
+
 CHANGES = f"""
 changes AS (
   SELECT e.event_id, e.event_type, e.ts, e.value, e.user_id,
          c.id AS p_id, c.sku AS p_sku, c.name AS p_name, c.description AS p_description, c.active AS p_active,
-         c.created_at AS p_created_at,
+         c.created_at AS p_created_at, c.updated_at AS p_updated_at,
          'job-' || CAST(e.user_id AS VARCHAR) AS job_id, e.event_id % 1000 AS count, CAST(1000 AS BIGINT) AS total,
          CASE WHEN e.event_type = 'import.failed' THEN 'RuntimeError: event ' || CAST(e.event_id AS VARCHAR) END
            AS error_message
@@ -295,14 +327,14 @@ changes AS (
   LEFT JOIN catalog c ON c.id = e.user_id * 2 + 1 AND starts_with(e.event_type, 'product.')
                       AND e.event_type <> 'product.bulk_deleted')"""
 
-DELIVERIES = """
-pairs AS (SELECT c.event_id, c.event_type, c.ts, c.value, r.webhook_id FROM changes c JOIN receivers r USING (event_type)),
+DELIVERIES = f"""
+pairs AS (SELECT c.event_id, c.event_type, c.ts, c.value, r.webhook_id, {PAYLOAD} AS payload FROM changes c JOIN receivers r USING (event_type)),
 classified AS (
   SELECT p.*, CASE WHEN v.id IS NULL OR v.id % 7 = 3 THEN 'missing'
                    WHEN NOT (v.enabled AND v.id % 5 <> 2) THEN 'disabled' ELSE 'deliver' END AS action
   FROM pairs p LEFT JOIN vsubs v ON v.id = p.webhook_id),
 dlv AS (
-  SELECT event_id * 100000 + webhook_id AS id, webhook_id, event_type, event_id,
+  SELECT event_id * 100000 + webhook_id AS id, webhook_id, event_type, event_id, payload,
          CASE WHEN event_id % 11 <> 0 THEN CAST(200 + 100 * (event_id % 4) AS INTEGER) END AS response_code,
          CASE WHEN event_id % 11 = 0 THEN 'timed out ' || repeat('.', CAST(event_id % 1200 AS INTEGER))
               ELSE coalesce(d.text, 'ok') END AS raw_body,
@@ -310,7 +342,7 @@ dlv AS (
          CASE WHEN (event_id + webhook_id) % 13 = 0 THEN event_id % 6 ELSE 0 END AS internal_failures
   FROM classified LEFT JOIN documents d ON d.doc_id = event_id WHERE action = 'deliver'),
 dlog AS (
-  SELECT id, webhook_id, event_type, event_id,
+  SELECT id, webhook_id, event_type, event_id, payload,
          CASE WHEN response_code BETWEEN 200 AND 299 THEN 'success' ELSE 'failed' END AS status,
          response_code,
          CASE WHEN response_code IS NULL THEN left(raw_body, 1000)

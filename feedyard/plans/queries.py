@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedyard.functions import codec as CD
+from feedyard.functions.text import progress_keys as progress_key_names
 from feedyard.functions.text import size_mb
 from feedyard.operators import catalog as C
 from feedyard.operators import clean, merge
@@ -171,16 +172,16 @@ def catalog_count(spark, sf_dir):
 
 @register("lookup_ids", O.with_(O.CATALOG) + """
 SELECT r.id, c.sku_key IS NOT NULL AS found, c.sku, c.name
-FROM (SELECT DISTINCT l_partkey + 1 AS id FROM lineitem) r LEFT JOIN catalog c ON r.id = c.id""")
+FROM (SELECT DISTINCT l_partkey * 2 + 1 AS id FROM lineitem) r LEFT JOIN catalog c ON r.id = c.id""")
 def lookup_ids(spark, sf_dir):
     return C.lookup_ids(A.catalog(spark, sf_dir), A.lookup_id_requests(spark, sf_dir))
 
 
 @register("lookup_skus", O.with_(O.CATALOG) + """
 SELECT r.arg, c.id IS NOT NULL AS found, c.id, c.sku
-FROM (SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'sku-' || CAST(l_partkey AS VARCHAR)
-                                          WHEN 1 THEN 'SKU-' || CAST(l_partkey AS VARCHAR)
-                                          ELSE 'Sku-' || CAST(l_partkey AS VARCHAR) || ' ' END AS arg
+FROM (SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'sku-' || CAST(l_partkey * 2 AS VARCHAR)
+                                          WHEN 1 THEN 'SKU-' || CAST(l_partkey * 2 AS VARCHAR)
+                                          ELSE 'Sku-' || CAST(l_partkey * 2 AS VARCHAR) || ' ' END AS arg
       FROM lineitem) r
 LEFT JOIN catalog c ON lower(r.arg) = c.sku_key""")
 def lookup_skus(spark, sf_dir):
@@ -191,7 +192,7 @@ def lookup_skus(spark, sf_dir):
 
 @register("catalog_create", O.with_(O.CATALOG, O.CREATE_REQ) + f""",
 req AS (
-  SELECT req_id,
+  SELECT req_id, name, description, active,
          sku IS NOT NULL AND length({O.strip('sku')}) BETWEEN 1 AND 255
          AND name IS NOT NULL AND length({O.strip('name')}) BETWEEN 1 AND 255 AS valid,
          CASE WHEN sku IS NOT NULL AND length({O.strip('sku')}) BETWEEN 1 AND 255
@@ -200,7 +201,7 @@ req AS (
   FROM create_req),
 firsts AS (SELECT lower(sku_s) AS sku_key, min(req_id) AS first_req FROM req WHERE valid GROUP BY 1),
 cls AS (
-  SELECT r.req_id, r.sku_s, lower(r.sku_s) AS sku_key,
+  SELECT r.req_id, r.name, r.description, r.active, r.sku_s, lower(r.sku_s) AS sku_key,
          CASE WHEN NOT r.valid THEN 'invalid'
               WHEN c.sku_key IS NOT NULL OR r.req_id <> f.first_req THEN 'conflict'
               ELSE 'created' END AS outcome
@@ -210,50 +211,91 @@ SELECT req_id, outcome,
        CASE WHEN outcome = 'created' THEN CAST((SELECT max(id) FROM catalog)
             + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY req_id) AS BIGINT) END AS id,
        sku_s AS sku, sku_key,
-       CASE WHEN outcome = 'created' THEN TIMESTAMP '{A.RUN_TS}' END AS created_at
+       CASE WHEN outcome = 'created' THEN {O.strip('name')} END AS name,
+       CASE WHEN outcome = 'created' THEN description END AS description,
+       CASE WHEN outcome = 'created' THEN active END AS active,
+       CASE WHEN outcome = 'created' THEN TIMESTAMP '{A.RUN_TS}' END AS created_at,
+       CASE WHEN outcome = 'created' THEN TIMESTAMP '{A.RUN_TS}' END AS updated_at
 FROM cls""")
 def catalog_create(spark, sf_dir):
     return ED.create(A.catalog(spark, sf_dir), A.create_requests(spark, sf_dir), A.run_ts())
 
 
+def _published(spark, table):
+    """Publish the table as the next version, and read what readers now see."""
+    store = CatalogStore(spark, fresh_scratch_path(spark, "catalog"))
+    store.publish(table, 0)
+    return store.read()
+
+
+@register("catalog_after_create", O.with_(O.CATALOG) + f"""
+SELECT {CAT_COLS}, sku_key FROM catalog
+UNION ALL
+SELECT {CAT_COLS}, sku_key FROM ({ORACLE['catalog_create']}) WHERE outcome = 'created'""")
+def catalog_after_create(spark, sf_dir):
+    table = A.catalog(spark, sf_dir)
+    return _published(spark, ED.after_create(table, catalog_create(spark, sf_dir)))
+
+
+@register("editor_create", O.with_(O.CREATE_REQ) + f"""
+SELECT req_id, sku IS NOT NULL AND length({O.strip('sku')}) BETWEEN 1 AND 255
+         AND length({O.strip('name')}) BETWEEN 1 AND 255 AND req_id % 3 <> 0 AS valid
+FROM create_req""")
+def editor_create(spark, sf_dir):
+    """The editor refuses descriptions over 1000 characters (here every third one)."""
+    req = A.create_requests(spark, sf_dir)
+    long = F.when(F.col("req_id") % 3 == 0, F.rpad(F.col("description"), 1001, "x")).otherwise(F.rpad(F.col("description"), 1000, "x"))
+    report = ED.create(A.catalog(spark, sf_dir), req.withColumn("description", long), A.run_ts(), strict_description=True)
+    return report.select("req_id", (F.col("outcome") != "invalid").alias("valid"))
+
+
 @register("catalog_patch", O.with_(O.CATALOG, O.PATCH_REQ) + f""",
 j AS (
   SELECT r.req_id, r.id, t.id IS NOT NULL AS found,
          (r.sku IS NULL OR length({O.strip('r.sku')}) BETWEEN 1 AND 255)
          AND (r.name IS NULL OR length({O.strip('r.name')}) BETWEEN 1 AND 255) AS valid,
-         CASE WHEN r.sku IS NOT NULL THEN {O.strip('r.sku')} ELSE t.sku END AS sku,
-         lower(CASE WHEN r.sku IS NOT NULL THEN {O.strip('r.sku')} ELSE t.sku END) AS new_key,
-         t.sku_key AS old_key,
-         coalesce(r.name, t.name) AS name, coalesce(r.description, t.description) AS description,
-         coalesce(r.active, t.active) AS active,
-         coalesce((r.sku IS NOT NULL AND {O.strip('r.sku')} <> t.sku)
-           OR (r.name IS NOT NULL AND r.name <> t.name)
-           OR (r.description IS NOT NULL AND r.description IS DISTINCT FROM t.description)
-           OR (r.active IS NOT NULL AND r.active <> t.active), FALSE) AS changed,
-         t.updated_at AS old_updated_at
+         {O.strip('r.sku')} AS sku, {O.strip('r.name')} AS name, r.description, r.active,
+         t.sku AS t_sku, t.name AS t_name, t.description AS t_description, t.active AS t_active, t.updated_at AS t_updated_at
   FROM patch_req r LEFT JOIN catalog t ON r.id = t.id),
-claims AS (
-  SELECT m.new_key, min(m.req_id) AS first_req, any_value(c.id) AS holder
-  FROM j m LEFT JOIN catalog c ON c.sku_key = m.new_key
-  WHERE m.found AND m.valid AND m.new_key <> m.old_key GROUP BY m.new_key),
+claims AS (SELECT lower(sku) AS new_key, arg_min(id, req_id) AS claimant FROM j WHERE found AND valid AND sku IS NOT NULL GROUP BY 1),
 o AS (
-  SELECT j.*, CASE WHEN NOT found THEN 'not_found' WHEN NOT valid THEN 'invalid'
-              WHEN j.new_key <> j.old_key AND ((c.holder IS NOT NULL AND c.holder <> j.id) OR j.req_id <> c.first_req)
-                   THEN 'conflict'
-              WHEN changed THEN 'patched' ELSE 'unchanged' END AS outcome
-  FROM j LEFT JOIN claims c ON j.new_key = c.new_key)
-SELECT req_id, id, outcome,
-       CASE WHEN outcome IN ('patched', 'unchanged') THEN sku END AS sku,
-       CASE WHEN outcome IN ('patched', 'unchanged') THEN name END AS name,
-       CASE WHEN outcome IN ('patched', 'unchanged') THEN description END AS description,
-       CASE WHEN outcome IN ('patched', 'unchanged') THEN active END AS active,
-       CASE WHEN outcome = 'patched' THEN TIMESTAMP '{A.RUN_TS}'
-            WHEN outcome = 'unchanged' THEN old_updated_at END AS updated_at
-FROM o""")
+  SELECT j.*, found AND valid AND NOT coalesce(coalesce(c.id, k.claimant) <> j.id, FALSE) AS ok
+  FROM j LEFT JOIN claims k ON lower(j.sku) = k.new_key LEFT JOIN catalog c ON lower(j.sku) = c.sku_key),
+seen AS (
+  SELECT *,
+    coalesce(last_value(CASE WHEN ok THEN sku END IGNORE NULLS) OVER upto, t_sku) AS n_sku,
+    coalesce(last_value(CASE WHEN ok THEN name END IGNORE NULLS) OVER upto, t_name) AS n_name,
+    coalesce(last_value(CASE WHEN ok THEN description END IGNORE NULLS) OVER upto, t_description) AS n_description,
+    coalesce(last_value(CASE WHEN ok THEN active END IGNORE NULLS) OVER upto, t_active) AS n_active
+  FROM o WINDOW upto AS (PARTITION BY id ORDER BY req_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cmp AS (
+  SELECT *, CASE WHEN NOT found THEN 'not_found' WHEN NOT valid THEN 'invalid' WHEN NOT ok THEN 'conflict'
+            WHEN (n_sku, n_name, n_description, n_active) IS DISTINCT FROM
+                 (lag(n_sku, 1, t_sku) OVER w, lag(n_name, 1, t_name) OVER w, lag(n_description, 1, t_description) OVER w, lag(n_active, 1, t_active) OVER w)
+            THEN 'patched' ELSE 'unchanged' END AS outcome
+  FROM seen WINDOW w AS (PARTITION BY id ORDER BY req_id))
+SELECT req_id, id, outcome, CASE WHEN ok THEN n_sku END AS sku, CASE WHEN ok THEN n_name END AS name,
+       CASE WHEN ok THEN n_description END AS description, CASE WHEN ok THEN n_active END AS active,
+       CASE WHEN ok THEN CASE WHEN count(*) FILTER (WHERE outcome = 'patched') OVER (PARTITION BY id ORDER BY req_id) > 0
+            THEN TIMESTAMP '{A.RUN_TS}' ELSE t_updated_at END END AS updated_at
+FROM cmp""")
 def catalog_patch(spark, sf_dir):
     return ED.patch(A.catalog(spark, sf_dir), A.patch_requests(spark, sf_dir), A.run_ts())
 
 
+@register("catalog_after_patch", O.with_(O.CATALOG) + f""",
+rep AS ({ORACLE['catalog_patch']}),
+fin AS (SELECT id, max(req_id) AS req_id FROM rep WHERE outcome IN ('patched', 'unchanged') GROUP BY id)
+SELECT c.id, coalesce(r.sku, c.sku) AS sku, coalesce(r.name, c.name) AS name,
+       CASE WHEN r.id IS NULL THEN c.description ELSE r.description END AS description,
+       coalesce(r.active, c.active) AS active, c.created_at, coalesce(r.updated_at, c.updated_at) AS updated_at,
+       lower(coalesce(r.sku, c.sku)) AS sku_key
+FROM catalog c LEFT JOIN fin f ON c.id = f.id LEFT JOIN rep r ON r.id = f.id AND r.req_id = f.req_id""")
+def catalog_after_patch(spark, sf_dir):
+    table = A.catalog(spark, sf_dir)
+    return _published(spark, ED.after_patch(table, catalog_patch(spark, sf_dir)))
+
+
 @register("catalog_delete", O.with_(O.CATALOG) + """
 SELECT r.id, CASE WHEN c.id IS NOT NULL THEN 'deleted' ELSE 'not_found' END AS outcome
 FROM (SELECT DISTINCT l_orderkey * 2 + 1 AS id FROM lineitem) r LEFT JOIN catalog c ON r.id = c.id""")
@@ -333,24 +375,36 @@ def job_outcome(spark, sf_dir):
 
 
 @register("bulk_delete_progress", O.with_(O.CATALOG, O.JOBS) + f""",
-first_job AS (SELECT job_id FROM jobs WHERE job_type = 'bulk_delete' ORDER BY created_at, job_id LIMIT 1),
-n AS (SELECT count(*) AS total FROM catalog),
-b AS (SELECT range AS i FROM range(0, (SELECT CAST(ceil(total / {A.FEED_BATCH}) AS BIGINT) + 1 FROM n)))
-SELECT (SELECT job_id FROM first_job) AS job_id, CAST(0 AS BIGINT) AS seq, 'preparing' AS status, 'counting' AS stage,
-       CAST(0 AS BIGINT) AS processed_rows, (SELECT total FROM n) AS total_rows, 0.0 AS progress
-UNION ALL
-SELECT (SELECT job_id FROM first_job), i + 1, 'deleting', 'batch_' || CAST(i AS VARCHAR),
-       least(i * {A.FEED_BATCH}, (SELECT total FROM n)), (SELECT total FROM n),
-       round_even(CAST(least(i * {A.FEED_BATCH}, (SELECT total FROM n)) AS DOUBLE) / (SELECT total FROM n) * 100, 2)
-FROM b
-UNION ALL
-SELECT (SELECT job_id FROM first_job), (SELECT CAST(ceil(total / {A.FEED_BATCH}) AS BIGINT) + 2 FROM n), 'done',
-       'completed', (SELECT total FROM n), (SELECT total FROM n), 100.0""")
+runs AS (
+  SELECT job_id, CASE WHEN row_number() OVER (ORDER BY created_at, job_id) = 1 THEN (SELECT count(*) FROM catalog) ELSE 0 END AS total
+  FROM jobs WHERE job_type = 'bulk_delete'),
+recs AS (
+  SELECT job_id, total, CAST(0 AS BIGINT) AS seq, 'preparing' AS status, 'counting' AS stage, CAST(0 AS BIGINT) AS done FROM runs
+  UNION ALL
+  SELECT job_id, total, i + 1, 'deleting', 'batch_' || CAST(i AS VARCHAR), least(i * {A.FEED_BATCH}, total)
+  FROM runs, LATERAL (SELECT unnest(range(0, CAST(ceil(total / {A.FEED_BATCH}) AS BIGINT) + 1)) AS i) WHERE total > 0
+  UNION ALL
+  SELECT job_id, total, CASE WHEN total > 0 THEN CAST(ceil(total / {A.FEED_BATCH}) AS BIGINT) + 2 ELSE 1 END, 'done', 'completed', total FROM runs)
+SELECT job_id, seq, status, stage, done AS processed_rows, total AS total_rows,
+       CASE WHEN total > 0 THEN round_even(CAST(done AS DOUBLE) / total * 100, 2) ELSE 0.0 END AS progress
+FROM recs""")
 def bulk_delete_progress(spark, sf_dir):
-    js = A.jobs(spark, sf_dir).filter(F.col("job_type") == "bulk_delete")
-    first = js.orderBy("created_at", "job_id").select("job_id").first()
-    total = A.catalog(spark, sf_dir).count()
-    return ED.bulk_delete_progress(spark, first["job_id"], total, A.FEED_BATCH)
+    return ED.bulk_delete_progress(A.jobs(spark, sf_dir), A.catalog(spark, sf_dir), A.FEED_BATCH)
+
+
+@register("catalog_after_bulk_delete", O.with_(O.CATALOG, O.JOBS) + f"""
+SELECT {CAT_COLS}, sku_key FROM catalog WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE job_type = 'bulk_delete')""")
+def catalog_after_bulk_delete(spark, sf_dir):
+    table = A.catalog(spark, sf_dir)
+    return _published(spark, ED.after_bulk_delete(table, bulk_delete_progress(spark, sf_dir)))
+
+
+@register("job_type_guard", O.with_(O.JOBS) + """
+SELECT job_id, job_type = 'bulk_delete' AS runs,
+       CASE WHEN job_type <> 'bulk_delete' THEN 'Job ' || job_id || ' is not a bulk_delete job (type: ' || job_type || ')' END AS error
+FROM jobs""")
+def job_type_guard(spark, sf_dir):
+    return ED.job_type_guard(A.jobs(spark, sf_dir))
 
 
 # ---- progress ---------------------------------------------------------------------------
@@ -423,7 +477,8 @@ WITH m AS (
       CASE WHEN event_id % 9 <> 0 THEN CASE WHEN event_id % 2 = 0
            THEN '"progress":' || CAST(event_id % 100 AS VARCHAR)
            ELSE '"progress_percent":' || CAST(event_id % 100 AS VARCHAR) END END,
-      CASE WHEN event_id % 3 = 0 THEN '"updated_at":' || CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR)
+      CASE WHEN event_id % 21 = 0 THEN '"updated_at":"' || CAST(event_id AS VARCHAR) || '"'
+           WHEN event_id % 3 = 0 THEN '"updated_at":' || CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR)
            ELSE '"updated_at":"2024-01-0' || CAST(event_id % 9 + 1 AS VARCHAR) || 'T00:00:00Z"' END) || '}' END AS data
   FROM events),
 p AS (
@@ -434,11 +489,12 @@ p AS (
          CAST(json_extract(data, '$.progress') AS DOUBLE) AS progress,
          CAST(json_extract(data, '$.progress_percent') AS DOUBLE) AS progress_percent,
          json_extract_string(data, '$.error_message') AS error_message,
-         json_extract_string(data, '$.updated_at') AS updated_at
+         json_extract_string(data, '$.updated_at') AS updated_at,
+         json_type(data, '$.updated_at') <> 'VARCHAR' AS is_number
   FROM m WHERE trim(data) <> '' AND coalesce(json_extract_string(data, '$.event'), '') <> 'close')
 SELECT msg_id, coalesce(job_id, '') AS job_id, status, stage, total_rows, coalesce(processed_rows, 0) AS processed_rows,
        coalesce(progress_percent, progress) AS progress_percent, error_message,
-       CASE WHEN TRY_CAST(updated_at AS DOUBLE) IS NOT NULL
+       CASE WHEN is_number
             THEN strftime(make_timestamp(CAST(CAST(updated_at AS DOUBLE) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ')
             ELSE updated_at END AS updated_at,
        CASE status WHEN 'done' THEN 'completed' WHEN 'failed' THEN 'failed'
@@ -487,8 +543,10 @@ def _pairs(spark, sf_dir):
     return EV.fan_out(A.changes(spark, sf_dir), A.valid_subscriptions(spark, sf_dir))
 
 
-def _log(spark, sf_dir):
-    changes = A.with_response_bodies(spark, sf_dir, A.changes(spark, sf_dir))
+def _log(spark, sf_dir, bodies: bool = False):
+    """Inputs of the delivery log; only the log itself stores bodies and payloads."""
+    changes = A.changes(spark, sf_dir)
+    changes = A.with_response_bodies(spark, sf_dir, EV.payload_json(changes)) if bodies else A.without_response_bodies(changes)
     pairs = EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir))
     pairs = EV.classify_deliveries(pairs, A.current_subscriptions(spark, sf_dir))
     return A.delivery_inputs(pairs.filter(F.col("action") == "deliver"))
@@ -536,7 +594,12 @@ SELECT event_id, event_type,
             WHEN NOT starts_with(event_type, 'product.') OR event_type = 'product.bulk_deleted' THEN 'done' END AS j_status,
        CASE WHEN NOT starts_with(event_type, 'product.') OR event_type = 'product.bulk_deleted' THEN count END AS j_count,
        CASE WHEN event_type IN ('product.bulk_deleted', 'import.completed') THEN total END AS j_total,
-       error_message AS j_error
+       error_message AS j_error,
+       CASE WHEN event_type IN ('product.created', 'product.updated', 'product.deleted')
+            THEN 'active,created_at,description,id,name,sku,updated_at'
+            WHEN event_type = 'product.bulk_deleted' THEN 'deleted_count,job_id,status,total_products'
+            WHEN event_type = 'import.completed' THEN 'job_id,processed_rows,status,total_rows'
+            ELSE 'error_message,job_id,processed_rows,status' END AS j_keys
 FROM changes""")
 def change_feed(spark, sf_dir):
     c = EV.payload_json(A.changes(spark, sf_dir))
@@ -546,7 +609,8 @@ def change_feed(spark, sf_dir):
         g("$.created_at").alias("j_created_at"), g("$.job_id").alias("j_job_id"), g("$.status").alias("j_status"),
         F.coalesce(g("$.deleted_count"), g("$.processed_rows")).cast("long").alias("j_count"),
         F.coalesce(g("$.total_products"), g("$.total_rows")).cast("long").alias("j_total"),
-        g("$.error_message").alias("j_error"))
+        g("$.error_message").alias("j_error"),
+        F.array_join(F.array_sort(F.json_object_keys("payload")), ",").alias("j_keys"))
 
 
 @register("delivery_classify", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
@@ -557,10 +621,10 @@ def delivery_classify(spark, sf_dir):
 
 
 @register("delivery_log", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
-SELECT id, webhook_id, event_type, event_id, status, response_code, response_body, response_time_ms,
+SELECT id, webhook_id, event_type, event_id, payload, status, response_code, response_body, response_time_ms,
        attempted_at, completed_at FROM dlog""")
 def delivery_log(spark, sf_dir):
-    return EV.delivery_log(_log(spark, sf_dir)).drop("internal_failures")
+    return EV.delivery_log(_log(spark, sf_dir, bodies=True)).drop("internal_failures")
 
 
 @register("delivery_history", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
@@ -572,6 +636,23 @@ def delivery_history(spark, sf_dir):
     return EV.history(EV.delivery_log(_log(spark, sf_dir)))
 
 
+@register("delivery_history_page", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT * FROM (
+  SELECT id, webhook_id, event_type, status, response_code, response_time_ms, attempted_at, completed_at,
+         CAST(row_number() OVER (PARTITION BY webhook_id ORDER BY attempted_at DESC, id DESC) AS INTEGER) AS rank
+  FROM dlog) WHERE rank BETWEEN 51 AND 100""")
+def delivery_history_page(spark, sf_dir):
+    return EV.history(EV.delivery_log(_log(spark, sf_dir)), page=2)
+
+
+@register("delivery_history_facts", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT webhook_id, 2 AS page, 50 AS page_size, count(*) AS total,
+       CAST(greatest(0, least(50, count(*) - 50)) AS BIGINT) AS n_rows, count(*) >= 100 AS has_next, TRUE AS has_previous
+FROM dlog GROUP BY webhook_id""")
+def delivery_history_facts(spark, sf_dir):
+    return EV.history_facts(EV.delivery_log(_log(spark, sf_dir)), page=2)
+
+
 @register("delivery_totals", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
 SELECT webhook_id, count(*) AS total FROM dlog GROUP BY webhook_id""")
 def delivery_totals(spark, sf_dir):
@@ -596,13 +677,22 @@ def attempt_ledger(spark, sf_dir):
     return EV.attempt_ledger(EV.delivery_log(_log(spark, sf_dir)))
 
 
+@register("delivery_latest", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
+SELECT event_id, webhook_id, CASE WHEN internal_failures >= 4 THEN 'pending' ELSE status END AS status,
+       CAST(least(internal_failures + 1, 4) AS INTEGER) AS attempts, CAST(least(internal_failures + 1, 4) AS BIGINT) AS n_rows
+FROM dlog""")
+def delivery_latest(spark, sf_dir):
+    """Pending rows followed by the outcome, latest per delivery."""
+    return EV.latest_status(attempt_ledger(spark, sf_dir))
+
+
 # ---- codec, flagship, pre-flight -------------------------------------------------------
 
 
 @register("json_values", """
 WITH h AS (
   SELECT event_id,
-         CASE WHEN event_id % 2 = 0 THEN '"' || s || '"' ELSE s END AS status_raw,
+         CASE WHEN event_id % 10 = 4 THEN 'null' WHEN event_id % 2 = 0 THEN '"' || s || '"' ELSE s END AS status_raw,
          CAST(event_id % 1000 AS VARCHAR) AS rows_raw,
          CASE WHEN event_id % 3 = 0 THEN '"2024-01-01T00:00:00+00:00"' ELSE CAST(event_id AS VARCHAR) || '.5' END
            AS updated_raw, props
@@ -665,6 +755,11 @@ def preflight_sizes(spark, sf_dir):
 # ---- streaming forms (same answers as the batch queries) -------------------------------------
 
 
+def _events_stream(spark, sf_dir):
+    schema = A.table(spark, sf_dir, "events").schema
+    return ST.file_stream(spark, A.event_files(spark, sf_dir), schema)
+
+
 @register("stream_import", ORACLE["csv_import_e2e"])
 def stream_import(spark, sf_dir):
     store = CatalogStore(spark, fresh_scratch_path(spark, "catalog"), buckets=8)
@@ -675,16 +770,17 @@ def stream_import(spark, sf_dir):
 
 @register("stream_snapshot", ORACLE["progress_snapshot"])
 def stream_snapshot(spark, sf_dir):
-    ev = A.progress_events_of(ST.table_stream(spark, sf_dir, "events"))
-    snap = PG.snapshot(ev, A.ASOF)
+    """The snapshots of a stream that stops at the as-of time."""
+    ev = A.progress_events_of(_events_stream(spark, sf_dir)).filter(F.col("updated_at") <= F.lit(A.ASOF).cast("timestamp_ntz"))
     out = fresh_scratch_path(spark, "snap")
-    ST.to_parquet(snap, out, mode="complete")
-    return ST.latest_complete(out, spark)
+    ST.to_parquet(ST.snapshot_ttl_stream(ev), out, mode="update")
+    live = F.col("updated_at") > F.lit(A.ASOF).cast("timestamp") - F.expr("INTERVAL 3600 SECONDS")
+    return ST.newest_per_key(out, spark).withColumn("live", live)
 
 
 @register("stream_fanout", ORACLE["event_fanout"])
 def stream_fanout(spark, sf_dir):
-    changes = A.changes_of(ST.table_stream(spark, sf_dir, "events"), A.catalog(spark, sf_dir))
+    changes = A.changes_of(_events_stream(spark, sf_dir), A.catalog(spark, sf_dir))
     pairs = EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir)).select("event_id", "event_type", "webhook_id")
     out = fresh_scratch_path(spark, "fanout")
     ST.to_parquet(pairs, out)
@@ -693,7 +789,7 @@ def stream_fanout(spark, sf_dir):
 
 @register("stream_throttled", ORACLE["progress_throttled"])
 def stream_throttled(spark, sf_dir):
-    upd = A.throttle_updates_of(ST.table_stream(spark, sf_dir, "events"))
+    upd = A.throttle_updates_of(_events_stream(spark, sf_dir))
     out = fresh_scratch_path(spark, "throttle")
     ST.to_parquet(ST.throttle_stream(upd), out)
     return spark.read.parquet(out).drop("batch")
@@ -703,7 +799,7 @@ def stream_throttled(spark, sf_dir):
 SELECT 'product.created' AS event_type, CAST(id AS VARCHAR) AS subject
 FROM ({ORACLE['catalog_create']}) WHERE outcome = 'created'
 UNION ALL
-SELECT 'product.updated', CAST(id AS VARCHAR) FROM ({ORACLE['catalog_patch']}) WHERE outcome = 'patched'
+SELECT 'product.updated', CAST(id AS VARCHAR) FROM ({ORACLE['catalog_patch']}) WHERE outcome IN ('patched', 'unchanged')
 UNION ALL
 SELECT 'product.deleted', CAST(id AS VARCHAR) FROM ({ORACLE['catalog_delete']}) WHERE outcome = 'deleted'
 UNION ALL
@@ -725,7 +821,7 @@ def job_checks(spark, sf_dir):
     return J.check_jobs(A.jobs(spark, sf_dir))
 
 
-@register("stream_snapshot_ttl", O.with_(O.PROGRESS_EVENTS) + """
+@register("stream_snapshot_ttl", O.with_(O.PROGRESS_EVENTS, O.LIVE_RUN.format(name="live_run", src="progress_events")) + """
 SELECT job_id,
        arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS status,
        arg_max(stage, CASE WHEN stage IS NOT NULL THEN seq END) AS stage,
@@ -735,9 +831,9 @@ SELECT job_id,
        arg_max(error_message, CASE WHEN error_message IS NOT NULL THEN seq END) AS error_message,
        max(updated_at) AS updated_at, max(seq) AS last_seq,
        epoch_ms(max(updated_at)) + 3600000 >= (SELECT epoch_ms(max(updated_at)) FROM progress_events) AS live
-FROM progress_events GROUP BY job_id""")
+FROM live_run GROUP BY job_id""")
 def stream_snapshot_ttl(spark, sf_dir):
-    ev = A.progress_events_of(ST.table_stream(spark, sf_dir, "events"))
+    ev = A.progress_events_of(_events_stream(spark, sf_dir))
     out = fresh_scratch_path(spark, "snap-ttl")
     ST.to_parquet(ST.snapshot_ttl_stream(ev), out, mode="update")
     return ST.newest_per_key(out, spark)
@@ -816,7 +912,7 @@ def stream_tail(spark, sf_dir):
         "job_id", F.lit(9223372036854775807).alias("pos"), F.lit("close").alias("kind"),
         F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("stage"),
         F.lit(None).cast("long").alias("processed_rows"), F.lit(None).cast("double").alias("progress_percent"))
-    ev = A.progress_events_of(ST.table_stream(spark, sf_dir, "events"))
+    ev = A.progress_events_of(_events_stream(spark, sf_dir))
     out = fresh_scratch_path(spark, "tail")
     ST.to_parquet(ST.tail_stream(ev, jobs), out)
     streamed = spark.read.parquet(out).drop("batch")
@@ -840,7 +936,7 @@ def stream_delivery_log(spark, sf_dir):
     """delivery_log as a stream: event stream -> fan-out -> re-check -> log sink."""
     from feedyard.sources import logs
     changes = A.with_response_bodies(
-        spark, sf_dir, A.changes_of(ST.table_stream(spark, sf_dir, "events"), A.catalog(spark, sf_dir)))
+        spark, sf_dir, EV.payload_json(A.changes_of(_events_stream(spark, sf_dir), A.catalog(spark, sf_dir))))
     pairs = EV.classify_deliveries(EV.fan_out(changes, A.valid_subscriptions(spark, sf_dir)),
                                    A.current_subscriptions(spark, sf_dir))
     log = EV.delivery_log(A.delivery_inputs(pairs.filter(F.col("action") == "deliver"))).drop("internal_failures")
@@ -854,3 +950,39 @@ SELECT {CAT_COLS} FROM catalog ORDER BY created_at DESC, id DESC LIMIT 100""")
 def catalog_simple_page(spark, sf_dir):
     """The unfiltered listing with its defaults (limit 100, offset 0), newest first."""
     return C.page(A.catalog(spark, sf_dir), C.ProductFilter(), 1, 100).select(*CAT_COLS.split(", "))
+
+
+@register("job_ledger_sink", ORACLE["job_latest"])
+def job_ledger_sink(spark, sf_dir):
+    """The job events through the append-only log, in two appends, then the fold."""
+    from feedyard.sources import logs
+    out, ev = fresh_scratch_path(spark, "job-log"), A.job_events(spark, sf_dir)
+    logs.append_job_events(ev.filter(F.col("increment").isNull()), out)
+    logs.append_job_events(ev.filter(F.col("increment").isNotNull()), out)
+    return J.latest(logs.read_log(spark, out))
+
+
+@register("progress_sink", ORACLE["progress_snapshot"])
+def progress_sink(spark, sf_dir):
+    """The progress records through the append-only log, then the snapshot."""
+    from feedyard.sources import logs
+    out = fresh_scratch_path(spark, "progress-log")
+    logs.append_progress(A.progress_events(spark, sf_dir), out)
+    return PG.snapshot(logs.read_log(spark, out), A.ASOF)
+
+
+@register("delivery_sink", ORACLE["delivery_history"])
+def delivery_sink(spark, sf_dir):
+    """The deliveries through the dated log, then the history."""
+    from feedyard.sources import logs
+    out = fresh_scratch_path(spark, "delivery-log")
+    logs.append_deliveries(EV.delivery_log(_log(spark, sf_dir)), out)
+    return EV.history(logs.read_deliveries(spark, out))
+
+
+@register("progress_keys", O.with_(O.JOBS) + """
+SELECT job_id, 'import_progress:hash:' || job_id AS hash_key, 'import_progress:channel:' || job_id AS channel_key FROM jobs""")
+def progress_keys(spark, sf_dir):
+    """names of a job's stored hash and of its channel."""
+    stored, channel = progress_key_names("job_id")
+    return A.jobs(spark, sf_dir).select("job_id", stored.alias("hash_key"), channel.alias("channel_key"))

@@ -112,9 +112,6 @@ CATALOG = T.StructType([
     T.StructField("sku_key", T.StringType(), False),
 ])
 
-CREATE_REQUEST = "req_id LONG, sku STRING, name STRING, description STRING, active BOOLEAN"
-PATCH_REQUEST = "req_id LONG, id LONG, sku STRING, name STRING, description STRING, active BOOLEAN"
-
 JOB_EVENT = T.StructType([
     T.StructField("job_id", T.StringType()),
     T.StructField("seq", T.LongType()),

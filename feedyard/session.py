@@ -95,13 +95,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for staged tables and checkpoints.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only when the session has none
-    (local tests) a fresh local folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``.  A local session without one (tests) gets
+    a fresh local folder; on a cluster a missing setting is an error, since executors
+    would write to disks of their own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="feedyard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -117,9 +120,7 @@ def fresh_scratch_path(spark: SparkSession, kind: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when `path` (local or any Hadoop filesystem) exists."""
-    if path.startswith("/") or path.startswith("file:"):
-        return os.path.exists(path.replace("file:", "", 1))
+    """True when `path` exists in its filesystem (the default one when it names no scheme)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

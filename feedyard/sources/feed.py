@@ -63,13 +63,17 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def header_names(header_line: Column) -> Column:
-    """Split a header line into names; drops a UTF-8 byte-order mark and outer quotes."""
+    """Split a header line at the commas outside quotes; drops a UTF-8 byte-order mark and
+    outer quotes, and undoubles quotes inside."""
     line = F.regexp_replace(header_line, "^﻿", "")
-    return F.transform(F.split(line, ","), lambda x: F.regexp_replace(x, r'^"(.*)"$', "$1"))
+    names = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(names, lambda x: F.when(
+        x.rlike('^".*"$'), F.replace(F.regexp_replace(x, r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
-def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per listed file: header, names, multiLine need, bad bytes, line count."""
+def file_facts(spark: SparkSession, path: str | list[str], in_order: bool = False) -> DataFrame:
+    """One row per listed file: header, names, multiLine need, bad bytes, line count; ranked
+    by path, or by (modification time, path) with `in_order`."""
     lines = (spark.read.option("recursiveFileLookup", "true").text(path)
              .select(F.col("value"),
                      F.col("_metadata.file_path").alias("path"),
@@ -90,7 +94,8 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("names", F.when(F.col("header_line").isNotNull()
                                         & (F.col("header_line") != ""),
                                         header_names(F.col("header_line"))))
-            .withColumn("file_rank", F.dense_rank().over(Window.orderBy("path"))))
+            .withColumn("file_rank", F.dense_rank().over(
+                Window.orderBy("modified_at", "path") if in_order else Window.orderBy("path"))))
 
 
 @dataclass(frozen=True)

@@ -19,26 +19,29 @@ class Feed:
     acc: DataFrame     # accepted rows + acc_ord and batch
 
 
-def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IMPORT_BATCH_SIZE) -> Feed:
+def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IMPORT_BATCH_SIZE,
+              in_order: bool = False) -> Feed:
     scratch_root(spark)  # make sure checkpoints have a shared home
     # per-file facts: one row per file (like the file index Spark keeps on the driver);
     # collected once, they drive the read groups and become a small local table
-    facts_df = FD.file_facts(spark, path)
+    facts_df = FD.file_facts(spark, path, in_order)
     fact_rows = facts_df.collect()
     facts = spark.createDataFrame(fact_rows, facts_df.schema)
     scanned = FD.scan_feed(spark, fact_rows)
     if scanned is None:  # no file passed the header gate: an empty, typed frame
         scanned = spark.createDataFrame([], FD.SCAN_SCHEMA)
-    # Integer file ids (one row per file, count-checked broadcast), then stage the
-    # parsed, classified rows once: the ids taken at the scan stay valid for the later
-    # ordinal joins, and an executor loss re-reads the stage, not the CSV.
+    # Stage the parsed, classified rows once: the ids taken at the scan stay valid for the
+    # later ordinal joins, and an executor loss re-reads the stage, not the CSV.  Integer
+    # file ids (one row per file, count-checked broadcast) are joined afterwards.
     ranks = facts.select("path", "file_rank")
     ranks = F.broadcast(ranks) if len(fact_rows) <= FD.SMALL_TABLE_ROWS else ranks
-    staged = clean.classify(scanned).join(ranks, "path").checkpoint(eager=True)
+    scan = clean.classify(scanned).checkpoint(eager=True)
+    # both ids are taken in scan order, before any join can move rows
+    acc = clean.accepted(scan).withColumn("m2", F.monotonically_increasing_id()).join(ranks, "path")
+    staged = scan.join(ranks, "path")
 
     rows = FD.with_ordinals(staged)
 
-    acc = clean.accepted(staged).withColumn("m2", F.monotonically_increasing_id())
     all_blocks = FD.block_offsets(staged, "m1", "blk").select("file_rank", "bs", "blk_min", "blk_off")
     acc_blocks = FD.block_offsets(acc, "m2", "acc").select("file_rank", "bs", "acc_min", "acc_off")
     blocks = all_blocks.join(acc_blocks, ["file_rank", "bs"])

@@ -8,7 +8,6 @@ no pointer rewrite are needed.  A streaming micro-batch publishes version
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,19 +32,24 @@ class CatalogStore:
     def _version_path(self, n: int) -> str:
         return f"{self.root}/v={n:09d}"
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def drop_before(self, version: int) -> None:
+        """Delete the versions under `version`: a replay reads `version` at the earliest."""
+        for v in self.versions():
+            if v < version:
+                if self.buckets:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self._table(v)}")
+                p, fs = self._fs(self._version_path(v))
+                fs.delete(p, True)
+
     def versions(self) -> list[int]:
-        root = self.root.replace("file:", "", 1)
-        if root.startswith("/"):
-            if not os.path.isdir(root):
-                return []
-            names = os.listdir(root)
-        else:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(self.root)
-            fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            if not fs.exists(p):
-                return []
-            names = [s.getPath().getName() for s in fs.listStatus(p)]
+        p, fs = self._fs(self.root)
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
         out = []
         for n in names:
             if n.startswith("v=") and path_exists(self.spark, f"{self.root}/{n}/_SUCCESS"):
