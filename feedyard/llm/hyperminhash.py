@@ -8,12 +8,15 @@
    choice of buckets, wide enough to meet about five filled registers at the node's
    size class (powers of sqrt 2).  A node that may reach the next class at the given
    similarity is banded in both, so that any two nodes that can link share a class.
-4. In each band bucket, nodes are compared with one centre after another (stars) while
-   that joins components; what is then still in different components is compared pair
-   by pair.  Pairs inside one component need no test, so a large group of copies costs
-   a pass over its members and not its square.
-5. A pair is first judged by the collision-corrected Jaccard estimate of its registers
-   (rejected only six standard errors under the limit) and then on the full sets.
+4. The centre of a band bucket is its member that shares most buckets with others (for a
+   group of edited copies that is the text they come from).  Every member is compared with
+   its bucket's centre.  What links with the centre is one component; a member that does not
+   is compared with all members of the centre's buckets, in blocks whose intersection sizes
+   are counted as one matrix.  So every pair that shares a bucket is decided, the compared
+   rows grow with the buckets' members, and pairs inside a component cost nothing.
+5. A pair with a centre is first judged by the collision-corrected Jaccard estimate of its
+   registers (rejected only six standard errors under the limit) and then on the full sets;
+   the blocks work on the full sets.
 
 Two sets of similarity 0.8 miss each other in all 42 bands with probability of about 1e-5
 or less.  Nothing is capped.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedyard.llm.common import STEP_BYTES, mix64, only, prep, row_key, shingles, stage, steps, utf8, word_hashes
+from feedyard.llm.common import STEP_BYTES, mix64, only, prep, row_key, shingles, stage, steps, unstage, utf8, word_hashes
 from feedyard.llm.components import components
 
 BUCKET_BITS = 8
@@ -41,7 +44,8 @@ MANTISSA_BITS = 10
 BANDS = 42
 #: Filled registers that a band should meet.
 BAND_WIDTH = 5.0
-STAR_ROUNDS = 4
+#: Set bytes of one block.
+BLOCK_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- sketches
@@ -169,19 +173,117 @@ def _linked(ra: bytes, rb: bytes, sa: bytes, sb: bytes, num: int) -> bool:
     return 100 * inter >= num * (na + nb - inter)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """Pairs (a, b) whose sets have 100 * intersection >= num * union."""
-    left = sets.select(F.col("v").alias("a"), F.col("regs").alias("ra"), F.col("set").alias("sa"))
-    right = sets.select(F.col("v").alias("b"), F.col("regs").alias("rb"), F.col("set").alias("sb"))
+def stars(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """(c, v, set, linked) of centres c and members v: whether 100 * intersection >= num * union."""
+    left = sets.select("v", F.col("regs").alias("rv"), F.col("set").alias("sv"))
+    right = sets.select(F.col("v").alias("c"), F.col("regs").alias("rc"), F.col("set").alias("sc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("ra", "rb", "sa", "sb")]
+            cols = [b.column(x).to_pylist() for x in ("rv", "rc", "sv", "sc")]
             ok = pa.array([_linked(*x, num) for x in zip(*cols, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("v"), b.column("sv"), ok], names=["c", "v", "set", "linked"])
 
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "sa", "sb")
-            .mapInArrow(run, "u long, v long"))
+    return (pairs.join(left, "v").join(right, "c").select("c", "v", "rv", "rc", "sv", "sc")
+            .mapInArrow(run, "c long, v long, set binary, linked boolean"))
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(x, y) matrix of intersection sizes of sorted sets."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    ex, ey = np.concatenate(x), np.concatenate(y)
+    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    both = np.intersect1d(ex, ey)
+    if not len(both):
+        return out
+
+    def placed(e: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, e), len(both) - 1)
+        ok = both[at] == e
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], r[ok][order]
+
+    (ux, rx), (uy, ry) = placed(ex, rx), placed(ey, ry)
+    nx, ny = np.bincount(ux, minlength=len(both)), np.bincount(uy, minlength=len(both))
+    if len(x) * len(y) * len(both) < 300.0 * float((nx * ny).sum()):  # dense: a product of 0/1 matrices
+        for lo in range(0, len(both), 4096):
+            hi = min(lo + 4096, len(both))
+            a, b = (np.zeros((n, hi - lo), np.float32) for n in (len(x), len(y)))
+            for m, u, r in ((a, ux, rx), (b, uy, ry)):
+                s, e = np.searchsorted(u, [lo, hi])
+                m[r[s:e], u[s:e] - lo] = 1
+            out += a @ b.T
+        return out
+    fx, fy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    at, done = 0, np.cumsum(nx * ny)
+    while at < len(both):  # sparse: the rows that share an element, some million at a time
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 22))))
+        n = (nx * ny)[at:end]
+        u = np.repeat(np.arange(at, end), n)
+        k = np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(rx[fx[u] + k // ny[u]] * len(y) + ry[fy[u] + k % ny[u]], minlength=out.size).reshape(out.shape)
+        at = end
+    return out
+
+
+def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while up.get(i, i) != i:
+            up[i] = up.get(up[i], up[i])
+            i = up[i]
+        return i
+
+    out = []
+    for i, j in zip(a, b, strict=True):
+        ri, rj = root(i), root(j)
+        if ri != rj:
+            up[max(ri, rj)] = min(ri, rj)
+            out.append((i, j))
+    return out
+
+
+def _block_links(num: int):
+    """Links in blocks: rows of side 0 and unlinked rows of side 2 against rows of sides 1 and 2
+    of the same centre."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        c, v, side = (rows.column(x).to_numpy() for x in ("c", "v", "side"))
+        linked = rows.column("linked").to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, bool)
+        sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+        a, b = [], []
+        order = np.argsort(c, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
+            xs, ys = part[(side[part] == 0) | ((side[part] == 2) & ~linked[part])], part[side[part] > 0]
+            if not len(xs) or not len(ys):
+                continue
+            inter = intersections([sets[i] for i in xs], [sets[i] for i in ys])
+            total = np.array([len(sets[i]) for i in xs])[:, None] + np.array([len(sets[i]) for i in ys])[None]
+            i, j = np.nonzero((100 * inter >= num * (total - inter)) & (v[xs][:, None] != v[ys][None]))
+            a += v[xs[i]].tolist()
+            b += v[ys[j]].tolist()
+        tree = _forest(a, b)
+        return pa.table([pa.array([t[0] for t in tree], pa.int64()), pa.array([t[1] for t in tree], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def within_stars(star: DataFrame, num: int) -> DataFrame:
+    """Links between the members of a centre of which at least one does not link with it."""
+    size = F.octet_length("set").cast("long") + 64
+    part = star.groupBy("c").agg(F.sum(size).alias("b"), F.sum(F.when(~F.col("linked"), size).otherwise(0)).alias("xb"), F.count("*").alias("n")).where("xb > 0 and n > 1")
+    part = part.withColumn("ny", F.ceil(F.col("b") / BLOCK_BYTES).cast("int")).withColumn("nx", F.ceil(F.col("xb") / BLOCK_BYTES).cast("int"))
+    rows = star.join(part.select("c", "nx", "ny", "b"), "c")
+    # small stars go whole, many to a group; of large ones, every block meets every block
+    groups = part.where("ny = 1").agg(F.greatest(F.lit(1), F.ceil(F.sum("b") / BLOCK_BYTES)).cast("long")).first()[0] or 1
+    small = rows.where("ny = 1").select(F.pmod(F.xxhash64("c"), F.lit(groups)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "c", "v", "set", "linked", F.lit(2).alias("side"))
+    big = rows.where("ny > 1")
+    own = F.xxhash64("v")
+    x = big.where("not linked").select(F.col("c").alias("g"), F.pmod(own, F.col("nx")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"), "c", "v", "set", "linked", F.lit(0).alias("side"))
+    y = big.select(F.col("c").alias("g"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"), F.pmod(own, F.col("ny")).cast("int").alias("j"), "c", "v", "set", "linked", F.lit(1).alias("side"))
+    return small.unionAll(x).unionAll(y).groupBy("g", "i", "j").applyInArrow(_block_links(num), "u long, v long")
 
 
 def _node_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -216,42 +318,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, extra: list
     same = named.join(nodes.select("s1", "s2", "v"), ["s1", "s2"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
     b = bands(nodes, limit).distinct()
-    crowded = b.groupBy("key").agg(F.min("v").alias("c"), F.count("*").alias("m")).where("m > 1")
-    members = stage(b.join(crowded.select("key", "c"), "key"), "members")
-    wanted = members.select("v").distinct().join(nodes.select("v", "row", "regs"), "v")
+    crowded = b.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = stage(b.join(crowded, "key"), "members")
+    shared = members.groupBy("v").agg(F.sum("m").alias("shared"))
+    ranked = members.join(shared, "v")
+    centre = ranked.groupBy("key").agg(F.max_by(F.col("v"), F.struct(F.col("shared"), -F.col("v"))).alias("c"))
+    pairs = stage(members.join(centre, "key").where("v <> c").select("c", "v").distinct(), "pairs")
+    wanted = pairs.select("v").unionAll(pairs.select(F.col("c").alias("v"))).distinct().join(nodes.select("v", "row", "regs"), "v")
     sets = stage(_node_sets(docs, wanted, k), "sets")
-
-    tested = members.where("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
-    links = stage(verify(tested, sets, percent), "verified")
-    links_all = links
-    for turn in range(STAR_ROUNDS + 1):
-        comp = components(links_all)
-        lab = (members.select("key", "v").join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("l")))
-        open_ = lab.groupBy("key").agg(F.count("*").alias("m"), F.min("l").alias("lo"), F.max("l").alias("hi"), F.min_by("v", F.xxhash64("v", F.lit(turn))).alias("c")).where("lo <> hi")
-        lab = stage(lab.join(open_.select("key", "m", "c"), "key"), "open")
-        size = lab.groupBy("key").agg(F.max("m").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("p"), F.sum("m").alias("m")).first()
-        if not size["m"]:
-            return _result(sk, same, comp, extra)
-        star = turn < STAR_ROUNDS and size["p"] > 8 * size["m"]
-        if star:
-            x, c = lab.alias("x"), lab.where("v = c").select("key", F.col("l").alias("cl")).alias("c")
-            pairs = x.join(c, "key").where("l <> cl").select(F.least("v", "x.c").alias("a"), F.greatest("v", "x.c").alias("b"))
-        else:  # all that is left, pair by pair
-            x, y = lab.select("key", "v", "l"), lab.select("key", F.col("v").alias("w"), F.col("l").alias("lw"))
-            pairs = x.join(y, "key").where("v < w and l <> lw").select(F.col("v").alias("a"), F.col("w").alias("b"))
-        links = stage(verify(pairs.distinct(), sets, percent), "verified")
-        links_all = stage(links_all.unionAll(links), "verified")
-        if not star:
-            break
-    return _result(sk, same, components(links_all), extra)
-
-
-def _result(sk: DataFrame, same: DataFrame, comp: DataFrame, extra: list | None) -> DataFrame:
-    # equal sets hang on their node; a doc_id that occurs in several nodes ties them together
-    comp = comp.where("v <> comp").select(F.col("v").alias("u"), F.col("comp").alias("v"))
-    whole = components(same.unionAll(comp)).select(F.col("v").alias("doc_id"), "comp")
+    unstage(members)
+    star = stage(stars(pairs, sets, percent), "stars")
+    unstage(sets)
+    links = star.where("linked").select(F.col("c").alias("u"), "v").unionAll(within_stars(star, percent)).unionAll(same)
+    comp = components(links).select(F.col("v").alias("doc_id"), "comp")
     names = [c for c in sk.columns if c not in ("doc_id", "row", "n", "s1", "s2", "regs")]
-    return (sk.select("doc_id", "row", F.col("n").alias("n_shingles"), *names).join(whole, "doc_id", "left")
+    return (sk.select("doc_id", "row", F.col("n").alias("n_shingles"), *names).join(comp, "doc_id", "left")
             .select("doc_id", "row", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"),
                     F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), *names))
 
