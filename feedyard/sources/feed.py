@@ -140,7 +140,10 @@ def scan_group(spark: SparkSession, g: HeaderGroup) -> DataFrame:
                           + [T.StructField("_raw", T.StringType())])
     df = (spark.read.schema(schema).options(**READ_OPTIONS)
           .option("multiLine", "true" if g.multiline else "false").csv(list(g.paths)))
-    nf = F.when(F.col("_raw").isNull(), F.lit(width)).otherwise(_field_count(F.col("_raw")))
+    # the reader must be asked for some column besides the raw record, also when the header
+    # has none of the allowed names
+    whole = F.lit(width) + F.coalesce(F.length("c1") * 0, F.lit(0))
+    nf = F.when(F.col("_raw").isNull(), whole).otherwise(_field_count(F.col("_raw")))
     cols = [F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("bs"),
             F.monotonically_increasing_id().alias("m1"),

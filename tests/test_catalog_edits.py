@@ -84,19 +84,57 @@ def test_patch_rules(spark):
     assert got[6]["outcome"] == "patched" and got[6]["active"] is False and got[6]["description"] == "d"
 
 
+def test_patches_of_one_id_build_on_each_other(spark):
+    t = table(spark, [(1, "A-1", "N", "d", True, 1), (2, "B-2", "b", None, True, 2), (3, "C-3", "c", None, True, 3)])
+    req = spark.createDataFrame(
+        [(1, 1, None, " N ", None, None),         # padded name: nothing changes
+         (2, 1, " X-9 ", None, None, None),       # new key
+         (3, 1, "x-9", None, None, None),         # same key again, other spelling
+         (4, 2, "X-9", None, None, None),         # taken by id 1
+         (5, 1, None, None, "e", None),
+         (6, 2, None, "bb", None, None),
+         (7, 2, None, "bb", None, False)],
+        "req_id long, id long, sku string, name string, description string, active boolean")
+    rep = ED.patch(t, req, RUN)
+    got = {r["req_id"]: r for r in rep.collect()}
+    assert [got[i]["outcome"] for i in range(1, 8)] == ["unchanged", "patched", "patched", "conflict", "patched", "patched", "patched"]
+    assert (got[5]["sku"], got[5]["name"], got[5]["description"]) == ("x-9", "N", "e")
+    assert got[1]["updated_at"] == TS and (got[7]["name"], got[7]["active"]) == ("bb", False)
+    after = {r["id"]: r for r in ED.after_patch(t, rep).collect()}
+    assert (after[1]["sku"], after[1]["sku_key"], after[1]["description"]) == ("x-9", "x-9", "e")
+    assert (after[2]["sku"], after[2]["name"], after[2]["active"]) == ("B-2", "bb", False)
+    assert after[3]["updated_at"] == TS and len(after) == 3
+
+
+def test_created_rows_are_whole(spark):
+    t = table(spark, [(7, "EXIST", "e", None, True, 1)])
+    req = spark.createDataFrame([(1, " n-1 ", "  a ", "d", None), (2, None, "b", None, True), (3, None, "c", None, True)],
+                                "req_id long, sku string, name string, description string, active boolean")
+    after = ED.after_create(t, ED.create(t, req, RUN)).collect()
+    new = [r for r in after if r["id"] == 8][0]
+    assert len(after) == 2 and (new["sku"], new["name"], new["description"], new["active"], new["sku_key"]) == ("n-1", "a", "d", True, "n-1")
+    assert new["created_at"] == new["updated_at"]
+
+
 def test_delete_and_bulk_delete(spark):
     t = table(spark, [(1, "A", "a", None, True, 1), (2, "B", "b", None, True, 2)])
     report, rest = ED.delete(t, spark.createDataFrame([(2,), (3,)], "id long"))
     assert {r["id"]: r["outcome"] for r in report.collect()} == {2: "deleted", 3: "not_found"}
     assert [r["id"] for r in rest.collect()] == [1]
+    jobs = spark.createDataFrame([("j", "bulk_delete", 2), ("first", "bulk_delete", 1), ("i", "import", 0)], "job_id string, job_type string, created_at long")
     for total, batches in ((0, 0), (10000, 1), (10001, 2)):
-        recs = ED.bulk_delete_progress(spark, "j", total).orderBy("seq").collect()
-        stages = [r["stage"] for r in recs]
+        recs = ED.bulk_delete_progress(jobs, spark.range(total)).orderBy("job_id", "seq").collect()
+        stages = [r["stage"] for r in recs if r["job_id"] == "first"]
+        assert [r["stage"] for r in recs if r["job_id"] == "j"] == ["counting", "completed"]   # the table is empty by then
         if total == 0:
             assert stages == ["counting", "completed"]
         else:
             assert stages == ["counting"] + [f"batch_{i}" for i in range(batches + 1)] + ["completed"]
-            assert recs[-2]["processed_rows"] == total and recs[-2]["progress"] == 100.0
+            last = [r for r in recs if r["job_id"] == "first"][-2]
+            assert last["processed_rows"] == total and last["progress"] == 100.0
+    done = ED.bulk_delete_progress(jobs, t)
+    assert ED.after_bulk_delete(t, done).count() == 0
+    assert ED.after_bulk_delete(t, done.filter("status <> 'done'")).count() == 2
     guard = ED.job_type_guard(spark.createDataFrame([("j1", "import"), ("j2", "bulk_delete")],
                                                     "job_id string, job_type string")).collect()
     assert guard[0]["error"] == "Job j1 is not a bulk_delete job (type: import)" and guard[1]["runs"]

@@ -190,3 +190,29 @@ def test_wide_header(spark, tmpdir_path):
     feed = load_feed(spark, tmpdir_path)
     got = sorted((r["sku"], r["name"]) for r in feed.acc.collect())
     assert got == [("K-1", "Wide"), ("K-2", "Narrow")]
+
+
+def test_quoted_header_with_comma_and_quotes(spark, tmpdir_path):
+    write_file(tmpdir_path, "q.csv", '"x,y",sku,"na""me",name\n1,A-1,z,Name\n')
+    feed = load_feed(spark, tmpdir_path)
+    assert feed.facts.first()["names"] == ["x,y", "sku", 'na"me', "name"]
+    assert [(r["sku"], r["name"]) for r in feed.acc.collect()] == [("A-1", "Name")]
+
+
+def test_every_gate(spark, tmpdir_path):
+    """Extension, size (only when asked), bytes, header: the first that fails is reported."""
+    write_file(tmpdir_path, "a.txt", "sku,name\nA,a\n")
+    write_file(tmpdir_path, "b.CSV", "sku,name\nA,a\n")
+    write_file(tmpdir_path, "c.csv", b"sku,name\nA,\xff\xfe\n")
+    write_file(tmpdir_path, "d.csv", "")
+    write_file(tmpdir_path, "e.csv", "sku,price\nA,1\n")
+    write_file(tmpdir_path, "f.csv", "sku,name\n" + "A,a\n" * 40_000)
+    feed = load_feed(spark, tmpdir_path)
+    name = lambda r: os.path.basename(r["path"])
+    free = {name(r): r["gate_error"] for r in V.file_gates(feed.facts).collect()}
+    assert free == {"a.txt": "Invalid file extension: .txt. Expected .csv", "b.CSV": None, "c.csv": V.ENCODING_ERROR,
+                    "d.csv": "CSV file is empty or has no headers", "e.csv": "Missing required headers: name. Found: price, sku", "f.csv": None}
+    small = {name(r): r["gate_error"] for r in V.file_gates(feed.facts, max_mb=0.1).collect()}
+    assert small["f.csv"] == "File size (0.15 MB) exceeds maximum allowed size (0.1 MB)" and small["b.CSV"] is None
+    ok = {r["file_rank"]: r["is_valid"] for r in V.verdict(feed.facts, feed.rows).collect()}
+    assert sum(ok.values()) == 2

@@ -69,6 +69,39 @@ def test_snapshot_merge_default_and_tail(spark):
     assert [r["kind"] for r in done_first.orderBy("pos").collect()] == ["progress", "close"]
 
 
+def test_expired_snapshot_is_forgotten(spark):
+    p = prog(spark, [("j", 1, "failed", "batch_3", 30, 50, 60.0, "E"),
+                     ("j", 3601, "importing", None, None, 50, None, None),       # exactly one hour later
+                     ("k", 1, "done", "completed", 5, 5, 100.0, None)])
+    snap = {r["job_id"]: r for r in PG.snapshot(p, T0 + dt.timedelta(seconds=3700)).collect()}
+    assert (snap["j"]["status"], snap["j"]["stage"], snap["j"]["processed_rows"], snap["j"]["error_message"]) == ("importing", None, None, None)
+    assert snap["j"]["live"] and not snap["k"]["live"]
+    jobs = spark.createDataFrame([("j", "importing", 0, 50), ("k", "importing", 1, 5)],
+                                 "job_id string, status string, processed_rows long, total_rows long")
+    d = {r["job_id"]: r for r in PG.or_default(jobs, PG.snapshot(p, T0 + dt.timedelta(seconds=3700))).collect()}
+    assert d["j"]["from_snapshot"] and (d["k"]["status"], d["k"]["stage"], d["k"]["processed_rows"]) == ("importing", "queued", 1)
+    tail = PG.tail(jobs, p, F.lit(T0 + dt.timedelta(seconds=3700)).cast("timestamp")).filter("job_id = 'k'").collect()
+    assert [r["kind"] for r in tail] == ["progress"]        # an expired terminal snapshot closes nothing
+
+
+def test_number_and_text_times_and_null_codec(spark):
+    from feedyard.functions import codec as CD
+    df = spark.createDataFrame([(1, '{"status":"done","updated_at":1700000000.5}'), (2, '{"status":"done","updated_at":"1700000000"}')], "msg_id int, data string")
+    got = {r["msg_id"]: r["updated_at"] for r in PG.normalise(df).collect()}
+    assert got == {1: "2023-11-14T22:13:20.500Z", 2: "1700000000"}
+    vals = spark.createDataFrame([("null",), ('"a"',), ("a",), ("5",)], "v string").select(CD.decode_text("v").alias("d")).collect()
+    assert [r["d"] for r in vals] == [None, "a", "a", "5"]
+
+
+def test_payload_keeps_nulls_and_fractions(spark):
+    import json
+    row = spark.sql("""select 'product.updated' event_type, 1L p_id, 'S' p_sku, 'n' p_name, cast(null as string) p_description, true p_active,
+        timestamp'2024-01-01 00:00:00.25' p_created_at, timestamp'2024-01-01 00:00:00' p_updated_at,
+        cast(null as string) job_id, 0L count, 0L total, cast(null as string) error_message""")
+    p = json.loads(EV.payload_json(row).first()["payload"])
+    assert p["description"] is None and p["created_at"] == "2024-01-01T00:00:00.250000" and p["updated_at"] == "2024-01-01T00:00:00"
+
+
 def test_percent_batches_and_throttle(spark):
     acc = spark.createDataFrame([(1, 1 + i // 10000) for i in range(12000)], "file_rank int, batch long")
     rows = spark.createDataFrame([(1,)] * 12000, "file_rank int")

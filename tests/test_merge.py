@@ -1,12 +1,9 @@
-"""Upsert cases and a replay property test of the batch-by-batch import loop."""
+"""Upsert cases; random feeds are in test_random_feeds.py."""
 import datetime as dt
-import random
 
 from pyspark.sql import functions as F
 
 from feedyard.operators import merge
-from feedyard.sources.feed_loader import load_feed
-from tests.conftest import write_file
 
 TS0 = dt.datetime(2024, 1, 1)
 RUN = dt.datetime(2025, 1, 1)
@@ -76,85 +73,3 @@ def test_rows_affected(spark):
     got = {r["batch"]: (r["rows_affected"], r["inserted"], r["updated"])
            for r in merge.batch_rows_affected(a, t).collect()}
     assert got == {1: (2, 1, 1), 2: (1, 0, 1)}
-
-
-# ---- replay property test ------------------------------------------------------------------
-
-FALSE = ("false", "no", "0", "f", "n")
-
-
-def replay(files, table_rows, batch_size):
-    """Plain-Python version of the import loop: parse, batch, keep-last, upsert."""
-    tab = {s.lower(): dict(id=i, sku=s, name=n, description=d, active=a) for i, s, n, d, a in table_rows}
-    next_id = max([i for i, *_ in table_rows] or [0]) + 1
-    for rows in files:
-        batch = []
-
-        def flush():
-            nonlocal next_id
-            seen = {}
-            for p in batch:
-                seen[p["sku"].lower()] = p
-            for k, p in seen.items():
-                if k in tab:
-                    tab[k].update(name=p["name"], description=p["description"], active=p["active"])
-                else:
-                    tab[k] = dict(id=next_id, **p)
-                    next_id += 1
-        for sku, name, desc, active in rows:
-            if not sku or not name:
-                continue
-            s, n = sku.strip(), name.strip()
-            if not (1 <= len(s) <= 255 and 1 <= len(n) <= 255):
-                continue
-            batch.append(dict(sku=s, name=n, description=desc.strip() or None,
-                              active=not (active and active.strip().lower() in FALSE)))
-            if len(batch) >= batch_size:
-                flush()
-                batch = []
-        if batch:
-            flush()
-    return tab
-
-
-def random_feed(rnd, n):
-    keys = [f"k-{i}" for i in range(rnd.randint(2, 8))]
-    rows = []
-    for _ in range(n):
-        k = rnd.choice(keys)
-        k = rnd.choice([k, k.upper(), k.title()])
-        k = rnd.choice([k, " " + k, k + "\t"]) if rnd.random() < 0.3 else k
-        if rnd.random() < 0.1:
-            k = ""
-        name = rnd.choice(["a", "b", "c d", "", "  e  "])
-        rows.append((k, name, rnd.choice(["", "x", "y, z"]), rnd.choice(["", "no", "yes", "junk", "N"])))
-    return rows
-
-
-def csv_line(vals):
-    return ",".join('"' + v.replace('"', '""') + '"' if ("," in v or '"' in v) else v for v in vals)
-
-
-def test_upsert_equals_replay(spark, tmpdir_path):
-    import os
-    rnd = random.Random(1234)
-    for case in range(6):
-        folder = os.path.join(tmpdir_path, f"case{case}")
-        os.makedirs(folder)
-        files = [random_feed(rnd, rnd.randint(5, 40)) for _ in range(rnd.randint(1, 3))]
-        for i, rows in enumerate(files):
-            write_file(folder, f"f{i}.csv", "sku,name,description,active\n"
-                       + "".join(csv_line(r) + "\n" for r in rows))
-        base = [(1, "K-1", "old", None, True), (2, "zz", "z", "d", False)]
-        bs = rnd.randint(1, 6)
-        want = replay(files, base, bs)
-        feed = load_feed(spark, folder, batch_size=bs)
-        got = upsert(spark, table(spark, base), feed.acc)
-        assert set(got) == set(want), case
-        for k, w in want.items():
-            g = got[k]
-            assert (g["sku"], g["name"], g["description"], g["active"]) == \
-                (w["sku"], w["name"], w["description"], w["active"]), (case, k)
-        # new ids follow first-appearance order, after the existing maximum
-        new = sorted((w["id"], k) for k, w in want.items() if w["id"] > 2)
-        assert [k for _, k in sorted((got[k]["id"], k) for _, k in new)] == [k for _, k in new]
