@@ -314,6 +314,8 @@ def repeated(group: list[list[tuple[bytes, bytes, int, int]]]) -> Iterator[tuple
 
 
 def _split(r: np.ndarray, w: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    if not len(r):
+        return [], []
     rows, at = np.unique(r, return_index=True)
     return rows.tolist(), np.split(w, at[1:])
 
