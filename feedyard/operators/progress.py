@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedyard import schemas as S
 from feedyard.functions import text as X
+from feedyard.operators.ordering import stage
 from feedyard.operators.skew import salted_join
 
 FIELDS = ("status", "stage", "processed_rows", "total_rows", "progress", "error_message")
@@ -200,8 +201,7 @@ def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S,
     per_bucket = u.groupBy("job_id", "bucket").agg(F.max_by("t", "seq").alias("last_t"))
     bw = Window.partitionBy("job_id").orderBy("bucket")
     per_bucket = per_bucket.withColumn("carry_t", F.lag("last_t").over(bw))
-    from feedyard.sources.feed import join_small
-    u = join_small(u, per_bucket.select("job_id", "bucket", "carry_t"), ["job_id", "bucket"])
+    u = u.join(per_bucket.select("job_id", "bucket", "carry_t"), ["job_id", "bucket"])
     prev = F.coalesce(F.col("local_prev"), F.col("carry_t"))
     u = u.withColumn("starts_job", prev.isNull()).withColumn(
         "reset", F.col("forced") | prev.isNull() | ((F.col("t") - prev) >= interval))
@@ -210,8 +210,9 @@ def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S,
     resets = (u.groupBy("job_id", "bucket").agg(F.sum(F.col("reset").cast("long")).alias("n_resets"))
               .withColumn("seg_off", F.coalesce(F.sum("n_resets").over(
                   bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    u = (join_small(u, resets.select("job_id", "bucket", "seg_off"), ["job_id", "bucket"])
+    u = (u.join(resets.select("job_id", "bucket", "seg_off"), ["job_id", "bucket"])
          .withColumn("segment", F.col("seg_off") + F.col("local_seg")))
+    u = stage(u.select("job_id", "seq", "t", "forced", "starts_job", "reset", "segment"), "segments")  # used three times
     # a segment of one update needs no chain: published iff forced or not the first
     chained = u.filter(~F.col("reset")).select("job_id", "segment").distinct()
     single = (u.join(chained, ["job_id", "segment"], "left_anti")

@@ -108,6 +108,37 @@ def feed_dir(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
+GATE_KINDS = ("good", "upper", "text", "latin", "headless", "empty", "price")
+
+
+def gate_feed_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Feeds from `part` that meet every file gate, one folder a kind: a good file, one with an
+    upper-case extension, a .txt file, one with bytes that are no UTF-8, one without a required
+    header, an empty one, and one with an unknown header."""
+    out = scratch_path(spark, "gates", _render_tag("gates:" + sf_dir, gate_feed_dir))
+    if path_exists(spark, out + "/_done/_SUCCESS"):
+        return out
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(_mod(p, len(GATE_KINDS) - 1).alias("k"), p.alias("p"), "p_name")
+    for i, kind in enumerate(k for k in GATE_KINDS if k != "empty"):
+        second = F.concat(F.lit("é"), F.col("p_name")) if kind == "latin" else F.col("p_name")
+        heads = {"headless": ["sku", "title"], "price": ["sku", "name", "price"]}.get(kind, ["sku", "name"])
+        cells = [F.concat(F.lit("G-"), F.col("p").cast("string")), second, F.lit("1")][:len(heads)]
+        part = rows.filter(F.col("k") == i).repartition(1).sortWithinPartitions("p").select(*[c.alias(h) for c, h in zip(cells, heads)])
+        part.write.mode("overwrite").option("header", "true").option("encoding", "ISO-8859-1" if kind == "latin" else "UTF-8").csv(f"{out}/{kind}")
+        if kind in ("upper", "text"):
+            for f in fs.listStatus(path(f"{out}/{kind}")):
+                name = f.getPath().toString()
+                if name.endswith(".csv"):
+                    fs.rename(f.getPath(), path(name[:-4] + (".CSV" if kind == "upper" else ".txt")))
+    fs.create(path(f"{out}/empty/none.csv")).close()
+    spark.range(1).write.mode("overwrite").parquet(out + "/_done")
+    return out
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existing catalog: one row per part, unique sku 'SKU-<partkey>'."""
     p = F.col("p_partkey")

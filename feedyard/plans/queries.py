@@ -736,7 +736,7 @@ SELECT file_rank, '.csv' AS extension, FALSE AS multiline, FALSE AS bad_utf8,
        count(*) AS total_rows
 FROM feed_out GROUP BY file_rank""")
 def feed_preflight(spark, sf_dir):
-    """Per-file gates and facts (byte sizes are in `preflight_sizes`)."""
+    """Per-file gates and facts."""
     feed = adapter_feed(spark, sf_dir)
     gates = V.file_gates(feed.facts)
     counts = feed.rows.groupBy("file_rank").agg(F.count("*").alias("total_rows"))
@@ -746,12 +746,6 @@ def feed_preflight(spark, sf_dir):
                     F.coalesce("total_rows", F.lit(0)).alias("total_rows")))
 
 
-def preflight_sizes(spark, sf_dir):
-    """F16: file sizes in bytes and MB (as shown in the size-limit message)."""
-    facts = adapter_feed(spark, sf_dir).facts
-    return facts.select("file_rank", "length", size_mb("length").alias("size_mb"))
-
-
 # ---- streaming forms (same answers as the batch queries) -------------------------------------
 
 
@@ -986,3 +980,32 @@ def progress_keys(spark, sf_dir):
     """names of a job's stored hash and of its channel."""
     stored, channel = progress_key_names("job_id")
     return A.jobs(spark, sf_dir).select("job_id", stored.alias("hash_key"), channel.alias("channel_key"))
+
+
+@register("feed_gates", f"""
+WITH kinds AS (SELECT unnest(['good', 'upper', 'text', 'latin', 'headless', 'price']) AS kind, unnest(range(0, 6)) AS k),
+n AS (SELECT k.kind, count(*) AS rows FROM part JOIN kinds k ON p_partkey % 6 = k.k GROUP BY k.kind
+      UNION ALL SELECT 'empty', 0),
+g AS (SELECT kind, rows, CASE kind WHEN 'text' THEN 'Invalid file extension: .txt. Expected .csv'
+             WHEN 'latin' THEN '{V.ENCODING_ERROR}'
+             WHEN 'empty' THEN 'CSV file is empty or has no headers'
+             WHEN 'headless' THEN 'Missing required headers: name. Found: sku, title' END AS gate_error,
+             CASE kind WHEN 'price' THEN 'Warning: Unknown headers will be ignored: price' END AS warning FROM n)
+SELECT kind, gate_error, warning, gate_error IS NULL AS is_valid, CASE WHEN gate_error IS NULL THEN rows ELSE 0 END AS total_rows,
+       CASE WHEN gate_error IS NULL THEN least(rows, 100) ELSE 0 END AS sample_size
+FROM g""")
+def feed_gates(spark, sf_dir):
+    """S2-S4 on files that fail them: gates, warning and verdict per file."""
+    feed = load_feed(spark, A.gate_feed_dir(spark, sf_dir), batch_size=A.FEED_BATCH)
+    gates = V.file_gates(feed.facts).withColumn("kind", F.regexp_extract("path", r"([a-z]+)/[^/]*$", 1))
+    return (gates.join(V.verdict(feed.facts, feed.rows), "file_rank")
+            .select("kind", "gate_error", "warning", "is_valid", "total_rows", "sample_size"))
+
+
+@register("document_sizes", """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, printf('%.2f', strlen(coalesce(text, '')) / 1048576.0) AS size_mb
+FROM documents""")
+def document_sizes(spark, sf_dir):
+    """F16: byte sizes shown in MB, as in the size-limit message."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
+    return docs.select("doc_id", "length", size_mb("length").alias("size_mb"))
