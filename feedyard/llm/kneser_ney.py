@@ -140,10 +140,16 @@ class Model:
 
 
 class Scorer:
-    """Model with the highest order's mixture computed once per known n-gram."""
+    """Model with a table of the n-grams met so far in the task (one per slot of 2^21, by the
+    top bits of the hash): an n-gram's probabilities are computed from the sorted arrays
+    when it is met first, or again after another one has taken its slot."""
+
+    BITS = 21
 
     def __init__(self, model: Model):
-        self.model, self.keys, self.rows = model, np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32)
+        self.model = model
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.rows = np.zeros((1 << self.BITS, len(model.langs)), np.float32)
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy per row and language, symbols, letters) of a batch."""
@@ -152,37 +158,19 @@ class Scorer:
         at = positions(ends)
         row = np.repeat(np.arange(rows), np.diff(ends) - (ORDER - 1))
         key = grams(sym, at, ORDER)
-        j = self._find(key)
-        new = np.flatnonzero(j < 0)
-        if len(new):  # n-grams met for the first time in this task: remember them
-            u, first = np.unique(key[new], return_index=True)
-            lp = self.model.logp(sym, at[new[first]]).astype(np.float32)
-            if len(self.keys) > 1 << 20:
-                self.keys, self.rows = np.zeros(0, np.uint64), self.rows[:0]
-            keys, vals = np.concatenate([self.keys, u]), np.concatenate([self.rows, lp])
-            sort = np.argsort(keys)
-            self.keys, self.rows = keys[sort], vals[sort]
-            j = self._find(key)
-            lost = np.flatnonzero(j < 0)  # known ones that the memory let go
-            if len(lost):
-                j[lost] = 0
-        else:
-            lost = new
+        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != key)
+        lp = self.rows[slot]
+        if len(new):
+            u, first, inv = np.unique(key[new], return_index=True, return_inverse=True)
+            found = self.model.logp(sym, at[new[first]]).astype(np.float32)
+            lp[new] = found[inv]
+            to = slot[new[first]]
+            self.keys[to], self.rows[to] = u, found
         n = np.bincount(row, minlength=rows)
-        out = np.zeros((rows, len(self.model.langs)))
-        for i in range(out.shape[1]):
-            v = self.rows[j, i].astype(float) if len(j) else np.zeros(0)
-            if len(lost):
-                v[lost] = self.model.logp(sym, at[lost])[:, i]
-            out[:, i] = -np.bincount(row, v, rows) / np.maximum(n, 1)
+        out = np.stack([-np.bincount(row, lp[:, i], rows) for i in range(lp.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
         return out, n, np.bincount(row, sym[at] != 32, rows)
 
-    def _find(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(key), -1)
-        j = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[j] == key, j, -1)
-
 
 # ---------------------------------------------------------------- fitting
 
