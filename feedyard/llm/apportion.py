@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedyard.llm.common import prep
+from feedyard.llm.common import prep, stage
 
 #: Weights by the rank of the source, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -32,6 +32,8 @@ HOLD = 2
 BLOCK = 8
 #: Documents that a shard holds at the mean.
 SHARD_DOCS = 4096
+#: Rows (sources or shards, some 50 bytes each) up to which a lookup table is broadcast.
+LOOKUP_ROWS = 200_000
 
 
 def words(text: str) -> Column:
@@ -75,6 +77,13 @@ def sainte_lague(parts: DataFrame, group: list[str], votes: str, seats: str, ord
     return open_.groupBy(*names).agg((F.first("_sure") + F.sum(F.col("_win").cast("long"))).alias("got"))
 
 
+def _lookup(rows: DataFrame) -> DataFrame:
+    """A table of few narrow rows, written once; sent to the tasks if a count says it is small,
+    else joined by shuffle."""
+    rows = stage(rows, "lookup")
+    return F.broadcast(rows) if rows.count() <= LOOKUP_ROWS else rows
+
+
 def mix(docs: DataFrame, seed: int = 17, carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """doc (struct of the carried columns), size, source_size, target, taken per document."""
     prep(docs.sparkSession)
@@ -90,11 +99,11 @@ def mix(docs: DataFrame, seed: int = 17, carry: list[str] | None = None, block:
     src = src.withColumn("_shards", F.ceil(F.col("_docs") / SHARD_DOCS).cast("long")).select("source", "source_size", "target", F.col("got").alias("_quota"), "_shards")
 
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    small = src.withColumnRenamed("source", "_src")
+    small = _lookup(src.withColumnRenamed("source", "_src"))
     base = base.join(small, same("source", "_src")).drop("_src").withColumn("_shard", F.pmod("_h", F.col("_shards")))
     shards = base.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
     shards = sainte_lague(shards, ["source"], "_words", "_quota", [F.col("_shard"), F.col("_s")])
-    shards = shards.select(F.col("source").alias("_src"), F.col("_shard").alias("_sh"), "_words", "got")
+    shards = _lookup(shards.select(F.col("source").alias("_src"), F.col("_shard").alias("_sh"), "_words", "got"))
 
     lay = Window.partitionBy("source", "_shard").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = base.withColumn("_at", F.coalesce(F.sum("size").over(lay), F.lit(0)).cast("long"))

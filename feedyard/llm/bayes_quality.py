@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedyard.llm.common import ALNUM, SPACED, Rolling, prep, stage, steps, utf8, words
+from feedyard.llm.common import ALNUM, SPACED, Rolling, prep, stage, steps, unstage, utf8, words
 
 #: Labelled documents that the classifiers are fitted on, at most.
 SAMPLE = 20_000
@@ -40,7 +40,7 @@ MARKERS = 512
 #: Bytes of a stem.
 STEM = 6
 #: Likelihood ratio that a marker must reach.
-MARKER_G2 = 30.0
+MARKER_G2 = 12.0
 RIDGE = 0.5
 TARGETS = ("low", "toxic")
 
@@ -143,30 +143,45 @@ def _markers(sample: DataFrame, total: int, pos: dict[str, int]) -> np.ndarray:
     return np.sort(np.array(sorted(found), np.int64).view(np.uint64))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps on standardised inputs: weights, intercept."""
+def fit_logistic(shapes: np.ndarray, marks: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps on standardised inputs: weights, intercept.
+    Inputs are rows of shapes and of packed marker bits; they are unpacked block by block."""
     if not 0 < y.sum() < len(y):
-        return np.zeros(x.shape[1]), -12.0 if y.sum() == 0 else 0.0
-    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = np.hstack([np.ones((len(x), 1)), (x - mean) / sd])
-    w = np.zeros(z.shape[1])
+        return np.zeros(width), -12.0 if y.sum() == 0 else 0.0
+
+    def raw() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(y), 1024):
+            bits = np.unpackbits(marks[i:i + 1024], axis=1, count=width - SHAPES)
+            yield np.hstack([shapes[i:i + 1024], bits]).astype(float), y[i:i + 1024]
+
+    mean = sum(x.sum(0) for x, _ in raw()) / len(y)
+    sd = np.maximum(np.sqrt(sum(((x - mean) ** 2).sum(0) for x, _ in raw()) / len(y)), 1e-3)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x, yy in raw():
+            yield np.hstack([np.ones((len(x), 1)), (x - mean) / sd]), yy
+
+    w = np.zeros(width + 1)
     pen = np.full(len(w), RIDGE)
     pen[0] = 0
 
     def loss(w: np.ndarray) -> float:
-        m = z @ w
-        return float((np.logaddexp(0, m) - y * m).sum() + 0.5 * (pen * w * w).sum())
+        return sum(float((np.logaddexp(0, z @ w) - yy * (z @ w)).sum()) for z, yy in blocks()) + 0.5 * float((pen * w * w).sum())
 
     here = loss(w)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        g = z.T @ (p - y) + pen * w
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(pen + 1e-9), g)
-        rate = 1.0
-        while rate > 1e-4 and loss(w - rate * step) > here:
+        g, h = pen * w, np.diag(pen + 1e-9)
+        for z, yy in blocks():
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+            g = g + z.T @ (p - yy)
+            h = h + (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+        step = np.linalg.solve(h, g)
+        rate, new = 1.0, loss(w - step)
+        while rate > 1e-4 and new > here:
             rate /= 2
-        w, before, here = w - rate * step, here, loss(w - rate * step)
-        if before - here < 1e-6:
+            new = loss(w - rate * step)
+        w, before, here = w - rate * step, here, new
+        if before - here < 1e-6 * max(1.0, before):
             break
     return w[1:] / sd, float(w[0] - (w[1:] * mean / sd).sum())
 
@@ -186,12 +201,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            x = features(b.column("text"), markers).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), *(b.column(t) for t in TARGETS)], names=["x", *TARGETS])
-
-    got = chosen.mapInArrow(run, "x binary, low long, toxic long").collect()  # at most `sample` rows
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, width).astype(float)
-    return {"markers": markers, **{t: fit_logistic(x, np.array([r[t] for r in got], float)) for t in TARGETS}}
+            x = features(b.column("text"), markers)
+            bits = np.packbits(x[:, SHAPES:].astype(np.uint8), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[:, :SHAPES].astype(np.float32)], pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary()),
+                                              *(b.column(t) for t in TARGETS)], names=["x", "m", *TARGETS])
+
+    got = chosen.mapInArrow(run, "x binary, m binary, low long, toxic long").toArrow()  # at most `sample` rows of some hundred bytes
+    unstage(chosen)
+    n = got.num_rows
+    shapes = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(n, SHAPES)
+    marks = np.frombuffer(b"".join(got.column("m").to_pylist()), np.uint8).reshape(n, -1)
+    return {"markers": markers, **{t: fit_logistic(shapes, marks, got.column(t).to_numpy().astype(float), width) for t in TARGETS}}
 
 
 def score(docs: DataFrame, model: dict | None, carry: Sequence[str], host: Column, path: Column) -> DataFrame:

@@ -332,9 +332,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, extra: list
     links = star.where("linked").select(F.col("c").alias("u"), "v").unionAll(within_stars(star, percent)).unionAll(same)
     comp = components(links).select(F.col("v").alias("doc_id"), "comp")
     names = [c for c in sk.columns if c not in ("doc_id", "row", "n", "s1", "s2", "regs")]
-    return (sk.select("doc_id", "row", F.col("n").alias("n_shingles"), *names).join(comp, "doc_id", "left")
+    out = (sk.select("doc_id", "row", F.col("n").alias("n_shingles"), *names).join(comp, "doc_id", "left")
             .select("doc_id", "row", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"),
                     F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), *names))
+    out = stage(out, "near")  # a few numbers a row; what it was made from can go
+    for used in (sk, nodes, pairs, star):
+        unstage(used)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
