@@ -13,6 +13,10 @@ from feedyard.llm import apportion, bayes_quality, hyperminhash, suffixmerge, wu
 from feedyard.llm.common import prep, stage, table
 
 
+#: Fifty words, counted at four bytes each: a passage of more words that repeats is cut.
+REPEAT_BYTES = 200
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return bayes_quality.keep_good(docs, table(prep(spark), sf_dir, "labels"))
@@ -25,9 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur more than once."""
+    """Documents without the strings of `REPEAT_BYTES` that occur more than once."""
     prep(spark)
-    return suffixmerge.remove(docs)
+    return suffixmerge.remove(docs, length=REPEAT_BYTES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

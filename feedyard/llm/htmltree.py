@@ -67,7 +67,9 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PART_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "billboard", "breadcrumb", "breadcrumbs", "captcha", "comment", "comments",
               "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "cookiebar", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "menubar", "modal", "nav",
               "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond",
-              "search", "share", "sharing", "sidebar", "signup", "sitemap", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget", "widgets", "alert", "alertdialog", "discussion"}
+              "search", "share", "sharing", "sidebar", "signup", "sitemap", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget", "widgets", "alert", "alerts", "alertdialog", "discussion", "notices", "banners", "sponsors", "adsbygoogle"}
+#: Endings of compound names such as `sidenav` or `usercomments`.
+PART_ENDS = ("nav", "menu", "sidebar", "footer", "banner", "comment", "comments", "advert", "popup", "newsletter")
 ARTICLE_ROLES = {"main", "article"}
 
 _TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""")
@@ -85,7 +87,7 @@ def _role(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
                 parts = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower()))
                 if k == "role" and parts & ARTICLE_ROLES:
                     article = True
-                elif parts & PART_WORDS and not (name == "header" and in_article and parts <= {"header", "article", "post", "entry", "title"}):
+                elif (parts & PART_WORDS or any(x.endswith(PART_ENDS) for x in parts)) and not (name == "header" and in_article and parts <= {"header", "article", "post", "entry", "title"}):
                     other = True
             elif k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and _HIDDEN.search(v)):
                 other = True
@@ -98,7 +100,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     parts: list[tuple[str, bool]] = []
     links = 0
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    in_link = heading = False
+    in_link = heading = aside = False  # aside: the block's own tag names another part
 
     def flush() -> None:
         nonlocal links
@@ -107,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             if text:
                 n = len(text.split(" "))
                 inside = sum(len(t.split()) for t, a in parts if a)
-                out.append((text, n, min(1.0, inside / n), stack[-1][1], stack[-1][2], heading))
+                out.append((text, n, min(1.0, inside / n), stack[-1][1] or aside, stack[-1][2], heading))
             parts.clear()
 
     at, n = 0, len(page)
@@ -149,6 +151,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             continue
         flush()
         in_link = in_link and name not in CONTAINERS
+        aside = not closing and name not in CONTAINERS and bool(attrs.strip()) and _role(name, attrs, stack[-1][2])[0]
         if name in HEADINGS:
             heading = not closing
         elif name in CONTAINERS:

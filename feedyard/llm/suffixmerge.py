@@ -1,10 +1,11 @@
-"""Removal of repeated 400-byte strings by a common-prefix-aware distributed merge sort.
+"""Removal of repeated strings of 400 bytes (or another length) by a common-prefix-aware distributed merge sort.
 
-A byte goes when a 400-byte string over it also starts anywhere else in the input.  Sorting
-every suffix of the corpus would multiply it by hundreds, so a sparse suffix set is sorted
-that provably decides every 400-byte window:
+A byte goes when a string of that length over it also starts anywhere else in the input.
+Sorting every suffix of the corpus would multiply it by hundreds, so a sparse suffix set is
+sorted that provably decides every window (string of that length):
 
-1. Anchors.  A window's anchor is its 100-byte string of smallest hash (leftmost at ties).
+1. Anchors.  A window's anchor is its string of a quarter of that length with the smallest
+   hash (leftmost at ties).
    Equal windows have equal anchors at equal offsets, so two equal windows always meet at an
    anchor string that occurs twice.  One anchor serves a run of windows [lo, hi].
 2. Candidates.  Anchor hashes are counted over the corpus (grouped, pre-aggregated); only
@@ -43,9 +44,8 @@ from pyspark.sql import functions as F
 
 from feedyard.llm.common import Rolling, mix64, prep, row_key, stage, steps, unstage, utf8
 
+#: Bytes of a window; an anchor string has a quarter of them.
 LENGTH = 400
-#: Bytes of an anchor string.
-ANCHOR = 100
 #: Text bytes that the anchor search works on at once (a position takes 24 bits).
 PIECE = 1 << 20
 #: Front-coded bytes that a range should hold, and bytes of entries in one sorted run.
@@ -59,21 +59,21 @@ MATCH_WINDOWS = 1 << 20
 
 # ---------------------------------------------------------------- anchors
 
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window, anchor hash) of each anchor, positions in `data`."""
     out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
     at = 0
-    while at + LENGTH <= len(data):
-        end = min(len(data), at + PIECE + LENGTH - 1)
-        out.append(_piece(data[at:end], off - at, at))
+    while at + length <= len(data):
+        end = min(len(data), at + PIECE + length - 1)
+        out.append(_piece(data[at:end], off - at, at, length))
         at += PIECE
     a, lo, hi, h = (np.concatenate(x) for x in zip(*out, strict=True))
     return a, lo, hi, h
 
 
-def _piece(data: np.ndarray, off: np.ndarray, base: int) -> tuple:
-    h = Rolling(data).fixed(ANCHOR)
-    n, w = len(h), LENGTH - ANCHOR + 1
+def _piece(data: np.ndarray, off: np.ndarray, base: int, length: int) -> tuple:
+    h = Rolling(data).fixed(length // 4)
+    n, w = len(h), length - length // 4 + 1
     key = (h & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
     # sliding minimum: suffix minima of a block and prefix minima of the next
     pad = -n % w
@@ -87,7 +87,7 @@ def _piece(data: np.ndarray, off: np.ndarray, base: int) -> tuple:
     edge = off[(off > 0) & (off < len(data))]
     if len(edge):
         d = np.zeros(m + 1, np.int64)
-        np.add.at(d, np.clip(edge - LENGTH + 1, 0, m), 1)
+        np.add.at(d, np.clip(edge - length + 1, 0, m), 1)
         np.add.at(d, np.clip(edge, 0, m), -1)
         ok = np.cumsum(d[:-1]) == 0
     p = np.flatnonzero(ok)
@@ -107,13 +107,13 @@ def _documents(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("k1"), row_key().alias("k2"), text.alias("text"))
 
 
-def _anchor_rows(src: DataFrame) -> DataFrame:
+def _anchor_rows(src: DataFrame, length: int) -> DataFrame:
     """(h, k1, k2, at): one row per anchor; at = anchor, first and last window (packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", PIECE):
             data, off = utf8(b.column("text"))
-            a, lo, hi, h = anchors(data, off)
+            a, lo, hi, h = anchors(data, off, length)
             if not len(a):
                 continue
             r = np.searchsorted(off, lo, "right") - 1
@@ -216,14 +216,14 @@ def merge(runs: list[bytes]) -> Iterator[tuple[int, tuple[bytes, bytes, int, int
             node >>= 1
 
 
-def _runs(joined: DataFrame, splitters: list[bytes]) -> DataFrame:
+def _runs(joined: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
     """(part, run): front-coded pieces of the sorted candidate suffixes of each task."""
 
     def cut(have: dict) -> Iterator[tuple[int, bytes]]:
         rows = sorted((r, le, m, c) for (r, le, m), c in have.items())
         piece, part = [], None
         for e in rows:
-            p = bisect_right(splitters, e[0][:ANCHOR])
+            p = bisect_right(splitters, e[0][:length // 4])
             if p != part:
                 if piece:
                     yield part, front_code(piece)
@@ -246,10 +246,10 @@ def _runs(joined: DataFrame, splitters: list[bytes]) -> DataFrame:
                     continue
                 raw = text.encode()
                 for a, back, more in zip(aa, bb, mm, strict=True):
-                    e = (raw[a:a - back + more + LENGTH], raw[a - back:a][::-1], more)
+                    e = (raw[a:a - back + more + length], raw[a - back:a][::-1], more)
                     n = have.get(e)
                     if n is None:
-                        size += LENGTH + back + 200
+                        size += length + back + 200
                         have[e] = 1
                     else:
                         have[e] = n + 1
@@ -264,14 +264,14 @@ def _runs(joined: DataFrame, splitters: list[bytes]) -> DataFrame:
 
 # ---------------------------------------------------------------- repeated windows
 
-def repeated(group: list[list[tuple[bytes, bytes, int, int]]]) -> Iterator[tuple[bytes, int, int]]:
+def repeated(group: list[list[tuple[bytes, bytes, int, int]]], length: int = LENGTH) -> Iterator[tuple[bytes, int, int]]:
     """For groups of entries that share their anchor string: (entry key, first, last) of the
     runs of windows that occur twice, counted from the entry's first window."""
     items = [(g, e) for g, es in enumerate(group) for e in es]
     # offsets are dealt in blocks, so that a large group is matched in bounded memory
     total = sum(e[2] + 1 for _, e in items)
     blocks = max(1, -(-total // MATCH_WINDOWS))
-    width = -(-(LENGTH - ANCHOR + 1) // blocks)
+    width = -(-(length - length // 4 + 1) // blocks)
     marks = [np.full(e[2] + 1, e[3] > 1) for _, e in items]
     if all(m[0] for m in marks):
         blocks = 0
@@ -281,7 +281,7 @@ def repeated(group: list[list[tuple[bytes, bytes, int, int]]]) -> Iterator[tuple
             part = items[at:at + 1024]
             size = np.array([len(e[0]) + len(e[1]) for _, e in part])
             base = np.concatenate([[0], np.cumsum(size)])
-            roll = Rolling(np.frombuffer(b"".join(e[1][::-1] + e[0] for _, e in part), np.uint8)).fixed(LENGTH)
+            roll = Rolling(np.frombuffer(b"".join(e[1][::-1] + e[0] for _, e in part), np.uint8)).fixed(length)
             back = np.array([len(e[1]) for _, e in part])
             more = np.array([e[2] for _, e in part])
             # window w of an entry starts back - w before the anchor
@@ -320,7 +320,7 @@ def _split(r: np.ndarray, w: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     return rows.tolist(), np.split(w, at[1:])
 
 
-def _fold(entries: Iterator[tuple[int, tuple]]) -> Iterator[tuple[bool, tuple]]:
+def _fold(entries: Iterator[tuple[int, tuple]], anchor: int) -> Iterator[tuple[bool, tuple]]:
     """(starts a group, entry) with the counts of equal entries of different runs added up.
     Entries of equal `right` arrive together, in any order of their other parts."""
     right, first, have = None, True, {}
@@ -330,35 +330,39 @@ def _fold(entries: Iterator[tuple[int, tuple]]) -> Iterator[tuple[bool, tuple]]:
             continue
         for i, ((left, more), n) in enumerate(have.items()):
             yield first and not i, (right, left, more, n)
-        right, first, have = e[0], c < ANCHOR, {e[1:3]: e[3]}
+        right, first, have = e[0], c < anchor, {e[1:3]: e[3]}
     for i, ((left, more), n) in enumerate(have.items()):
         yield first and not i, (right, left, more, n)
 
 
-def _merge_range(pieces: pa.Table) -> pa.Table:
+def _merge_range(length: int):
+    return lambda pieces: _merged(pieces, length)
+
+
+def _merged(pieces: pa.Table, length: int) -> pa.Table:
     out: list[tuple[bytes, int, int]] = []
     groups: list[list] = []
     group: list = []
     size = 0
-    for new, e in _fold(merge(pieces.column("run").to_pylist())):
+    for new, e in _fold(merge(pieces.column("run").to_pylist()), length // 4):
         if new and group:
             if len(group) > 1 or group[0][3] > 1:
                 groups.append(group)
                 size += sum(x[2] + 1 for x in group)
             group = []
             if size > MATCH_WINDOWS // 2:
-                out.extend(repeated(groups))
+                out.extend(repeated(groups, length))
                 groups, size = [], 0
         group.append(e)
     if group and (len(group) > 1 or group[0][3] > 1):
         groups.append(group)
-    out.extend(repeated(groups))
+    out.extend(repeated(groups, length))
     return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["key", "lo", "hi"])
 
 
 # ---------------------------------------------------------------- the operator
 
-def _owners(joined: DataFrame) -> DataFrame:
+def _owners(joined: DataFrame, length: int) -> DataFrame:
     """(key, k1, k2, p): the entry at each candidate anchor, p its first window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +371,7 @@ def _owners(joined: DataFrame) -> DataFrame:
             for i, (text, aa, bb, mm) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "a", "back", "more")), strict=True)):
                 raw = text.encode()
                 for a, back, more in zip(aa or (), bb or (), mm or (), strict=True):
-                    key.append(entry_key(raw[a:a - back + more + LENGTH], raw[a - back:a][::-1], more))
+                    key.append(entry_key(raw[a:a - back + more + length], raw[a - back:a][::-1], more))
                     row.append(i)
                     p.append(a - back)
             at = pa.array(row, pa.int64())
@@ -376,12 +380,12 @@ def _owners(joined: DataFrame) -> DataFrame:
     return joined.select("k1", "k2", "text", "a", "back", "more").mapInArrow(run, "key binary, k1 long, k2 long, p long")
 
 
-def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), length: int = LENGTH) -> DataFrame:
     """doc (carried columns), text, spans: array of (from, to) byte ranges to remove, maximal,
     in order; one row per document row."""
     prep(docs.sparkSession)
     src = _documents(docs, carry)
-    found = stage(_anchor_rows(src), "anchors")
+    found = stage(_anchor_rows(src, length), "anchors")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     cand = found.join(again, "h")
     # rows that repeat key and text have the same anchors: list them once
@@ -391,19 +395,19 @@ def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     unstage(found)
     some = joined.where("a is not null")
 
-    size = some.agg(F.sum(F.size("a") * F.lit(LENGTH)).alias("b"), F.sum(F.size("a")).alias("n")).first()
+    size = some.agg(F.sum(F.size("a") * F.lit(length)).alias("b"), F.sum(F.size("a")).alias("n")).first()
     ranges = max(1, -(-int(size["b"] or 0) // RANGE_BYTES))
     splitters: list[bytes] = []
     if ranges > 1:
         share = min(1.0, SPLIT_SAMPLE / size["n"])
         pick = (some.select("text", F.explode(F.filter("a", lambda x: F.pmod(F.xxhash64(x, F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))).alias("at"))
-                .select(F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.lit(ANCHOR)).alias("s")).distinct())
+                .select(F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.lit(length // 4)).alias("s")).distinct())
         got = sorted(bytes(r["s"]) for r in pick.collect())
         splitters = [got[i * len(got) // ranges] for i in range(1, ranges)] if got else []
         splitters = sorted(set(splitters))
-    runs = _runs(some, splitters)
-    hits = runs.groupBy("part").applyInArrow(_merge_range, "key binary, lo int, hi int")
-    owned = _owners(some).join(hits, "key").select("k1", "k2", F.struct((F.col("p") + F.col("lo")).alias("s"), (F.col("p") + F.col("hi") + LENGTH).alias("e")).alias("x"))
+    runs = _runs(some, splitters, length)
+    hits = runs.groupBy("part").applyInArrow(_merge_range(length), "key binary, lo int, hi int")
+    owned = _owners(some, length).join(hits, "key").select("k1", "k2", F.struct((F.col("p") + F.col("lo")).alias("s"), (F.col("p") + F.col("hi") + length).alias("e")).alias("x"))
     spans = owned.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("x")).alias("x"))
     # merge touching ranges: (closed ranges, the open one)
     start = F.struct(F.array().cast("array<struct<s:bigint,e:bigint>>").alias("done"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("open"))
@@ -419,11 +423,11 @@ def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     return ended.unionAll(joined.where("a is null").select("doc", "text", F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("spans")))
 
 
-def cut(docs: DataFrame, carry: Sequence[str] = ("doc_id",), texts: bool = True) -> DataFrame:
+def cut(docs: DataFrame, carry: Sequence[str] = ("doc_id",), texts: bool = True, length: int = LENGTH) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and, with
     `texts`, kept_text (the remaining bytes without characters that a cut has split); one row
     per document row."""
-    src = repeats(docs, carry)
+    src = repeats(docs, carry, length)
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,10 +452,10 @@ def cut(docs: DataFrame, carry: Sequence[str] = ("doc_id",), texts: bool = True)
     return src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with the repeated strings cut out of `text` and `n_chars` counted anew where
     something was cut; a null text stays null.  A document without text left stays, empty."""
-    got = cut(docs, docs.columns)
+    got = cut(docs, docs.columns, length=length)
     was = F.col("n_removed") > 0
     new = {"text": F.when(was, F.col("kept_text")).otherwise(F.col("doc.text")), "n_chars": F.when(was, F.length("kept_text").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
     return got.select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
