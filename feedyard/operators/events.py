@@ -227,11 +227,12 @@ def create_subscriptions(subs: DataFrame, requests: DataFrame, run_ts) -> DataFr
                     F.when(F.col("outcome") == "created", F.lit(run_ts).cast("timestamp")).alias("created_at")))
 
 
-def patch_subscriptions(subs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def patch_subscriptions(subs: DataFrame, requests: DataFrame, run_ts) -> tuple[DataFrame, DataFrame]:
     """D7 patch: (report per request, table after the set).
 
     Requests apply in req_id order; given fields overwrite, NULL fields are left as
     they are, so the result per field is the last given value among valid requests.
+    updated_at moves when some valid request changes a value.
     """
     known = subs.select("id").withColumn("found", F.lit(True))
     r = requests.join(known, "id", "left")
@@ -239,15 +240,48 @@ def patch_subscriptions(subs: DataFrame, requests: DataFrame) -> tuple[DataFrame
     r = r.withColumn("outcome", F.when(F.col("found").isNull(), "not_found")
                      .when(~valid, "invalid").otherwise("applied"))
     report = r.select("req_id", "id", "outcome")
-    ok = r.filter(F.col("outcome") == "applied")
+    ok = (r.filter(F.col("outcome") == "applied").select("req_id", "id", X.py_strip("url").alias("url"), "events", "enabled")
+          .join(subs.select("id", F.struct("url", "events", "enabled").alias("was")), "id"))
+    w = Window.partitionBy("id").orderBy("req_id").rowsBetween(Window.unboundedPreceding, -1)
+    changed = F.lit(False)
+    for f in ("url", "events", "enabled"):  # against the last value given before, else the stored one
+        before = F.coalesce(F.last(f, ignorenulls=True).over(w), F.col(f"was.{f}"))
+        changed = changed | (F.col(f).isNotNull() & ~F.col(f).eqNullSafe(before))
+    ok = ok.withColumn("changed", changed)
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("req_id")))
-    per_id = ok.groupBy("id").agg(
-        F.max_by(X.py_strip("url"), F.when(F.col("url").isNotNull(), F.col("req_id"))).alias("new_url"),
-        last("events").alias("new_events"), last("enabled").alias("new_enabled"),
-        F.count("*").alias("n_applied"))
+    per_id = ok.groupBy("id").agg(last("url").alias("new_url"), last("events").alias("new_events"), last("enabled").alias("new_enabled"),
+                                  F.max("changed").alias("moved"), F.count("*").alias("n_applied"))
     after = (subs.join(per_id, "id", "left")
              .select("id", F.coalesce("new_url", "url").alias("url"),
                      F.array_join(F.coalesce("new_events", "events"), ",").alias("events"),
                      F.coalesce("new_enabled", "enabled").alias("enabled"),
-                     F.coalesce("n_applied", F.lit(0)).alias("n_applied")))
+                     F.coalesce("n_applied", F.lit(0)).alias("n_applied"),
+                     "created_at", F.when(F.col("moved"), F.lit(run_ts).cast("timestamp")).otherwise(F.col("updated_at")).alias("updated_at")))
     return report, after
+
+
+def delete_subscriptions(subs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D7 delete: (report per requested id: deleted | not_found, subscriptions left)."""
+    req = ids.select("id").distinct()
+    report = (req.join(subs.select("id").withColumn("hit", F.lit(True)), "id", "left")
+              .select("id", F.when(F.col("hit"), "deleted").otherwise("not_found").alias("outcome")))
+    return report, subs.join(req, "id", "left_anti")
+
+
+PRODUCT_FIELDS = ("id", "sku", "name", "description", "active", "created_at", "updated_at")
+
+
+def product_events(table: DataFrame, created: DataFrame, patched: DataFrame, deleted: DataFrame) -> DataFrame:
+    """T6 with payloads: the product as created, as after each successful patch, and as it was
+    before its deletion (event_type, subject, req_id, payload)."""
+    born = table.select("id", "created_at")
+    parts = [
+        created.filter(F.col("outcome") == "created").select(F.lit("product.created").alias("event_type"), "req_id", *PRODUCT_FIELDS),
+        patched.filter(F.col("outcome").isin("patched", "unchanged")).join(born, "id")
+        .select(F.lit("product.updated").alias("event_type"), "req_id", *PRODUCT_FIELDS),
+        deleted.filter(F.col("outcome") == "deleted").select("id").join(table, "id")
+        .select(F.lit("product.deleted").alias("event_type"), F.lit(None).cast("long").alias("req_id"), *PRODUCT_FIELDS)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    none = {c: F.lit(None).cast(k) for c, k in (("job_id", "string"), ("count", "long"), ("total", "long"), ("error_message", "string"))}
+    rows = rows.select("event_type", "req_id", *[F.col(c).alias(f"p_{c}") for c in PRODUCT_FIELDS], *[v.alias(c) for c, v in none.items()])
+    return payload_json(rows).select("event_type", F.col("p_id").cast("string").alias("subject"), "req_id", "payload")

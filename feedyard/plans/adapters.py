@@ -507,6 +507,12 @@ def subscription_patch_requests(spark, sf_dir) -> DataFrame:
                     enabled.alias("enabled"))
 
 
+def subscription_delete_requests(spark, sf_dir) -> DataFrame:
+    """Ids to delete: repeated, and some that no subscription has."""
+    c = table(spark, sf_dir, "customer")
+    return c.filter(F.col("c_custkey") % 3 == 0).select((F.col("c_custkey") % 201).alias("id"))
+
+
 def progress_readers(spark, sf_dir) -> DataFrame:
     """Readers attached to a job's progress channel: one per order, on job o_custkey,
     attaching during January 2024."""

@@ -863,7 +863,7 @@ cls AS (
 @register("subscription_patch_report", O.with_(O.SUBS, O.SUB_PATCH_REQ) + SUB_PATCH_CLS + """
 SELECT req_id, id, outcome FROM cls""")
 def subscription_patch_report(spark, sf_dir):
-    report, _ = EV.patch_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_patch_requests(spark, sf_dir))
+    report, _ = EV.patch_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_patch_requests(spark, sf_dir), A.run_ts())
     return report
 
 
@@ -873,12 +873,21 @@ per_id AS (
          arg_max(events, CASE WHEN events IS NOT NULL THEN req_id END) AS new_events,
          arg_max(enabled, CASE WHEN enabled IS NOT NULL THEN req_id END) AS new_enabled,
          count(*) AS n_applied
-  FROM cls WHERE outcome = 'applied' GROUP BY id)
+  FROM cls WHERE outcome = 'applied' GROUP BY id),
+steps AS (
+  SELECT c.id,
+         (c.url IS NOT NULL AND {O.strip('c.url')} <> coalesce(last_value({O.strip('c.url')} IGNORE NULLS) OVER w, s.url))
+         OR (c.events IS NOT NULL AND c.events <> coalesce(last_value(c.events IGNORE NULLS) OVER w, s.events))
+         OR (c.enabled IS NOT NULL AND c.enabled <> coalesce(last_value(c.enabled IGNORE NULLS) OVER w, s.enabled)) AS changed
+  FROM cls c JOIN subs s ON s.id = c.id WHERE c.outcome = 'applied'
+  WINDOW w AS (PARTITION BY c.id ORDER BY c.req_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+moved AS (SELECT id, bool_or(changed) AS moved FROM steps GROUP BY id)
 SELECT s.id, coalesce(p.new_url, s.url) AS url, array_to_string(coalesce(p.new_events, s.events), ',') AS events,
-       coalesce(p.new_enabled, s.enabled) AS enabled, coalesce(p.n_applied, 0) AS n_applied
-FROM subs s LEFT JOIN per_id p ON s.id = p.id""")
+       coalesce(p.new_enabled, s.enabled) AS enabled, coalesce(p.n_applied, 0) AS n_applied, s.created_at,
+       CASE WHEN m.moved THEN TIMESTAMP '{A.RUN_TS}' ELSE s.created_at END AS updated_at
+FROM subs s LEFT JOIN per_id p ON s.id = p.id LEFT JOIN moved m ON m.id = s.id""")
 def subscription_patch(spark, sf_dir):
-    _, after = EV.patch_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_patch_requests(spark, sf_dir))
+    _, after = EV.patch_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_patch_requests(spark, sf_dir), A.run_ts())
     return after
 
 
@@ -1009,3 +1018,37 @@ def document_sizes(spark, sf_dir):
     """F16: byte sizes shown in MB, as in the size-limit message."""
     docs = A.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
     return docs.select("doc_id", "length", size_mb("length").alias("size_mb"))
+
+
+@register("subscription_delete", O.with_(O.SUBS) + """
+SELECT r.id, CASE WHEN s.id IS NULL THEN 'not_found' ELSE 'deleted' END AS outcome
+FROM (SELECT DISTINCT c_custkey % 201 AS id FROM customer WHERE c_custkey % 3 = 0) r LEFT JOIN subs s USING (id)""")
+def subscription_delete(spark, sf_dir):
+    return EV.delete_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_delete_requests(spark, sf_dir))[0]
+
+
+@register("subscriptions_after_delete", O.with_(O.SUBS) + """
+SELECT id, url, array_to_string(events, ',') AS events, enabled, created_at FROM subs
+WHERE id NOT IN (SELECT c_custkey % 201 FROM customer WHERE c_custkey % 3 = 0)""")
+def subscriptions_after_delete(spark, sf_dir):
+    _, left = EV.delete_subscriptions(A.subscriptions(spark, sf_dir), A.subscription_delete_requests(spark, sf_dir))
+    return left.select("id", "url", F.array_join("events", ",").alias("events"), "enabled", "created_at")
+
+
+@register("edit_change_payloads", f"""
+WITH cat AS ({ORACLE['catalog_count'].replace('SELECT count(*) AS total FROM catalog', 'SELECT * FROM catalog')}),
+ev AS (
+  SELECT 'product.created' AS event_type, req_id, id, sku, name, description, active, created_at, updated_at
+  FROM ({ORACLE['catalog_create']}) WHERE outcome = 'created'
+  UNION ALL
+  SELECT 'product.updated', p.req_id, p.id, p.sku, p.name, p.description, p.active, c.created_at, p.updated_at
+  FROM ({ORACLE['catalog_patch']}) p JOIN cat c ON c.id = p.id WHERE p.outcome IN ('patched', 'unchanged')
+  UNION ALL
+  SELECT 'product.deleted', NULL, c.id, c.sku, c.name, c.description, c.active, c.created_at, c.updated_at
+  FROM ({ORACLE['catalog_delete']}) d JOIN cat c ON c.id = d.id WHERE d.outcome = 'deleted'),
+rows AS (SELECT *, id AS p_id, sku AS p_sku, name AS p_name, description AS p_description, active AS p_active, created_at AS p_created_at,
+                updated_at AS p_updated_at, NULL AS job_id, NULL AS count, NULL AS total, NULL AS error_message FROM ev)
+SELECT event_type, CAST(id AS VARCHAR) AS subject, req_id, {O.PAYLOAD} AS payload FROM rows""")
+def edit_change_payloads(spark, sf_dir):
+    """T6 + F10: the events of real edits with the product they carry."""
+    return EV.product_events(A.catalog(spark, sf_dir), catalog_create(spark, sf_dir), catalog_patch(spark, sf_dir), catalog_delete(spark, sf_dir))
