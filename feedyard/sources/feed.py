@@ -3,24 +3,27 @@
 Design notes
 * One text pass gives per-file facts: header line, whether any physical line has an
   odd number of quotes (a quoted newline, so the file needs the multiLine reader),
-  and whether any line's raw bytes are not valid UTF-8 (`is_valid_utf8`).
-* Files are grouped by (header line, multiLine).  Each group is one CSV read with a
-  positional all-STRING schema, so header names are matched exactly and
-  case-sensitively by us (not by Spark), and column positions are constants of the
-  group: no join is needed to map fields.
+  and whether any line's raw bytes are not valid UTF-8 (`is_valid_utf8`).  Files are
+  listed by Spark (binaryFile without content), so facts are a table from the start.
+* One CSV scan with a positional all-STRING schema as wide as the widest header reads
+  the feed; header names are matched exactly and case-sensitively by us (not by
+  Spark), and each file's column positions are looked up in the facts.  Files with
+  quoted newlines are read by a second scan, with multiLine.
 * Row ordinals (1-based row number inside a file) use block offsets: an id taken at
   the scan, a tiny per-(file, block) count table, a running sum over blocks.  No
   global sort and no single-partition window.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedyard import schemas as S
+from feedyard.operators.ordering import global_rank
 
 READ_OPTIONS = {
     "header": "true",
@@ -37,29 +40,18 @@ SMALL_TABLE_ROWS = 2_000_000
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """File listing (path, length, modified_at) through the Hadoop FileSystem API.
-
-    Names and sizes only, like Spark's own file index; a scan cannot be used because
-    Spark's scans drop zero-length files, which must be reported as empty feeds.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for p in ([path] if isinstance(path, str) else path):
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(conf)
-        if not fs.exists(hp):
-            continue
-        it = fs.listFiles(hp, True)
-        while it.hasNext():
-            st = it.next()
-            name = st.getPath().getName()
-            rel = st.getPath().toString()[len(fs.makeQualified(hp).toString()):]
-            if name.startswith(("_", ".")) or "/_" in rel or "/." in rel:
-                continue
-            out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
-    return (spark.createDataFrame(out, "path string, length long, mtime long")
-            .select("path", "length", F.timestamp_millis("mtime").alias("modified_at")))
+    """File listing (path, length, modified_at) by Spark's own file index, zero-length files
+    (empty feeds) included; the content is not selected, so nothing is read."""
+    from feedyard.session import path_exists
+    there = [p for p in ([path] if isinstance(path, str) else path) if path_exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, length long, modified_at timestamp")
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
+    files = index.select("path", "length", F.col("modificationTime").alias("modified_at"))
+    # scans leave out zero-length files; the index that Spark keeps on the driver has their names
+    names = [(re.sub("^file:/+", "file:/", unquote(n)),) for n in index.inputFiles()]
+    return (spark.createDataFrame(names, "path string").join(files, "path", "left")
+            .select("path", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("modified_at", F.timestamp_seconds(F.lit(0))).alias("modified_at")))
 
 
 def header_names(header_line: Column) -> Column:
@@ -94,33 +86,8 @@ def file_facts(spark: SparkSession, path: str | list[str], in_order: bool = Fals
             .withColumn("names", F.when(F.col("header_line").isNotNull()
                                         & (F.col("header_line") != ""),
                                         header_names(F.col("header_line"))))
-            .withColumn("file_rank", F.dense_rank().over(
-                Window.orderBy("modified_at", "path") if in_order else Window.orderBy("path"))))
-
-
-@dataclass(frozen=True)
-class HeaderGroup:
-    names: tuple[str, ...]
-    multiline: bool
-    paths: tuple[str, ...]
-
-    def position(self, name: str) -> int:
-        """1-based position of the last column called `name` (0 when absent)."""
-        pos = 0
-        for i, n in enumerate(self.names, start=1):
-            if n == name:
-                pos = i
-        return pos
-
-
-def header_groups(facts: DataFrame | list) -> list[HeaderGroup]:
-    """Group files by (header, multiLine); `facts` is the facts table or its rows."""
-    rows = facts if isinstance(facts, list) else facts.collect()
-    rows = [r for r in rows if r["names"] is not None and not r["bad_utf8"]]
-    groups: dict[tuple, list[str]] = {}
-    for r in rows:
-        groups.setdefault((tuple(r["names"]), bool(r["multiline"])), []).append(r["path"])
-    return [HeaderGroup(k[0], k[1], tuple(sorted(v))) for k, v in sorted(groups.items())]
+            .transform(lambda f: global_rank(f, ["modified_at", "path"] if in_order else ["path"], "file_rank"))
+            .withColumn("file_rank", F.col("file_rank").cast("int")))
 
 
 def _field_count(raw: Column) -> Column:
@@ -129,44 +96,55 @@ def _field_count(raw: Column) -> Column:
     return F.length(bare) - F.length(F.regexp_replace(bare, ",", "")) + 1
 
 
-def scan_group(spark: SparkSession, g: HeaderGroup) -> DataFrame:
-    """Read one header group; output the allowed columns with presence flags.
+def _position(name: str) -> Column:
+    """1-based position of the last header column called `name`, 0 when there is none."""
+    back = F.array_position(F.reverse("names"), name)
+    return F.when(back > 0, F.size("names") + 1 - back).otherwise(0).cast("int")
+
+
+def readable(facts: DataFrame) -> DataFrame:
+    """Files whose rows can be read: rank, reader kind and the positions of the allowed columns."""
+    return (facts.filter(F.col("names").isNotNull() & ~F.col("bad_utf8"))
+            .select("path", "file_rank", "multiline", *[_position(c).alias(f"{c}_pos") for c in S.ALLOWED_HEADERS]))
+
 
-    Values are NULL both when empty and when missing; `<c>_present` tells them apart
-    (a short row lacks the trailing fields).  `<c>_in_header` is a group constant.
+def scan(spark: SparkSession, paths: str | list[str], width: int, multiline: bool) -> DataFrame:
+    """Every record of the files: block start, scan id, number of fields and the cells.
+
+    Cells are NULL both when empty and when missing; the number of fields tells them apart
+    (a short row lacks the trailing ones).
     """
-    width = len(g.names)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(1, width + 1)]
-                          + [T.StructField("_raw", T.StringType())])
-    df = (spark.read.schema(schema).options(**READ_OPTIONS)
-          .option("multiLine", "true" if g.multiline else "false").csv(list(g.paths)))
-    # the reader must be asked for some column besides the raw record, also when the header
-    # has none of the allowed names
-    whole = F.lit(width) + F.coalesce(F.length("c1") * 0, F.lit(0))
-    nf = F.when(F.col("_raw").isNull(), whole).otherwise(_field_count(F.col("_raw")))
-    cols = [F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("bs"),
-            F.monotonically_increasing_id().alias("m1"),
-            nf.alias("n_fields")]
-    for name in S.ALLOWED_HEADERS:
-        pos = g.position(name)
-        if pos:
-            cols += [F.col(f"c{pos}").alias(f"{name}_v"),
-                     (nf >= pos).alias(f"{name}_present"),
-                     F.lit(True).alias(f"{name}_in_header")]
-        else:
-            cols += [F.lit(None).cast("string").alias(f"{name}_v"),
-                     F.lit(False).alias(f"{name}_present"),
-                     F.lit(False).alias(f"{name}_in_header")]
-    return df.select(*cols)
-
-
-SCAN_SCHEMA = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("bs", T.LongType()),
-     T.StructField("m1", T.LongType()), T.StructField("n_fields", T.IntegerType())]
-    + [f for name in S.ALLOWED_HEADERS for f in (T.StructField(f"{name}_v", T.StringType()),
-                                                 T.StructField(f"{name}_present", T.BooleanType()),
-                                                 T.StructField(f"{name}_in_header", T.BooleanType()))])
+    cells = [f"c{i}" for i in range(1, width + 1)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_raw"]])
+    df = spark.read.schema(schema).options(**READ_OPTIONS).option("multiLine", "true" if multiline else "false").csv(paths)
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("bs"),
+                     F.monotonically_increasing_id().alias("m1"),
+                     F.when(F.col("_raw").isNull(), F.lit(width)).otherwise(_field_count(F.col("_raw"))).alias("n_fields"),
+                     F.array(*cells).alias("cells"))
+
+
+def scan_feed(spark: SparkSession, path: str | list[str], facts: DataFrame) -> DataFrame:
+    """Rows of all readable files with the allowed columns (`<c>_v`, `<c>_present`,
+    `<c>_in_header`); `facts` should be staged."""
+    files = readable(facts)
+    n = files.agg(F.count("*").alias("n"), F.count_if("multiline").alias("multi")).first()
+    width = facts.agg(F.coalesce(F.max(F.size("names")), F.lit(1))).first()[0]
+    lookup = F.broadcast(files) if n["n"] <= SMALL_TABLE_ROWS else files  # one narrow row a file
+    rows = None
+    if n["n"] > n["multi"]:
+        rows = scan(spark, path, max(1, width), False).join(lookup.filter("not multiline"), "path")
+    if n["multi"]:  # names of the files with quoted newlines only
+        names = [r["path"] for r in files.filter("multiline").select("path").collect()]
+        more = scan(spark, names, max(1, width), True).join(lookup.filter("multiline"), "path")
+        rows = more if rows is None else rows.unionByName(more)
+    if rows is None:  # no file passed the header gate
+        rows = spark.createDataFrame([], "path string, bs long, m1 long, n_fields int, cells array<string>").join(lookup, "path")
+    cols = []
+    for c in S.ALLOWED_HEADERS:
+        pos = F.col(f"{c}_pos")
+        cols += [F.get("cells", pos - 1).alias(f"{c}_v"), ((pos > 0) & (F.col("n_fields") >= pos)).alias(f"{c}_present"),
+                 (pos > 0).alias(f"{c}_in_header")]
+    return rows.select("path", "file_rank", "bs", "m1", "n_fields", *cols)
 
 
 def missing_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -176,17 +154,6 @@ def missing_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in gone], "path string")
 
 
-def scan_feed(spark: SparkSession, facts: DataFrame | list) -> DataFrame | None:
-    groups = header_groups(facts)
-    if not groups:
-        return None
-    out = None
-    for g in groups:
-        part = scan_group(spark, g)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Join a lookup table; broadcast it only after checking its row count."""

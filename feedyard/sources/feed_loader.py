@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedyard import schemas as S
 from feedyard.operators import clean
+from feedyard.operators.ordering import stage
 from feedyard.session import scratch_root
 from feedyard.sources import feed as FD
 
@@ -22,26 +23,19 @@ class Feed:
 def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IMPORT_BATCH_SIZE,
               in_order: bool = False) -> Feed:
     scratch_root(spark)  # make sure checkpoints have a shared home
-    # per-file facts: one row per file (like the file index Spark keeps on the driver);
-    # collected once, they drive the read groups and become a small local table
-    facts_df = FD.file_facts(spark, path, in_order)
-    fact_rows = facts_df.collect()
-    facts = spark.createDataFrame(fact_rows, facts_df.schema)
-    scanned = FD.scan_feed(spark, fact_rows)
-    if scanned is None:  # no file passed the header gate: an empty, typed frame
-        scanned = spark.createDataFrame([], FD.SCAN_SCHEMA)
+    facts = stage(FD.file_facts(spark, path, in_order), "facts")
     # Stage the parsed, classified rows once: the ids taken at the scan stay valid for the
-    # later ordinal joins, and an executor loss re-reads the stage, not the CSV.  Integer
-    # file ids (one row per file, count-checked broadcast) are joined afterwards.
-    ranks = facts.select("path", "file_rank")
-    ranks = F.broadcast(ranks) if len(fact_rows) <= FD.SMALL_TABLE_ROWS else ranks
-    scan = clean.classify(scanned).checkpoint(eager=True)
-    # both ids are taken in scan order, before any join can move rows
-    acc = clean.accepted(scan).withColumn("m2", F.monotonically_increasing_id()).join(ranks, "path")
-    staged = scan.join(ranks, "path")
+    # later ordinal joins, and an executor loss re-reads the stage, not the CSV.
+    small = facts.count() <= FD.SMALL_TABLE_ROWS
+    staged = clean.classify(FD.scan_feed(spark, path, facts)).checkpoint(eager=True)
 
     rows = FD.with_ordinals(staged)
 
+    # the accepted rows' ids: in scan order, if the file table was broadcast; a shuffled join
+    # has moved the rows, so they are numbered inside their block
+    block = Window.partitionBy("file_rank", "bs").orderBy("m1")
+    acc = clean.accepted(staged)
+    acc = acc.withColumn("m2", F.monotonically_increasing_id() if small else F.row_number().over(block).cast("long"))
     all_blocks = FD.block_offsets(staged, "m1", "blk").select("file_rank", "bs", "blk_min", "blk_off")
     acc_blocks = FD.block_offsets(acc, "m2", "acc").select("file_rank", "bs", "acc_min", "acc_off")
     blocks = all_blocks.join(acc_blocks, ["file_rank", "bs"])
