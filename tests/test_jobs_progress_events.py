@@ -213,12 +213,18 @@ def test_subscription_create_and_patch(spark):
                                      (3, 1, "ftp://bad", None, None), (4, 9, None, None, True),
                                      (5, 2, None, [], None)],
                                     "req_id long, id long, url string, events array<string>, enabled boolean")
-    report, after = EV.patch_subscriptions(subs(spark), patches)
+    patches = patches.unionByName(spark.createDataFrame([(6, 2, None, None, None), (7, 3, None, None, True), (8, 3, None, None, False)], patches.schema))
+    was = subs(spark).withColumn("created_at", F.lit(T0).cast("timestamp")).withColumn("updated_at", F.lit(T0).cast("timestamp"))
+    report, after = EV.patch_subscriptions(was, patches, dt.datetime(2025, 1, 1))
     assert {r["req_id"]: r["outcome"] for r in report.collect()} == \
-        {1: "applied", 2: "applied", 3: "invalid", 4: "not_found", 5: "invalid"}
+        {1: "applied", 2: "applied", 3: "invalid", 4: "not_found", 5: "invalid", 6: "applied", 7: "applied", 8: "applied"}
     a = {r["id"]: r for r in after.collect()}
     assert a[1]["url"] == "https://new" and a[1]["enabled"] is False and a[1]["events"] == "product.created,product.created"
-    assert a[2]["n_applied"] == 0
+    assert a[2]["n_applied"] == 1 and a[2]["updated_at"] == T0          # nothing given, nothing moved
+    assert a[1]["updated_at"] == a[3]["updated_at"] == dt.datetime(2025, 1, 1)
+    report, left = EV.delete_subscriptions(was, spark.createDataFrame([(1,), (1,), (77,)], "id long"))
+    assert {r["id"]: r["outcome"] for r in report.collect()} == {1: "deleted", 77: "not_found"}
+    assert 1 not in {r["id"] for r in left.collect()}
 
 
 def test_progress_to_readers(spark):
