@@ -148,3 +148,24 @@ def test_random_validations(spark, tmpdir_path):
     got = {names[r["file_rank"]]: (r["is_valid"], r["errors"], r["total_rows"], r["sample_size"]) for r in V.verdict(feed.facts, feed.rows).collect()}
     assert got == {k: (ok, "\n".join(m), n, s) for k, (ok, m, n, s) in want.items()}
     assert all(seen.values()), seen
+
+
+def test_ten_thousand_files_with_many_headers(spark, tmpdir_path):
+    """Files with a hundred different headers, some with quoted newlines, are one plan: every
+    row is read at its file's own positions."""
+    folder, n = os.path.join(tmpdir_path, "files"), 10_000
+    os.makedirs(folder)
+    for i in range(n):
+        extra = [f"x{j}" for j in range(i % 10)]
+        cols = ["sku", "name"] if i % 20 < 10 else ["name", "sku"]
+        header = extra[:i % 7] + cols + extra[i % 7:]
+        values = {"sku": f"K-{i}", "name": "two\nlines" if i % 500 == 0 else f"n{i}"}
+        line = ",".join(cell(values.get(h, "v")) for h in header)
+        with open(os.path.join(folder, f"f{i:05d}.csv"), "w") as f:
+            f.write(",".join(header) + "\n" + line + "\n")
+    feed = load_feed(spark, folder, batch_size=10)
+    rows = {r["sku"]: r for r in feed.acc.select("sku", "name", "ord", "batch", "file_rank").collect()}
+    assert len(rows) == n and feed.facts.count() == n
+    assert all(rows[f"K-{i}"]["name"] == ("two\nlines" if i % 500 == 0 else f"n{i}") for i in range(n))
+    assert {(r["ord"], r["batch"]) for r in rows.values()} == {(1, 1)}
+    assert all(rows[f"K-{i}"]["file_rank"] == i + 1 for i in range(n))
