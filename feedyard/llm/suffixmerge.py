@@ -386,13 +386,15 @@ def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), length: int = L
     prep(docs.sparkSession)
     src = _documents(docs, carry)
     found = stage(_anchor_rows(src, length), "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that both sides of the join are plain shuffles, which Spark splits at a hot hash
+    again = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     cand = found.join(again, "h")
     # rows that repeat key and text have the same anchors: list them once
     per = cand.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "back", "more")).alias("x"))
     per = per.select("k1", "k2", *[F.col(f"x.{c}").alias(c) for c in ("a", "back", "more")])
     joined = stage(src.join(per, ["k1", "k2"], "left").select("doc", "k1", "k2", "text", "a", "back", "more"), "joined")
     unstage(found)
+    unstage(again)
     some = joined.where("a is not null")
 
     size = some.agg(F.sum(F.size("a") * F.lit(length)).alias("b"), F.sum(F.size("a")).alias("n")).first()
