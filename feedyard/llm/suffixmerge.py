@@ -24,6 +24,10 @@ sorted that provably decides every window (string of that length):
    matched in the group by their hash and offset (linear in the group, no pairs).
 7. The repeated windows return to their documents and their bytes are cut out.
 
+An anchor string with more than `HOT` occurrences would meet in one range with all its
+contexts.  Its windows are counted by (anchor, offset, window hash) in a grouped aggregation
+instead, which no hot string can fill; the decision is the same.
+
 Exact but for hash collisions (64 bits in a group, 128 bits for equal entries).
 
 Defined results: a null text is empty; rows that repeat a doc_id are documents of their own,
@@ -53,6 +57,8 @@ RANGE_BYTES = 4 << 20
 RUN_BYTES = 24 << 20
 #: Anchor strings sampled for the splitters.
 SPLIT_SAMPLE = 4096
+#: Occurrences of one anchor string that a range takes; beyond, its windows are counted one by one.
+HOT = 500_000
 #: Windows that are matched at once.
 MATCH_WINDOWS = 1 << 20
 
@@ -380,6 +386,27 @@ def _owners(joined: DataFrame, length: int) -> DataFrame:
     return joined.select("k1", "k2", "text", "a", "back", "more").mapInArrow(run, "key binary, k1 long, k2 long, p long")
 
 
+def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, x): the repeated windows at anchors of hot strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, hot) in enumerate(zip(b.column("text").to_pylist(), b.column("hot").to_pylist(), strict=True)):
+                raw = text.encode()
+                for x in hot:
+                    first = x["a"] - x["back"]
+                    w = Rolling(np.frombuffer(raw[first:first + x["more"] + length], np.uint8)).fixed(length)
+                    n = len(w)
+                    g = int.from_bytes(hashlib.blake2b(raw[x["a"]:x["a"] + length // 4], digest_size=8).digest(), "little", signed=True)
+                    own = pa.array([i] * n, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(x["back"] - np.arange(n, dtype=np.int32)), pa.array(w.view(np.int64)), b.column("k1").take(own), b.column("k2").take(own),
+                                                      pa.array(first + np.arange(n))], names=["g", "d", "w", "k1", "k2", "p"])
+
+    windows = stage(rows.select("k1", "k2", "text", "hot").mapInArrow(run, "g long, d int, w long, k1 long, k2 long, p long"), "windows")
+    twice = stage(windows.groupBy("g", "d", "w").agg(F.count("*").alias("n")).where("n > 1").select("g", "d", "w"), "twice")
+    return windows.join(twice, ["g", "d", "w"]).select("k1", "k2", F.struct(F.col("p").alias("s"), (F.col("p") + length).alias("e")).alias("x"))
+
+
 def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), length: int = LENGTH) -> DataFrame:
     """doc (carried columns), text, spans: array of (from, to) byte ranges to remove, maximal,
     in order; one row per document row."""
@@ -387,15 +414,15 @@ def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), length: int = L
     src = _documents(docs, carry)
     found = stage(_anchor_rows(src, length), "anchors")
     # written, so that both sides of the join are plain shuffles, which Spark splits at a hot hash
-    again = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    again = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "again")
     cand = found.join(again, "h")
     # rows that repeat key and text have the same anchors: list them once
-    per = cand.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "back", "more")).alias("x"))
-    per = per.select("k1", "k2", *[F.col(f"x.{c}").alias(c) for c in ("a", "back", "more")])
-    joined = stage(src.join(per, ["k1", "k2"], "left").select("doc", "k1", "k2", "text", "a", "back", "more"), "joined")
+    at = F.struct("a", "back", "more")
+    per = cand.groupBy("k1", "k2").agg(F.collect_set(F.when(~F.col("hot"), at)).alias("x"), F.collect_set(F.when(F.col("hot"), at)).alias("y"))
+    per = per.select("k1", "k2", *[F.col(f"x.{c}").alias(c) for c in ("a", "back", "more")], F.when(F.size("y") > 0, F.col("y")).alias("hot"))
+    joined = stage(src.join(per, ["k1", "k2"], "left").select("doc", "k1", "k2", "text", "a", "back", "more", "hot"), "joined")
     unstage(found)
-    unstage(again)
-    some = joined.where("a is not null")
+    some = joined.where("a is not null")  # with any candidate anchor
 
     size = some.agg(F.sum(F.size("a") * F.lit(length)).alias("b"), F.sum(F.size("a")).alias("n")).first()
     ranges = max(1, -(-int(size["b"] or 0) // RANGE_BYTES))
@@ -410,6 +437,9 @@ def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), length: int = L
     runs = _runs(some, splitters, length)
     hits = runs.groupBy("part").applyInArrow(_merge_range(length), "key binary, lo int, hi int")
     owned = _owners(some, length).join(hits, "key").select("k1", "k2", F.struct((F.col("p") + F.col("lo")).alias("s"), (F.col("p") + F.col("hi") + length).alias("e")).alias("x"))
+    if again.where("hot").limit(1).count():
+        owned = owned.unionAll(_hot_spans(joined.where("hot is not null"), length))
+    unstage(again)
     spans = owned.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("x")).alias("x"))
     # merge touching ranges: (closed ranges, the open one)
     start = F.struct(F.array().cast("array<struct<s:bigint,e:bigint>>").alias("done"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("open"))

@@ -107,6 +107,16 @@ def test_repeats(docs, monkeypatch):
     assert any(w[1] for w in want)
 
 
+def test_hot_anchor_strings(docs, monkeypatch):
+    """Anchors of frequent strings are counted window by window: the same decision."""
+    rows, df = docs
+    want = sorted((str(i), *w) for (i, _), w in zip(rows, brute.repeats(rows), strict=True))
+    for hot in (0, 3):
+        monkeypatch.setattr(suffixmerge, "HOT", hot)
+        got = suffixmerge.cut(df, texts=False).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert sorted((str(r.doc_id), *r[1:]) for r in got) == want
+
+
 def test_other_lengths(docs):
     rows, df = docs
     for length in (40, 203):
