@@ -123,19 +123,25 @@ def scan(spark: SparkSession, paths: str | list[str], width: int, multiline: boo
                      F.array(*cells).alias("cells"))
 
 
-def scan_feed(spark: SparkSession, path: str | list[str], facts: DataFrame) -> DataFrame:
+def shape(facts: DataFrame):
+    """Files, readable files, those of them with quoted newlines, and the widest header."""
+    ok = F.col("names").isNotNull() & ~F.col("bad_utf8")
+    return facts.agg(F.count("*").alias("files"), F.count_if(ok).alias("n"), F.count_if(ok & F.col("multiline")).alias("multi"),
+                     F.greatest(F.lit(1), F.coalesce(F.max(F.when(ok, F.size("names"))), F.lit(1))).alias("width")).first()
+
+
+def scan_feed(spark: SparkSession, path: str | list[str], facts: DataFrame, n) -> DataFrame:
     """Rows of all readable files with the allowed columns (`<c>_v`, `<c>_present`,
-    `<c>_in_header`); `facts` should be staged."""
+    `<c>_in_header`); `facts` should be staged, `n` is its `shape`."""
     files = readable(facts)
-    n = files.agg(F.count("*").alias("n"), F.count_if("multiline").alias("multi")).first()
-    width = facts.agg(F.coalesce(F.max(F.size("names")), F.lit(1))).first()[0]
-    lookup = F.broadcast(files) if n["n"] <= SMALL_TABLE_ROWS else files  # one narrow row a file
+    width = n["width"]
+    lookup = F.broadcast(files) if n["files"] <= SMALL_TABLE_ROWS else files  # one narrow row a file
     rows = None
     if n["n"] > n["multi"]:
-        rows = scan(spark, path, max(1, width), False).join(lookup.filter("not multiline"), "path")
+        rows = scan(spark, path, width, False).join(lookup.filter("not multiline"), "path")
     if n["multi"]:  # names of the files with quoted newlines only
         names = [r["path"] for r in files.filter("multiline").select("path").collect()]
-        more = scan(spark, names, max(1, width), True).join(lookup.filter("multiline"), "path")
+        more = scan(spark, names, width, True).join(lookup.filter("multiline"), "path")
         rows = more if rows is None else rows.unionByName(more)
     if rows is None:  # no file passed the header gate
         rows = spark.createDataFrame([], "path string, bs long, m1 long, n_fields int, cells array<string>").join(lookup, "path")

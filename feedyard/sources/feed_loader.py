@@ -26,8 +26,9 @@ def load_feed(spark: SparkSession, path: str | list[str], batch_size: int = S.IM
     facts = stage(FD.file_facts(spark, path, in_order), "facts")
     # Stage the parsed, classified rows once: the ids taken at the scan stay valid for the
     # later ordinal joins, and an executor loss re-reads the stage, not the CSV.
-    small = facts.count() <= FD.SMALL_TABLE_ROWS
-    staged = clean.classify(FD.scan_feed(spark, path, facts)).checkpoint(eager=True)
+    n = FD.shape(facts)
+    small = n["files"] <= FD.SMALL_TABLE_ROWS
+    staged = clean.classify(FD.scan_feed(spark, path, facts, n)).checkpoint(eager=True)
 
     rows = FD.with_ordinals(staged)
 
