@@ -8,11 +8,15 @@
    every node gets neighbours by robust pruning (a candidate goes when a kept neighbour is
    `ALPHA` times nearer to it than the node is).
 3. The adjacency lists that a node has in its shards are united by a grouped aggregation.
-4. Search.  In each part of a shard the graph of its members (united lists, both directions)
-   is searched for every node that probes the shard: a greedy beam search from the medoid, then
-   a range expansion that follows edges from every node found within reach, until none is left.
+4. Search.  A node probes every shard whose primary members may link with it.  Those lie on
+   their centre's side of the plane halfway to the node's own centre, so a shard is left out
+   only if the node is farther from that plane than a link reaches: no linked pair is lost by
+   the choice of shards, whatever the label's size.  In each part of a shard the graph of its
+   members (united lists, both directions) is searched for every node that probes the shard: a
+   greedy beam search from the medoid, then a range expansion that follows edges from every
+   node found within reach, until none is left.
 5. Audit.  For the members whose id is divisible by 20 the part's true links are computed by
-   brute force, in blocks.  A part whose recall is under `RECALL` is searched again with a
+   brute force, in blocks (all their links, since no other part holds any).  A part whose recall is under `RECALL` is searched again with a
    beam twice as wide, up to all members.
 6. Links are verified by their cosine.  A node's links are counted in the part that holds
    the other node as primary member, so each is counted once; each part returns a spanning
@@ -42,7 +46,6 @@ FIT = 4096
 SHARD = 1024
 CENTRES = 64
 OVERLAP = 2
-PROBES = 4
 DEGREE = 24
 CANDIDATES = 64
 ALPHA = 1.2
@@ -90,6 +93,18 @@ def _centres(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()] * k, pa.string()), pa.array(range(k), pa.int32()), pa.array(c.tolist(), pa.list_(pa.float64())), pa.array(parts, pa.int32())], names=["grp", "shard", "centre", "parts"])
 
 
+def probes(x: np.ndarray, c: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, centres): each row's centres, nearest first, and which of them in that order may
+    be the nearest centre of a vector with cosine >= limit to the row."""
+    s = x @ c.T
+    order = np.argsort(-s, axis=1, kind="stable")
+    s = np.take_along_axis(s, order, 1)
+    apart = np.linalg.norm(c[:, None] - c[None], axis=2)[order[:, :1], order]
+    reach = np.sqrt(1 - limit * limit) if limit > 0 else np.inf
+    # distance to the halfway plane times `apart`; 1e-9 is far over the rounding
+    return order, s[:, :1] - s <= np.where(apart > 0, reach * apart, 0) + 1e-9 if reach < np.inf else np.ones_like(s, bool)
+
+
 # ---------------------------------------------------------------- graph
 
 def robust_prune(x: np.ndarray) -> list[np.ndarray]:
@@ -245,27 +260,33 @@ def link(vectors: DataFrame, limit: float = 0.93) -> tuple[DataFrame, DataFrame]
         for b in batches:
             if not b.num_rows:
                 continue
-            v, shard, rank_, part, parts = [], [], [], [], []
-            for i, (vid, x, c) in enumerate(zip(b.column("v").to_pylist(), b.column("x"), b.column("c").to_pylist(), strict=True)):
-                q = unit(pa.array([x.as_py()]))[0]
-                s = np.array([k["centre"] for k in c]) @ q
-                for r, k in enumerate(np.argsort(-s, kind="stable")[:PROBES].tolist()):
-                    v.append(i)
-                    shard.append(c[k]["shard"])
-                    rank_.append(r)
-                    parts.append(c[k]["parts"])
-                    part.append((vid * 2654435761 >> 7) % c[k]["parts"])
-            at = pa.array(v)
-            yield pa.RecordBatch.from_arrays([b.column(n).take(at) for n in ("grp", "v", "x", "weight")] + [pa.array(shard, pa.int32()), pa.array(rank_, pa.int32()), pa.array(part, pa.int32()), pa.array(parts, pa.int32())],
-                                             names=["grp", "v", "x", "weight", "shard", "rank", "part", "parts"])
-
-    placed = stage(nodes.join(by, "grp").select("grp", "v", "x", "weight", "c").mapInArrow(assign, "grp string, v long, x array<double>, weight long, shard int, rank int, part int, parts int"), "placed")
+            ids = b.column("v").to_numpy()
+            groups = b.column("grp").dictionary_encode().indices.to_numpy()
+            v, shard, rank_, part, parts, asks = [], [], [], [], [], []
+            for grp in np.unique(groups):
+                rows = np.flatnonzero(groups == grp)
+                c = b.column("c")[int(rows[0])].as_py()
+                order, near = probes(unit(b.column("x").take(pa.array(rows))), np.array([k["centre"] for k in c]), limit)
+                i, r = np.nonzero(near | (np.arange(len(c)) < OVERLAP))
+                k = order[i, r]
+                n = np.array([k["parts"] for k in c])[k]
+                v.append(rows[i])
+                shard.append(np.array([k["shard"] for k in c])[k])
+                rank_.append(r)
+                part.append((ids[rows[i]].astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % n.astype(np.uint64))
+                parts.append(n)
+                asks.append(near[i, r])
+            at = pa.array(np.concatenate(v))
+            yield pa.RecordBatch.from_arrays([b.column(n).take(at) for n in ("grp", "v", "x", "weight")] + [pa.array(np.concatenate(a).astype(np.int32)) for a in (shard, rank_, part, parts)] + [pa.array(np.concatenate(asks))],
+                                             names=["grp", "v", "x", "weight", "shard", "rank", "part", "parts", "asks"])
+
+    placed = stage(nodes.join(by, "grp").select("grp", "v", "x", "weight", "c").mapInArrow(assign, "grp string, v long, x array<double>, weight long, shard int, rank int, part int, parts int, asks boolean"), "placed")
     members = placed.where(F.col("rank") < OVERLAP)
     lists = members.groupBy("grp", "shard", "part").applyInArrow(_build, "v long, near array<bigint>")
     union = stage(lists.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
     hold = members.join(union, "v").select("grp", "shard", "part", "v", "x", "weight", (F.col("rank") == 0).alias("main"), "near")
     # every node searches all parts of the shards it probes
-    ask = placed.select(F.col("grp").alias("qg"), F.col("shard").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("qp"), F.col("v").alias("qv"), F.col("x").alias("qx"))
+    ask = placed.where("asks").select(F.col("grp").alias("qg"), F.col("shard").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("qp"), F.col("v").alias("qv"), F.col("x").alias("qx"))
     got = stage(hold.groupBy("grp", "shard", "part").cogroup(ask.groupBy("qg", "qs", "qp")).applyInArrow(_find(limit), "v long, n long, w long, hits long, true_hits long"), "links")
 
     comp = components(got.where("w is not null").select(F.col("v").alias("u"), F.col("w").alias("v")).unionAll(

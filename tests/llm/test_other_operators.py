@@ -162,6 +162,37 @@ def test_links(spark, monkeypatch):
     assert flatgraph.link(spark.createDataFrame([], df.schema))[0].count() == 0
 
 
+@pytest.mark.parametrize("dims, limit", [(3, 0.93), (16, 0.93), (16, 0.5), (16, -0.2)])
+def test_probes_miss_no_linked_pair(dims, limit):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, dims))
+    x[700:] = x[rng.integers(700, size=800)] + rng.normal(size=(800, dims)) * 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = flatgraph.kmeans(x, 64)
+    c[9] = c[8]  # equal centres
+    order, near = flatgraph.probes(x, c, limit)
+    asks = np.zeros((len(x), 64), bool)
+    np.put_along_axis(asks, order, near, 1)
+    i, j = np.nonzero(x @ x.T >= limit)
+    assert asks[i, order[j, 0]].all()
+    assert near.mean() < 0.6 or limit < 0.93 or dims > 3
+
+
+def test_links_across_many_shards(spark, monkeypatch):
+    """One label of many shards: links between nodes of far shards are found too."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 16))
+    x[500:] = x[rng.integers(100, size=400)] + rng.normal(size=(400, 16)) * 0.3
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(flatgraph, "SHARD", 16)  # 57 centres
+    want = (x @ x.T >= 0.7).sum(1) - 1
+    out, audit = flatgraph.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), 0.7)
+    got = {r.vec_id: r.n_links for r in out.collect()}
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= flatgraph.RECALL * want.sum()
+
+
 # ---------------------------------------------------------------- quality
 
 def labelled(spark, n=400, seed=6):
