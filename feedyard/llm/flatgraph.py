@@ -19,8 +19,9 @@
    brute force, in blocks (all their links, since no other part holds any).  A part whose recall is under `RECALL` is searched again with a
    beam twice as wide, up to all members.
 6. Links are verified by their cosine.  A node's links are counted in the part that holds
-   the other node as primary member, so each is counted once; each part returns a spanning
-   forest of its links, and components follow from those.
+   the other node as primary member, so each is counted once.  The nodes that search a part are
+   dealt into blocks of `ASKING` by a hash; a block's links go into a union-find one node at a
+   time, and it returns counts and a spanning forest, from which the components follow.
 
 Defined results: a null or zero vector, null or non-finite components, a null label and a
 null id link with nothing (component: itself; kept); vectors of different length are never
@@ -44,6 +45,8 @@ from feedyard.llm.components import components
 FIT = 4096
 #: Members that a shard, and a part of one, should have.
 SHARD = 1024
+#: Vectors that search a part in one group.
+ASKING = 4096
 CENTRES = 64
 OVERLAP = 2
 DEGREE = 24
@@ -168,23 +171,27 @@ def search(x: np.ndarray, near: list[np.ndarray], start: int, q: np.ndarray, lim
     return g[x[g] @ q >= limit] if len(g) else g
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links."""
-    up: dict[int, int] = {}
+class Forest:
+    """A spanning forest of links that come query by query; holds a number for each member."""
 
-    def root(i: int) -> int:
-        while up.get(i, i) != i:
-            up[i] = up.get(up[i], up[i])
-            i = up[i]
-        return i
+    def __init__(self, members: int):
+        self.comp = np.arange(members)
+        self.a: list[int] = []
+        self.b: list[int] = []
 
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        ri, rj = root(i), root(j)
-        if ri != rj:
-            up[max(ri, rj)] = min(ri, rj)
-            out.append((i, j))
-    return out
+    def add(self, query: int, ids: np.ndarray, other: np.ndarray) -> None:
+        """Links of a vector with the members at the places `other` (ids: sorted ids of the members)."""
+        if not len(other):
+            return
+        comp, first = np.unique(self.comp[other], return_index=True)
+        at = int(np.searchsorted(ids, query))
+        own = self.comp[at] if at < len(ids) and ids[at] == query else -1
+        new = ids[other[first[comp != own]]].tolist()
+        self.a += [query] * len(new)
+        self.b += new
+        if len(new) + (own >= 0) > 1:
+            old = np.union1d(comp, own) if own >= 0 else comp
+            self.comp[np.isin(self.comp, old)] = old[0]
 
 
 def _find(limit: float):
@@ -222,17 +229,15 @@ def _find(limit: float):
             if hits >= RECALL * true_hits or beam >= len(ids):
                 break
             beam *= 2
-        out_v, out_n, link_a, link_b = [], [], [], []
+        out_v, out_n, tree = [], [], Forest(len(ids))
         for i in range(len(qid)):
             g = found[i] if i in found else search(x, near, start, q[i], limit, beam)
             other = g[ids[g] != qid[i]]
             mine = other[primary[other]]
             out_v.append(int(qid[i]))
             out_n.append(int(weight[mine].sum()))
-            link_a.append(np.full(len(other), qid[i]))
-            link_b.append(ids[other])
-        tree = _forest(np.concatenate(link_a), np.concatenate(link_b))
-        rows_v, rows_n, rows_w = out_v + [t[0] for t in tree], out_n + [0] * len(tree), [None] * len(out_v) + [t[1] for t in tree]
+            tree.add(int(qid[i]), ids, other)
+        rows_v, rows_n, rows_w = out_v + tree.a, out_n + [0] * len(tree.a), [None] * len(out_v) + tree.b
         m = len(rows_v) - 1
         return pa.table([pa.array(rows_v, pa.int64()), pa.array(rows_n, pa.int64()), pa.array(rows_w, pa.int64()), pa.array([hits] + [0] * m, pa.int64()), pa.array([true_hits] + [0] * m, pa.int64())], schema=kind)
 
@@ -285,9 +290,13 @@ def link(vectors: DataFrame, limit: float = 0.93) -> tuple[DataFrame, DataFrame]
     lists = members.groupBy("grp", "shard", "part").applyInArrow(_build, "v long, near array<bigint>")
     union = stage(lists.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
     hold = members.join(union, "v").select("grp", "shard", "part", "v", "x", "weight", (F.col("rank") == 0).alias("main"), "near")
-    # every node searches all parts of the shards it probes
-    ask = placed.where("asks").select(F.col("grp").alias("qg"), F.col("shard").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("qp"), F.col("v").alias("qv"), F.col("x").alias("qx"))
-    got = stage(hold.groupBy("grp", "shard", "part").cogroup(ask.groupBy("qg", "qs", "qp")).applyInArrow(_find(limit), "v long, n long, w long, hits long, true_hits long"), "links")
+    # every node searches all parts of the shards it probes, and a part meets every block of these nodes
+    blocks = placed.where("asks").groupBy("grp", "shard").agg(F.ceil(F.count("*") / F.lit(ASKING)).cast("int").alias("blocks"))
+    hold = hold.join(blocks, ["grp", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ask = placed.where("asks").join(blocks, ["grp", "shard"]).select(
+        F.col("grp").alias("qg"), F.col("shard").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("qp"),
+        F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("qb"), F.col("v").alias("qv"), F.col("x").alias("qx"))
+    got = stage(hold.groupBy("grp", "shard", "part", "block").cogroup(ask.groupBy("qg", "qs", "qp", "qb")).applyInArrow(_find(limit), "v long, n long, w long, hits long, true_hits long"), "links")
 
     comp = components(got.where("w is not null").select(F.col("v").alias("u"), F.col("w").alias("v")).unionAll(
         nodes.select(F.explode("ids").alias("u"), "v")))

@@ -193,6 +193,48 @@ def test_links_across_many_shards(spark, monkeypatch):
     assert sum(got.values()) >= flatgraph.RECALL * want.sum()
 
 
+def test_ball_of_noisy_copies(spark, monkeypatch):
+    """The nodes that search one part come in bounded blocks; counts and components stay whole."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.02, rng.normal(size=(100, 16))])
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    n, comp = brute.vector_links(rows, 0.93)
+    sizes = spark.sparkContext.accumulator(0)
+    find = flatgraph._find
+
+    def counted(limit):
+        run = find(limit)
+
+        def block(members, queries):
+            assert queries.num_rows < 100
+            sizes.add(1)
+            return run(members, queries)
+        return block
+
+    monkeypatch.setattr(flatgraph, "ASKING", 50)
+    monkeypatch.setattr(flatgraph, "_find", counted)
+    got = flatgraph.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), 0.93)[0].collect()
+    assert sizes.value >= 8
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, k, c) for i, (k, c) in enumerate(zip(n, comp, strict=True))]
+
+
+def test_forest():
+    rng = np.random.default_rng(14)
+    ids = np.sort(rng.choice(500, 60, replace=False))
+    links = [(q, np.unique(rng.integers(60, size=rng.integers(0, 3)))) for q in range(500)]
+    tree, want, got = flatgraph.Forest(len(ids)), brute.Groups(), brute.Groups()
+    for q, at in links:
+        at = at[ids[at] != q]
+        tree.add(q, ids, at)
+        for j in ids[at].tolist():
+            want.tie(q, j)
+    assert len(tree.a) == len(tree.b) and len(tree.a) < 500
+    for a, b in zip(tree.a, tree.b, strict=True):
+        assert got.root(a) != got.root(b)  # no edge closes a ring
+        got.tie(a, b)
+    assert all(want.root(i) == got.root(i) for i in range(500))
+
+
 # ---------------------------------------------------------------- quality
 
 def labelled(spark, n=400, seed=6):
