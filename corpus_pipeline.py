@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    """One row of each group of near-duplicate texts (five-word shingles, similarity 0.8)."""
     prep(spark)
-    return hyperminhash.keep_one(docs, k=5, percent=80)
+    return hyperminhash.keep_texts(docs, k=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

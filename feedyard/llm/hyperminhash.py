@@ -350,3 +350,18 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     w = Window.partitionBy("doc_id", "row").orderBy("doc_id")
     one = src.join(named, ["doc_id", "row"]).withColumn("turn", F.row_number().over(w)).where("turn = 1")
     return one.select("doc.*").unionAll(docs.where("doc_id is null"))
+
+
+def keep_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` with one row of each group of near-duplicate texts, whatever their ids.
+
+    The vertex of a row is its 64-bit hash of doc_id and text, so texts that share a doc_id, or
+    have none, are judged on their own.  The row of the smallest doc_id stays (null last, then the
+    smallest hash); of rows equal in doc_id and text one stays, also of those without words."""
+    named = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
+    found = near_duplicates(named, k, percent, [F.col("id")])
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "doc_id")).alias("m"))
+    src = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("doc"), row_key().alias("v"))
+    # the window comes before the join, so that copies go before the shuffle
+    one = src.withColumn("turn", F.row_number().over(Window.partitionBy("v").orderBy("v"))).where("turn = 1")
+    return one.join(first.select(F.col("m.doc_id").alias("v")), "v").select("doc.*")

@@ -69,6 +69,30 @@ def test_keep_one(docs):
     assert got.count(None) == 2
 
 
+def test_near_dedup_stage_judges_each_text(docs, spark):
+    """Repeated ids over different texts and rows without id: one row of each group of texts stays."""
+    import corpus_pipeline
+    rng = random.Random(21)
+    voc = vocabulary(rng)
+    rows = list(docs[0])
+    a, b, c = (" ".join(rng.choice(voc) for _ in range(80)) for _ in range(3))
+    rows += [(200, a), (201, a + " more"), (201, b), (201, c), (None, c + " end"), (None, "x " + c)]
+    d = " ".join(rng.choice(voc) for _ in range(80))
+    rows += [(None, d + f" {i % 7}") for i in range(20)] + [(None, "")] * 3
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], DOC).repartition(3)
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    one = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    comp = [v[1] for v in brute.near_duplicates([(n, t) for n, (_, t) in enumerate(one)], 5, 80).values()]
+    left = {}
+    for r in out.collect():
+        group = comp[one.index((r.doc_id, r.text))]
+        assert group not in left  # one row of a group
+        left[group] = r.doc_id
+    assert left == {g: one[g][0] for g in comp}  # of the smallest doc_id
+    assert {b, c} <= {r.text for r in out.collect()}
+
+
 def test_large_group_of_near_copies(spark):
     """Hundreds of copies of one text that differ pairwise: one component, no pair listing."""
     rng = random.Random(9)
