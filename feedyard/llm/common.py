@@ -57,6 +57,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same columns under attributes of their own, for a cogroup with what it was made from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """Second half of a document's key (its id, this): tells rows apart that repeat an id."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

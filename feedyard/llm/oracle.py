@@ -71,3 +71,49 @@ comp AS (SELECT a, min(r) AS c FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
 FROM e LEFT JOIN n ON n.a = e.vec_id JOIN comp c ON c.a = e.vec_id"""
+
+FINITE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
+
+HARD_NEGATIVES = f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda v: floor(256 * v)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND {FINITE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10"""
+
+NEAREST = f"""
+WITH r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE {FINITE} AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.x, b.x) AS score FROM r a JOIN r b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+# crc32 bit by bit over the UTF-8 bytes (all of one or two bytes here); near words by equal deletions
+VARIANTS = """
+WITH RECURSIVE run AS (
+  SELECT d, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT d, w, n, flatten(list_transform(string_split(d || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b FROM run),
+h AS (
+  SELECT w, n, xor(4294967295, list_reduce(flatten(list_transform(b, lambda x: list_transform(range(8), lambda j: CAST((x >> CAST(j AS INTEGER)) & 1 AS BIGINT)))),
+         lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1)), CAST(4294967295 AS BIGINT))) AS h FROM bytes),
+slip AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slip WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS s FROM cut),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.s = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.s = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS m FROM near GROUP BY word),
+top AS (SELECT near.word, any_value(n_near) AS n_near, any_value(m) AS m, min(other) AS other FROM near JOIN best ON near.word = best.word AND near.n = best.m GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN top ON top.word = v.word),
+walk AS (SELECT word, word AS reached, 0 AS step FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.reached WHERE f.form IS NOT NULL),
+root AS (SELECT word, max_by(reached, step) AS root FROM walk GROUP BY word)
+SELECT f.word, f.form, root.root, f.n, f.n_near, f.form_n FROM f JOIN root ON root.word = f.word"""

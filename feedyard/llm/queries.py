@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedyard.llm import apportion, bayes_quality, flatgraph, hmm, htmltree, hyperminhash, kneser_ney, oracle, suffixmerge, wumanber, zipwarc
+from feedyard.llm import apportion, bayes_quality, flatgraph, hmm, htmltree, hyperminhash, kneser_ney, onebit, oracle, residue_mining, spelling, suffixmerge, wumanber, zipwarc
 from feedyard.llm.common import prep, table
 
 
@@ -57,6 +57,20 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(docs).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_residue_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prep(spark), sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return residue_mining.mine(vectors.withColumn("label", moved), scale=256, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(prep(spark), sf_dir, "documents"), least=7, often=2, slip=31, factor=10)
+
+
+def op13_one_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.search(table(prep(spark), sf_dir, "embeddings"), k=20)
+
+
 QUERIES = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_block_tree": op2_block_tree,
@@ -68,6 +82,9 @@ QUERIES = {
     "op8_flat_graph": op8_flat_graph,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_sainte_lague": op10_sainte_lague,
+    "op11_residue_gemm": op11_residue_gemm,
+    "op12_bit_sliced": op12_bit_sliced,
+    "op13_one_bit": op13_one_bit,
 }
 
 #: The others have no SQL form (trained models, a seeded choice); their tests hold them
@@ -78,4 +95,7 @@ ORACLE: dict[str, str] = {
     "op4_wu_manber": oracle.CONTAMINATION,
     "op5_zip_warc": oracle.WARC,
     "op8_flat_graph": oracle.VECTOR_LINKS,
+    "op11_residue_gemm": oracle.HARD_NEGATIVES,
+    "op12_bit_sliced": oracle.VARIANTS,
+    "op13_one_bit": oracle.NEAREST,
 }
