@@ -95,12 +95,11 @@ def history_facts(log: DataFrame, page: int = 1, page_size: int = S.DELIVERY_PAG
                               rows.alias("n_rows"), (rows == page_size).alias("has_next"), F.lit(page > 1).alias("has_previous"))
 
 
-def latest_status(ledger: DataFrame) -> DataFrame:
-    """The state of each delivery after its attempts: a pending row is followed by the
-    outcome of the try that got through, or stays pending."""
-    return ledger.groupBy("event_id", "webhook_id").agg(
-        F.max_by("status", "attempt").alias("status"), F.max("attempt").alias("attempts"),
-        (F.count_if(F.col("status") == "pending") + F.count_if(F.col("status") != "pending")).alias("n_rows"))
+def latest_status(pairs: DataFrame, max_retries: int = S.MAX_RETRIES) -> DataFrame:
+    """The state of each delivery after its tries, and how many rows they left.  It follows
+    from the pair's own row (see `attempt_ledger`): no shuffle."""
+    p = _tries(pairs, max_retries)
+    return p.select("event_id", "webhook_id", "status", F.col("tries").cast("int").alias("attempts"), F.col("tries").cast("long").alias("n_rows"))
 
 
 def cut_bodies(rows: DataFrame, body: str) -> DataFrame:
@@ -119,24 +118,34 @@ def cascade_delete(log: DataFrame, deleted_ids: DataFrame) -> DataFrame:
     return log.join(deleted_ids.select(F.col("id").alias("webhook_id")), "webhook_id", "left_anti")
 
 
+def _tries(pairs: DataFrame, max_retries: int) -> DataFrame:
+    """tries, exhausted, and the status of the last try."""
+    exhausted = F.col("internal_failures") >= max_retries + 1
+    runs = ~exhausted & (F.col("running") if "running" in pairs.columns else F.lit(False))
+    return (pairs.withColumn("tries", F.least(F.col("internal_failures") + 1, F.lit(max_retries + 1))).withColumn("exhausted", exhausted)
+            .withColumn("runs", runs).withColumn("status", F.when(exhausted, "failed").when(runs, "pending").otherwise(F.col("status"))))
+
+
 def attempt_ledger(pairs: DataFrame, max_retries: int = S.MAX_RETRIES) -> DataFrame:
-    """One row per attempt.  Only internal errors retry; each try leaves a
-    pending row; an HTTP error or timeout is a final `failed`.
+    """One row per try.  Only internal errors retry; a try that died marks its row failed,
+    with the error's text (cut at 1000) and the time it ended; an HTTP error or timeout is a
+    final `failed`.  Only a try that still runs is pending.
 
-    Input: pairs with `internal_failures` (tries that died inside the task) and the
-    final `status` of a try that got through.
+    Input: pairs with `internal_failures` (tries that died inside the task), the final `status`
+    of a try that got through, and if known `internal_error` (text of the error), `completed_at`
+    and `running` (the last try has no outcome yet).
     """
-    tries = F.least(F.col("internal_failures") + 1, F.lit(max_retries + 1))
-    p = pairs.withColumn("tries", tries).withColumn(
-        "exhausted", F.col("internal_failures") >= max_retries + 1)
+    given = lambda c, kind: F.col(c) if c in pairs.columns else F.lit(None).cast(kind)
+    p = _tries(pairs, max_retries).withColumn("error", given("internal_error", "string")).withColumn("ended", given("completed_at", "timestamp"))
+    p = p.select("event_id", "webhook_id", "exhausted", F.explode(F.sequence(F.lit(1), F.col("tries"))).alias("attempt"), "tries", "status", "runs", "error", "ended")
+    last = F.col("attempt") == F.col("tries")
+    died = ~last | F.col("exhausted")
     return p.select(
-        "event_id", "webhook_id", "exhausted",
-        F.explode(F.sequence(F.lit(1), F.col("tries"))).alias("attempt"), "tries", "status",
-    ).select(
         "event_id", "webhook_id", F.col("attempt").cast("int").alias("attempt"),
-        F.when((F.col("attempt") == F.col("tries")) & ~F.col("exhausted"), F.col("status"))
-        .otherwise(F.lit("pending")).alias("status"),
-        (F.col("attempt") == F.col("tries")).alias("is_last"), "exhausted",
+        F.when(died, "failed").otherwise(F.col("status")).alias("status"),
+        F.when(died, X.cut_text("error")).alias("error_text"),
+        F.when(~(last & F.col("runs")), F.col("ended")).alias("completed_at"),
+        last.alias("is_last"), "exhausted",
     )
 
 

@@ -98,15 +98,17 @@ def tail(jobs: DataFrame, events: DataFrame, asof) -> DataFrame:
     """What a reader attached at `asof` receives, as rows with a position.
 
     pos 0: snapshot (or default); then updates after `asof` up to and including the
-    first done/failed; then a close record.  A terminal snapshot closes at once.
+    first done/failed; then a close record.  A terminal snapshot closes at once; a default
+    record does not, whatever the job row's status.
     """
-    first = or_default(jobs, snapshot(events, asof)).select(
+    known = or_default(jobs, snapshot(events, asof))
+    first = known.select(
         "job_id", F.lit(0).cast("long").alias("pos"), F.lit("progress").alias("kind"), "status", "stage",
         "processed_rows", "progress_percent")
     later = events.filter(F.col("updated_at") > asof).join(jobs.select("job_id"), "job_id", "left_semi")
     term = later.filter(F.col("status").isin(*S.TERMINAL_STATUSES)).groupBy("job_id").agg(
         F.min("seq").alias("stop_seq"))
-    snap_terminal = first.filter(F.col("status").isin(*S.TERMINAL_STATUSES)).select(
+    snap_terminal = known.filter(F.col("from_snapshot") & F.col("status").isin(*S.TERMINAL_STATUSES)).select(
         "job_id", F.lit(True).alias("snap_done"))
     gate = (jobs.select("job_id").join(term, "job_id", "left").join(snap_terminal, "job_id", "left"))
     upd = (salted_join(later, gate, ["job_id"], "inner", salt_of="seq")

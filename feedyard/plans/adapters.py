@@ -230,6 +230,52 @@ def event_files(spark, sf_dir) -> str:
     return out
 
 
+#: How late rows of the out-of-order files may come.
+LATENESS_S = 3600
+
+
+def late_event_files(spark, sf_dir) -> str:
+    """`events` as four files in time, but a third of the rows of a file's last half hour come
+    with the next one; then a heartbeat, a row of nulls but for its time, which moves the
+    watermark to the last event."""
+    out = scratch_path(spark, "events-late", _render_tag("events:" + sf_dir, late_event_files))
+    if not path_exists(spark, out + "/_done/_SUCCESS"):
+        e = table(spark, sf_dir, "events")
+        top = e.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("top")).first()["top"] + 1
+        e = e.withColumn("file", F.floor(F.col("event_id") * 4 / top).cast("int"))
+        ends = F.broadcast(e.groupBy("file").agg(F.max("ts").alias("end")))  # four rows
+        late = (F.col("event_id") % 3 == 1) & (F.col("ts") > F.col("end") - F.expr(f"INTERVAL {LATENESS_S // 2} SECONDS")) & (F.col("file") < 3)
+        e = e.join(ends, "file").withColumn("file", F.col("file") + late.cast("int")).drop("end").checkpoint()
+        for i in range(4):
+            part = e.filter(F.col("file") == i).drop("file")
+            part.coalesce(1).write.mode("overwrite").parquet(f"{out}/{i:06d}")
+        last = e.agg((F.max("ts") + F.expr(f"INTERVAL {LATENESS_S} SECONDS")).alias("ts"))
+        none = [F.lit(None).cast(k).alias(c) for c, k in table(spark, sf_dir, "events").dtypes if c != "ts"]
+        beat = last.filter(F.col("ts").isNotNull()).select(*none, "ts").select(*table(spark, sf_dir, "events").columns)
+        beat.coalesce(1).write.mode("overwrite").parquet(f"{out}/{4:06d}")
+        spark.range(1).write.mode("overwrite").parquet(out + "/_done")
+    return out
+
+
+def reader_files(spark, sf_dir) -> str:
+    """The readers in four files by the time they attach, then a heartbeat at the events' last time."""
+    out = scratch_path(spark, "readers", _render_tag("readers:" + sf_dir, reader_files, progress_readers))
+    if not path_exists(spark, out + "/_done/_SUCCESS"):
+        r = progress_readers(spark, sf_dir)
+        for i in range(4):
+            part = r.filter((F.col("reader_id") % 720 >= 180 * i) & (F.col("reader_id") % 720 < 180 * (i + 1)))
+            part.coalesce(1).write.mode("overwrite").parquet(f"{out}/{i:06d}")
+        last = table(spark, sf_dir, "events").agg((F.greatest(F.max("ts"), F.timestamp_seconds(F.lit(CATALOG_EPOCH + 720 * 3600)).cast("timestamp_ntz")) + F.expr(f"INTERVAL {LATENESS_S} SECONDS")).alias("attached_at"))
+        last.select(F.lit(None).cast("long").alias("reader_id"), F.lit(None).cast("string").alias("job_id"), "attached_at").select(*r.columns).coalesce(1).write.mode("overwrite").parquet(f"{out}/{4:06d}")
+        spark.range(1).write.mode("overwrite").parquet(out + "/_done")
+    return out
+
+
+def trackers(spark, sf_dir) -> DataFrame:
+    """When each job's progress tracker was made: at its first update."""
+    return throttle_updates(spark, sf_dir).groupBy("job_id").agg(F.min_by("t", "seq").alias("started"))
+
+
 def jobs(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")

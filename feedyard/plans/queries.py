@@ -23,6 +23,7 @@ from feedyard.schemas import JOB_TYPES as S_JOB_TYPES
 from feedyard.session import fresh_scratch_path
 from feedyard.sources.feed_loader import Feed, load_feed
 from feedyard.sources.store import CatalogStore
+from feedyard.streaming import ordered as OR
 from feedyard.streaming import streams as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,7 +450,7 @@ def progress_or_default(spark, sf_dir):
 later AS (SELECT e.* FROM progress_events e WHERE e.updated_at > TIMESTAMP '{A.ASOF}'
           AND e.job_id IN (SELECT job_id FROM jobs)),
 term AS (SELECT job_id, min(seq) AS stop_seq FROM later WHERE status IN ('done', 'failed') GROUP BY 1),
-snapdone AS (SELECT job_id FROM or_default WHERE status IN ('done', 'failed'))
+snapdone AS (SELECT job_id FROM or_default WHERE from_snapshot AND status IN ('done', 'failed'))
 SELECT job_id, CAST(0 AS BIGINT) AS pos, 'progress' AS kind, status, stage, processed_rows, progress_percent
 FROM or_default
 UNION ALL
@@ -666,24 +667,36 @@ def subscription_delete_cascade(spark, sf_dir):
     return EV.cascade_delete(log, A.deleted_subscriptions(spark, sf_dir)).select("id", "webhook_id")
 
 
-@register("attempt_ledger", O.with_(*EVENTS_CTES, O.DELIVERIES) + """,
-t AS (SELECT event_id, webhook_id, status, internal_failures >= 4 AS exhausted,
-             least(internal_failures + 1, 4) AS tries FROM dlog)
+#: The tries as of a moment at which some of the last ones still run.
+TRIES = O.with_(*EVENTS_CTES, O.DELIVERIES) + """,
+t AS (SELECT event_id, webhook_id, completed_at, internal_failures >= 4 AS exhausted, event_id % 97 = 5 AND internal_failures < 4 AS runs,
+             CASE WHEN internal_failures >= 4 THEN 'failed' WHEN event_id % 97 = 5 THEN 'pending' ELSE status END AS status,
+             left('RuntimeError: event ' || CAST(event_id AS VARCHAR) || ' ' || repeat('.', CAST(event_id % 1200 AS INTEGER)), 1000) AS error,
+             least(internal_failures + 1, 4) AS tries FROM dlog)"""
+
+
+def _tries(spark, sf_dir) -> DataFrame:
+    eid = F.col("event_id")
+    error = F.concat(F.lit("RuntimeError: event "), eid.cast("string"), F.lit(" "), F.repeat(F.lit("."), (eid % 1200).cast("int")))
+    return EV.delivery_log(_log(spark, sf_dir)).withColumn("running", eid % 97 == 5).withColumn("internal_error", F.when(F.col("internal_failures") > 0, error))
+
+
+@register("attempt_ledger", TRIES + """
 SELECT event_id, webhook_id, CAST(a AS INTEGER) AS attempt,
-       CASE WHEN a = tries AND NOT exhausted THEN status ELSE 'pending' END AS status,
+       CASE WHEN a < tries THEN 'failed' ELSE status END AS status,
+       CASE WHEN a < tries OR exhausted THEN error END AS error_text,
+       CASE WHEN a < tries OR NOT runs THEN completed_at END AS completed_at,
        a = tries AS is_last, exhausted
 FROM t, LATERAL (SELECT unnest(range(1, tries + 1)) AS a)""")
 def attempt_ledger(spark, sf_dir):
-    return EV.attempt_ledger(EV.delivery_log(_log(spark, sf_dir)))
+    return EV.attempt_ledger(_tries(spark, sf_dir))
 
 
-@register("delivery_latest", O.with_(*EVENTS_CTES, O.DELIVERIES) + """
-SELECT event_id, webhook_id, CASE WHEN internal_failures >= 4 THEN 'pending' ELSE status END AS status,
-       CAST(least(internal_failures + 1, 4) AS INTEGER) AS attempts, CAST(least(internal_failures + 1, 4) AS BIGINT) AS n_rows
-FROM dlog""")
+@register("delivery_latest", TRIES + """
+SELECT event_id, webhook_id, status, CAST(tries AS INTEGER) AS attempts, CAST(tries AS BIGINT) AS n_rows FROM t""")
 def delivery_latest(spark, sf_dir):
-    """Pending rows followed by the outcome, latest per delivery."""
-    return EV.latest_status(attempt_ledger(spark, sf_dir))
+    """The state after the last try: its outcome, failed if it died too, pending while it runs."""
+    return EV.latest_status(_tries(spark, sf_dir))
 
 
 # ---- codec, flagship, pre-flight -------------------------------------------------------
@@ -754,6 +767,13 @@ def _events_stream(spark, sf_dir):
     return ST.file_stream(spark, A.event_files(spark, sf_dir), schema)
 
 
+LATENESS = f"{A.LATENESS_S} seconds"
+
+
+def _late_events_stream(spark, sf_dir):
+    return ST.file_stream(spark, A.late_event_files(spark, sf_dir), A.table(spark, sf_dir, "events").schema)
+
+
 @register("stream_import", ORACLE["csv_import_e2e"])
 def stream_import(spark, sf_dir):
     store = CatalogStore(spark, fresh_scratch_path(spark, "catalog"), buckets=8)
@@ -767,7 +787,7 @@ def stream_snapshot(spark, sf_dir):
     """The snapshots of a stream that stops at the as-of time."""
     ev = A.progress_events_of(_events_stream(spark, sf_dir)).filter(F.col("updated_at") <= F.lit(A.ASOF).cast("timestamp_ntz"))
     out = fresh_scratch_path(spark, "snap")
-    ST.to_parquet(ST.snapshot_ttl_stream(ev), out, mode="update")
+    ST.to_parquet(OR.snapshot(ev), out, mode="update")
     live = F.col("updated_at") > F.lit(A.ASOF).cast("timestamp") - F.expr("INTERVAL 3600 SECONDS")
     return ST.newest_per_key(out, spark).withColumn("live", live)
 
@@ -783,9 +803,10 @@ def stream_fanout(spark, sf_dir):
 
 @register("stream_throttled", ORACLE["progress_throttled"])
 def stream_throttled(spark, sf_dir):
-    upd = A.throttle_updates_of(_events_stream(spark, sf_dir))
+    """Files whose rows come up to an hour late."""
+    upd = A.throttle_updates_of(_late_events_stream(spark, sf_dir)).join(A.trackers(spark, sf_dir), "job_id", "left")
     out = fresh_scratch_path(spark, "throttle")
-    ST.to_parquet(ST.throttle_stream(upd), out)
+    ST.to_parquet(OR.throttle(upd, LATENESS), out)
     return spark.read.parquet(out).drop("batch")
 
 
@@ -827,9 +848,10 @@ SELECT job_id,
        epoch_ms(max(updated_at)) + 3600000 >= (SELECT epoch_ms(max(updated_at)) FROM progress_events) AS live
 FROM live_run GROUP BY job_id""")
 def stream_snapshot_ttl(spark, sf_dir):
-    ev = A.progress_events_of(_events_stream(spark, sf_dir))
+    """Files whose rows come up to an hour late; the state of the expired jobs is gone at the end."""
+    ev = A.progress_events_of(_late_events_stream(spark, sf_dir))
     out = fresh_scratch_path(spark, "snap-ttl")
-    ST.to_parquet(ST.snapshot_ttl_stream(ev), out, mode="update")
+    ST.to_parquet(OR.snapshot(ev, delay=LATENESS), out, mode="update")
     return ST.newest_per_key(out, spark)
 
 
@@ -892,34 +914,63 @@ def subscription_patch(spark, sf_dir):
 
 
 @register("stream_tail", O.with_(O.JOBS, O.PROGRESS_EVENTS) + """,
-first_rec AS (
-  SELECT job_id, CAST(0 AS BIGINT) AS pos, 'progress' AS kind, status, 'queued' AS stage, processed_rows,
-         0.0 AS progress_percent
-  FROM jobs),
-later AS (SELECT e.* FROM progress_events e JOIN jobs j USING (job_id) WHERE j.status NOT IN ('done', 'failed')),
+later AS (SELECT e.* FROM progress_events e JOIN jobs j USING (job_id)),
 term AS (SELECT job_id, min(seq) AS stop_seq FROM later WHERE status IN ('done', 'failed') GROUP BY 1)
-SELECT * FROM first_rec
+SELECT job_id, CAST(0 AS BIGINT) AS pos, 'progress' AS kind, status, 'queued' AS stage, processed_rows, 0.0 AS progress_percent FROM jobs
 UNION ALL
 SELECT l.job_id, l.seq, 'progress', l.status, l.stage, l.processed_rows, l.progress
 FROM later l LEFT JOIN term t USING (job_id) WHERE t.stop_seq IS NULL OR l.seq <= t.stop_seq
 UNION ALL
-SELECT job_id, CAST(9223372036854775807 AS BIGINT), 'close', NULL, NULL, NULL, NULL
-FROM jobs WHERE status IN ('done', 'failed') OR job_id IN (SELECT job_id FROM term)""")
+SELECT job_id, CAST(9223372036854775807 AS BIGINT), 'close', NULL, NULL, NULL, NULL FROM term""")
 def stream_tail(spark, sf_dir):
-    """Readers attached before any update: the job row first, then the stream."""
+    """One reader of each job, attached before any update: the job row as a queued record (it
+    closes nothing, whatever its status), then the updates up to the first done or failed."""
     jobs = A.jobs(spark, sf_dir)
-    # no snapshot exists yet: the first record is the job row as a queued record
     first = jobs.select("job_id", F.lit(0).cast("long").alias("pos"), F.lit("progress").alias("kind"), "status",
                         F.lit("queued").alias("stage"), "processed_rows", F.lit(0.0).alias("progress_percent"))
-    closed_at_once = jobs.filter(F.col("status").isin("done", "failed")).select(
-        "job_id", F.lit(9223372036854775807).alias("pos"), F.lit("close").alias("kind"),
-        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("stage"),
-        F.lit(None).cast("long").alias("processed_rows"), F.lit(None).cast("double").alias("progress_percent"))
-    ev = A.progress_events_of(_events_stream(spark, sf_dir))
+    # a job without a tracker publishes nothing: its reader needs no state
+    early = jobs.join(A.trackers(spark, sf_dir), "job_id", "left_semi").select("job_id", F.lit(0).cast("long").alias("reader_id"))
     out = fresh_scratch_path(spark, "tail")
-    ST.to_parquet(ST.tail_stream(ev, jobs), out)
-    streamed = spark.read.parquet(out).drop("batch")
-    return first.unionByName(closed_at_once).unionByName(streamed)
+    ST.to_parquet(OR.readers(A.progress_events_of(_late_events_stream(spark, sf_dir)), None, jobs, LATENESS, early=early), out)
+    return first.unionByName(spark.read.parquet(out).drop("batch", "reader_id"))
+
+
+@register("stream_readers", O.with_(O.JOBS, O.PROGRESS_EVENTS) + f""",
+r AS (
+  SELECT o_orderkey AS reader_id, j.job_id, j.status, j.processed_rows,
+         make_timestamp(CAST(({A.CATALOG_EPOCH} + (o_orderkey % 720) * 3600) * 1000000 AS BIGINT)) AS attached_at
+  FROM orders JOIN jobs j ON j.job_id = CAST(o_custkey AS VARCHAR)),
+upto AS (
+  SELECT r.reader_id, r.attached_at, e.*, lag(e.updated_at) OVER (PARTITION BY r.reader_id ORDER BY e.updated_at, e.seq) AS prev
+  FROM r JOIN progress_events e ON e.job_id = r.job_id AND e.updated_at <= r.attached_at),
+run AS (SELECT reader_id, max(updated_at) AS run_start FROM upto WHERE prev IS NULL OR epoch_us(updated_at) - epoch_us(prev) >= 3600000000 GROUP BY reader_id),
+snap AS (
+  SELECT reader_id, arg_max(status, CASE WHEN status IS NOT NULL THEN seq END) AS status, arg_max(stage, CASE WHEN stage IS NOT NULL THEN seq END) AS stage,
+         arg_max(processed_rows, CASE WHEN processed_rows IS NOT NULL THEN seq END) AS processed_rows,
+         arg_max(progress, CASE WHEN progress IS NOT NULL THEN seq END) AS progress
+  FROM upto JOIN run USING (reader_id) WHERE updated_at >= run_start
+  GROUP BY reader_id HAVING epoch_us(any_value(attached_at)) - epoch_us(max(updated_at)) < 3600000000),
+later AS (
+  SELECT r.reader_id, e.* FROM r JOIN progress_events e ON e.job_id = r.job_id AND e.updated_at > r.attached_at
+  WHERE r.reader_id NOT IN (SELECT reader_id FROM snap WHERE status IN ('done', 'failed'))),
+term AS (SELECT reader_id, any_value(job_id) AS job_id, min(seq) AS stop_seq FROM later WHERE status IN ('done', 'failed') GROUP BY reader_id)
+SELECT r.reader_id, r.job_id, CAST(0 AS BIGINT) AS pos, 'progress' AS kind, CASE WHEN s.reader_id IS NULL THEN r.status ELSE s.status END AS status,
+       CASE WHEN s.reader_id IS NULL THEN 'queued' ELSE s.stage END AS stage,
+       CASE WHEN s.reader_id IS NULL THEN r.processed_rows ELSE s.processed_rows END AS processed_rows,
+       CASE WHEN s.reader_id IS NULL THEN 0.0 ELSE s.progress END AS progress_percent
+FROM r LEFT JOIN snap s USING (reader_id)
+UNION ALL
+SELECT l.reader_id, l.job_id, l.seq, 'progress', l.status, l.stage, l.processed_rows, l.progress
+FROM later l LEFT JOIN term t USING (reader_id) WHERE t.stop_seq IS NULL OR l.seq <= t.stop_seq
+UNION ALL
+SELECT reader_id, job_id, CAST(9223372036854775807 AS BIGINT), 'close', NULL, NULL, NULL, NULL
+FROM (SELECT reader_id, job_id FROM term UNION ALL SELECT reader_id, r.job_id FROM snap s JOIN r USING (reader_id) WHERE s.status IN ('done', 'failed'))""")
+def stream_readers(spark, sf_dir):
+    """Readers attach at any time of the stream (their own input); updates come late."""
+    readers = ST.file_stream(spark, A.reader_files(spark, sf_dir), A.progress_readers(spark, sf_dir).schema)
+    out = fresh_scratch_path(spark, "readers")
+    ST.to_parquet(OR.readers(A.progress_events_of(_late_events_stream(spark, sf_dir)), readers, A.jobs(spark, sf_dir), LATENESS), out)
+    return spark.read.parquet(out).drop("batch")
 
 
 @register("progress_to_readers", O.with_(O.PROGRESS_EVENTS) + f""",

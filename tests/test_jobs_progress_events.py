@@ -82,6 +82,11 @@ def test_expired_snapshot_is_forgotten(spark):
     assert d["j"]["from_snapshot"] and (d["k"]["status"], d["k"]["stage"], d["k"]["processed_rows"]) == ("importing", "queued", 1)
     tail = PG.tail(jobs, p, F.lit(T0 + dt.timedelta(seconds=3700)).cast("timestamp")).filter("job_id = 'k'").collect()
     assert [r["kind"] for r in tail] == ["progress"]        # an expired terminal snapshot closes nothing
+    # nor does the row of a finished job: a reader without a snapshot gets what comes later
+    done = spark.createDataFrame([("k", "done", 5, 5)], "job_id string, status string, processed_rows long, total_rows long")
+    more = prog(spark, [("k", 4000, "importing", None, 1, 5, 20.0, None), ("k", 4001, "failed", None, 2, 5, 40.0, None), ("k", 4002, "queued", None, 0, 5, 0.0, None)])
+    tail = PG.tail(done, more, F.lit(T0 + dt.timedelta(seconds=3700)).cast("timestamp")).orderBy("pos").collect()
+    assert [(r["kind"], r["status"]) for r in tail] == [("progress", "done"), ("progress", "importing"), ("progress", "failed"), ("close", None)]
 
 
 def test_number_and_text_times_and_null_codec(spark):
@@ -160,12 +165,19 @@ def test_delivery_rules(spark):
     assert got[2]["response_body"] == "c" * 1000 + "... (truncated)"
     assert got[4]["response_body"] == "e" * 1000
     assert got[0]["response_time_ms"] == 12
-    led = EV.attempt_ledger(spark.createDataFrame([(1, 1, 0, "success"), (2, 1, 2, "failed"), (3, 1, 9, "success")],
-                                                  "event_id long, webhook_id long, internal_failures int, status string"))
+    t = dt.datetime(2024, 1, 1)
+    tried = spark.createDataFrame([(1, 1, 0, "success", False, None, t), (2, 1, 2, "failed", False, "E" * 1200, t), (3, 1, 9, "success", True, "x", t), (4, 1, 1, "success", True, "y", t)],
+                                  "event_id long, webhook_id long, internal_failures int, status string, running boolean, internal_error string, completed_at timestamp")
     by = {}
-    for r in led.collect():
-        by.setdefault(r["event_id"], []).append(r["status"])
-    assert by == {1: ["success"], 2: ["pending", "pending", "failed"], 3: ["pending"] * 4}
+    for r in EV.attempt_ledger(tried).orderBy("attempt").collect():
+        by.setdefault(r["event_id"], []).append((r["status"], r["error_text"], r["completed_at"]))
+    # a try that died leaves a failed row with its error; only a running one is pending
+    died = ("failed", "E" * 1000, t)
+    assert by == {1: [("success", None, t)], 2: [died, died, ("failed", None, t)], 3: [("failed", "x", t)] * 4, 4: [("failed", "y", t), ("pending", None, None)]}
+    last = {r["event_id"]: (r["status"], r["attempts"]) for r in EV.latest_status(tried).collect()}
+    assert last == {1: ("success", 1), 2: ("failed", 3), 3: ("failed", 4), 4: ("pending", 2)}
+    plain = EV.attempt_ledger(tried.select("event_id", "webhook_id", "internal_failures", "status"))
+    assert [r["status"] for r in plain.filter("event_id = 4").orderBy("attempt").collect()] == ["failed", "success"]
     cur = spark.createDataFrame([(1, True), (2, False)], "id long, enabled boolean")
     pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "event_id long, webhook_id long")
     acts = {r["webhook_id"]: r["action"] for r in EV.classify_deliveries(pairs, cur).collect()}
