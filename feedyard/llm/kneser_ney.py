@@ -174,6 +174,10 @@ class Scorer:
 
 # ---------------------------------------------------------------- fitting
 
+#: Texts that a language has at least before some are set aside.
+ASIDE = 10
+
+
 def _counts(sample: DataFrame) -> DataFrame:
     """Distinct n-grams of each order and language: hash, context, suffix, count."""
 
@@ -198,12 +202,20 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """labelled: (id, text, lang).  Model, slope and rejection bounds, or None without texts."""
-    src = labelled.where("text is not null and lang is not null").select(F.col("id").cast("string").alias("id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rank = Window.partitionBy("lang").orderBy("h", "id")
-    ids = src.select("id", "lang", F.xxhash64("id", F.lit(3)).alias("h"))
-    top = ids.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).select("id", "lang").distinct()  # at most `sample` a language
-    chosen = stage(src.join(top, ["id", "lang"]).withColumn("aside", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0), "labelled")
+    """labelled: (id, text, lang).  Model, slope and rejection bounds, or None without texts.  At
+    most `sample` rows of a language are used, whatever ids they have (null and repeated ones too)."""
+    src = labelled.where("text is not null and lang is not null").select(F.xxhash64("id", "text", F.lit(3)).alias("h"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # rows, not ids, are chosen: about half as many again as are kept pass a bound on their hash,
+    # equal rows are one, and then the first `sample` of a language stay
+    per = src.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    share = F.lit(1.5 * sample * (1 << 30)) / F.col("n") + F.lit(1 << 14)
+    some = src.join(per, "lang").where((F.col("n") <= sample) | (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) <= share))
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    of = Window.partitionBy("lang")
+    rank = F.row_number().over(of.orderBy("h"))
+    # a fifth is set aside to calibrate, by rank, where a language has enough texts
+    chosen = some.withColumn("r", rank).withColumn("all", F.count("*").over(of)).where(F.col("r") <= sample)
+    chosen = stage(chosen.select("lang", "text", ((F.col("r") % 5 == 0) & (F.col("all") >= ASIDE)).alias("aside")), "labelled")
     got = _counts(chosen.where("not aside")).toArrow()
     if not got.num_rows:
         return None

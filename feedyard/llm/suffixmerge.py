@@ -455,10 +455,22 @@ def repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), length: int = L
     return ended.unionAll(joined.where("a is null").select("doc", "text", F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("spans")))
 
 
-def cut(docs: DataFrame, carry: Sequence[str] = ("doc_id",), texts: bool = True, length: int = LENGTH) -> DataFrame:
+SPACE = b" \t\n\x0b\x0c\r"
+
+
+def whole_words(raw: bytes, start: int, end: int) -> int:
+    """Words that lie wholly within a range of bytes."""
+    n = len(raw[start:end].split())
+    for at in (start, end):  # an edge within a word
+        if n and 0 < at < len(raw) and raw[at - 1] not in SPACE and raw[at] not in SPACE:
+            n -= 1
+    return n
+
+
+def cut(docs: DataFrame, carry: Sequence[str] = ("doc_id",), texts: bool = True, length: int = LENGTH, words: int = 0) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and, with
     `texts`, kept_text (the remaining bytes without characters that a cut has split); one row
-    per document row."""
+    per document row.  words: only ranges of more whole words are cut (0: all)."""
     src = repeats(docs, carry, length)
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts
 
@@ -468,14 +480,15 @@ def cut(docs: DataFrame, carry: Sequence[str] = ("doc_id",), texts: bool = True,
             for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 raw = text.encode()
                 keep, at = [], 0
-                for x in spans or ():
+                spans = [x for x in spans or () if not words or whole_words(raw, x["s"], x["e"]) > words]
+                for x in spans:
                     keep.append(raw[at:x["s"]])
                     at = x["e"]
                 keep.append(raw[at:])
                 rest = b"".join(keep)
                 size.append(len(raw))
                 gone.append(len(raw) - len(rest))
-                n.append(len(spans or ()))
+                n.append(len(spans))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 if texts:
                     out.append("".join(k.decode("utf-8", "ignore") for k in keep))
@@ -484,10 +497,10 @@ def cut(docs: DataFrame, carry: Sequence[str] = ("doc_id",), texts: bool = True,
     return src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` with the repeated strings cut out of `text` and `n_chars` counted anew where
+def remove(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """`docs` with the repeated strings (of more than `words` words) cut out of `text` and `n_chars` counted anew where
     something was cut; a null text stays null.  A document without text left stays, empty."""
-    got = cut(docs, docs.columns, length=length)
+    got = cut(docs, docs.columns, length=length, words=words)
     was = F.col("n_removed") > 0
     new = {"text": F.when(was, F.col("kept_text")).otherwise(F.col("doc.text")), "n_chars": F.when(was, F.length("kept_text").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
     return got.select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

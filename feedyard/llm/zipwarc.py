@@ -37,6 +37,8 @@ from feedyard.session import scratch_root
 #: Payloads from this size on are compared (fixed value of the contract).
 REVISIT_BYTES = 1000
 PACKAGE_BYTES = 64 << 20
+#: Bytes of the archive that one task should read.
+TASK_BYTES = 64 << 20
 #: Bytes that one range read asks for.
 RANGE_BYTES = 4 << 20
 DATA_MEMBER = "archive/data.warc.gz"
@@ -250,7 +252,8 @@ def records(path: str, start: int, end: int, lengths: list[int]) -> Iterator[dic
 # ---------------------------------------------------------------- the operators
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write a record per page row; returns the table of packages (path, records)."""
+    """Write a record per page row; returns the table of packages (path, records,
+    bytes)."""
     spark = prep(pages.sparkSession)
     folder = (folder or f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}").rstrip("/")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -274,19 +277,22 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 kind = "revisit" if r["again"] else "response"
                 pack.add(page, kind, record(kind, page, r["url"], r["html"] or b"", r["digest"], r["size"], str(r["first"])))
                 if pack.size >= PACKAGE_BYTES:
-                    done.append(pack.close())
+                    done.append((*pack.close(), pack.size))
                     pack = None
         if pack is not None:
-            done.append(pack.close())
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
+            done.append((*pack.close(), pack.size))
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["path", "records", "bytes"])
 
-    return stage(src.mapInArrow(run, "path string, records long"), "packages")
+    return stage(src.mapInArrow(run, "path string, records long, bytes long"), "packages")
 
 
 def read(packages: DataFrame) -> DataFrame:
-    """Every record of the packages (path): page_id, url, payload (null for a revisit),
+    """Every record of the packages (path, and bytes if known): page_id, url, payload (null for a revisit),
     payload_bytes, payload_digest, record_type, refers_to."""
-    prep(packages.sparkSession)
+    spark = prep(packages.sparkSession)
+    # numbers of their own: AQE would merge the small rows of places into one task that reads it all
+    held = packages.agg(F.count("*").alias("n"), (F.sum("bytes") if "bytes" in packages.columns else F.count("*") * PACKAGE_BYTES).alias("b")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(held["b"] or 0) // TASK_BYTES))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,6 +322,6 @@ def read(packages: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, kind)
 
-    spots = packages.select("path").repartition(F.col("path")).mapInArrow(locate, "path string, a long, z long, n array<int>")
-    spots = spots.repartition(F.xxhash64("path", "a"))
+    spots = packages.select("path").repartition(max(1, min(held["n"], tasks)), F.col("path")).mapInArrow(locate, "path string, a long, z long, n array<int>")
+    spots = spots.repartition(tasks, F.xxhash64("path", "a"))
     return spots.mapInArrow(fetch, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -67,6 +67,27 @@ def repeats(rows, length=400):
     return out
 
 
+def without_long_repeats(rows, length, words):
+    """Texts without the runs of repeated strings that hold more than `words` whole words."""
+    raw = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[p:p + length] for b in raw for p in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 2, int)
+        for p in range(len(b) - length + 1):
+            if seen[b[p:p + length]] > 1:
+                gone[p + 1:p + length + 1] = 1
+        edge = np.flatnonzero(np.diff(gone))
+        keep, at = [], 0
+        for s, e in edge.reshape(-1, 2).tolist():
+            whole = [m for m in SPACED.finditer(b) if s <= m.start() and m.end() <= e]
+            if len(whole) > words:
+                keep.append(b[at:s])
+                at = e
+        out.append("".join(k.decode("utf-8", "ignore") for k in [*keep, b[at:]]))
+    return out
+
+
 def contamination(docs, items, window=10):
     """[(n_words, n_hit, items, sha)] in row order."""
     pats = {}

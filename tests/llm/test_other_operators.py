@@ -354,6 +354,39 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_passages_are_cut_by_words(spark):
+    """Fifty-one short words that repeat go; fifty, and thirty long ones, stay."""
+    import corpus_pipeline as P
+    rng = random.Random(6)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    text = lambda n, a, b: " ".join(word(a, b) for _ in range(n))
+    short, fifty, long_ = text(51, 1, 1), text(50, 2, 2), text(30, 12, 15)
+    rows = []
+    for k, passage in enumerate((short, fifty, long_)):
+        rows += [(10 * k + j, f"{text(20, 3, 8)} {passage} {text(20, 3, 8)}") for j in range(2)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.suffix_dedup(spark, df, "").collect()}
+    assert got == dict(zip([i for i, _ in rows], brute.without_long_repeats(rows, P.REPEAT_BYTES, P.REPEAT_WORDS), strict=True))
+    assert all(short not in got[i] for i in (0, 1)) and all(fifty in got[i] for i in (10, 11)) and all(long_ in got[i] for i in (20, 21))
+
+
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    """Small tables of places don't put the whole archive into one task."""
+    monkeypatch.setattr(zipwarc, "TASK_BYTES", 1 << 16)
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", rng.randbytes(600).hex()) for i in range(600)], "page_id long, url string, html string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a package for each task
+    try:
+        packages = zipwarc.write(pages)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert packages.count() >= 3
+    got = zipwarc.read(packages)
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 600 and len(per) >= 2 and max(per) <= 500
+    assert zipwarc.read(zipwarc.write(pages.limit(0))).count() == 0
+
+
 def test_pipeline(spark):
     """Each stage on its own input against the brute-force version of its decision."""
     import corpus_pipeline as P
@@ -378,13 +411,10 @@ def test_pipeline(spark):
     want = brute.near_duplicates([(r.doc_id, r.text) for r in good], 5, 80)
     df, one = apply("near_dedup", df)
     assert sorted(r.doc_id for r in one) == sorted(i for (i, _), v in want.items() if v[2])
-    cut = brute.repeats([(r.doc_id, r.text) for r in one], P.REPEAT_BYTES)
+    cut = brute.without_long_repeats([(r.doc_id, r.text) for r in one], P.REPEAT_BYTES, P.REPEAT_WORDS)
     df, rest = apply("suffix_dedup", df)
     had = {r.doc_id: (r.text, c) for r, c in zip(one, cut, strict=True)}
-    for r in rest:
-        text, c = had[r.doc_id]
-        assert r.text == text if not c[1] else abs(len(r.text.encode()) - (c[0] - c[1])) <= 6 * c[2]
-        assert r.n_chars == len(r.text)
+    assert all(r.text == had[r.doc_id][1] and r.n_chars == len(r.text) for r in rest) and any(t != c for t, c in had.values())
     hit = brute.contamination([(r.doc_id, r.text) for r in rest], bench)
     df, left = apply("decontaminate", df)
     assert sorted(r.doc_id for r in left) == sorted(r.doc_id for r, h in zip(rest, hit, strict=True) if not h[1])

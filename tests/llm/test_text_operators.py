@@ -265,6 +265,33 @@ def test_language(spark):
     assert [r for r in got if r.doc_id == 1004 and r.entropy and r.entropy > 5][0].rejected
 
 
+def test_language_learns_from_rows_not_ids(spark):
+    rng = random.Random(9)
+    voc = {"aa": ["thing", "over", "the", "with"], "bb": ["été", "où", "les", "çà"]}
+    text = lambda lang: " ".join(rng.choice(voc[lang]) for _ in range(12))
+    kind = "doc_id long, text string, lang string"
+    # no text has an id; a language with one text is learned too
+    rows = [(None, text("aa"), "aa") for _ in range(9)] + [(None, "für über nicht groß", "cc")]
+    got = kneser_ney.predict(spark.createDataFrame(rows, kind)).collect()
+    assert sorted({r.lang_pred for r in got}) == ["aa", "cc"] and all(r.lang_pred != "und" for r in got)
+    # the sample's bound holds for one id over many texts, and for many copies of a row
+    rows = [(7, text(lang), lang) for lang in voc for _ in range(400)] + [(8, "the thing", "aa")] * 900
+    used = []
+    counts = kneser_ney._counts
+
+    def counted(df):
+        used.append({r.lang: r["count"] for r in df.groupBy("lang").count().collect()})
+        return counts(df)
+
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(kneser_ney, "_counts", counted)
+    try:
+        kneser_ney.fit(spark.createDataFrame(rows, kind).withColumnRenamed("doc_id", "id"), sample=50)
+    finally:
+        monkey.undo()
+    assert set(used[0]) == set(voc) and all(20 <= n <= 50 for n in used[0].values())
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over the whole alphabet the interpolated probabilities of a context add up to one."""
     df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(["abab abba", "baab bab", "abb aab"])], "id long, text string, lang string")
