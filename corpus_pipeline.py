@@ -13,8 +13,10 @@ from feedyard.llm import apportion, bayes_quality, hyperminhash, suffixmerge, wu
 from feedyard.llm.common import prep, stage, table
 
 
-#: Fifty words, counted at four bytes each: a passage of more words that repeats is cut.
-REPEAT_BYTES = 200
+#: A passage of more words that repeats is cut.
+REPEAT_WORDS = 50
+#: Bytes that one word more has at least: strings of this length are searched.
+REPEAT_BYTES = 2 * (REPEAT_WORDS + 1) - 1
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of `REPEAT_BYTES` that occur more than once."""
+    """Documents without the repeated runs of more than `REPEAT_WORDS` words (bytes that strings
+    of `REPEAT_BYTES` cover which occur more than once)."""
     prep(spark)
-    return suffixmerge.remove(docs, length=REPEAT_BYTES)
+    return suffixmerge.remove(docs, length=REPEAT_BYTES, words=REPEAT_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
