@@ -104,11 +104,11 @@ class Throttle(Ordered):
             ok = bool(forced) or t - (started if t0 is None else t0) >= self.interval
             out.append(Row(job_id=key[0], seq=seq, emitted=ok))
             t0 = t if ok else t0
-        if rows and t0 is not None:
+        if last and t0 is not None and mark > (t0 + self.interval) * 1000:
+            self.sent.clear()
+        elif rows and t0 is not None:
             self.sent.update((t0,))
             self.handle.registerTimer(int((t0 + self.interval) * 1000) + 1)
-        elif last and t0 is not None and mark > (t0 + self.interval) * 1000:
-            self.sent.clear()
         yield from out
 
 
@@ -185,12 +185,12 @@ class Snapshot(Ordered):
         m = self._base()
         for at, seq, *values in rows:
             m.add(at, seq, values)
-        if rows:
-            self.base.update(m.row())
-            self.handle.registerTimer((m.at + self.ttl) // 1000 + 1)
         if last and m.at is not None and mark * 1000 > m.at + self.ttl:
             self.base.clear()
             yield self._out(key, m, live=False)
+        elif rows:
+            self.base.update(m.row())
+            self.handle.registerTimer((m.at + self.ttl) // 1000 + 1)
 
 
 SNAPSHOT_OUT = f"job_id string, {_FIELD_DDL}, at long, last_seq long, live boolean"
@@ -258,11 +258,11 @@ class Readers(Ordered):
                 readers[reader] = None
         if list(readers) != before:
             self.open.put([(r,) for r in readers]) if readers else self.open.clear()
-        if rows and m.at is not None:
+        if last and m.at is not None and mark * 1000 > m.at + self.ttl:
+            self.base.clear()
+        elif rows and m.at is not None:
             self.base.update(m.row())
             self.handle.registerTimer((m.at + self.ttl) // 1000 + 1)
-        elif last and m.at is not None and mark * 1000 > m.at + self.ttl:
-            self.base.clear()
         yield from (Row(**dict(zip(READER_COLUMNS, r, strict=True))) for r in out)
 
 
