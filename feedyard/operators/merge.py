@@ -49,10 +49,11 @@ def per_key(acc: DataFrame, key_partitions: int | None = None) -> DataFrame:
     )
 
 
-def upsert(table: DataFrame, acc: DataFrame, run_ts, key_partitions: int | None = None) -> DataFrame:
+def upsert(table: DataFrame, acc: DataFrame, run_ts, key_partitions: int | None = None, max_id: int | None = None) -> DataFrame:
     """The table after applying every accepted feed row.
 
     With a catalog bucketed by sku_key, pass its bucket count as `key_partitions`.
+    `max_id`: the largest id so far, where `table` is only a part of the catalog.
     """
     keys = per_key(acc, key_partitions)
     j = table.alias("t").join(keys.alias("k"), "sku_key", "full_outer")
@@ -67,7 +68,8 @@ def upsert(table: DataFrame, acc: DataFrame, run_ts, key_partitions: int | None
         F.col("t.updated_at").alias("updated_at"),
         F.col("sku_key"),
     )
-    max_id = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    if max_id is None:
+        max_id = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     fresh = j.filter(F.col("t.id").isNull()).select(
         F.col("k.first_pos").alias("first_pos"),
         F.col("k.first_spelling").alias("sku"),

@@ -22,6 +22,7 @@ from feedyard.schemas import JOB_STATUSES as S_JOB_STATUSES
 from feedyard.schemas import JOB_TYPES as S_JOB_TYPES
 from feedyard.session import fresh_scratch_path
 from feedyard.sources.feed_loader import Feed, load_feed
+from feedyard.sources.partitioned import PartitionedCatalog
 from feedyard.sources.store import CatalogStore
 from feedyard.streaming import ordered as OR
 from feedyard.streaming import streams as ST
@@ -776,7 +777,7 @@ def _late_events_stream(spark, sf_dir):
 
 @register("stream_import", ORACLE["csv_import_e2e"])
 def stream_import(spark, sf_dir):
-    store = CatalogStore(spark, fresh_scratch_path(spark, "catalog"), buckets=8)
+    store = PartitionedCatalog(spark, fresh_scratch_path(spark, "catalog"), partitions=8)
     store.publish(A.catalog(spark, sf_dir), 0)
     ST.import_stream(spark, A.feed_dir(spark, sf_dir), store, A.run_ts(), batch_size=A.FEED_BATCH)
     return store.read()
