@@ -57,6 +57,16 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
 
 
+#: Narrow rows that are sent to every task, at most.
+SENT_ROWS = 100_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A staged table of one narrow row a key, sent to the tasks if a count says that it is
+    small: what it is joined with then stays where it is.  Else joined by shuffle."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
 def apart(df: DataFrame) -> DataFrame:
     """The same columns under attributes of their own, for a cogroup with what it was made from."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedyard.llm.common import apart, prep, stage
+from feedyard.llm.common import apart, prep, sent, stage
 from feedyard.llm.components import components
 
 #: Vectors of a label that its centres are fitted on, at most.
@@ -346,11 +346,11 @@ def link(vectors: DataFrame, limit: float = 0.93) -> tuple[DataFrame, DataFrame]
     total = stage(nodes.groupBy("grp").agg(F.count("*").alias("total")), "labels")
     likely = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(1 << 30)) <= F.lit(1.2 * FIT * (1 << 30)) / F.col("total") + F.lit(1 << 16)
     rank = Window.partitionBy("grp").orderBy(F.xxhash64("v"), "v")
-    sample = nodes.join(total, "grp").where((F.col("total") <= FIT) | likely).select("grp", "v", "x", "total").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= FIT).drop("r")
+    sample = nodes.join(sent(total), "grp").where((F.col("total") <= FIT) | likely).select("grp", "v", "x", "total").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= FIT).drop("r")
     centres = stage(sample.groupBy("grp").applyInArrow(_centres(SHARD, CENTRES), "grp string, shard int, centre array<double>, parts int"), "centres")
 
     blocks = total.select("grp", F.ceil(F.col("total") / F.lit(ASSIGN)).cast("int").alias("blocks"))
-    held = nodes.join(blocks, "grp").select("grp", "v", "x", "weight", (F.col("least") % 20 == 0).alias("audit"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("b"))
+    held = nodes.join(sent(blocks), "grp").select("grp", "v", "x", "weight", (F.col("least") % 20 == 0).alias("audit"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("b"))
     sent = centres.join(blocks, "grp").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     placed = stage(apart(held).groupBy("grp", "b").cogroup(apart(sent).groupBy("grp", "b")).applyInArrow(_assign(limit), PLACED), "placed")
     own = ("grp", "v", "x", "weight", "audit")

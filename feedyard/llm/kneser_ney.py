@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedyard.llm.common import STEP_BYTES, mix64, prep, stage, steps, utf8
+from feedyard.llm.common import STEP_BYTES, mix64, prep, sent, stage, steps, utf8
 
 ORDER = 5
 #: Labelled texts of a language that are learned from, at most.
@@ -207,9 +207,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
     src = labelled.where("text is not null and lang is not null").select(F.xxhash64("id", "text", F.lit(3)).alias("h"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     # rows, not ids, are chosen: about half as many again as are kept pass a bound on their hash,
     # equal rows are one, and then the first `sample` of a language stay
-    per = src.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    per = stage(src.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
     share = F.lit(1.5 * sample * (1 << 30)) / F.col("n") + F.lit(1 << 14)
-    some = src.join(per, "lang").where((F.col("n") <= sample) | (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) <= share))
+    some = src.join(sent(per), "lang").where((F.col("n") <= sample) | (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) <= share))
     some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
     of = Window.partitionBy("lang")
     rank = F.row_number().over(of.orderBy("h"))
