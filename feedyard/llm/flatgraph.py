@@ -351,8 +351,8 @@ def link(vectors: DataFrame, limit: float = 0.93) -> tuple[DataFrame, DataFrame]
 
     blocks = total.select("grp", F.ceil(F.col("total") / F.lit(ASSIGN)).cast("int").alias("blocks"))
     held = nodes.join(sent(blocks), "grp").select("grp", "v", "x", "weight", (F.col("least") % 20 == 0).alias("audit"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("b"))
-    sent = centres.join(blocks, "grp").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    placed = stage(apart(held).groupBy("grp", "b").cogroup(apart(sent).groupBy("grp", "b")).applyInArrow(_assign(limit), PLACED), "placed")
+    aims = centres.join(blocks, "grp").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    placed = stage(apart(held).groupBy("grp", "b").cogroup(apart(aims).groupBy("grp", "b")).applyInArrow(_assign(limit), PLACED), "placed")
     own = ("grp", "v", "x", "weight", "audit")
     members = placed.select(*own, F.explode(F.filter("at", lambda p: p["rank"] < OVERLAP)).alias("p")).select(*own, "p.*")
     asks = placed.select(*own, F.explode(F.filter("at", lambda p: p["asks"])).alias("p")).select(*own, "p.*")
