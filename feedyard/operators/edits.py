@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedyard import schemas as S
 from feedyard.functions import text as X
+from feedyard.operators import carry
 from feedyard.operators.ordering import global_rank, stage
 from feedyard.operators.skew import salted_join
 
@@ -58,7 +59,7 @@ def after_create(table: DataFrame, report: DataFrame) -> DataFrame:
     return table.select(*cols).unionByName(report.filter(F.col("outcome") == "created").select(*cols))
 
 
-def patch(table: DataFrame, requests: DataFrame, run_ts) -> DataFrame:
+def patch(table: DataFrame, requests: DataFrame, run_ts, block: int = carry.BLOCK) -> DataFrame:
     """D4 + J4 + J3: not_found, invalid, conflict, unchanged or patched; result row values.
 
     Requests for one id build on each other in req_id order: a field keeps the last value
@@ -70,33 +71,32 @@ def patch(table: DataFrame, requests: DataFrame, run_ts) -> DataFrame:
     sku_given = F.col("r.sku").isNotNull()
     name_given = F.col("r.name").isNotNull()
     valid = (~sku_given | _valid_text(F.col("r.sku"))) & (~name_given | _valid_text(F.col("r.name")))
-    j = requests.alias("r").join(table.alias("t"), F.col("r.id") == F.col("t.id"), "left")
-    j = j.select(
-        F.col("r.req_id").alias("req_id"), F.col("r.id").alias("id"),
-        F.col("t.id").isNotNull().alias("found"), valid.alias("valid"),
+    known = table.select("id", F.struct("sku", "name", "description", "active", "updated_at").alias("t"))
+    req = requests.select("req_id", "id", F.struct("sku", "name", "description", "active").alias("r"))
+    found = F.col("t").isNotNull()
+    j = salted_join(req, known, ["id"], "left", salt_of="req_id").select(
+        "req_id", "id", found.alias("found"), valid.alias("valid"),
         X.py_strip("r.sku").alias("sku"), X.py_strip("r.name").alias("name"),
         F.col("r.description").alias("description"), F.col("r.active").alias("active"),
-        F.when(F.col("t.id").isNotNull() & valid, F.lower(X.py_strip("r.sku"))).alias("new_key"),
-        F.struct("t.sku", "t.name", "t.description", "t.active", "t.updated_at").alias("t"))
+        F.when(found & valid, F.lower(X.py_strip("r.sku"))).alias("new_key"), "t")
     claims = (j.filter(F.col("new_key").isNotNull()).groupBy("new_key").agg(F.min_by("id", "req_id").alias("claimant"))
               .join(table.select(F.col("sku_key").alias("new_key"), F.col("id").alias("holder")), "new_key", "left"))
     j = salted_join(j, claims, ["new_key"], "left", salt_of="req_id")
     conflict = F.col("new_key").isNotNull() & (F.coalesce("holder", "claimant") != F.col("id"))
-    j = j.withColumn("ok", F.col("found") & F.col("valid") & ~conflict)
-    w = Window.partitionBy("id").orderBy("req_id")
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    j = j.select("req_id", "id", "found", "valid", "sku", "name", "description", "active", "t", conflict.alias("conflict"))
+    j = stage(j, "patch").withColumn("ok", F.col("found") & F.col("valid") & ~F.col("conflict"))  # read by every block step
     fields = ("sku", "name", "description", "active")
-    given = lambda f, frame: F.last(F.when(F.col("ok"), F.col(f)), ignorenulls=True).over(frame)
-    for f in fields:
-        j = j.withColumn(f"now_{f}", F.coalesce(given(f, upto), F.col(f"t.{f}")))
-        j = j.withColumn(f"was_{f}", F.coalesce(given(f, before), F.col(f"t.{f}")))
+    j = carry.in_blocks(j, "id", "req_id", block)
+    j = carry.last_given(j, "id", "req_id", {f: F.when(F.col("ok"), F.col(f)) for f in fields})
+    j = j.withColumns({f"{k}_{f}": F.coalesce(F.col(f"{k}_{f}"), F.col(f"t.{f}")) for f in fields for k in ("now", "was")})
     changed = F.lit(False)
     for f in fields:
         changed = changed | ~F.col(f"now_{f}").eqNullSafe(F.col(f"was_{f}"))
     outcome = (F.when(~F.col("found"), "not_found").when(~F.col("valid"), "invalid")
-               .when(conflict, "conflict").when(changed, "patched").otherwise("unchanged"))
+               .when(F.col("conflict"), "conflict").when(changed, "patched").otherwise("unchanged"))
     j = j.withColumn("outcome", outcome)
-    moved = F.max((F.col("outcome") == "patched").cast("int")).over(upto) == 1
+    j = carry.last_given(j, "id", "req_id", {"moved": F.when(F.col("outcome") == "patched", F.lit(True))})
+    moved = F.col("now_moved")
     return j.select(
         "req_id", "id", "outcome", *[F.when(F.col("ok"), F.col(f"now_{f}")).alias(f) for f in fields],
         F.when(F.col("ok"), F.when(moved, F.lit(run_ts).cast("timestamp")).otherwise(F.col("t.updated_at"))).alias("updated_at"))

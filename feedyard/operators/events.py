@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedyard import schemas as S
 from feedyard.functions import text as X
+from feedyard.operators import carry
 from feedyard.sources.feed import join_small
 
 
@@ -236,7 +237,7 @@ def create_subscriptions(subs: DataFrame, requests: DataFrame, run_ts) -> DataFr
                     F.when(F.col("outcome") == "created", F.lit(run_ts).cast("timestamp")).alias("created_at")))
 
 
-def patch_subscriptions(subs: DataFrame, requests: DataFrame, run_ts) -> tuple[DataFrame, DataFrame]:
+def patch_subscriptions(subs: DataFrame, requests: DataFrame, run_ts, block: int = carry.BLOCK) -> tuple[DataFrame, DataFrame]:
     """D7 patch: (report per request, table after the set).
 
     Requests apply in req_id order; given fields overwrite, NULL fields are left as
@@ -251,10 +252,11 @@ def patch_subscriptions(subs: DataFrame, requests: DataFrame, run_ts) -> tuple[D
     report = r.select("req_id", "id", "outcome")
     ok = (r.filter(F.col("outcome") == "applied").select("req_id", "id", X.py_strip("url").alias("url"), "events", "enabled")
           .join(subs.select("id", F.struct("url", "events", "enabled").alias("was")), "id"))
-    w = Window.partitionBy("id").orderBy("req_id").rowsBetween(Window.unboundedPreceding, -1)
+    fields = ("url", "events", "enabled")
+    ok = carry.last_given(carry.in_blocks(ok, "id", "req_id", block), "id", "req_id", {f: F.col(f) for f in fields})
     changed = F.lit(False)
-    for f in ("url", "events", "enabled"):  # against the last value given before, else the stored one
-        before = F.coalesce(F.last(f, ignorenulls=True).over(w), F.col(f"was.{f}"))
+    for f in fields:  # against the last value given before, else the stored one
+        before = F.coalesce(F.col(f"was_{f}"), F.col(f"was.{f}"))
         changed = changed | (F.col(f).isNotNull() & ~F.col(f).eqNullSafe(before))
     ok = ok.withColumn("changed", changed)
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("req_id")))

@@ -45,13 +45,33 @@ def _field_message(field: str) -> Column:
     return F.when(msg.isNotNull(), F.format_string(S.MSG_FIELD, F.col("ord"), F.lit(field), msg))
 
 
+def _running(s: DataFrame, block: int | None) -> DataFrame:
+    """Adds `cum`: the messages of the file up to and with the row.  With `block`, in two levels:
+    counts inside blocks of that many ordinals, a running sum over the file's blocks (one narrow
+    row a block) and these offsets joined back, so that no window group exceeds a block."""
+    local = F.sum(F.size("msgs")).over(Window.partitionBy("file_rank", "_blk").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    if block is None:
+        return s.withColumn("_blk", F.lit(0)).withColumn("cum", local).drop("_blk")
+    s = s.withColumn("_blk", F.floor(F.col("ord") / block))
+    before = Window.partitionBy("file_rank").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (s.groupBy("file_rank", "_blk").agg(F.sum(F.size("msgs")).alias("_n"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    return (s.withColumn("cum", local).join(offsets, ["file_rank", "_blk"])
+            .withColumn("cum", F.col("cum") + F.col("_off")).drop("_blk", "_off"))
+
+
+#: Ordinals of a file that one window group spans at most when a whole feed is validated.
+MESSAGE_BLOCK = 100_000
+
+
 def sample_messages(rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE,
-                    max_errors: int = S.MAX_SAMPLE_ERRORS) -> DataFrame:
+                    max_errors: int | None = S.MAX_SAMPLE_ERRORS, block: int = MESSAGE_BLOCK) -> DataFrame:
     """Row messages of the sample, cut after the first row that brings the count to the cap.
 
-    Returns (file_rank, line, seq, message) plus one row per file with the stop row
-    (`stop_ord`, NULL when not stopped).  The window is per file over at most
-    `sample_size` rows; with sample_size=None the whole feed is validated.
+    Returns (file_rank, line, seq, message, error_no) plus one row per file where the
+    reading stops; error_no counts the file's row messages.  With sample_size=None the
+    whole feed is validated, with max_errors=None nothing is cut.  Only rows with messages
+    are counted, in blocks of `block` ordinals.
     """
     s = rows if sample_size is None else rows.filter(F.col("ord") <= sample_size)
     token = F.lower(X.py_strip(F.coalesce(F.col("active_v"), F.lit(""))))
@@ -62,29 +82,38 @@ def sample_messages(rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE,
     v2 = F.filter(F.array(_field_message("sku"), _field_message("name")), lambda x: x.isNotNull())
     s = s.select("file_rank", "ord",
                  F.when(bad_active, F.array(v4)).otherwise(v2).alias("msgs"),
-                 (~bad_active & (F.size(v2) > 0)).alias("has_field_errors"))
-    w = Window.partitionBy("file_rank").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("cum", F.sum(F.size("msgs")).over(w))
-    s = s.withColumn("stop_ord", F.min(F.when(F.col("has_field_errors") & (F.col("cum") >= max_errors),
-                                              F.col("ord"))).over(Window.partitionBy("file_rank")))
-    s = s.filter(F.col("stop_ord").isNull() | (F.col("ord") <= F.col("stop_ord")))
-    msgs = s.select("file_rank", F.col("ord").alias("line"),
+                 (~bad_active & (F.size(v2) > 0)).alias("has_field_errors")).filter(F.size("msgs") > 0)
+    small = sample_size is not None and sample_size <= block
+    s = _running(s, None if small else block)
+    if max_errors is not None:
+        stop = F.min(F.when(F.col("has_field_errors") & (F.col("cum") >= max_errors), F.col("ord")))
+        s = (s.withColumn("stop_ord", stop.over(Window.partitionBy("file_rank"))) if small
+             else s.join(s.groupBy("file_rank").agg(stop.alias("stop_ord")), "file_rank", "left"))
+        s = s.filter(F.col("stop_ord").isNull() | (F.col("ord") <= F.col("stop_ord")))
+    else:
+        s = s.withColumn("stop_ord", F.lit(None).cast("long"))
+    seq = F.col("pos") + 1
+    msgs = s.select("file_rank", F.col("ord").alias("line"), "cum", F.size("msgs").alias("n"),
                     F.posexplode("msgs").alias("pos", "message"))
-    msgs = msgs.select("file_rank", "line", (F.col("pos") + 1).alias("seq"), "message")
+    msgs = msgs.select("file_rank", "line", seq.alias("seq"), "message", (F.col("cum") - F.col("n") + seq).alias("error_no"))
+    if max_errors is None:
+        return msgs
     stops = (s.filter(F.col("ord") == F.col("stop_ord"))
              .select("file_rank", F.col("ord").alias("line"), F.lit(STOP_SEQ).alias("seq"),
-                     F.lit(S.MSG_STOPPED).alias("message")))
+                     F.lit(S.MSG_STOPPED).alias("message"), F.col("cum").alias("error_no")))
     return msgs.unionByName(stops)
 
 
 def validation_errors(facts: DataFrame, rows: DataFrame, sample_size: int | None = S.SAMPLE_SIZE,
-                      max_mb: float | None = None) -> DataFrame:
+                      max_mb: float | None = None, max_errors: int | None = S.MAX_SAMPLE_ERRORS) -> DataFrame:
+    """V6 as rows: the gate error or header warning of each file (line 0), then its row messages."""
     gates = file_gates(facts, max_mb)
     head = gates.select("file_rank", F.lit(0).cast("long").alias("line"), F.lit(0).alias("seq"),
-                        F.coalesce("gate_error", "warning").alias("message")).filter(F.col("message").isNotNull())
+                        F.coalesce("gate_error", "warning").alias("message"),
+                        F.lit(0).cast("long").alias("error_no")).filter(F.col("message").isNotNull())
     ok = gates.filter(F.col("gate_error").isNull()).select("file_rank")
     from feedyard.sources.feed import join_small
-    body = sample_messages(join_small(rows, ok, "file_rank", "left_semi"), sample_size)
+    body = sample_messages(join_small(rows, ok, "file_rank", "left_semi"), sample_size, max_errors)
     return (head.unionByName(body)
             .withColumn("is_warning", F.col("message").startswith(S.MSG_WARNING_PREFIX)))
 

@@ -124,7 +124,10 @@ upserted AS (
          sku_key
   FROM joined WHERE id IS NULL)"""
 
-VALIDATION = f"""
+
+def validation(rows: str, max_errors: int) -> str:
+    """The messages of the feed rows that `rows` chooses, cut at `max_errors` a file."""
+    return f"""
 head_msgs AS (
   SELECT file_rank, CAST(0 AS BIGINT) AS line, 0 AS seq,
          'Warning: Unknown headers will be ignored: price' AS message
@@ -140,7 +143,7 @@ samp AS (
          CASE WHEN NOT name_present THEN '{S.MSG_NOT_STRING}'
               WHEN length({strip("coalesce(name_v, '')")}) < 1 THEN '{S.MSG_TOO_SHORT}'
               WHEN length({strip("coalesce(name_v, '')")}) > 255 THEN '{S.MSG_TOO_LONG}' END AS name_msg
-  FROM feed_out WHERE ord <= {S.SAMPLE_SIZE}),
+  FROM feed_out WHERE {rows}),
 samp_msgs AS (
   SELECT file_rank, ord, 1 AS seq,
          'Row ' || ord || ': Unexpected error - Cannot parse ''' || shown || ''' as boolean' AS message
@@ -159,7 +162,7 @@ row_n AS (
   FROM samp s),
 stops AS (
   SELECT file_rank, min(ord) AS stop_ord FROM row_n
-  WHERE has_field_errors AND cum >= {S.MAX_SAMPLE_ERRORS} GROUP BY file_rank),
+  WHERE has_field_errors AND cum >= {max_errors} GROUP BY file_rank),
 all_msgs AS (
   SELECT file_rank, line, seq, message FROM head_msgs
   UNION ALL
@@ -168,6 +171,9 @@ all_msgs AS (
   UNION ALL
   SELECT file_rank, stop_ord, 99, '{S.MSG_STOPPED}' FROM stops)"""
 
+
+VALIDATION = validation(f"ord <= {S.SAMPLE_SIZE}", S.MAX_SAMPLE_ERRORS)
+
 CREATE_REQ = """
 create_req AS (
   SELECT o_orderkey AS req_id,

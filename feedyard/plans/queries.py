@@ -128,6 +128,28 @@ def feed_verdict(spark, sf_dir):
     return V.verdict(feed.facts, feed.rows)
 
 
+FULL_SQL = """
+SELECT file_rank, CAST(line AS BIGINT) AS line, seq, message,
+       CAST(count(*) FILTER (WHERE line > 0 AND seq < 99) OVER (PARTITION BY file_rank ORDER BY line, seq) AS BIGINT) AS error_no
+FROM all_msgs"""
+FULL_COLS = ("file_rank", "CAST(line AS BIGINT) AS line", "seq", "message", "CAST(error_no AS BIGINT) AS error_no")
+STOP_ERRORS = 60
+
+
+@register("feed_validation_full", O.with_(O.FEED_RAW, O.validation("TRUE", 1 << 40)) + FULL_SQL)
+def feed_validation_full(spark, sf_dir):
+    """V1, V3 on every row of the feed, uncut: messages as rows with their running number."""
+    feed = adapter_feed(spark, sf_dir)
+    return V.validation_errors(feed.facts, feed.rows, None, max_errors=None).selectExpr(*FULL_COLS)
+
+
+@register("feed_validation_stop", O.with_(O.FEED_RAW, O.validation("TRUE", STOP_ERRORS)) + FULL_SQL)
+def feed_validation_stop(spark, sf_dir):
+    """V3 on every row of the feed: each file's messages up to the row that brings them to the cap."""
+    feed = adapter_feed(spark, sf_dir)
+    return V.validation_errors(feed.facts, feed.rows, None, max_errors=STOP_ERRORS).selectExpr(*FULL_COLS)
+
+
 # ---- catalog reads -----------------------------------------------------------------
 
 
@@ -143,6 +165,13 @@ def catalog_page(spark, sf_dir):
     return C.page(A.catalog(spark, sf_dir), PAGE_FILTER, 2, 20).select(*CAT_COLS.split(", "))
 
 
+@register("catalog_deep_page", O.with_(O.CATALOG) + f"""
+SELECT {CAT_COLS} FROM catalog ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 1180""")
+def catalog_deep_page(spark, sf_dir):
+    """O2 far from the first page: the page's range is found by counts, and only it is sorted."""
+    return C.page(A.catalog(spark, sf_dir), C.ProductFilter(), 60, 20, deep_rows=100).select(*CAT_COLS.split(", "))
+
+
 @register("catalog_page_facts", O.with_(O.CATALOG) + f"""
 SELECT total, 2 AS page, 20 AS page_size, CAST(ceil(total / 20) AS BIGINT) AS total_pages,
        2 < CAST(ceil(total / 20) AS BIGINT) AS has_next, TRUE AS has_previous,

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
 
 from feedyard.operators import catalog as C
 from feedyard.operators import edits as ED
@@ -138,3 +139,47 @@ def test_delete_and_bulk_delete(spark):
     guard = ED.job_type_guard(spark.createDataFrame([("j1", "import"), ("j2", "bulk_delete")],
                                                     "job_id string, job_type string")).collect()
     assert guard[0]["error"] == "Job j1 is not a bulk_delete job (type: import)" and guard[1]["runs"]
+
+
+def test_patches_of_a_hot_id_in_blocks(spark):
+    import random
+    rnd = random.Random(4)
+    t = table(spark, [(i, f"S-{i}", "n", None, True, i) for i in range(1, 6)])
+    pick = lambda *v: rnd.choice(v)
+    rows = [(r, 1 if rnd.random() < 0.5 else rnd.randint(1, 6), pick(None, None, None, "S-1", "s-2", f"new-{rnd.randint(1, 9)}"),
+             pick(None, None, "n", "m", " "), pick(None, None, "d"), pick(None, None, None, True, False)) for r in range(1, 400)]
+    req = spark.createDataFrame(rows, "req_id long, id long, sku string, name string, description string, active boolean")
+    whole = sorted(map(str, ED.patch(t, req, RUN).collect()))
+    for block in (5, 64):
+        assert sorted(map(str, ED.patch(t, req, RUN, block=block).collect())) == whole
+
+
+def test_last_given_against_brute_force(spark):
+    import random
+
+    from feedyard.operators import carry
+    rnd = random.Random(5)
+    rows = [("hot" if rnd.random() < 0.4 else f"k{rnd.randint(1, 30)}", o, rnd.choice([None, None, f"v{o}"])) for o in rnd.sample(range(5000), 600)]
+    want, now = {}, {}
+    for k, o, v in sorted(rows, key=lambda r: r[1]):
+        was = now.get(k)
+        now[k] = was if v is None else v
+        want[o] = (was, now[k])
+    df = carry.in_blocks(spark.createDataFrame(rows, "k string, o long, v string"), "k", "o", block=50)
+    assert df.filter("_blk >= 0").select("k").distinct().count() == 1
+    got = {r["o"]: (r["was_v"], r["now_v"]) for r in carry.last_given(df, "k", "o", {"v": F.col("v")}).collect()}
+    assert got == want
+
+
+def test_deep_pages_sort_one_range(spark):
+    import random
+    rnd = random.Random(6)
+    # a third of all rows of one import share one time
+    rows = [(i, 1_700_000_000 if rnd.random() < 0.33 else rnd.randint(1_600_000_000, 1_800_000_000)) for i in range(3000)]
+    t = spark.createDataFrame(rows, "id long, s long").select("id", F.timestamp_seconds("s").alias("created_at")).repartition(7)
+    order = [i for i, s in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]
+    for page in (4, 30, 61, 75, 110, 150, 151):
+        got = [r["id"] for r in C.page(t, C.ProductFilter(), page, 20, deep_rows=50).collect()]
+        assert got == order[(page - 1) * 20:page * 20], page
+        found, offset = C.seek(t, (page - 1) * 20, 20, most=50)
+        assert offset < 50 and found.count() <= 50 + 20 + 50

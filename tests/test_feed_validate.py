@@ -216,3 +216,33 @@ def test_every_gate(spark, tmpdir_path):
     assert small["f.csv"] == "File size (0.15 MB) exceeds maximum allowed size (0.1 MB)" and small["b.CSV"] is None
     ok = {r["file_rank"]: r["is_valid"] for r in V.verdict(feed.facts, feed.rows).collect()}
     assert sum(ok.values()) == 2
+
+
+def test_whole_feed_in_blocks(spark, tmpdir_path):
+    # every third row has an error, every ninth an unreadable flag, every fifteenth two errors
+    lines, want = [], []
+    for i in range(1, 401):
+        sku, name, flag = ("" if i % 3 == 0 else f"K{i}"), ("" if i % 15 == 0 else "n"), ("maybe" if i % 9 == 0 else "true")
+        lines.append(f"{sku},{name},x,{flag}")
+        if i % 9 == 0:
+            want.append((i, 1, f"Row {i}: Unexpected error - Cannot parse 'maybe' as boolean"))
+        else:
+            bad = [f for f, v in (("sku", sku), ("name", name)) if not v]
+            want += [(i, k + 1, f"Row {i}, field '{f}': String should have at least 1 character") for k, f in enumerate(bad)]
+    write_file(tmpdir_path, "w.csv", "sku,name,description,active\n" + "\n".join(lines) + "\n")
+    feed = load_feed(spark, tmpdir_path)
+    for block in (7, V.MESSAGE_BLOCK):
+        rows = V.sample_messages(feed.rows, None, None, block).orderBy("error_no").collect()
+        assert [(r["line"], r["seq"], r["message"]) for r in rows] == want and [r["error_no"] for r in rows] == list(range(1, len(want) + 1))
+        cut = V.sample_messages(feed.rows, None, 30, block).orderBy("line", "seq").collect()
+        stop = next(i for i, _, m in want if "field" in m and sum(w[0] <= i for w in want) >= 30)
+        assert [(r["line"], r["seq"]) for r in cut] == [w[:2] for w in want if w[0] <= stop] + [(stop, V.STOP_SEQ)]
+
+
+def test_no_window_over_a_whole_file(spark, tmpdir_path):
+    write_file(tmpdir_path, "p.csv", "sku,name\nA,\nB,b\n")
+    feed = load_feed(spark, tmpdir_path)
+    plan = V.sample_messages(feed.rows, None)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x.split("], [") for x in plan.splitlines() if "Window [" in x]
+    by_row = [w for w in windows if w[-1].startswith("ord#")]
+    assert by_row and all("_blk#" in w[-2] for w in by_row)
