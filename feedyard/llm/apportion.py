@@ -7,8 +7,9 @@
 2. The targets are cut in blocks of equal words.  Sainte-Lague gives each source its blocks
    by highest quotients target / (2 s + 1).  Seats that any threshold surely grants are
    computed at once, and only the last few seats are ranked by quotient.
-3. A source is dealt into shards by a seeded hash (a hot source has many), and its blocks
-   are apportioned to its shards the same way, by their sizes.
+3. A source is dealt into shards by a seeded hash (a hot source has many; equal rows that are
+   more than a shard holds are dealt over several), and its blocks are apportioned to its
+   shards the same way, by their sizes.
 4. In a shard the documents lie end to end in seeded order, twice.  The first lap's blocks
    come before the second's; within a lap the shard takes a run of blocks from a seeded
    start on, around the end.  A document's words in the chosen blocks are `taken`.
@@ -85,14 +86,13 @@ def _lookup(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 17, carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """doc (struct of the carried columns), size, source_size, target, taken per document."""
+    """doc (struct of the carried columns), size, source_size, target, taken and shard per document."""
     prep(docs.sparkSession)
     carry = carry or ["doc_id"]
-    base = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("doc"), F.col("doc_id").cast("string").alias("_id"),
-                       F.col("source").cast("string").alias("source"), words("text").alias("size"),
-                       F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_h"))
-    thin = docs.select(F.col("source").cast("string").alias("source"), words("text").alias("size"))
-    src = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
+    base = stage(docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("doc"), F.col("doc_id").cast("string").alias("_id"),
+                             F.col("source").cast("string").alias("source"), words("text").alias("size"),
+                             F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_h"), F.monotonically_increasing_id().alias("_m")), "sizes")
+    src = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     src = targets(src)
     quota = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
     src = sainte_lague(src.withColumn("_seats", quota), [], "target", "_seats", [F.col("source").asc_nulls_last(), F.col("_s")])
@@ -100,12 +100,18 @@ def mix(docs: DataFrame, seed: int = 17, carry: list[str] | None = None, block:
 
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     small = _lookup(src.withColumnRenamed("source", "_src"))
-    base = base.join(small, same("source", "_src")).drop("_src").withColumn("_shard", F.pmod("_h", F.col("_shards")))
+    # equal rows beyond a shard's share go to the shards that follow
+    many = base.groupBy("source", "_h").count().where(F.col("count") > SHARD_DOCS)
+    many = _lookup(many.select(F.col("source").alias("_src"), F.col("_h").alias("_hh"), F.ceil(F.col("count") / SHARD_DOCS).cast("long").alias("_parts")))
+    base = base.join(small, same("source", "_src")).drop("_src")
+    base = base.join(many, same("source", "_src") & (F.col("_h") == F.col("_hh")), "left").drop("_src", "_hh")
+    part = F.pmod(F.xxhash64("_m"), F.coalesce("_parts", F.lit(1)))
+    base = base.withColumn("_shard", F.pmod(F.pmod("_h", F.col("_shards")) + part, F.col("_shards")))
     shards = base.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
     shards = sainte_lague(shards, ["source"], "_words", "_quota", [F.col("_shard"), F.col("_s")])
     shards = _lookup(shards.select(F.col("source").alias("_src"), F.col("_shard").alias("_sh"), "_words", "got"))
 
-    lay = Window.partitionBy("source", "_shard").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    lay = Window.partitionBy("source", "_shard").orderBy("_h", "_id", "size", "_m").rowsBetween(Window.unboundedPreceding, -1)
     d = base.withColumn("_at", F.coalesce(F.sum("size").over(lay), F.lit(0)).cast("long"))
     d = d.join(shards, same("source", "_src") & (F.col("_shard") == F.col("_sh")))
     blocks = F.ceil(F.col("_words") / block).cast("long")  # the last one may be short
@@ -121,4 +127,4 @@ def mix(docs: DataFrame, seed: int = 17, carry: list[str] | None = None, block:
     end = F.col("_start") + F.col("_run")
     part = inside(F.col("_start"), F.least(end, F.col("_lap"))) + inside(F.lit(0), F.greatest(end - F.col("_lap"), F.lit(0)))
     taken = F.least(F.col("_full") * F.col("size") + part, F.lit(HOLD) * F.col("size")).cast("long")
-    return d.select("doc", F.col("size"), "source_size", "target", taken.alias("taken"))
+    return d.select("doc", F.col("size"), "source_size", "target", taken.alias("taken"), F.col("_shard").alias("shard"))
