@@ -192,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
            .select(F.col("doc_id").alias("_id"), F.col("low").cast("long").alias("low"), F.col("toxic").cast("long").alias("toxic"))
            .orderBy(F.xxhash64("_id"), "_id").limit(sample))
     src = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = stage(src.join(F.broadcast(lab), "_id").select("text", *TARGETS), "labelled")  # at most `sample` rows
+    one = F.min_by(F.struct("text", *TARGETS), F.xxhash64("text"))  # of the rows that repeat an id
+    chosen = stage(src.join(F.broadcast(lab), "_id").groupBy("_id").agg(one.alias("r")).select("r.*"), "labelled")  # at most `sample` rows
     row = chosen.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
     if not row["n"]:
         return None
@@ -271,8 +272,8 @@ def classify(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("doc_id
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit(docs, labels, sample)
-    scored = score(docs, model, carry, host, path)
-    post, rate = posteriors(score(docs, model, carry[:1], host, path))
+    scored = stage(score(docs, model, carry, host, path), "log-odds")  # texts are scored once
+    post, rate = posteriors(scored)
     post = post.withColumnsRenamed({"host": "_h", "path": "_p"})
     out = scored.join(post, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))).drop("_h", "_p")
     for t in TARGETS:
