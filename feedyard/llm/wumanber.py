@@ -181,7 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: Sequence[str] =
     """doc (struct of the carried columns), items (ids as sorted strings), n_words, n_hit,
     items_sha256: one row per document row."""
     spark = prep(docs.sparkSession)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").alias("t")).where("t is not null")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").alias("t")).where("t is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
     src = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("doc"), F.col("text").alias("text"),

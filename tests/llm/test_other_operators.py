@@ -387,6 +387,32 @@ def test_archives_are_read_by_many_tasks(spark, monkeypatch):
     assert zipwarc.read(zipwarc.write(pages.limit(0))).count() == 0
 
 
+def test_equal_rows_fill_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(apportion, "SHARD_DOCS", 50)
+    rows = [(None, "a", "one two three four five")] * 600 + [(i, "a", f"{i} two three") for i in range(400)] + [(7, "b", "x y")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = apportion.mix(df).collect()
+    per = {}
+    for r in got:
+        per[(r.target, r.shard)] = per.get((r.target, r.shard), 0) + 1
+    assert len(got) == len(rows) and max(per.values()) <= 100  # 600 equal rows are 12 shards' share
+    want = {r.source_size: r.target for r in got}
+    for size, target in want.items():
+        taken = sum(r.taken for r in got if r.source_size == size)
+        assert abs(taken - target) <= 0.02 * target + 4 * apportion.BLOCK
+    assert all(r.taken <= 2 * r.size for r in got)
+
+
+def test_quality_sample_is_a_bound(spark, monkeypatch):
+    seen = []
+    fit_logistic = bayes_quality.fit_logistic
+    monkeypatch.setattr(bayes_quality, "fit_logistic", lambda x, m, y, w: (seen.append(len(y)), fit_logistic(x, m, y, w))[1])
+    rows = [(i % 20, f"text number {i} of {i % 20}") for i in range(2000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert bayes_quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=10) is not None
+    assert seen == [10, 10]
+
+
 def test_pipeline(spark):
     """Each stage on its own input against the brute-force version of its decision."""
     import corpus_pipeline as P

@@ -190,6 +190,17 @@ def test_contamination(spark, docs, items):
     assert left.count() == sum(not w[1] for w in want)
 
 
+def test_repeated_benchmark_rows_are_one(spark, monkeypatch):
+    passes = []
+    scan = wumanber._scan
+    monkeypatch.setattr(wumanber, "_scan", lambda *a, **k: (passes.append(1), scan(*a, **k))[1])
+    text = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([("i", text)] * 2000 + [(None, text)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {text} it goes"), (2, "nothing of it")], "doc_id long, text string")
+    got = wumanber.contamination(docs, bench, block_bytes=1000).select("doc.doc_id", "n_hit", "items").collect()
+    assert len(passes) == 1 and {(r.doc_id, r.n_hit, tuple(r["items"])) for r in got} == {(1, 30, ("", "i")), (2, 0, ())}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     bench = spark.createDataFrame([], "item_id long, text string")
