@@ -1,13 +1,12 @@
 """Progress records: per-batch progress, field-wise snapshot, default, tail, client view."""
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedyard import schemas as S
 from feedyard.functions import text as X
-from feedyard.operators.ordering import stage
+from feedyard.operators.ordering import global_rank, stage
 from feedyard.operators.skew import salted_join
 
 FIELDS = ("status", "stage", "processed_rows", "total_rows", "progress", "error_message")
@@ -164,47 +163,85 @@ def normalise(messages: DataFrame) -> DataFrame:
     )
 
 
-def _throttle_segment(pdf: pd.DataFrame, interval: float) -> pd.DataFrame:
-    """One chain segment: it starts at a reset, so `last` starts at its first time."""
-    pdf = pdf.sort_values("seq")
-    t = pdf["t"].to_numpy()
-    forced = pdf["forced"].to_numpy()
-    keep = [bool(forced[0]) or not bool(pdf["starts_job"].iloc[0])]
-    last = t[0]
-    for i in range(1, len(pdf)):
-        ok = bool(forced[i]) or (t[i] - last) >= interval
-        keep.append(ok)
-        if ok:
-            last = t[i]
-    return pd.DataFrame({"job_id": pdf["job_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "emitted": keep})
+#: Updates of a segment that are folded as one row; longer segments go by pointers.
+FOLD = 1_000
+
+
+def _folded(rows: DataFrame, interval: float) -> DataFrame:
+    """Short segments: the updates of one, in order, folded by an expression."""
+    items = rows.groupBy("job_id", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("items"))
+    def state(last: Column, kept: Column) -> Column:
+        return F.named_struct(F.lit("last"), last, F.lit("kept"), kept)
+
+    fold = F.aggregate("items", state(F.col("items")[0]["t"], F.array().cast("array<bigint>")), lambda a, x: F.when(
+        x["t"] - a["last"] >= interval, state(x["t"], F.concat(a["kept"], F.array(x["seq"])))).otherwise(a))
+    later = F.slice("items.seq", 2, F.size("items"))  # the first is decided without the chain
+    return (items.select("job_id", fold["kept"].alias("kept"), F.explode(later).alias("seq"))
+            .select("job_id", "seq", F.array_contains("kept", F.col("seq")).alias("emitted")))
+
+
+def _pointed(rows: DataFrame, interval: float) -> DataFrame:
+    """Long segments: published updates (job_id, seq) after each segment's first.
+
+    Only an update later than all earlier ones of its segment can be published.  Sorting
+    these together with their times plus `interval` gives each its successor, and following
+    pointers that double in length reaches the published ones from the segments' first
+    updates in as many steps as the longest chain has binary digits.
+    """
+    segment, block = ["job_id", "segment"], ["job_id", "segment", "bucket"]
+    earlier = Window.partitionBy(*segment).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*block).agg(F.max("t").alias("top")).select(*block, F.max("top").over(earlier).alias("top"))
+    before = Window.partitionBy(*block).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    risen = (rows.join(tops, block).withColumn("top", F.greatest("top", F.max("t").over(before)))
+             .filter(F.col("top").isNull() | (F.col("t") > F.col("top"))).select(*segment, "seq", "t"))
+    nodes = stage(global_rank(risen, [*segment, "t"], "g"), "nodes")
+    due = F.col("t") + interval
+    # a little early: the exact difference decides among the first three found
+    marks = (nodes.select(*segment, "g", "t", F.lit(1).alias("kind"), F.col("t").alias("x"))
+             .unionByName(nodes.select(*segment, "g", "t", F.lit(0).alias("kind"), (due - F.abs(due) * 5e-16).alias("x"))))
+    found = global_rank(marks, [*segment, "x", "kind", "g"], "p").filter("kind = 0")
+    first = F.col("p") - F.col("g") + 1  # nodes before the mark, plus one
+    near = found.select(*segment, "g", "t", F.explode(F.sequence(first, first + 2)).alias("nxt"))
+    to = nodes.select(F.col("g").alias("nxt"), F.col("t").alias("then"), *[F.col(c).alias(f"_{c}") for c in segment])
+    jumps = stage(near.join(to, "nxt").filter((F.col("_job_id") == F.col("job_id")) & (F.col("_segment") == F.col("segment"))
+                                              & (F.col("then") - F.col("t") >= interval))
+                  .groupBy("g").agg(F.min("nxt").alias("nxt")), "jumps")
+    hits = nodes.groupBy(*segment).agg(F.min("g").alias("g")).select("g")
+    while not jumps.isEmpty():
+        hits = stage(hits.unionByName(hits.join(jumps, "g").select(F.col("nxt").alias("g"))), "hits")
+        jumps = stage(jumps.join(jumps.select(F.col("g").alias("nxt"), F.col("nxt").alias("far")), "nxt")
+                      .select("g", F.col("far").alias("nxt")), "jumps")
+    return nodes.join(hits, "g").select("job_id", "seq")
 
 
 SEQ_BUCKET = 1_000_000   # updates per window group at most (seq ranges)
 
 
 def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S,
-              seq_bucket: int = SEQ_BUCKET) -> DataFrame:
+              seq_bucket: int = SEQ_BUCKET, fold: int = FOLD) -> DataFrame:
     """Which updates are published (forced, or >= interval since the last one).
 
     The decision is a chain, but it restarts at every forced update and after every
-    gap of at least `interval` (that update is always published, whatever came
-    before).  Segments between restarts are found with window functions and each is
-    decided in pandas, so no pandas group is a whole job.  The tracker's clock starts
-    at the job's first update, so an unforced first update is dropped.
+    gap of at least `interval` since the latest time so far (that update is always
+    published, whatever came before).  Segments between restarts are found with window functions; one of at most
+    `fold` updates is folded by an expression, a longer one is decided by pointers over
+    any number of tasks.  The tracker's clock starts at the job's first update, so an
+    unforced first update is dropped.
 
     Windows are partitioned by (job, seq range): no window group holds more than
     `seq_bucket` updates, however many one job has.  A small per-(job, range) table
-    carries the previous range's last time and the running count of restarts.
+    carries the latest time of the earlier ranges and the running count of restarts.
+    A clock set back is handled: a gap counts from the latest time so far.
     """
     u = (updates.select("job_id", "seq", "t", "forced")
          .withColumn("bucket", F.floor(F.col("seq") / seq_bucket)))
     w = Window.partitionBy("job_id", "bucket").orderBy("seq")
-    u = u.withColumn("local_prev", F.lag("t").over(w))
-    per_bucket = u.groupBy("job_id", "bucket").agg(F.max_by("t", "seq").alias("last_t"))
+    u = u.withColumn("local_top", F.max("t").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     bw = Window.partitionBy("job_id").orderBy("bucket")
-    per_bucket = per_bucket.withColumn("carry_t", F.lag("last_t").over(bw))
+    per_bucket = u.groupBy("job_id", "bucket").agg(F.max("t").alias("top"))
+    per_bucket = per_bucket.withColumn("carry_t", F.max("top").over(bw.rowsBetween(Window.unboundedPreceding, -1)))
     u = u.join(per_bucket.select("job_id", "bucket", "carry_t"), ["job_id", "bucket"])
-    prev = F.coalesce(F.col("local_prev"), F.col("carry_t"))
+    prev = F.greatest("local_top", "carry_t")  # the latest time so far: no publish was later
     u = u.withColumn("starts_job", prev.isNull()).withColumn(
         "reset", F.col("forced") | prev.isNull() | ((F.col("t") - prev) >= interval))
     u = u.withColumn("local_seg", F.sum(F.col("reset").cast("long")).over(
@@ -214,15 +251,20 @@ def throttled(updates: DataFrame, interval: float = S.PROGRESS_INTERVAL_S,
                   bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     u = (u.join(resets.select("job_id", "bucket", "seg_off"), ["job_id", "bucket"])
          .withColumn("segment", F.col("seg_off") + F.col("local_seg")))
-    u = stage(u.select("job_id", "seq", "t", "forced", "starts_job", "reset", "segment"), "segments")  # used three times
-    # a segment of one update needs no chain: published iff forced or not the first
-    chained = u.filter(~F.col("reset")).select("job_id", "segment").distinct()
-    single = (u.join(chained, ["job_id", "segment"], "left_anti")
-              .select("job_id", "seq", (F.col("forced") | ~F.col("starts_job")).alias("emitted")))
-    multi = (u.join(chained, ["job_id", "segment"], "left_semi").groupBy("job_id", "segment")
-             .applyInPandas(lambda pdf: _throttle_segment(pdf, interval),
-                            schema="job_id string, seq long, emitted boolean"))
-    return single.unionByName(multi)
+    u = stage(u.select("job_id", "seq", "t", "bucket", "segment", "reset", (F.col("forced") | ~F.col("starts_job")).alias("opens")), "segments")
+    sizes = stage(u.groupBy("job_id", "segment").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    # a segment's first update needs no chain: published iff forced or not the job's first
+    opened = u.filter("reset").select("job_id", "seq", F.col("opens").alias("emitted"))
+    sized = salted_join(u, sizes, ["job_id", "segment"], "inner", salt_of="seq")
+    out = opened
+    if not sizes.filter(F.col("n") <= fold).isEmpty():
+        out = out.unionByName(_folded(sized.filter(F.col("n") <= fold), interval))
+    if not sizes.filter(F.col("n") > fold).isEmpty():
+        long = sized.filter(F.col("n") > fold)
+        hits = _pointed(long, interval).withColumn("hit", F.lit(True))
+        later = long.filter(~F.col("reset")).join(hits, ["job_id", "seq"], "left")
+        out = out.unionByName(later.select("job_id", "seq", F.coalesce("hit", F.lit(False)).alias("emitted")))
+    return out
 
 
 def to_readers(updates: DataFrame, readers: DataFrame) -> DataFrame:

@@ -206,6 +206,45 @@ def test_throttle_segments_equal_sequential_loop(spark):
         assert got == want, bucket
 
 
+def _sequential(rows, interval=2.0):
+    """The publish throttle as the service runs it, one update at a time."""
+    last, out = {}, {}
+    for job, seq, t, forced in sorted(rows):
+        last.setdefault(job, t)
+        out[job, seq] = ok = forced or (t - last[job]) >= interval
+        if ok:
+            last[job] = t
+    return out
+
+
+def test_throttle_by_pointers_equals_sequential_loop(spark):
+    import random
+    rnd = random.Random(11)
+    rows = []
+    for j in range(5):
+        t = rnd.choice([0.0, 1.7e9])
+        for s in range(rnd.randint(1, 120)):
+            t += rnd.choice([0.0, 0.1, 0.5, 1.0, 1.9, 1.9, 2.0, -0.7])   # equal times, and a clock set back
+            rows.append((f"j{j}", s, t, rnd.random() < 0.04))
+    df = spark.createDataFrame(rows, "job_id string, seq long, t double, forced boolean")
+    want = _sequential(rows)
+    for bucket, fold in ((PG.SEQ_BUCKET, 1), (7, 1), (7, 10), (PG.SEQ_BUCKET, PG.FOLD)):
+        got = {(r["job_id"], r["seq"]): r["emitted"] for r in PG.throttled(df, seq_bucket=bucket, fold=fold).collect()}
+        assert got == want, (bucket, fold)
+
+
+def test_throttle_burst_spreads_over_tasks(spark):
+    """One job's unforced burst: no Python, and no task that takes all of it."""
+    n = 60_000
+    df = spark.range(n).select(F.lit("hot").alias("job_id"), F.col("id").alias("seq"), (F.col("id") * 0.125).alias("t"), F.lit(False).alias("forced"))
+    out = PG.throttled(df, seq_bucket=5_000)
+    got = out.filter("emitted").select("seq").toPandas()["seq"].sort_values().tolist()
+    assert got == list(range(16, n, 16))
+    assert out.count() == n
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Python" not in plan
+
+
 def test_deep_page_equals_top_k(spark):
     from feedyard.operators import catalog as C
     t = spark.range(30000).select(F.col("id"), (F.col("id") % 997).cast("timestamp").alias("created_at"))
