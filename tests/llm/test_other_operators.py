@@ -65,6 +65,50 @@ def test_odd_pages(tree, page, want):
         assert "gone" not in got and "yes it is" in got
 
 
+@pytest.mark.parametrize("page, want", [
+    # words of class and id that stand beside others are evidence, not a verdict
+    ("<div class='content widget'><p>" + "word " * 30 + "</p></div>", "word " * 29 + "word"),
+    ("<article><h1>T</h1><div class='related-work'><p>Earlier work has shown that this is so.</p></div></article>", "T Earlier work has shown that this is so."),
+    ("<article><section id='search-methods'><h2>Search methods</h2><p>We searched three databases for trials.</p></section></article>", "Search methods We searched three databases for trials."),
+    ("<main><div class='post-header'><h1>The title here</h1></div><p>Text that follows it.</p></main>", "The title here Text that follows it."),
+    ("<article><p>Long enough to be read as text.</p><div class='related-posts'><ul><li><a href=/a>One more story</a></li><li><a href=/b>And another one</a></li></ul></div></article>", "Long enough to be read as text."),
+    # a container around the article's own title names nothing; what stands beside the article does
+    ("<div class='page has-sidebar'><article><h1>A title</h1><p>Some text.</p></article><div class=sidebar><p>" + "side " * 40 + "</p></div></div>", "A title Some text."),
+    ("<form id=f><main class='with-sidebar'><h1>A title</h1><p>Some text.</p></main></form>", "A title Some text."),
+    ("<section class=comments><article><p>I like it a lot and so should you all.</p></article></section>", ""),
+    ("<nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>Two words</h1><p>One.</p></article>", "Two words One."),
+    ("<nav hidden><p>x</p></nav><div class=entry-content><h1>Title</h1><p>Go on.</p><p>Yes.</p></div>", "Title Go on. Yes."),
+])
+def test_named_containers(tree, page, want):
+    assert htmltree.main_text(page, tree) == want
+
+
+def _walk(tree, x):
+    """The class of one block by a plain walk down the tree."""
+    at = 0
+    while tree[at][0] >= 0:
+        feature, threshold, left, right, _ = tree[at]
+        at = left if x[feature] <= threshold else right
+    return bool(tree[at][4])
+
+
+def test_inputs_and_decision_by_brute_force(spark, tree):
+    """Neighbours and decisions of every block of the given pages, one at a time."""
+    kept = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        found = htmltree.blocks(r.html or "")
+        want = []
+        for i, (text, words, density, part, article, heading) in enumerate(found):
+            assert words == len(text.split()) and 0 <= density <= 1 and text == " ".join(text.split())
+            before = found[i - 1][1:3] if i else (0, 0)
+            after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0)
+            if _walk(tree, [words, density, *before, *after, part, article, heading]):
+                want.append(text)
+        kept += len(want)
+        assert htmltree.main_text(r.html, tree) == " ".join(want)
+    assert kept
+
+
 def test_extract(spark, tree):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "<article><p>" + "word " * 60_000 + "</p></article>", "x")]
     out = htmltree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), tree).collect()
