@@ -24,6 +24,7 @@ from feedyard.session import fresh_scratch_path
 from feedyard.sources.feed_loader import Feed, load_feed
 from feedyard.sources.partitioned import PartitionedCatalog
 from feedyard.sources.store import CatalogStore
+from feedyard.streaming import landing as LZ
 from feedyard.streaming import ordered as OR
 from feedyard.streaming import streams as ST
 
@@ -1072,7 +1073,7 @@ def progress_keys(spark, sf_dir):
     return A.jobs(spark, sf_dir).select("job_id", stored.alias("hash_key"), channel.alias("channel_key"))
 
 
-@register("feed_gates", f"""
+GATES = f"""
 WITH kinds AS (SELECT unnest(['good', 'upper', 'text', 'latin', 'headless', 'price']) AS kind, unnest(range(0, 6)) AS k),
 n AS (SELECT k.kind, count(*) AS rows FROM part JOIN kinds k ON p_partkey % 6 = k.k GROUP BY k.kind
       UNION ALL SELECT 'empty', 0),
@@ -1081,6 +1082,10 @@ g AS (SELECT kind, rows, CASE kind WHEN 'text' THEN 'Invalid file extension: .tx
              WHEN 'empty' THEN 'CSV file is empty or has no headers'
              WHEN 'headless' THEN 'Missing required headers: name. Found: sku, title' END AS gate_error,
              CASE kind WHEN 'price' THEN 'Warning: Unknown headers will be ignored: price' END AS warning FROM n)
+"""
+
+
+@register("feed_gates", GATES + """
 SELECT kind, gate_error, warning, gate_error IS NULL AS is_valid, CASE WHEN gate_error IS NULL THEN rows ELSE 0 END AS total_rows,
        CASE WHEN gate_error IS NULL THEN least(rows, 100) ELSE 0 END AS sample_size
 FROM g""")
@@ -1092,6 +1097,19 @@ def feed_gates(spark, sf_dir):
             .select("kind", "gate_error", "warning", "is_valid", "total_rows", "sample_size"))
 
 
+@register("stream_landing", GATES + """
+SELECT kind, CASE WHEN gate_error IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, 1 AS tries,
+       CASE WHEN gate_error IS NULL THEN rows ELSE 0 END AS total_rows, coalesce(gate_error, warning) AS message
+FROM g""")
+def stream_landing(spark, sf_dir):
+    """What the landing zone decided of each file."""
+    store = PartitionedCatalog(spark, fresh_scratch_path(spark, "catalog"), partitions=8)
+    store.publish(A.catalog(spark, sf_dir), 0)
+    log = fresh_scratch_path(spark, "landing-log")
+    LZ.land(spark, A.gate_feed_dir(spark, sf_dir), store, A.run_ts(), log, batch_size=A.FEED_BATCH)
+    return LZ.read_log(spark, log).select(F.regexp_extract("path", r"([a-z]+)/[^/]*$", 1).alias("kind"), "outcome", "tries", "total_rows", "message")
+
+
 @register("document_sizes", """
 SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, printf('%.2f', strlen(coalesce(text, '')) / 1048576.0) AS size_mb
 FROM documents""")

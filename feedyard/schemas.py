@@ -29,6 +29,7 @@ MAX_FILE_MB = 100
 BODY_LIMIT = 1000
 BODY_SUFFIX = "... (truncated)"
 MAX_RETRIES = 3
+IMPORT_TRIES = 4
 RECENT_JOBS = 50
 PAGE_SIZE_DEFAULT = 20
 PAGE_SIZE_MAX = 100
