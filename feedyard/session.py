@@ -88,6 +88,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     package to the Python workers."""
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    # stateful streams start a Python process on the driver, which has no added files
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     ship_package(spark)
     return spark
 

@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", "4").getOrCreate())
 import __spark_entry__ as E
-print("ROWS", E.queries()["progress_throttled"](spark, {SF!r}).count())
+print("ROWS", E.queries()["stream_throttled"](spark, {SF!r}).count())
 """
 
 
