@@ -49,3 +49,16 @@ def test_actions_found_once_a_receiver_are_those_of_the_pairs(spark):
     cols = ("event_id", "webhook_id", "action")
     want = EV.classify_deliveries(EV.fan_out(changes(spark), subs(spark)), now)
     assert bag(EV.fan_out_to(changes(spark), EV.classify_deliveries(EV.receivers(subs(spark)), now)), *cols) == bag(want, *cols)
+
+
+def test_cascade_does_not_shuffle_the_log(spark):
+    log = spark.createDataFrame([(i, i % 5 if i % 6 else None) for i in range(40)], "id long, webhook_id long")
+    gone = spark.createDataFrame([(1,), (1,), (3,), (None,), (99,)], "id long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids came from a large table
+    try:
+        left = EV.cascade_delete(log, gone)
+        assert bag(left, "id", "webhook_id") == Counter((i, i % 5 if i % 6 else None) for i in range(40) if not i % 6 or i % 5 not in (1, 3))
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
