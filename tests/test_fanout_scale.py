@@ -51,6 +51,22 @@ def test_actions_found_once_a_receiver_are_those_of_the_pairs(spark):
     assert bag(EV.fan_out_to(changes(spark), EV.classify_deliveries(EV.receivers(subs(spark)), now)), *cols) == bag(want, *cols)
 
 
+def test_history_needs_the_newest_changes_of_each_type_alone(spark):
+    ch = changes(spark)
+    whole = EV.delivery_log(log_inputs(EV.fan_out(ch, subs(spark))))
+    for page in (1, 2):
+        few = EV.newest_per_type(ch, 4 * page)
+        assert few.count() < ch.count()
+        got = EV.history(EV.delivery_log(log_inputs(EV.fan_out(few, subs(spark)))), page=page, page_size=4)
+        cols = ("webhook_id", "rank", "attempted_at", "id")
+        assert bag(got, *cols) == bag(EV.history(whole, page=page, page_size=4), *cols)
+
+
+def test_ties_at_the_limit_stay(spark):
+    tied = spark.createDataFrame([(i, "a", T0) for i in range(30)], CHANGE)
+    assert EV.newest_per_type(tied, 4).count() == 30
+
+
 def test_cascade_does_not_shuffle_the_log(spark):
     log = spark.createDataFrame([(i, i % 5 if i % 6 else None) for i in range(40)], "id long, webhook_id long")
     gone = spark.createDataFrame([(1,), (1,), (3,), (None,), (99,)], "id long")
