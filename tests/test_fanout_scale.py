@@ -67,6 +67,15 @@ def test_ties_at_the_limit_stay(spark):
     assert EV.newest_per_type(tied, 4).count() == 30
 
 
+def test_totals_from_counted_changes(spark):
+    ch = changes(spark)
+    few = EV.count_per_type(ch)
+    assert few.count() == 4
+    whole, less = (EV.delivery_log(log_inputs(EV.fan_out(c, subs(spark)))) for c in (ch, few))
+    assert bag(EV.totals(less), "webhook_id", "total") == bag(EV.totals(whole), "webhook_id", "total")
+    assert bag(EV.history_facts(less, 2), "webhook_id", "total", "n_rows", "has_next") == bag(EV.history_facts(whole, 2), "webhook_id", "total", "n_rows", "has_next")
+
+
 def test_cascade_does_not_shuffle_the_log(spark):
     log = spark.createDataFrame([(i, i % 5 if i % 6 else None) for i in range(40)], "id long, webhook_id long")
     gone = spark.createDataFrame([(1,), (1,), (3,), (None,), (99,)], "id long")
