@@ -87,3 +87,28 @@ def test_cascade_does_not_shuffle_the_log(spark):
         assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_outcomes_found_before_the_fan_out_give_the_same_log(spark):
+    rows = spark.createDataFrame([(1, 7, "t", 11, 200, "b" * 1200, 0.25), (2, 7, "t", 12, None, "e" * 1200, 1.5), (3, 8, "t", 13, 500, "no", None)],
+                                 "id long, webhook_id long, event_type string, event_id long, response_code int, raw_body string, elapsed_s double")
+    rows = rows.withColumn("attempted_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    before = EV.delivery_log(EV.outcome_columns(rows))
+    assert before.columns == EV.delivery_log(rows).columns
+    assert sorted(map(str, before.collect())) == sorted(map(str, EV.delivery_log(rows).collect()))
+
+
+def test_the_dated_log_is_small_and_keeps_the_setting(spark, tmpdir_path):
+    """Ids of a change's deliveries are stored as differences, 8 bytes each before."""
+    import os
+
+    from feedyard.sources import logs
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(name, None)
+    log = spark.range(0, 200_000, 1, 1).select((F.floor(F.col("id") / 500) * 100000 + F.col("id") % 500).alias("id"),
+                                              F.timestamp_seconds(F.lit(1704067200) + (F.floor(F.col("id") / 500) % 3) * 86400).alias("attempted_at"))
+    logs.append_deliveries(log, f"{tmpdir_path}/log")
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{tmpdir_path}/log") for f in fs if f.endswith(".parquet"))
+    back = logs.read_deliveries(spark, f"{tmpdir_path}/log")
+    assert size < 200_000 and back.count() == 200_000 and back.select("attempt_date").distinct().count() == 3
+    assert back.exceptAll(log.withColumn("attempt_date", F.to_date("attempted_at"))).isEmpty() and spark.conf.get(name, None) == was
