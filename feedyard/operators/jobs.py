@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from feedyard import schemas as S
 from feedyard.functions import text as X
-from feedyard.operators.skew import salted_join
+from feedyard.operators.skew import bin_repeated, bin_salted, hot_bins, parts_for
 
 
-def _last_given(c: str):
-    """Value of `c` at the highest seq where it is not NULL."""
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq")))
+#: A job with more events than this is folded by several tasks first.
+HOT_JOB_EVENTS = 100_000
+
+
+def _given(c: str):
+    """(seq, value) of `c` where it is given."""
+    return F.when(F.col(c).isNotNull() & F.col("seq").isNotNull(), F.struct("seq", F.col(c).alias("value")))
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -19,24 +23,34 @@ def latest(events: DataFrame) -> DataFrame:
 
     Status events overwrite status; processed_rows / error_message are overwritten
     only when given; increments add to processed_rows after the last explicit value.
-    Two aggregates and a salted join, so a job with a huge log is still split.
+    The last values hold texts, so the folds sort.  Each is dealt by job, and by salt where a job's
+    log is huge, to a number of tasks that follows the number of events, and a task's share is
+    bounded; what the salts found is folded again by job.
     """
-    sets = events.groupBy("job_id").agg(
-        _last_given("status").alias("status"),
-        _last_given("processed_rows").alias("set_rows"),
-        F.max(F.when(F.col("processed_rows").isNotNull(), F.col("seq"))).alias("set_seq"),
-        _last_given("error_message").alias("error_message"),
-        F.max("at").alias("updated_at"),
-    )
-    incs = events.filter(F.col("increment").isNotNull()).select("job_id", "seq", "increment")
-    after = (salted_join(incs, sets.select("job_id", "set_seq"), ["job_id"], "inner", salt_of="seq")
-             .filter(F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq")))
-             .groupBy("job_id").agg(F.sum("increment").alias("inc_after")))
-    return (sets.join(after, "job_id", "left")
-            .select("job_id", "status",
-                    (F.coalesce("set_rows", F.lit(0)) + F.coalesce("inc_after", F.lit(0))).cast("long")
-                    .alias("processed_rows"),
-                    "error_message", "updated_at"))
+    spark = events.sparkSession
+    parts = parts_for(spark, events.count())
+    hot = hot_bins(events, "job_id", HOT_JOB_EVENTS)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "job_id", "_salt")
+
+    cells = bin_salted(events, hot, "job_id", "seq")
+    sets = (dealt(cells.filter(F.col("processed_rows").isNotNull()).select("job_id", "_salt", "seq"))
+            .groupBy("job_id", "_salt").agg(F.max("seq").alias("set_seq"))
+            .repartition(parts, "job_id").groupBy("job_id").agg(F.max("set_seq").alias("set_seq")))
+    # a NULL job has a row, but its increments belong to no job
+    counts = F.col("job_id").isNotNull() & (F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq")))
+    folded = (dealt(cells).join(dealt(bin_repeated(sets, hot, "job_id")), ["job_id", "_salt"], "left")
+              .groupBy("job_id", "_salt").agg(
+                  *[F.max(_given(c)).alias(c) for c in ("status", "processed_rows", "error_message")],
+                  F.sum(F.when(counts, F.col("increment"))).alias("inc_after"), F.max("at").alias("updated_at"))
+              .repartition(parts, "job_id").groupBy("job_id").agg(
+                  *[F.max(c).alias(c) for c in ("status", "processed_rows", "error_message", "updated_at")],
+                  F.sum("inc_after").alias("inc_after")))
+    return folded.select(
+        "job_id", F.col("status.value").alias("status"),
+        (F.coalesce("processed_rows.value", F.lit(0)) + F.coalesce("inc_after", F.lit(0))).cast("long").alias("processed_rows"),
+        F.col("error_message.value").alias("error_message"), "updated_at")
 
 
 def counters(increments: DataFrame) -> DataFrame:

@@ -31,6 +31,57 @@ def test_counter_and_latest(spark):
     assert (r["status"], r["processed_rows"], r["error_message"]) == ("failed", 100, "boom")
 
 
+def folded(events):
+    """The fold of `events`, a row at a time."""
+    jobs = {}
+    for r in events:
+        jobs.setdefault(r["job_id"], []).append(r)
+    out = {}
+    for job, rows in jobs.items():
+        last = {}
+        for c in ("status", "processed_rows", "error_message"):
+            given = [(r["seq"], r[c]) for r in rows if r[c] is not None and r["seq"] is not None]
+            last[c] = max(given) if given else (None, None)
+        since = last["processed_rows"][0]
+        added = [r["increment"] for r in rows if r["increment"] is not None and (since is None or (r["seq"] is not None and r["seq"] > since))]
+        out[job] = (last["status"][1], (last["processed_rows"][1] or 0) + (sum(added) if job is not None else 0),
+                    last["error_message"][1], max((r["at"] for r in rows if r["at"] is not None), default=None))
+    return out
+
+
+def test_tasks_of_the_fold_follow_the_events(spark, monkeypatch):
+    """A log is folded by as many tasks as it has work for, however few shuffle partitions are set, and
+    a huge log of one job (or of none) by several; every event counts."""
+    import re
+
+    from feedyard.operators import skew
+    monkeypatch.setattr(skew, "TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(J, "HOT_JOB_EVENTS", 50, raising=False)
+    rows = []
+    for i in range(2000):
+        job = "hot" if i % 3 == 0 else None if i % 7 == 0 else f"j{i % 300}"
+        rows.append((job, i if i % 31 else None, f"s{i}" if i % 4 == 0 else None, i if i % 5 == 0 and i < 1500 else None,
+                     i if i % 5 else None, f"e{i}" if i % 9 == 0 else None, None, T0 + dt.timedelta(seconds=i) if i % 6 else None))
+    e = spark.createDataFrame(rows + rows[:40], S.JOB_EVENT)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(old, ("2", "false", "-1"), strict=True):
+            spark.conf.set(c, v)
+        got = J.latest(e)
+        want = folded(e.collect())
+        assert {r["job_id"]: (r["status"], r["processed_rows"], r["error_message"], r["updated_at"]) for r in got.collect()} == want
+        assert got.count() == len(want) and None in want
+        dealt = [int(n) for n in re.findall(r"hashpartitioning\(job_id#[^)]*, (\d+)\)", got._jdf.queryExecution().executedPlan().toString())]
+        assert dealt and min(dealt) >= 20
+        hot = skew.hot_bins(e, "job_id", 50)
+        for job in ("job_id = 'hot'", "job_id is null"):
+            cells = [r["count"] for r in skew.bin_salted(e, hot, "job_id", "seq").filter(job).groupBy("_salt").count().collect()]
+            assert len(cells) >= 3 and max(cells) <= 150
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_recent_and_outcome(spark):
     jobs = spark.createDataFrame([(str(i), T0 + dt.timedelta(days=i)) for i in range(10)], "job_id string, created_at timestamp")
     assert [r["job_id"] for r in J.recent(jobs, 5).collect()] == ["9", "8", "7", "6", "5"]
