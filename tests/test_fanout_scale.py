@@ -112,3 +112,28 @@ def test_the_dated_log_is_small_and_keeps_the_setting(spark, tmpdir_path):
     back = logs.read_deliveries(spark, f"{tmpdir_path}/log")
     assert size < 200_000 and back.count() == 200_000 and back.select("attempt_date").distinct().count() == 3
     assert back.exceptAll(log.withColumn("attempt_date", F.to_date("attempted_at"))).isEmpty() and spark.conf.get(name, None) == was
+
+
+def test_a_task_pairs_a_block_with_all_its_changes_before_the_next(spark):
+    """One change after the other before: a change's rows went through every block."""
+    many = spark.createDataFrame([(i, ["a"] if i % 3 else ["a", "b"], True) for i in range(60)], "id long, events array<string>, enabled boolean")
+    to = EV.receivers(many)
+    blocks = 20  # of the type with most receivers, 60, by 3
+    for max_rows in (1_000_000, 0):
+        pairs = EV.fan_out_to(changes(spark), to, max_rows=max_rows, block=3)
+        at = pairs.select(F.spark_partition_id().alias("task"), "event_type", F.pmod(F.xxhash64("webhook_id"), F.lit(blocks)).alias("block"))
+        seen = [tuple(r) for r in at.collect()]
+        runs = [x for x, before in zip(seen, [None, *seen], strict=False) if x != before]
+        assert len(runs) == len(set(runs)) < len(seen)
+        assert bag(pairs, "event_id", "webhook_id") == Counter((c["event_id"], r["webhook_id"]) for c in changes(spark).collect() for r in to.collect() if c["event_type"] == r["event_type"])
+
+
+def test_tasks_follow_the_number_of_pairs(spark, monkeypatch):
+    ch, to = changes(spark), EV.receivers(subs(spark))
+    n = EV.fan_out_to(ch, to).count()
+    monkeypatch.setattr(EV, "TASK_PAIRS", 5)
+    pairs = EV.fan_out_to(ch, to)
+    assert pairs.rdd.getNumPartitions() == -(-n // 5) and pairs.count() == n
+    dated = EV.fan_out_to(ch, to, along=("attempted_at", "event_id"))
+    assert bag(dated, "event_id", "event_type", "webhook_id") == bag(pairs, "event_id", "event_type", "webhook_id")
+    assert EV.fan_out_to(ch.limit(0), to).count() == EV.fan_out_to(ch, to.limit(0)).count() == 0
