@@ -137,3 +137,19 @@ def test_tasks_follow_the_number_of_pairs(spark, monkeypatch):
     dated = EV.fan_out_to(ch, to, along=("attempted_at", "event_id"))
     assert bag(dated, "event_id", "event_type", "webhook_id") == bag(pairs, "event_id", "event_type", "webhook_id")
     assert EV.fan_out_to(ch.limit(0), to).count() == EV.fan_out_to(ch, to.limit(0)).count() == 0
+
+
+def test_a_stream_makes_the_pairs_of_each_micro_batch(spark, tmpdir_path):
+    from feedyard.streaming import streams as ST
+    for i in range(2):
+        changes(spark, 30 * (i + 1)).write.parquet(f"{tmpdir_path}/in/{i}")
+    tasks = []
+
+    def each(batch):
+        pairs = EV.fan_out(batch, subs(spark))
+        tasks.append((batch.isStreaming, pairs.rdd.getNumPartitions()))
+        return pairs
+    ST.to_parquet(ST.file_stream(spark, f"{tmpdir_path}/in", changes(spark).schema), f"{tmpdir_path}/out", each=each)
+    assert len(tasks) == 2 and all(not s and n >= spark.sparkContext.defaultParallelism for s, n in tasks)
+    want = bag(EV.fan_out(changes(spark, 30), subs(spark)), "event_id", "webhook_id") + bag(EV.fan_out(changes(spark), subs(spark)), "event_id", "webhook_id")
+    assert bag(spark.read.parquet(f"{tmpdir_path}/out"), "event_id", "webhook_id") == want
