@@ -153,3 +153,24 @@ def test_a_stream_makes_the_pairs_of_each_micro_batch(spark, tmpdir_path):
     assert len(tasks) == 2 and all(not s and n >= spark.sparkContext.defaultParallelism for s, n in tasks)
     want = bag(EV.fan_out(changes(spark, 30), subs(spark)), "event_id", "webhook_id") + bag(EV.fan_out(changes(spark), subs(spark)), "event_id", "webhook_id")
     assert bag(spark.read.parquet(f"{tmpdir_path}/out"), "event_id", "webhook_id") == want
+
+
+def test_history_reads_the_newest_dates_of_each_receiver(spark, tmpdir_path):
+    from feedyard.sources import logs
+    rows = [(i, i % 7 if i % 11 else None, T0 + dt.timedelta(hours=5 * (i // 7)) if i % 13 else None) for i in range(400)]
+    rows += [(900 + i, 50, T0) for i in range(3)] + [(950 + i, 51, None) for i in range(9)] + rows[5:9]
+    log = spark.createDataFrame(rows, "id long, webhook_id long, attempted_at timestamp").selectExpr(
+        "*", "'t' event_type", "'success' status", "200 response_code", "1 response_time_ms", "attempted_at completed_at")
+    logs.append_deliveries(log, f"{tmpdir_path}/log")
+    cols = ("webhook_id", "rank", "id", "attempted_at")
+    for page in (1, 2):
+        for max_rows in (1000, 0):
+            few = logs.read_newest(spark, f"{tmpdir_path}/log", 4 * page, max_rows)
+            assert few.count() < log.count() / 2
+            assert bag(EV.history(few, page, 4), *cols) == bag(EV.history(log, page, 4), *cols)
+    dated = log.filter("attempted_at is not null and webhook_id < 7")
+    logs.append_deliveries(dated, f"{tmpdir_path}/dated")
+    few = logs.read_newest(spark, f"{tmpdir_path}/dated", 4)
+    assert bag(EV.history(few, 1, 4), *cols) == bag(EV.history(dated, 1, 4), *cols)
+    read = few._jdf.queryExecution().executedPlan().toString()
+    assert "attempt_date" in read.split("PartitionFilters:")[1].split("]")[0]  # earlier dates are not read
